@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 #: (kind, start, end), code points, end exclusive.
 Span = tuple[str, int, int]
 
-SPANS = T.StructType.fromDDL("found array<struct<kind:string,start:int,end:int>>")["found"].dataType
+SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
 def lowered(text: str) -> str:
@@ -35,7 +35,7 @@ def find_spans(docs: DataFrame, finder: Callable[[], Callable[[str], list[Span]]
             found = [[{"kind": k, "start": s, "end": e} for k, s, e in scan(t or "")] for t in b.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.list_(item))], [*b.schema.names, "found"])
 
-    return keep.mapInArrow(run, keep.schema.add("found", SPANS))
+    return keep.mapInArrow(run, T.StructType([*keep.schema.fields, T.StructField("found", SPANS)]))
 
 
 def ordered(spans: list[Span], kinds: tuple[str, ...]) -> list[Span]:

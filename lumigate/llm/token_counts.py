@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumigate.llm.base import table, texts_of
 
@@ -108,7 +109,7 @@ def token_counts(docs: DataFrame, path: str | None = None, text: str = "text", l
     frequent = spark.sparkContext.broadcast(frequent_lengths(path))
     rest = [c for c in docs.columns if c not in ("n_bytes", "n_tokens", "over_limit")]
     keep = docs.select(*rest) if text in rest else docs.select(*rest, F.col(text))
-    schema = keep.schema.add("n_tokens", "long")
+    schema = T.StructType([*keep.schema.fields, T.StructField("n_tokens", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path, frequent.value)
