@@ -116,7 +116,11 @@ def digest(found: DataFrame, base: tuple[str, ...], key: str = "doc_id") -> Data
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
     of_base = F.filter("found", lambda s: s["kind"].isin(*base))
-    counts = [F.size(F.filter("found", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in base]
+
+    def count_of(kind):
+        return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count_of(k) for k in base]
     return found.select(key, *counts, F.sha2(text_of(of_base), 256).alias("base_sha256"), text_of(F.col("found")).alias("spans"))
 
 
