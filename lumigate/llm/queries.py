@@ -5,8 +5,10 @@ from __future__ import annotations
 from lumigate.llm.pii import op10_personal_data
 from lumigate.llm.secrets import op6_secrets
 from lumigate.llm.token_counts import op5_token_counts
+from lumigate.llm.toxicity import op2_toxicity
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op5_token_counts": op5_token_counts,
     "op6_secrets": op6_secrets,
     "op10_personal_data": op10_personal_data,
