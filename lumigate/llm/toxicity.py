@@ -91,6 +91,22 @@ def ftrl_pass(rows: Iterator[tuple[np.ndarray, int]], z: np.ndarray, n: np.ndarr
         z[-1], n[-1] = z[-1] + miss - (np.sqrt(n[-1] + miss * miss) - np.sqrt(n[-1])) * bias_of(z[-1], n[-1]), n[-1] + miss * miss
 
 
+def shard_pass(state, epoch: int, m: Model):
+    """What one shard adds to the common state in an epoch."""
+
+    def run(t: pa.Table) -> pa.Table:
+        z0, n0 = (x.astype(np.float64) for x in state.value)
+        z1, n1 = z0.copy(), n0.copy()
+        turns, ys = t.column("turn").to_numpy(), t.column("y").to_numpy()
+        codes = t.column("ids").to_pylist()
+        order = np.lexsort((ys, turns * (2 * epoch + 3)))  # another order in each epoch
+        ftrl_pass(((np.frombuffer(codes[i], np.uint32), int(ys[i])) for i in order), z1, n1, m)
+        at = np.flatnonzero((z1 != z0) | (n1 != n0)).astype(np.uint32)
+        return pa.table({"at": [at.tobytes()], "dz": [(z1 - z0)[at].astype(np.float32).tobytes()], "dn": [(n1 - n0)[at].astype(np.float32).tobytes()]}, schema=pa.schema([("at", pa.binary()), ("dz", pa.binary()), ("dn", pa.binary())]))
+
+    return run
+
+
 def fit(rows: DataFrame, m: Model) -> tuple[np.ndarray, np.ndarray, float]:
     """(coordinates with a weight, their weights, bias) from rows with doc_id, text and y."""
     spark = rows.sparkSession
@@ -108,19 +124,8 @@ def fit(rows: DataFrame, m: Model) -> tuple[np.ndarray, np.ndarray, float]:
     z, n = np.zeros(size), np.zeros(size)
     for epoch in range(m.epochs):
         state = spark.sparkContext.broadcast((z.astype(np.float32), n.astype(np.float32)))
-
-        def shard_pass(t: pa.Table, epoch=epoch, state=state) -> pa.Table:
-            z0, n0 = (x.astype(np.float64) for x in state.value)
-            z1, n1 = z0.copy(), n0.copy()
-            turns, ys = t.column("turn").to_numpy(), t.column("y").to_numpy()
-            codes = t.column("ids").to_pylist()
-            order = np.lexsort((ys, turns * (2 * epoch + 3)))  # another order in each epoch
-            ftrl_pass(((np.frombuffer(codes[i], np.uint32), int(ys[i])) for i in order), z1, n1, m)
-            at = np.flatnonzero((z1 != z0) | (n1 != n0)).astype(np.uint32)
-            return pa.table({"at": [at.tobytes()], "dz": [(z1 - z0)[at].astype(np.float32).tobytes()], "dn": [(n1 - n0)[at].astype(np.float32).tobytes()]}, schema=pa.schema([("at", pa.binary()), ("dz", pa.binary()), ("dn", pa.binary())]))
-
         # as many rows as there are shards, each no larger than the table of coordinates
-        for r in coded.groupBy("shard").applyInArrow(shard_pass, "at binary, dz binary, dn binary").collect():
+        for r in coded.groupBy("shard").applyInArrow(shard_pass(state, epoch, m), "at binary, dz binary, dn binary").collect():
             at = np.frombuffer(r["at"], np.uint32)
             z[at] += np.frombuffer(r["dz"], np.float32) / m.shards
             n[at] += np.frombuffer(r["dn"], np.float32) / m.shards
