@@ -44,7 +44,7 @@ class Model:
     l2: float = 0.0
     epochs: int = 8
     shards: int = 2
-    max_rows: int = 16_000
+    max_rows: int = 14_000
     threshold: float = 0.3
 
 
@@ -91,41 +91,58 @@ def ftrl_pass(rows: Iterator[tuple[np.ndarray, int]], z: np.ndarray, n: np.ndarr
         z[-1], n[-1] = z[-1] + miss - (np.sqrt(n[-1] + miss * miss) - np.sqrt(n[-1])) * bias_of(z[-1], n[-1]), n[-1] + miss * miss
 
 
+PACKED = pa.schema([("ys", pa.binary()), ("sizes", pa.binary()), ("steps", pa.binary())])
+ADDED = pa.schema([("at", pa.binary()), ("dz", pa.binary()), ("dn", pa.binary())])
+
+
+def pack(t: pa.Table) -> pa.Table:
+    """A shard as one row: its labels, sizes of feature sets, and the sets as steps between coordinates."""
+    order = np.lexsort((t.column("y").to_numpy(), t.column("turn").to_numpy()))
+    steps = [t.column("steps")[int(i)].as_py() for i in order]
+    ys, sizes = t.column("y").to_numpy()[order].astype(np.int32), np.array([len(x) // 4 for x in steps], np.int32)
+    return pa.table({"ys": [ys.tobytes()], "sizes": [sizes.tobytes()], "steps": [b"".join(steps)]}, schema=PACKED)
+
+
 def shard_pass(state, epoch: int, m: Model):
-    """What one shard adds to the common state in an epoch."""
-
-    def run(t: pa.Table) -> pa.Table:
-        z0, n0 = (x.astype(np.float64) for x in state.value)
-        z1, n1 = z0.copy(), n0.copy()
-        turns, ys = t.column("turn").to_numpy(), t.column("y").to_numpy()
-        codes = t.column("ids").to_pylist()
-        order = np.lexsort((ys, turns * (2 * epoch + 3)))  # another order in each epoch
-        ftrl_pass(((np.frombuffer(codes[i], np.uint32), int(ys[i])) for i in order), z1, n1, m)
-        at = np.flatnonzero((z1 != z0) | (n1 != n0)).astype(np.uint32)
-        return pa.table({"at": [at.tobytes()], "dz": [(z1 - z0)[at].astype(np.float32).tobytes()], "dn": [(n1 - n0)[at].astype(np.float32).tobytes()]}, schema=pa.schema([("at", pa.binary()), ("dz", pa.binary()), ("dn", pa.binary())]))
+    """What each shard adds to the common state in an epoch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                ys, sizes, steps = np.frombuffer(r["ys"], np.int32), np.frombuffer(r["sizes"], np.int32), np.frombuffer(r["steps"], np.uint32)
+                begin = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+                z0, n0 = (x.astype(np.float64) for x in state.value)
+                z1, n1 = z0.copy(), n0.copy()
+                order = np.random.default_rng(epoch).permutation(len(ys))
+                ftrl_pass(((np.cumsum(steps[begin[i] : begin[i + 1]], dtype=np.int64), int(ys[i])) for i in order), z1, n1, m)
+                at = np.flatnonzero((z1 != z0) | (n1 != n0)).astype(np.uint32)
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (at, (z1 - z0)[at].astype(np.float32), (n1 - n0)[at].astype(np.float32))], schema=ADDED)
 
     return run
 
 
 def fit(rows: DataFrame, m: Model) -> tuple[np.ndarray, np.ndarray, float]:
-    """(coordinates with a weight, their weights, bias) from rows with doc_id, text and y."""
+    """(coordinates with a weight, their weights, bias) from rows with doc_id, text and y.
+
+    The rows are at most m.max_rows; they are shuffled once, to a row for each shard, and that table is
+    what all epochs read.
+    """
     spark = rows.sparkSession
-    size = (1 << m.bits) + 1
-    schema = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("turn", T.LongType()), T.StructField("y", T.IntegerType()), T.StructField("ids", T.BinaryType())])
 
-    def encode(batches):
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
-            ids = [np.unique(features(t or "", hashes, m.bits)).tobytes() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("shard"), b.column("turn"), b.column("y"), pa.array(ids, pa.binary())], ["shard", "turn", "y", "ids"])
+            steps = [np.diff(np.unique(features(t or "", hashes, m.bits)), prepend=np.uint32(0)).tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("shard"), b.column("turn"), b.column("y"), pa.array(steps, pa.binary())], ["shard", "turn", "y", "steps"])
 
     turn = F.xxhash64("doc_id", F.lit("turn"))
-    coded = stored(rows.select(F.pmod(turn, F.lit(m.shards)).cast("int").alias("shard"), turn.alias("turn"), "y", "text").mapInArrow(encode, schema), "toxicity", "zstd")
-    z, n = np.zeros(size), np.zeros(size)
+    coded = rows.select(F.pmod(turn, F.lit(m.shards)).cast("int").alias("shard"), turn.alias("turn"), "y", "text").mapInArrow(encode, "shard int, turn long, y int, steps binary")
+    shards = stored(coded.groupBy("shard").applyInArrow(pack, "ys binary, sizes binary, steps binary"), "toxicity", "zstd")
+    z, n = np.zeros((1 << m.bits) + 1), np.zeros((1 << m.bits) + 1)
     for epoch in range(m.epochs):
         state = spark.sparkContext.broadcast((z.astype(np.float32), n.astype(np.float32)))
         # as many rows as there are shards, each no larger than the table of coordinates
-        for r in coded.groupBy("shard").applyInArrow(shard_pass(state, epoch, m), "at binary, dz binary, dn binary").collect():
+        for r in shards.mapInArrow(shard_pass(state, epoch, m), "at binary, dz binary, dn binary").collect():
             at = np.frombuffer(r["at"], np.uint32)
             z[at] += np.frombuffer(r["dz"], np.float32) / m.shards
             n[at] += np.frombuffer(r["dn"], np.float32) / m.shards
