@@ -37,7 +37,7 @@ CACHE_ENTRIES = 500_000
 class Model:
     """bits: log2 of the number of coordinates. max_rows: the bound on rows that the fit reads."""
 
-    bits: int = 20
+    bits: int = 19
     alpha: float = 20.0
     beta: float = 0.1
     l1: float = 0.2
@@ -138,14 +138,15 @@ def fit(rows: DataFrame, m: Model) -> tuple[np.ndarray, np.ndarray, float]:
     turn = F.xxhash64("doc_id", F.lit("turn"))
     coded = rows.select(F.pmod(turn, F.lit(m.shards)).cast("int").alias("shard"), turn.alias("turn"), "y", "text").mapInArrow(encode, "shard int, turn long, y int, steps binary")
     shards = stored(coded.groupBy("shard").applyInArrow(pack, "ys binary, sizes binary, steps binary"), "toxicity", "zstd")
-    z, n = np.zeros((1 << m.bits) + 1), np.zeros((1 << m.bits) + 1)
+    z, n = np.zeros((1 << m.bits) + 1, np.float32), np.zeros((1 << m.bits) + 1, np.float32)
     for epoch in range(m.epochs):
-        state = spark.sparkContext.broadcast((z.astype(np.float32), n.astype(np.float32)))
+        state = spark.sparkContext.broadcast((z, n))
         # as many rows as there are shards, each no larger than the table of coordinates
         for r in shards.mapInArrow(shard_pass(state, epoch, m), "at binary, dz binary, dn binary").collect():
             at = np.frombuffer(r["at"], np.uint32)
             z[at] += np.frombuffer(r["dz"], np.float32) / m.shards
             n[at] += np.frombuffer(r["dn"], np.float32) / m.shards
+        state.destroy()
     w = weights(z[:-1], n[:-1], m)
     at = np.flatnonzero(w).astype(np.uint32)
     return at, w[at].astype(np.float32), bias_of(z[-1], n[-1])
