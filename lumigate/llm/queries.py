@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from lumigate.llm.decontaminate import op7_decontaminate
+from lumigate.llm.mixing import mixing_sql, op4_mixing
 from lumigate.llm.pii import op10_personal_data
 from lumigate.llm.secrets import op6_secrets
 from lumigate.llm.token_counts import op5_token_counts
@@ -9,9 +11,11 @@ from lumigate.llm.toxicity import op2_toxicity
 
 QUERIES = {
     "op2_toxicity": op2_toxicity,
+    "op4_mixing": op4_mixing,
     "op5_token_counts": op5_token_counts,
     "op6_secrets": op6_secrets,
+    "op7_decontaminate": op7_decontaminate,
     "op10_personal_data": op10_personal_data,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing_sql()}
