@@ -155,5 +155,5 @@ def mixing_sql(docs: str = "documents", epochs: int = 2, columns: str = "doc_id,
     d3 AS (SELECT l.*, 1.0::DOUBLE AS weight, f2.got AS b FROM leaves l JOIN f2 USING (domain, lang)),
     plan AS (SELECT domain, lang, source, share // tokens AS passes, share % tokens AS rest FROM (SELECT *, floor(got + 1e-6)::BIGINT AS share FROM {_fill_sql("d3", "domain, lang", "b", "source")}) WHERE share > 0),
     dealt AS (SELECT d.*, p.passes, p.rest, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY {key}, md5(text) ROWS UNBOUNDED PRECEDING) AS upto FROM rows_ d JOIN plan p USING (domain, lang, source)),
-    taken AS (SELECT *, unnest(range(passes))::INTEGER AS epoch FROM dealt UNION ALL SELECT *, passes::INTEGER FROM dealt WHERE upto <= rest)
+    taken AS (SELECT *, unnest(range(passes))::INTEGER AS epoch FROM dealt UNION ALL SELECT *, passes::INTEGER FROM dealt WHERE rest > 0 AND upto <= rest)
     SELECT {columns} FROM taken"""
