@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lumigate.llm.decontaminate import op7_decontaminate
 from lumigate.llm.mixing import mixing_sql, op4_mixing
+from lumigate.llm.ngram_join import op8_ngram_join
 from lumigate.llm.pii import op10_personal_data
 from lumigate.llm.secrets import op6_secrets
 from lumigate.llm.token_counts import op5_token_counts
@@ -15,6 +16,7 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op6_secrets": op6_secrets,
     "op7_decontaminate": op7_decontaminate,
+    "op8_ngram_join": op8_ngram_join,
     "op10_personal_data": op10_personal_data,
 }
 
