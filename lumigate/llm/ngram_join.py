@@ -27,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumigate.llm.base import components, stored, table
@@ -106,14 +106,19 @@ def _texts(batches: Iterator[pa.RecordBatch], join: Join) -> Iterator[tuple[pa.R
         yield b, [shingles(t, join.words, hashes) for t in b.column("text").to_pylist()]
 
 
+def row_key() -> Column:
+    """The same for rows with the same doc_id and text only."""
+    return F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit("")))))
+
+
 def numbered(docs: DataFrame, join: Join) -> DataFrame:
-    """doc_id, n_shingles and node of every document."""
+    """key, doc_id, n_shingles and node of every document."""
 
     def run(batches):
         for b, sets in _texts(batches, join):
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.int64())], ["doc_id", "n_shingles", "node"])
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.int64())], ["key", "doc_id", "n_shingles", "node"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, node long")
+    return docs.select(row_key().alias("key"), "doc_id", "text").mapInArrow(run, f"key binary, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, node long")
 
 
 def _by_bucket(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -320,7 +325,22 @@ def similar_documents(docs: DataFrame, join: Join = Join()) -> tuple[DataFrame,
     named = with_component(nodes, comp, "node", "class")
     least = named.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("component_id"))
     out = named.join(least, "class", "left").withColumn("component_id", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "n_shingles", "node", "component_id"), links
+    return out.select("key", "doc_id", "n_shingles", "node", "class", "component_id"), links
+
+
+def one_of_each(docs: DataFrame, join: Join = Join()) -> DataFrame:
+    """docs with one row of each component: that of the smallest doc_id (null last), then of the smallest key.
+
+    Rows without shingles stay, each once.
+    """
+    nodes, _ = similar_documents(docs, join)
+    nodes = stored(nodes.select("key", "doc_id", "class"), "ngram-classes")
+    first = nodes.where("class is not null").groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("f")).select(F.col("f.key").alias("key"))
+    kept = first.union(nodes.where("class is null").select("key")).distinct()
+    out = docs.withColumn("_key", row_key()).join(kept.withColumnRenamed("key", "_key"), "_key", "left_semi")
+    if nodes.groupBy("key").count().where("count > 1").limit(1).count():
+        out = out.dropDuplicates(["_key"])  # rows that are equal in doc_id and text
+    return out.select(*docs.columns)
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lumigate.llm.binary_output import op9_binary_output
 from lumigate.llm.decontaminate import op7_decontaminate
 from lumigate.llm.mixing import mixing_sql, op4_mixing
 from lumigate.llm.ngram_join import op8_ngram_join
@@ -17,6 +18,7 @@ QUERIES = {
     "op6_secrets": op6_secrets,
     "op7_decontaminate": op7_decontaminate,
     "op8_ngram_join": op8_ngram_join,
+    "op9_binary_output": op9_binary_output,
     "op10_personal_data": op10_personal_data,
 }
 
