@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +44,21 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [t or "" for t in batch.column(name).to_pylist()]
 
 
+def fixed_bitmap(df: DataFrame, column: str, bits: int) -> np.ndarray:
+    """2**bits bits with those set that column's values have, modulo 2**bits. Its size doesn't grow with df."""
+    at = F.pmod(F.col(column), F.lit(1 << bits))
+    rows = df.select((at / 32768).cast("int").alias("part"), (at % 32768).alias("bit")).groupBy("part").agg(F.expr("bitmap_construct_agg(bit)").alias("bits")).collect()  # rows of 4 KB
+    out = np.zeros(1 << (bits - 3), np.uint8).reshape(-1, 4096)
+    for r in rows:
+        out[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
+
+
+def in_bitmap(bitmap: np.ndarray, value: int, bits: int) -> bool:
+    at = value % (1 << bits)
+    return bool(bitmap[at >> 3] >> (at & 7) & 1)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an edge list, as (node, component): component is the smallest node reachable.
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumigate.llm.base import components, stored, table
+from lumigate.llm.base import components, fixed_bitmap, in_bitmap, stored, table
 
 U = np.uint64
 STEP = U(0x9E3779B97F4A7C15)
@@ -248,20 +248,15 @@ def stars(docs: DataFrame, join: Join, bitmaps) -> DataFrame:
 
 def sets_of(docs: DataFrame, nodes: DataFrame, join: Join) -> DataFrame:
     """node and its set, once for each of nodes; a bitmap of fixed size keeps most other documents from being sent."""
-    pos = F.pmod(F.col("node"), F.lit(1 << NODE_BITS))
-    parts = nodes.groupBy(F.floor(pos / 32768).cast("int").alias("part")).agg(F.expr(f"bitmap_construct_agg(cast(pmod(node, {1 << NODE_BITS}) % 32768 as int))").alias("bits")).collect()  # 512 rows of 4 KB
-    bits = np.zeros(1 << NODE_BITS, np.uint8).reshape(-1, 32768)
-    for r in parts:
-        bits[r["part"]] = np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little")
-    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(bits.ravel()))
+    sent = docs.sparkSession.sparkContext.broadcast(fixed_bitmap(nodes, "node", NODE_BITS))
 
     def run(batches):
-        wanted, seen = np.unpackbits(sent.value), set()
+        wanted, seen = sent.value, set()
         for _, sets in _texts(batches, join):
             out = []
             for s in sets:
                 n = node_of(s)
-                if n is not None and wanted[n % (1 << NODE_BITS)] and n not in seen:
+                if n is not None and in_bitmap(wanted, n, NODE_BITS) and n not in seen:
                     if len(seen) > CACHE_ENTRIES:
                         seen.clear()
                     seen.add(n)

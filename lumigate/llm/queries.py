@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from lumigate.llm.binary_output import op9_binary_output
 from lumigate.llm.decontaminate import op7_decontaminate
+from lumigate.llm.embedding_dedup import SQL as EMBEDDING_SQL
+from lumigate.llm.embedding_dedup import op1_embedding_dedup
+from lumigate.llm.line_dedup import op3_line_dedup
 from lumigate.llm.mixing import mixing_sql, op4_mixing
 from lumigate.llm.ngram_join import op8_ngram_join
 from lumigate.llm.pii import op10_personal_data
@@ -12,7 +15,9 @@ from lumigate.llm.token_counts import op5_token_counts
 from lumigate.llm.toxicity import op2_toxicity
 
 QUERIES = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op2_toxicity": op2_toxicity,
+    "op3_line_dedup": op3_line_dedup,
     "op4_mixing": op4_mixing,
     "op5_token_counts": op5_token_counts,
     "op6_secrets": op6_secrets,
@@ -22,4 +27,4 @@ QUERIES = {
     "op10_personal_data": op10_personal_data,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing_sql()}
+ORACLE_SQL: dict[str, str] = {"op1_embedding_dedup": EMBEDDING_SQL, "op4_mixing": mixing_sql()}
