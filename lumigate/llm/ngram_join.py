@@ -4,8 +4,9 @@ A document is its set of distinct word shingles; equal sets are one node. Two se
 least `percent` share an element among the first n - ceil(n * percent / 100) + 1 of each under any order
 that is the same for all documents. The first order is by frequency: shingles of one half of the hash range
 are counted over all documents, the counts' classes go to two bitmaps of a fixed size, and rare ones come
-first. Nodes that share a prefix shingle of this order form its group. Before a pair is compared whole it must
-also share prefix shingles under the other orders, which are hash orders.
+first. Nodes that share a prefix shingle of this order form its group. The other orders are hash orders. Under the
+second, prefixes up to a fixed hash may differ by no more than similar sets of these sizes differ at all; under the
+third, prefixes must meet. Only pairs that pass all are compared whole.
 
 A group never gives all its pairs. It gives a star: its smallest node with each other (in each map task first,
 so that a group sends one node from each task). Stars are verified and linked nodes united. Only a
@@ -31,11 +32,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumigate.llm.base import components, fixed_bitmap, in_bitmap, stored, table
+from lumigate.llm.shingling import U, mixed, shingle_sets
 
-U = np.uint64
-STEP = U(0x9E3779B97F4A7C15)
 #: One odd multiplier for each further order.
 ORDERS = (U(0xC2B2AE3D27D4EB4F), U(0xD6E8FEB86659FD93))
+#: The prefix that is compared first under ORDERS[0]: hashes in this part of their range.
+PART = 0.3
 CACHE_ENTRIES = 400_000
 #: log2 of the bits of each frequency bitmap (8 MB) and of the bitmap of nodes to compare (2 MB).
 FREQUENCY_BITS = 26
@@ -60,36 +62,6 @@ class Join:
         return 100 * both >= self.percent * (a + b - both)
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> U(33))) * U(0xFF51AFD7ED558CCD)
-    h = (h ^ (h >> U(33))) * U(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> U(33))
-
-
-def shingles(text: str | None, k: int, hashes: WordHashes) -> np.ndarray:
-    """The sorted distinct shingle hashes of a text. bytes.split() splits at the blanks 0x20 and 0x09-0x0D."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, U)
-    w = np.fromiter(map(hashes.__getitem__, words), U, len(words))
-    size = min(k, len(w))
-    h = np.full(len(w) - size + 1, U(size))
-    for i in range(size):
-        h = (h * STEP) ^ w[i : len(w) - size + 1 + i]
-        h ^= h >> U(31)
-    return np.unique(mixed(h))
-
-
 def node_of(s: np.ndarray) -> int | None:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None
 
@@ -101,9 +73,8 @@ def hash_prefix(s: np.ndarray, p: int, order: np.uint64) -> np.ndarray:
 
 
 def _texts(batches: Iterator[pa.RecordBatch], join: Join) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    hashes = WordHashes()
     for b in batches:
-        yield b, [shingles(t, join.words, hashes) for t in b.column("text").to_pylist()]
+        yield b, list(shingle_sets(b.column("text"), join.words))
 
 
 def row_key() -> Column:
@@ -246,8 +217,17 @@ def stars(docs: DataFrame, join: Join, bitmaps) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(meet, "tok long, a long, b long")
 
 
-def sets_of(docs: DataFrame, nodes: DataFrame, join: Join) -> DataFrame:
-    """node and its set, once for each of nodes; a bitmap of fixed size keeps most other documents from being sent."""
+def part_of(s: np.ndarray) -> np.ndarray:
+    """The set's prefix under ORDERS[0] up to a fixed hash, 4 bytes an element, sorted."""
+    key = mixed(s * ORDERS[0])
+    return np.unique((key[key < U(int(PART * 2**64))] >> U(30)).astype(np.uint32))
+
+
+def of_nodes(docs: DataFrame, nodes: DataFrame, join: Join, whole: bool) -> DataFrame:
+    """node, n and `set`, once for each of nodes: the whole set or its part_of.
+
+    A bitmap of fixed size keeps most other documents from being sent.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(fixed_bitmap(nodes, "node", NODE_BITS))
 
     def run(batches):
@@ -260,30 +240,47 @@ def sets_of(docs: DataFrame, nodes: DataFrame, join: Join) -> DataFrame:
                     if len(seen) > CACHE_ENTRIES:
                         seen.clear()
                     seen.add(n)
-                    out.append((n, s.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in out], pa.int64()), pa.array([s for _, s in out], pa.binary())], ["node", "set"])
+                    out.append((n, len(s), (s if whole else part_of(s)).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], ["node", "n", "set"])
+
+    rows = docs.select("text").mapInArrow(run, "node long, n int, set binary").join(nodes, "node", "left_semi")
+    return stored(rows.groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("set").alias("set")), "ngram-sets", "zstd")
 
-    return docs.select("text").mapInArrow(run, "node long, set binary").join(nodes, "node", "left_semi").groupBy("node").agg(F.any_value("set").alias("set"))
 
+def filtered(pairs: DataFrame, sets: DataFrame, join: Join, whole: bool) -> DataFrame:
+    """The pairs a, b that may be similar by their sizes and parts; or, with whole sets, that are."""
 
-def compared(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
-    """The pairs a, b whose sets pass the filters of the other orders and then the comparison."""
+    def passes(s: np.ndarray, t: np.ndarray, n: int, m: int) -> bool:
+        least = -(-join.percent * (n + m) // (100 + join.percent))  # elements that similar sets have in common
+        if min(n, m) < least:
+            return False
+        if not whole:
+            both = len(np.intersect1d(s, t, True))
+            # what a part lacks, its set lacks
+            return len(s) - both <= n - least and len(t) - both <= m - least
+        ps, pt = join.prefix(n), join.prefix(m)
+        return all(len(np.intersect1d(hash_prefix(s, ps, o), hash_prefix(t, pt, o), True)) for o in ORDERS[1:]) and join.linked(len(np.intersect1d(s, t, True)), n, m)
 
     def run(batches):
+        kind = U if whole else np.uint32
         for b in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(b.column("sa"), b.column("sb"))):
-                s, t = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-                if 100 * min(len(s), len(t)) < join.percent * max(len(s), len(t)):
-                    continue
-                ps, pt = join.prefix(len(s)), join.prefix(len(t))
-                if all(len(np.intersect1d(hash_prefix(s, ps, o), hash_prefix(t, pt, o), True)) for o in ORDERS) and join.linked(len(np.intersect1d(s, t, True)), len(s), len(t)):
-                    keep.append(i)
+            sizes = zip(b.column("na").to_pylist(), b.column("nb").to_pylist(), strict=True)
+            keep = [i for i, (x, y, (n, m)) in enumerate(zip(b.column("sa"), b.column("sb"), sizes, strict=True)) if passes(np.frombuffer(x.as_buffer(), kind), np.frombuffer(y.as_buffer(), kind), n, m)]
             yield b.select(["a", "b"]).take(pa.array(keep, pa.int32()))
 
-    one = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
-    both = one.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a")
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    one = pairs.join(sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("set").alias("sb")), "b")
+    both = one.join(sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("set").alias("sa")), "a")
+    return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+
+def compared(docs: DataFrame, pairs: DataFrame, parts: DataFrame, join: Join) -> DataFrame:
+    """The similar ones of pairs: by parts first, and whole sets only for what these leave."""
+    likely = stored(filtered(pairs, parts, join, False), "ngram-likely")
+    return stored(filtered(likely, of_nodes(docs, ends_of(likely), join, True), join, True), "ngram-links")
 
 
 def with_component(df: DataFrame, comp: DataFrame, node: str, name: str) -> DataFrame:
@@ -297,9 +294,8 @@ def similar_documents(docs: DataFrame, join: Join = Join()) -> tuple[DataFrame,
     bitmaps = spark.sparkContext.broadcast(frequency_bitmaps(docs, join))
     edges = stored(stars(docs, join, bitmaps), "ngram-stars")
     pairs = stored(edges.select("a", "b").distinct(), "ngram-pairs")
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = stored(sets_of(docs, ends, join), "ngram-sets", "zstd")
-    links = stored(compared(pairs, sets, join), "ngram-links")
+    parts = of_nodes(docs, ends_of(pairs), join, False)
+    links = compared(docs, pairs, parts, join)
     comp = components(links)
     # groups still in different components: all their pairs across components
     split = with_component(with_component(pairs.join(links, ["a", "b"], "left_anti"), comp, "a", "ca"), comp, "b", "cb").where("ca <> cb").select("a", "b")
@@ -313,7 +309,7 @@ def similar_documents(docs: DataFrame, join: Join = Join()) -> tuple[DataFrame,
     x, y = members.select("tok", *[F.col(c).alias(f"{c}x") for c in ("node", "c", "n")]), members.select("tok", *[F.col(c).alias(f"{c}y") for c in ("node", "c", "n")])
     across = x.join(y, "tok").where((F.col("cx") < F.col("cy")) & (100 * F.least("nx", "ny") >= join.percent * F.greatest("nx", "ny")))
     more = across.select(F.least("nodex", "nodey").alias("a"), F.greatest("nodex", "nodey").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    added = stored(compared(more, sets, join), "ngram-links")
+    added = compared(docs, stored(more, "ngram-pairs"), parts, join)
     if added.limit(1).count():
         links = links.union(added)
         comp = components(links)

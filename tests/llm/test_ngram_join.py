@@ -70,3 +70,21 @@ def test_edges(spark):
 def test_prefix_is_exact():
     for n in range(1, 200):
         assert Join(4, 85).prefix(n) == n - -(-85 * n // 100) + 1
+
+
+def test_words_are_those_of_the_contract():
+    import random
+
+    import pyarrow as pa
+
+    from lumigate.llm.shingling import shingle_sets
+
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice("aAbZ \t\n\x0b\x0c\r\x1cé\xa0日") for _ in range(rnd.randint(0, 30))) for _ in range(3000)] + [None, "x" * 3_000_000, "y z " * 700_000]
+    sets = [s.tobytes() for s in shingle_sets(pa.array(texts).slice(1), 2)]
+    plain = []
+    for t in texts[1:]:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        plain.append(frozenset(tuple(w[j : j + 2]) for j in range(max(1, len(w) - 1))) if w else frozenset())
+    assert [len(s) // 8 for s in sets] == [len(p) for p in plain]
+    assert len(set(zip(sets, plain))) == len(set(sets)) == len(set(plain))
