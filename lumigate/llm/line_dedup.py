@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumigate.llm.base import fixed_bitmap, in_bitmap, stored, table
+from lumigate.llm.base import fixed_bitmap, in_bitmap, slices, stored, table
 
 WINDOW = 2
 #: A chunk ends where this many low bits are 0: about 4 lines.
@@ -68,7 +68,7 @@ def chunk_hash(block: bytes) -> int:
 
 def chunk_hashes(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out = []
             for t in b.column("text").to_pylist():
                 lines, cut = parts(t)
@@ -83,7 +83,7 @@ def suspects(docs: DataFrame, bits) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = bits.value
-        for b in batches:
+        for b in slices(batches):
             rows, out = [], []
             for i, t in enumerate(b.column("text").to_pylist()):
                 lines, cut = parts(t)
@@ -113,7 +113,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     lost = found.join(first, ["h", "block"]).where("key <> fkey or no <> fno").groupBy("key").agg(F.collect_set("no").alias("lost"))
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts, n, gone = [], [], []
             for t, lost in zip(b.column("text").to_pylist(), b.column("lost").to_pylist()):
                 lines, cut = parts(t)

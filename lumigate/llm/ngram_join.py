@@ -24,14 +24,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumigate.llm.base import components, fixed_bitmap, in_bitmap, stored, table
+from lumigate.llm.base import components, fixed_bitmap, in_bitmap, slices, stored, table
 from lumigate.llm.shingling import U, mixed, shingle_sets
 
 #: One odd multiplier for each further order.
@@ -44,16 +44,17 @@ FREQUENCY_BITS = 26
 NODE_BITS = 24
 #: Counts from which a shingle is of the middle and the last class.
 OFTEN, VERY_OFTEN = 4, 32
-#: Buckets by the first 8 bits of a hash.
-BUCKETS = 256
 #: Shingles that a task holds before it sends them on.
-FLUSH = 3_000_000
+FLUSH = 1_000_000
 
 
 @dataclass(frozen=True)
 class Join:
+    """bits: hashes are dealt to 2**bits buckets by their first bits; 0 sets it by the number of input partitions."""
+
     words: int = 5
     percent: int = 80
+    bits: int = 0
 
     def prefix(self, n: int) -> int:
         return n + (-n * self.percent // 100) + 1 if n else 0
@@ -73,7 +74,7 @@ def hash_prefix(s: np.ndarray, p: int, order: np.uint64) -> np.ndarray:
 
 
 def _texts(batches: Iterator[pa.RecordBatch], join: Join) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    for b in batches:
+    for b in slices(batches):
         yield b, list(shingle_sets(b.column("text"), join.words))
 
 
@@ -92,9 +93,9 @@ def numbered(docs: DataFrame, join: Join) -> DataFrame:
     return docs.select(row_key().alias("key"), "doc_id", "text").mapInArrow(run, f"key binary, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, node long")
 
 
-def _by_bucket(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _by_bucket(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Where each bucket of a sorted array begins, and the buckets that there are."""
-    bucket = (h >> U(56)).astype(np.int32)
+    bucket = (h >> U(64 - bits)).astype(np.int32)
     at = np.flatnonzero(np.diff(bucket, prepend=-1))
     return np.append(at, len(h)), bucket[at]
 
@@ -107,8 +108,8 @@ def frequency_bitmaps(docs: DataFrame, join: Join) -> tuple[np.ndarray, np.ndarr
 
         def flush():
             h = np.sort(np.concatenate(held))
-            begin, buckets = _by_bucket(h)
-            low = ((h >> U(24)) & U(0xFFFFFFFF)).astype(np.uint32)
+            begin, buckets = _by_bucket(h, join.bits)
+            low = ((h >> U(32 - join.bits)) & U(0xFFFFFFFF)).astype(np.uint32)
             parts = [np.diff(low[begin[i] : begin[i + 1]], prepend=np.uint32(0)).tobytes() for i in range(len(buckets))]
             return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(parts, pa.binary())], ["bucket", "steps"])
 
@@ -123,7 +124,7 @@ def frequency_bitmaps(docs: DataFrame, join: Join) -> tuple[np.ndarray, np.ndarr
         if held:
             yield flush()
 
-    segment = 1 << (FREQUENCY_BITS - 8)
+    segment = 1 << (FREQUENCY_BITS - join.bits)
 
     def classes(t: pa.Table) -> pa.Table:
         low = np.sort(np.concatenate([np.cumsum(np.frombuffer(x.as_py(), np.uint32), dtype=np.uint32) for x in t.column("steps")]))
@@ -132,12 +133,12 @@ def frequency_bitmaps(docs: DataFrame, join: Join) -> tuple[np.ndarray, np.ndarr
         out = []
         for least in (OFTEN, VERY_OFTEN):
             bits = np.zeros(segment, np.uint8)
-            bits[low[at][n >= least] >> np.uint32(32 - (FREQUENCY_BITS - 8))] = 1
+            bits[low[at][n >= least] >> np.uint32(32 - (FREQUENCY_BITS - join.bits))] = 1
             out.append(pa.array([np.packbits(bits).tobytes()], pa.binary()))
         return pa.table([t.column("bucket").slice(0, 1).combine_chunks(), *out], names=["bucket", "often", "very"])
 
     steps = docs.select("text").mapInArrow(count, "bucket int, steps binary")
-    found = steps.groupBy("bucket").applyInArrow(classes, "bucket int, often binary, very binary").collect()  # 256 rows of fixed size
+    found = steps.groupBy("bucket").applyInArrow(classes, "bucket int, often binary, very binary").collect()  # together two bitmaps of fixed size
     often, very = (np.zeros(1 << FREQUENCY_BITS, bool) for _ in range(2))
     for r in found:
         for bits, part in ((often, r["often"]), (very, r["very"])):
@@ -182,12 +183,12 @@ def stars(docs: DataFrame, join: Join, bitmaps) -> DataFrame:
             tok, node, first = _stars(np.concatenate(toks), np.concatenate(nodes))
             own = first != np.arange(len(tok))
             heads, head_nodes = tok[~own], node[~own]
-            begin, buckets = _by_bucket(heads)
+            begin, buckets = _by_bucket(heads, join.bits)
             e_tok, e_a, e_b = tok[own], node[first[own]], node[own]
-            e_at = np.searchsorted(e_tok >> U(56), np.append(buckets, BUCKETS).astype(U))
-            low = ((heads >> U(24)) & U(0xFFFFFFFF)).astype(np.uint32)
+            e_at = np.searchsorted(e_tok >> U(64 - join.bits), np.append(buckets, 1 << join.bits).astype(U))
+            low = ((heads >> U(32 - join.bits)) & U(0xFFFFFFFF)).astype(np.uint32)
             cols = [buckets, [low[begin[i] : begin[i + 1]].tobytes() for i in range(len(buckets))], [head_nodes[begin[i] : begin[i + 1]].tobytes() for i in range(len(buckets))]]
-            for x in ((e_tok >> U(24)).astype(np.int64), e_a, e_b):
+            for x in ((e_tok >> U(32 - join.bits)).astype(np.int64), e_a, e_b):
                 cols.append([x[e_at[i] : e_at[i + 1]].tobytes() for i in range(len(buckets))])
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["bucket", "low", "node", "et", "ea", "eb"])
 
@@ -290,6 +291,8 @@ def with_component(df: DataFrame, comp: DataFrame, node: str, name: str) -> Data
 def similar_documents(docs: DataFrame, join: Join = Join()) -> tuple[DataFrame, DataFrame]:
     """(nodes, links): doc_id, n_shingles, node and component_id of every row; verified pairs of nodes that hold the components."""
     spark = docs.sparkSession
+    if not join.bits:
+        join = replace(join, bits=min(20, max(8, (4 * docs.rdd.getNumPartitions()).bit_length())))
     nodes = stored(numbered(docs, join), "ngram-nodes")
     bitmaps = spark.sparkContext.broadcast(frequency_bitmaps(docs, join))
     edges = stored(stars(docs, join, bitmaps), "ngram-stars")

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from lumigate.llm.base import slices
+
 #: (kind, start, end), code points, end exclusive.
 Span = tuple[str, int, int]
 
@@ -31,7 +33,7 @@ def find_spans(docs: DataFrame, finder: Callable[[], Callable[[str], list[Span]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = finder()
-        for b in batches:
+        for b in slices(batches):
             found = [[{"kind": k, "start": s, "end": e} for k, s, e in scan(t or "")] for t in b.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.list_(item))], [*b.schema.names, "found"])
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumigate.llm.base import table, texts_of
+from lumigate.llm.base import slices, table, texts_of
 
 #: Entries of a worker's cache, after which it starts anew.
 CACHE_ENTRIES = 400_000
@@ -113,7 +113,7 @@ def token_counts(docs: DataFrame, path: str | None = None, text: str = "text", l
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path, frequent.value)
-        for b in batches:
+        for b in slices(batches):
             n = pa.array([count(t) for t in texts_of(b, text)], pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns, n], [*b.schema.names, "n_tokens"])
 

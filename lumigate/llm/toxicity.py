@@ -24,13 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumigate.llm.base import stored, table
+from lumigate.llm.base import slices, stored, table
 
 WORD = re.compile(r"\w+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: One odd multiplier for each distance between the two words of a pair.
 GAPS = (np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5))
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 200_000
 
 
 @dataclass(frozen=True)
@@ -131,7 +131,7 @@ def fit(rows: DataFrame, m: Model) -> tuple[np.ndarray, np.ndarray, float]:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for b in batches:
+        for b in slices(batches):
             steps = [np.diff(np.unique(features(t or "", hashes, m.bits)), prepend=np.uint32(0)).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("shard"), b.column("turn"), b.column("y"), pa.array(steps, pa.binary())], ["shard", "turn", "y", "steps"])
 
@@ -174,7 +174,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], m: Model
         dense = np.zeros(1 << m.bits, np.float32)
         dense[at] = w
         hashes = WordHashes()
-        for b in batches:
+        for b in slices(batches):
             sums = []
             for t in b.column(text).to_pylist():
                 ids = np.unique(features(t or "", hashes, m.bits))
