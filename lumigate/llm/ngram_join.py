@@ -9,9 +9,11 @@ second, prefixes up to a fixed hash may differ by no more than similar sets of t
 third, prefixes must meet. Only pairs that pass all are compared whole.
 
 A group never gives all its pairs. It gives a star: its smallest node with each other (in each map task first,
-so that a group sends one node from each task). Stars are verified and linked nodes united. Only a
-group whose nodes are then in different components is opened again, and only for pairs across components;
-these are all compared, so no link between components is lost, whatever the group's size.
+so that a group sends one node from each task). Stars are verified and linked nodes united. A group
+whose nodes are then in different components gives STAR_ROUNDS more stars, of other leaders with nodes of other
+components. What is still apart then is compared in all pairs across components, so no link between
+components is lost, whatever the group's size. A node's number begins with its share of rare shingles, so that a
+leader is what near copies have in common rather than one of them.
 
 `links` has the verified pairs that hold the components together, `nodes` every document's node.
 
@@ -44,6 +46,8 @@ FREQUENCY_BITS = 26
 NODE_BITS = 24
 #: Counts from which a shingle is of the middle and the last class.
 OFTEN, VERY_OFTEN = 4, 32
+#: Further stars in open groups before all their pairs across components are compared.
+STAR_ROUNDS = 1
 #: Shingles that a task holds before it sends them on.
 FLUSH = 1_000_000
 
@@ -63,8 +67,23 @@ class Join:
         return 100 * both >= self.percent * (a + b - both)
 
 
-def node_of(s: np.ndarray) -> int | None:
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None
+def classes_of(s: np.ndarray, often: np.ndarray, very: np.ndarray) -> np.ndarray:
+    """0 counted and rare, 1 counted and of the middle, 2 not counted, 3 very often."""
+    at = s >> U(64 - FREQUENCY_BITS)
+    return np.where((s & U(1)) == 0, _bit(often, at) + 2 * _bit(very, at), 2).astype(np.uint64)
+
+
+def node_of(s: np.ndarray, bitmaps: tuple[np.ndarray, np.ndarray]) -> int | None:
+    """A set's number: 3 bits that grow with its share of rare shingles, then 60 bits of its hash (positive as a long).
+
+    So the smallest node of a group of near copies is one that has least of its own, which most others are near to.
+    """
+    if not len(s):
+        return None
+    counted = s[(s & U(1)) == 0]
+    rare = (classes_of(counted, *bitmaps) == 0).sum() / max(1, len(counted))
+    h = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little") >> 4
+    return min(7, int(rare * 20)) << 60 | h
 
 
 def hash_prefix(s: np.ndarray, p: int, order: np.uint64) -> np.ndarray:
@@ -83,12 +102,12 @@ def row_key() -> Column:
     return F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit("")))))
 
 
-def numbered(docs: DataFrame, join: Join) -> DataFrame:
+def numbered(docs: DataFrame, join: Join, bitmaps) -> DataFrame:
     """key, doc_id, n_shingles and node of every document."""
 
     def run(batches):
         for b, sets in _texts(batches, join):
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.int64())], ["key", "doc_id", "n_shingles", "node"])
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s, bitmaps.value) for s in sets], pa.int64())], ["key", "doc_id", "n_shingles", "node"])
 
     return docs.select(row_key().alias("key"), "doc_id", "text").mapInArrow(run, f"key binary, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, node long")
 
@@ -151,12 +170,10 @@ def _bit(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def frequency_prefix(s: np.ndarray, p: int, often: np.ndarray, very: np.ndarray) -> np.ndarray:
-    """The first p of a set: counted and rare, counted and of the middle, not counted, very often; then by hash."""
+    """The first p of a set by class, then by hash."""
     if p >= len(s):
         return s
-    at = s >> U(64 - FREQUENCY_BITS)
-    counted = (s & U(1)) == 0
-    rank = np.where(counted, _bit(often, at) + 2 * _bit(very, at), 2).astype(np.uint64)  # 0, 1, 2, 3
+    rank = classes_of(s, often, very)
     return s[np.argpartition((rank << U(62)) | (s >> U(2)), p - 1)[:p]]
 
 
@@ -197,7 +214,7 @@ def stars(docs: DataFrame, join: Join, bitmaps) -> DataFrame:
                 if len(s):
                     p = frequency_prefix(s, join.prefix(len(s)), often, very)
                     toks.append(p)
-                    nodes.append(np.full(len(p), node_of(s), np.int64))
+                    nodes.append(np.full(len(p), node_of(s, bitmaps.value), np.int64))
                     size += len(p)
             if size > FLUSH:
                 yield flush()
@@ -224,7 +241,7 @@ def part_of(s: np.ndarray) -> np.ndarray:
     return np.unique((key[key < U(int(PART * 2**64))] >> U(30)).astype(np.uint32))
 
 
-def of_nodes(docs: DataFrame, nodes: DataFrame, join: Join, whole: bool) -> DataFrame:
+def of_nodes(docs: DataFrame, nodes: DataFrame, join: Join, bitmaps, whole: bool) -> DataFrame:
     """node, n and `set`, once for each of nodes: the whole set or its part_of.
 
     A bitmap of fixed size keeps most other documents from being sent.
@@ -236,7 +253,7 @@ def of_nodes(docs: DataFrame, nodes: DataFrame, join: Join, whole: bool) -> Data
         for _, sets in _texts(batches, join):
             out = []
             for s in sets:
-                n = node_of(s)
+                n = node_of(s, bitmaps.value)
                 if n is not None and in_bitmap(wanted, n, NODE_BITS) and n not in seen:
                     if len(seen) > CACHE_ENTRIES:
                         seen.clear()
@@ -278,10 +295,23 @@ def ends_of(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
 
-def compared(docs: DataFrame, pairs: DataFrame, parts: DataFrame, join: Join) -> DataFrame:
+def compared(docs: DataFrame, pairs: DataFrame, parts: DataFrame, join: Join, bitmaps) -> DataFrame:
     """The similar ones of pairs: by parts first, and whole sets only for what these leave."""
     likely = stored(filtered(pairs, parts, join, False), "ngram-likely")
-    return stored(filtered(likely, of_nodes(docs, ends_of(likely), join, True), join, True), "ngram-links")
+    return stored(filtered(likely, of_nodes(docs, ends_of(likely), join, bitmaps, True), join, True), "ngram-links")
+
+
+def star_pairs(members: DataFrame, turn: int) -> DataFrame:
+    """In each open group, another leader with each node of other components: the first by rank, then a hash of the turn."""
+    by = F.struct(F.shiftrightunsigned("node", 60).alias("rank"), F.xxhash64("node", F.lit(turn)).alias("h"), "node", "c", F.col("n").alias("na"))
+    lead = members.join(members.groupBy("tok").agg(F.min("c").alias("lo")), "tok").where("c <> lo").groupBy("tok").agg(F.min(by).alias("l"))
+    return members.join(lead, "tok").where("c <> l.c").select(F.col("l.node").alias("a"), F.col("node").alias("b"), F.col("l.na").alias("na"), F.col("n").alias("nb"))
+
+
+def across(members: DataFrame) -> DataFrame:
+    """All pairs of nodes of a group that are in different components."""
+    x, y = members.select("tok", F.col("node").alias("a"), F.col("c").alias("cx"), F.col("n").alias("na")), members.select("tok", F.col("node").alias("b"), F.col("c").alias("cy"), F.col("n").alias("nb"))
+    return x.join(y, "tok").where("cx < cy").select("a", "b", "na", "nb")
 
 
 def with_component(df: DataFrame, comp: DataFrame, node: str, name: str) -> DataFrame:
@@ -293,29 +323,30 @@ def similar_documents(docs: DataFrame, join: Join = Join()) -> tuple[DataFrame,
     spark = docs.sparkSession
     if not join.bits:
         join = replace(join, bits=min(20, max(8, (4 * docs.rdd.getNumPartitions()).bit_length())))
-    nodes = stored(numbered(docs, join), "ngram-nodes")
     bitmaps = spark.sparkContext.broadcast(frequency_bitmaps(docs, join))
+    nodes = stored(numbered(docs, join, bitmaps), "ngram-nodes")
     edges = stored(stars(docs, join, bitmaps), "ngram-stars")
     pairs = stored(edges.select("a", "b").distinct(), "ngram-pairs")
-    parts = of_nodes(docs, ends_of(pairs), join, False)
-    links = compared(docs, pairs, parts, join)
+    parts = of_nodes(docs, ends_of(pairs), join, bitmaps, False)
+    links = compared(docs, pairs, parts, join, bitmaps)
     comp = components(links)
-    # groups still in different components: all their pairs across components
-    split = with_component(with_component(pairs.join(links, ["a", "b"], "left_anti"), comp, "a", "ca"), comp, "b", "cb").where("ca <> cb").select("a", "b")
-    # a group of two has no pair but its star's
-    open_ = edges.join(split, ["a", "b"], "left_semi").select("tok").distinct()
-    members = edges.join(open_, "tok", "left_semi").select("tok", F.explode(F.array("a", "b")).alias("node")).distinct()
-    groups = members.groupBy("tok").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("h")).where("n > 2")
-    groups = groups.groupBy("n", "h").agg(F.min("tok").alias("tok")).select("tok")  # equal groups once
     sizes = nodes.where("node is not null").groupBy("node").agg(F.max("n_shingles").alias("n"))
-    members = stored(with_component(members.join(groups, "tok", "left_semi"), comp, "node", "c").join(sizes, "node"), "ngram-open")
-    x, y = members.select("tok", *[F.col(c).alias(f"{c}x") for c in ("node", "c", "n")]), members.select("tok", *[F.col(c).alias(f"{c}y") for c in ("node", "c", "n")])
-    across = x.join(y, "tok").where((F.col("cx") < F.col("cy")) & (100 * F.least("nx", "ny") >= join.percent * F.greatest("nx", "ny")))
-    more = across.select(F.least("nodex", "nodey").alias("a"), F.greatest("nodex", "nodey").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    added = compared(docs, stored(more, "ngram-pairs"), parts, join)
-    if added.limit(1).count():
-        links = links.union(added)
-        comp = components(links)
+    members = stored(edges.select("tok", F.explode(F.array("a", "b")).alias("node")).distinct().join(sizes, "node"), "ngram-members")
+    for turn in range(STAR_ROUNDS + 1):
+        # groups still in different components; one of two nodes has no pair but its star's
+        at = with_component(members, comp, "node", "c")
+        groups = at.groupBy("tok").agg(F.count("*").alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("h")).where("size > 2 and lo <> hi")
+        groups = groups.groupBy("size", "h").agg(F.min("tok").alias("tok")).select("tok")  # equal groups once
+        open_ = stored(at.join(groups, "tok", "left_semi"), "ngram-open")
+        if not open_.limit(1).count():
+            break
+        more = (star_pairs(open_, turn) if turn < STAR_ROUNDS else across(open_)).where(100 * F.least("na", "nb") >= join.percent * F.greatest("na", "nb"))
+        more = stored(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "ngram-pairs")
+        pairs = pairs.union(more)
+        added = compared(docs, more, parts, join, bitmaps)
+        if added.limit(1).count():
+            links = links.union(added)
+            comp = components(links)
     named = with_component(nodes, comp, "node", "class")
     least = named.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("component_id"))
     out = named.join(least, "class", "left").withColumn("component_id", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))

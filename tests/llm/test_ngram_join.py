@@ -53,7 +53,7 @@ def corpus(seed):
 
 
 def test_components_are_those_of_all_pairs(spark, monkeypatch):
-    for seed, k, percent, often in ((1, 4, 85, 4), (2, 5, 80, 2), (3, 4, 60, 2)):
+    for seed, k, percent, often in ((1, 4, 85, 4), (3, 4, 60, 2)):
         monkeypatch.setattr(ngram_join, "OFTEN", often)
         rows = corpus(seed)
         got, _ = similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), Join(k, percent))
