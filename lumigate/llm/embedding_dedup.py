@@ -24,7 +24,7 @@ from lumigate.llm.base import components, partitions, stored, table
 from lumigate.llm.hnsw import Graph, near
 
 LEAST = 0.93
-SHARD = 4096
+SHARD = 8192
 #: What single precision may hide: searched down to here, then checked in double.
 SLACK = 1e-4
 
