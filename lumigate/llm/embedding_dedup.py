@@ -54,6 +54,8 @@ def held_together(found: np.ndarray, names: np.ndarray, others: np.ndarray) -> l
         if len(cols):
             mine, theirs = at[r], at[len(names) + cols]
             apart, where = np.unique(group[theirs], return_index=True)
+            if len(apart) == 1 and apart[0] == group[mine]:
+                continue
             for g, c in zip(apart, theirs[where], strict=True):
                 if g != group[mine]:
                     out.append((int(every[mine]), int(every[c])))
