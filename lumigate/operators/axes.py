@@ -43,7 +43,8 @@ def score_axes(items: DataFrame, axes: DataFrame, scale: float, vector: str = "e
     """
     e = as_double(F.col(vector))
     scores = F.transform("registry", lambda r: F.struct(r["axis"].alias("axis"), sigmoid(scale * (_side(e, r["aggregation"], r["pos"]) - _side(e, r["aggregation"], r["neg"]))).alias("score")))
-    return items.join(F.broadcast(axes)).withColumn("axes", F.map_from_entries(scores)).drop("registry")
+    # as a generated column the scores are computed once a row; as an alias, filters on the gate would copy them into each use
+    return items.join(F.broadcast(axes)).select(*items.columns, F.explode(F.array(F.map_from_entries(scores))).alias("axes"))
 
 
 def role_scores(scored: DataFrame, roles: dict[str, str]) -> DataFrame:
