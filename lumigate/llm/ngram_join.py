@@ -49,7 +49,7 @@ OFTEN, VERY_OFTEN = 4, 32
 #: Further stars in open groups before all their pairs across components are compared.
 STAR_ROUNDS = 1
 #: Shingles that a task holds before it sends them on.
-FLUSH = 1_000_000
+FLUSH = 500_000
 
 
 @dataclass(frozen=True)

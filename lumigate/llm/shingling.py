@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 U = np.uint64
 STEP = U(0x9E3779B97F4A7C15)
 #: Bytes hashed at once; a longer word makes the tables grow.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 _BASE = 0xD1342543DE82EF95
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
