@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumigate.functions.vector import as_double, cosine_similarity
+from lumigate.operators.storage import stored
 
 # Size and margins of the buckets, and their orders with and without a likely match.
 PER_BUCKET, MARGIN, DISAGREES = 6, 0.15, 0.08
@@ -36,14 +37,14 @@ def bucketed(shown: DataFrame, labels: DataFrame, threshold: float, per_bucket:
     (at most 5 * per_bucket) are broadcast.
     """
     left = shown.join(labels.select("item_id").distinct(), "item_id", "left_anti").select("item_id", "score", "disagreement")
-    picked = None
+    left, picked = stored(left, "review"), None
     for name, cond, order in _buckets(threshold, margin):
         rows = left.where(cond)
         if picked is not None:
             rows = rows.join(F.broadcast(picked.select("item_id")), "item_id", "left_anti")
         top = rows.orderBy(*order, "item_id").limit(per_bucket)
         place = F.row_number().over(Window.orderBy(*order, "item_id")).cast("int")  # at most per_bucket rows
-        top = top.select("item_id", "score", F.lit(name).alias("bucket"), place.alias("place"))
+        top = stored(top.select("item_id", "score", F.lit(name).alias("bucket"), place.alias("place")), "picked")
         picked = top if picked is None else picked.unionByName(top)
     return picked
 
@@ -67,8 +68,9 @@ def diverse(shown: DataFrame, group: str, order: list[Column], threshold: float,
     Every round is one grouped maximum and a broadcast join with one row for each group; all groups go on together.
     """
     first = F.row_number().over(Window.partitionBy(group).orderBy(*order, "item_id"))
-    rows = shown.select("item_id", group, "score", as_double(F.col("embedding")).alias("e"))
-    seed = shown.withColumn("_r", first).where("_r = 1").select(group, "item_id", as_double(F.col("embedding")).alias("t"))
+    kept = stored(shown.select("item_id", group, "score", as_double(F.col("embedding")).alias("embedding")), "diverse")
+    rows = kept.select("item_id", group, "score", F.col("embedding").alias("e"))
+    seed = stored(kept.withColumn("_r", first).where("_r = 1").select(group, "item_id", F.col("embedding").alias("t")), "diverse")
     chosen = [seed.select("item_id", group, F.lit(1).alias("place"))]
     state = rows.withColumn("near", F.lit(float("inf")))
     last = seed
@@ -77,6 +79,7 @@ def diverse(shown: DataFrame, group: str, order: list[Column], threshold: float,
         state = state.withColumn("near", F.least("near", 1 - cosine_similarity(F.col("e"), F.col("t")))).drop("_taken", "t")
         key = F.struct("near", (-F.abs(F.col("score") - threshold)).alias("g"), "score", (-F.col("item_id")).alias("i"))
         last = state.groupBy(group).agg(F.max_by(F.struct("item_id", F.col("e").alias("t")), key).alias("b")).select(group, "b.*")
+        last = stored(last, "diverse")
         chosen.append(last.select("item_id", group, F.lit(place).alias("place")))
     out = chosen[0]
     for c in chosen[1:]:
