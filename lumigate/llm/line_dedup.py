@@ -1,21 +1,23 @@
-"""Line dedup by content-defined chunks of lines.
+"""Line dedup by every pair of adjacent lines, and every long line by itself.
 
-A rolling hash over the hashes of the last WINDOW lines ends a chunk where its low bits are 0, so the same lines
-give the same chunks whatever stands before them. A chunk of MIN lines or more that stands elsewhere in the corpus
-too, byte for byte, keeps its first place (smallest doc_id, null last, then key and position) and is
-removed from all others.
+What is looked up of a text is its spans: each two lines that follow one another, and each line of over LONG words.
+A span that stands elsewhere in the corpus too, byte for byte, keeps its first place (smallest doc_id, null last,
+then key and position); its lines go from all others. A repeated passage of two lines or more is thus
+found to its last line wherever it stands, and the first place of each line stays. `dedup_lines` takes other
+spans too: `chunk_spans` are content-defined chunks, where a rolling hash over the last WINDOW lines ends a chunk, in a
+quarter of the spans but with only what whole chunks repeat.
 
-One pass counts chunk hashes; the repeated ones go to a bitmap of fixed size. A second pass sends the text of
-chunks that meet the bitmap, and grouping by hash and text compares the bytes. Only then are documents joined
+One pass counts span hashes; the repeated ones go to a bitmap of fixed size. A second pass sends the text of
+spans that meet the bitmap, and grouping by hash and text compares the bytes. Only then are documents joined
 with what they lose.
 
-A null text stays null and an empty one empty; a text of one line loses nothing; rows equal in doc_id and text
-count as one document and get the same result; a text of any length is read whole.
+A null text stays null and an empty one empty; a text of one line loses nothing unless the line is long; rows equal in
+doc_id and text count as one document and get the same result; a text of any length is read whole.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,9 @@ WINDOW = 2
 #: A chunk ends where this many low bits are 0: about 4 lines.
 LOW_BITS = 2
 MIN, MAX = 2, 64
-#: log2 of the bits of the bitmap of repeated chunks (8 MB).
+#: A line of more words than this counts by itself.
+LONG = 50
+#: log2 of the bits of the bitmap of repeated spans (8 MB).
 BITS = 26
 
 
@@ -56,72 +60,88 @@ def chunks(lines: list[bytes]) -> list[tuple[int, int]]:
     return out
 
 
+def lines_of(text: str | None) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").split(b"\n") if text else []
+
+
 def parts(text: str | None) -> tuple[list[bytes], list[tuple[int, int]]]:
-    lines = text.encode("utf-8", "surrogatepass").split(b"\n") if text else []
+    lines = lines_of(text)
     return lines, chunks(lines)
 
 
-def chunk_hash(block: bytes) -> int:
+#: (first line, line after the last) of what is looked up of a text's lines.
+Spans = Callable[[list[bytes]], list[tuple[int, int]]]
+
+
+def chunk_spans(lines: list[bytes]) -> list[tuple[int, int]]:
+    return [(s, e) for s, e in chunks(lines) if e - s >= MIN]
+
+
+def all_spans(lines: list[bytes]) -> list[tuple[int, int]]:
+    """Each two adjacent lines, and each line of more than LONG words."""
+    return [(i, i + 2) for i in range(len(lines) - 1)] + [(i, i + 1) for i, x in enumerate(lines) if len(x) > 2 * LONG and len(x.decode("utf-8", "surrogatepass").split()) > LONG]
+
+
+def span_hash(block: bytes) -> int:
     h = xxhash.xxh3_64_intdigest(block, 1)
     return h - (1 << 64) if h >> 63 else h
 
 
-def chunk_hashes(docs: DataFrame) -> DataFrame:
+def span_hashes(docs: DataFrame, spans: Spans) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             out = []
             for t in b.column("text").to_pylist():
-                lines, cut = parts(t)
-                out += [chunk_hash(b"\n".join(lines[s:e])) for s, e in cut if e - s >= MIN]
+                lines = lines_of(t)
+                out += [span_hash(b"\n".join(lines[s:e])) for s, e in spans(lines)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["h"])
 
     return docs.select("text").mapInArrow(run, "h long")
 
 
-def suspects(docs: DataFrame, bits) -> DataFrame:
-    """h, block, doc_id, key and no of the chunks whose hash meets the bitmap."""
+def suspects(docs: DataFrame, bits, spans: Spans) -> DataFrame:
+    """h, block, doc_id, key and no (first line) of the spans whose hash meets the bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = bits.value
         for b in slices(batches):
             rows, out = [], []
             for i, t in enumerate(b.column("text").to_pylist()):
-                lines, cut = parts(t)
-                for no, (s, e) in enumerate(cut):
-                    if e - s >= MIN and in_bitmap(known, h := chunk_hash(block := b"\n".join(lines[s:e])), BITS):
+                lines = lines_of(t)
+                for s, e in spans(lines):
+                    if in_bitmap(known, h := span_hash(block := b"\n".join(lines[s:e])), BITS):
                         rows.append(i)
-                        out.append((h, block, no))
+                        out.append((h, block, s, e))
             at = pa.array(rows, pa.int64())
-            cols = [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary()), b.column("doc_id").take(at), b.column("key").take(at), pa.array([x[2] for x in out], pa.int32())]
-            yield pa.RecordBatch.from_arrays(cols, ["h", "block", "doc_id", "key", "no"])
+            cols = [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary()), b.column("doc_id").take(at), b.column("key").take(at), *[pa.array([x[k] for x in out], pa.int32()) for k in (2, 3)]]
+            yield pa.RecordBatch.from_arrays(cols, ["h", "block", "doc_id", "key", "no", "stop"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("key", "doc_id", "text").mapInArrow(run, f"h long, block binary, doc_id {kind}, key binary, no int")
+    return docs.select("key", "doc_id", "text").mapInArrow(run, f"h long, block binary, doc_id {kind}, key binary, no int, stop int")
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs with text less its repeated chunks, and n_lines and n_removed (lines)."""
+def dedup_lines(docs: DataFrame, spans: Spans = chunk_spans) -> DataFrame:
+    """docs with text less the lines of its repeated spans, and n_lines and n_removed (lines)."""
     spark = docs.sparkSession
     rest = [c for c in docs.columns if c not in ("n_lines", "n_removed", "key")]
     key = F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit("")))))
     keyed = docs.select(*rest, key.alias("key"))
-    repeated = chunk_hashes(docs).groupBy("h").count().where("count > 1")
+    repeated = span_hashes(docs, spans).groupBy("h").count().where("count > 1")
     bits = spark.sparkContext.broadcast(fixed_bitmap(repeated, "h", BITS))
-    found = stored(suspects(keyed, bits), "chunks", "zstd")
+    found = stored(suspects(keyed, bits, spans), "spans", "zstd")
     first = found.groupBy("h", "block").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "no")).alias("f")).where("n > 1")
     first = first.select("h", "block", F.col("f.key").alias("fkey"), F.col("f.no").alias("fno"))
-    lost = found.join(first, ["h", "block"]).where("key <> fkey or no <> fno").groupBy("key").agg(F.collect_set("no").alias("lost"))
+    lost = found.join(first, ["h", "block"]).where("key <> fkey or no <> fno").groupBy("key").agg(F.collect_set(F.struct("no", "stop")).alias("lost"))
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             texts, n, gone = [], [], []
             for t, lost in zip(b.column("text").to_pylist(), b.column("lost").to_pylist()):
-                lines, cut = parts(t)
-                drop = set(lost or ())
-                kept = [x for no, (s, e) in enumerate(cut) if no not in drop for x in lines[s:e]]
-                texts.append(t if not drop else b"\n".join(kept).decode("utf-8", "surrogatepass"))
+                lines = lines_of(t)
+                drop = {k for x in lost or () for k in range(x["no"], x["stop"])}
+                texts.append(t if not drop else b"\n".join(x for k, x in enumerate(lines) if k not in drop).decode("utf-8", "surrogatepass"))
                 n.append(len(lines))
-                gone.append(len(lines) - len(kept))
+                gone.append(len(drop))
             cols = {c: b.column(c) for c in rest} | {"text": pa.array(texts, pa.string()), "n_lines": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64())}
             yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
@@ -130,5 +150,5 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), all_spans)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
