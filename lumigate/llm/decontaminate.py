@@ -1,7 +1,9 @@
 """Benchmark decontamination by spaced seeds, in DataFrame functions only.
 
 Fixed masks over the word sequence ignore some positions, so a seed still matches when the words under a
-mask's gaps were substituted. Every mask begins with two ones, so a position whose first two words begin no
+mask's gaps were substituted. However LEAST of a window's WINDOW words (or the same share of a shorter item's) lie, one
+of the masks for its length has only equal words under its ones, so that no overlap is without a hit. Every mask but that of one
+word begins with two ones, so a position whose first two words begin no
 seed of the benchmark is left out at once, which loses nothing. Hashes of the benchmark's seeds meet those of the corpus in one join; each hit
 gives a document, an item and the offset between them, and along that offset the two word sequences are
 compared position by position: a window of WINDOW words with at least LEAST equal ones is an overlap.
@@ -9,22 +11,27 @@ compared position by position: a window of WINDOW words with at least LEAST equa
 The benchmark side is broadcast only if its seed count is under BROADCAST_SEEDS; beyond that Spark joins the
 two sides by shuffling on the hash. A verdict depends on a document's words alone.
 
-Nulls and edges: a null or empty text, or one with fewer words than a mask spans, is never contaminated; an
-item shorter than WINDOW is compared over its whole length with the same share of equal words; items shorter
-than every mask match nothing; repeated documents each get the verdict.
+Nulls and edges: a null or empty text is never contaminated; an item shorter than WINDOW is compared over its whole
+length with the same share of equal words, which is all of them up to 4; items without a word match nothing; repeated
+documents each get the verdict.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumigate.llm.base import table
 
-#: Each 1 is a word that must be equal, each 0 one that may differ. Six words decide, in spans of 6 to 9; all begin with 11.
-MASKS = ("111111", "1101111", "11101011", "110010111")
+#: Each 1 is a word that must be equal, each 0 one that may differ. Five words decide for items of 9 words or more.
+MASKS = ("11111", "111011", "1101011", "11001011", "11110001")
+#: The masks of shorter items, with the numbers of words that they serve.
+SHORT = {"1": (1,), "11": (2,), "111": (3, 5), "1111": (4, 6, 7, 8), "11011": (5, 6, 7, 8)}
+#: Items of so many words at most have one mask, which is all of the item; from LONG words on they have MASKS.
+WHOLE, LONG = 4, 9
 WINDOW = 13
 LEAST = 10
 #: 24 bytes a seed or less, and fewer pairs than seeds: about 100 MB at most are broadcast.
@@ -46,19 +53,29 @@ def pair(position: str) -> Column:
     return F.xxhash64("word", F.get("words", F.col(position) + 1))
 
 
-def seed(mask: int, position: str) -> Column:
+def serves(mask: str, n: int) -> bool:
+    """Whether items of n words are looked up by a mask."""
+    return n in SHORT[mask] if mask in SHORT else n >= LONG
+
+
+def seed(mask: str, position: str) -> Column:
     """The hash of the words under a mask's ones from a position on; null where the mask leaves the text."""
-    on = [i for i, bit in enumerate(MASKS[mask]) if bit == "1"]
-    inside = F.col(position) + len(MASKS[mask]) <= F.size("words")
+    on = [i for i, bit in enumerate(mask) if bit == "1"]
+    inside = F.col(position) + len(mask) <= F.size("words")
     return F.when(inside, F.xxhash64(F.lit(mask), *[F.get("words", F.col(position) + k) for k in on]))
 
 
-def seed_rows(df: DataFrame, keep: list[str], position: str, pairs: DataFrame | None = None) -> DataFrame:
-    """keep, position and seed of all masks at every position of df's column `words`; with pairs, only where those begin."""
+def seed_rows(df: DataFrame, keep: list[str], position: str, masks: list[str], pairs: DataFrame | None = None, item: bool = False) -> DataFrame:
+    """keep, position and seed of masks at every position of df's column `words`; with pairs, only where those begin.
+
+    Of items, only the masks that serve their length count.
+    """
     at = df.select(*keep, "words", F.posexplode("words").alias(position, "word"))
     if pairs is not None:
         at = at.withColumn("pair", pair(position)).join(F.broadcast(pairs), "pair")
-    return at.select(*keep, position, F.explode(F.array(*[seed(m, position) for m in range(len(MASKS))])).alias("seed")).where("seed is not null")
+    size = F.least(F.size("words"), F.lit(LONG))
+    seeds = [F.when(size.isin([n for n in range(1, LONG + 1) if serves(m, n)]), seed(m, position)) if item else seed(m, position) for m in masks]
+    return at.select(*keep, position, F.explode(F.array(*seeds)).alias("seed")).where("seed is not null")
 
 
 def overlap(doc: Column, item: Column, offset: Column) -> Column:
@@ -78,16 +95,23 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text") ->
     rest = [c for c in keep.columns if c != text]
     key = F.sha2(F.concat_ws("|", F.xxhash64(*rest) if rest else F.lit(0), F.coalesce(F.col(text), F.lit(""))), 256)
     keyed = keep.withColumn("_key", key)
-    items = benchmark.where(F.col("text").isNotNull()).select("item_id", words(F.col("text")).alias("words")).where(F.size("words") >= min(map(len, MASKS))).dropDuplicates()
-    of_items = seed_rows(items, ["item_id"], "q").dropDuplicates()
-    of_docs = keyed.select("_key", words(F.col(text)).alias("words"))
+    items = benchmark.where(F.col("text").isNotNull()).select("item_id", words(F.col("text")).alias("words")).where(F.size("words") > 0).dropDuplicates()
+    sizes = [r["n"] for r in items.select(F.least(F.size("words"), F.lit(LONG)).alias("n")).distinct().collect()]
+    masks = [m for m in (*SHORT, *MASKS) if any(serves(m, n) for n in sizes)] or list(MASKS)
+    of_items = seed_rows(items.select("item_id", "words", (F.size("words") <= WHOLE).alias("whole")), ["item_id", "whole"], "q", masks, item=True).dropDuplicates()
+    words_of = keyed.select("_key", words(F.col(text)).alias("words"))
+    pairs, rows = None, []
     if of_items.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS:
         # a position can only start a seed if its first two words start one in the benchmark
         pairs = items.select("words", F.posexplode("words").alias("q", "word")).select(pair("q").alias("pair")).distinct()
-        of_docs, of_items = seed_rows(of_docs, ["_key"], "p", pairs), F.broadcast(of_items)
-    else:
-        of_docs = seed_rows(of_docs, ["_key"], "p")
-    hits = of_docs.join(of_items, "seed").select("_key", "item_id", (F.col("p") - F.col("q")).alias("offset")).distinct()
+        of_items = F.broadcast(of_items)
+    if long := [m for m in masks if m != "1"]:
+        rows.append(seed_rows(words_of, ["_key"], "p", long, pairs))
+    if "1" in masks:
+        rows.append(seed_rows(words_of, ["_key"], "p", ["1"]))
+    met = reduce(DataFrame.unionByName, rows).join(of_items, "seed").select("_key", "item_id", "whole", (F.col("p") - F.col("q")).alias("offset"))
+    # where the seed is all of the item, the first place tells as much as all of them
+    hits = met.groupBy("_key", "item_id", F.when(~F.col("whole"), F.col("offset")).alias("at")).agg(F.min("offset").alias("offset")).drop("at")
     laid = hits.join(items, "item_id").groupBy("_key").agg(F.collect_list(F.struct("item_id", "offset", "words")).alias("laid"))
 
     def judged(w: Column) -> Column:
