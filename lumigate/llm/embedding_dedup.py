@@ -71,7 +71,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             same = r["shard_q"] == r["shard"]
             if q.shape[1] != v.shape[1]:
                 continue
-            found = near(Graph.load(unit(v), r["sizes"], r["nodes"], r["links"]), unit(q), LEAST - SLACK)
+            found = near(Graph.load(unit(v), r["sizes"], r["nodes"], r["links"]), unit(q), LEAST - SLACK, same=same)
             lq, lv = np.sqrt((q * q).sum(1)), np.sqrt((v * v).sum(1))
             for i in range(len(q)):
                 cols = np.flatnonzero(found[i])

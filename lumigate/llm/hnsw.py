@@ -137,27 +137,43 @@ def beam_search(v: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np
     return ids, sims
 
 
-def near(graph: Graph, queries: np.ndarray, least: float, beam: int = 32, recall: float = 0.99, audit: int = 64) -> np.ndarray:
+def near(graph: Graph, queries: np.ndarray, least: float, beam: int = 32, recall: float = 0.99, audit: int = 64, same: bool = False, links: int = 256) -> np.ndarray:
     """A table of queries by nodes: True where a node of similarity `least` or more was found.
 
-    A query whose whole beam is that near gets a wider one. An audit compares evenly spaced queries with all
-    nodes; while their recall is under `recall`, all beams widen. A beam of a quarter of the shard is all of it.
+    An audit compares evenly spaced queries with all nodes, more and more of them until they have `links` true links; a
+    query's link with itself (`same`: the queries are the nodes) doesn't count. Where links are so few that all queries
+    are compared, that is the exact table and no beam is needed. A query whose whole beam is that near gets
+    a wider one; while the audited recall is under `recall`, all beams widen. A beam of a quarter of the shard is all of it.
     """
     n = len(graph.vectors)
     found = np.zeros((len(queries), n), bool)
-    sample = np.unique(np.linspace(0, len(queries) - 1, min(audit, len(queries))).astype(int))
-    truth = queries[sample] @ graph.vectors.T >= least
-    todo = np.arange(len(queries))
+    order = np.concatenate([np.arange(len(queries))[k :: max(1, len(queries) // audit)] for k in range(max(1, len(queries) // audit))])
+    done, seen = 0, 0
+    while done < len(order) and (seen < links or done < audit):
+        some = order[done : done + max(audit, min(done, BATCH))]
+        found[some] = queries[some] @ graph.vectors.T >= least
+        seen += int(found[some].sum()) - (int(found[some, some].sum()) if same else 0)
+        done += len(some)
+    sample = order[:done]
+    truth = found[sample].copy()
+    if same:
+        truth[np.arange(done), sample] = False
+    todo = np.setdiff1d(np.arange(len(queries)), sample)
+    hit = np.zeros((done, n), bool)
+    audited = np.arange(done)
     while len(todo):
         if 4 * beam >= n:
             for i in range(0, len(todo), BATCH):
                 found[todo[i : i + BATCH]] = queries[todo[i : i + BATCH]] @ graph.vectors.T >= least
             break
-        ids, sims = graph.search(queries[todo], beam)
-        row, col = np.nonzero(sims >= least)
+        ids, sims = graph.search(queries[np.concatenate([todo, sample[audited]])], beam)
+        row, col = np.nonzero(sims[: len(todo)] >= least)
         found[todo[row], ids[row, col]] = True
-        passed = (found[sample] & truth).sum() >= recall * truth.sum()
+        row, col = np.nonzero(sims[len(todo) :] >= least)
+        hit[audited[row], ids[len(todo) + row, col]] = True
+        passed = (hit & truth).sum() >= recall * truth.sum()
         full = sims[:, -1] >= least
-        todo = todo[full] if passed else np.arange(len(queries))
+        if passed:
+            todo, audited = todo[full[: len(todo)]], audited[full[len(todo) :]]
         beam *= 4
     return found
