@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumigate.functions.text import score_band
+from lumigate.operators.storage import stored
 
 
 def decisions(shown: DataFrame, threshold: float) -> DataFrame:
@@ -26,34 +27,65 @@ def folders(organization: str, label: Column, score: Column) -> Column:
     return {"score_band": band, "label": label, "score_band_label": F.concat_ws("/", label, band)}.get(organization, F.lit(""))
 
 
-def manifest(rows: DataFrame, existing: DataFrame, policy: str = "rename", passes: int = 3) -> DataFrame:
+def ranked(rows: DataFrame, by: str, order: str, name: str) -> DataFrame:
+    """rows with their number from 1 by order among those of the same `by`, and no task that has all rows of one value.
+
+    Ranges of (by, order) are stored; a row's number is that in its range plus the counts of the value's ranges before.
+    """
+    dealt = stored(rows.repartitionByRange(by, order).withColumn("_part", F.spark_partition_id()), "ranked")
+    before = F.coalesce(F.sum("count").over(Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = dealt.groupBy(by, "_part").count().select(by, "_part", before.alias("_before"))
+    return dealt.withColumn(name, F.row_number().over(Window.partitionBy(by, "_part").orderBy(order))).join(counts, [by, "_part"], "left").withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0))).drop("_part", "_before")
+
+
+def suffixed(name: Column, k: Column) -> Column:
+    """A name with _k before its extension."""
+    ext = F.regexp_extract(name, r"(?<=[^/])(\.[^./]+)$", 1)
+    return F.concat(F.left(name, F.length(name) - F.length(ext)), F.lit("_"), k.cast("string"), ext)
+
+
+def renamed(clashing: DataFrame, taken: DataFrame) -> DataFrame:
+    """clashing (wanted, and _k from 1) with destination: the _k-th suffix that gives no name of taken (destination)."""
+    forms = [(r"_([1-9][0-9]{0,17})(\.[^./]+)$", "$2"), (r"_([1-9][0-9]{0,17})$", "")]
+    found = [F.struct(F.regexp_replace("destination", r, rest).alias("wanted"), F.nullif(F.regexp_extract("destination", r, 1), F.lit("")).cast("long").alias("number")) for r, rest in forms]
+    most = clashing.groupBy("wanted").agg(F.max("_k").alias("most"))
+    used = taken.select("destination", F.explode(F.array(*found)).alias("x")).select("destination", "x.*").where(F.col("number").isNotNull() & (suffixed(F.col("wanted"), F.col("number")) == F.col("destination")))
+    used = ranked(used.select("wanted", "number").distinct().join(most, "wanted"), "wanted", "number", "_i")
+    # between the i-th used number and the next one, a row's number is its own count plus i
+    start = used.select("wanted", F.lit(0).cast("long").alias("number"), "most", F.lit(0).cast("long").alias("_i")).distinct()
+    after = used.select("wanted", (F.col("_i") - 1).alias("_i"), F.col("number").alias("next"))
+    gaps = start.unionByName(used.select("wanted", "number", "most", F.col("_i").cast("long"))).join(after, ["wanted", "_i"], "left")
+    gaps = gaps.withColumn("lo", F.col("number") - F.col("_i") + 1).withColumn("hi", F.least("most", F.col("next") - F.col("_i") - 1)).where("lo <= hi")
+    free = gaps.select("wanted", "_i", "hi", F.explode(F.sequence("lo", "hi", F.lit(4096).cast("long"))).alias("lo"))
+    free = free.select("wanted", "_i", F.explode(F.sequence("lo", F.least(F.col("lo") + 4095, "hi"))).alias("_k"))
+    number = F.col("_k") + F.coalesce("_i", F.lit(0))
+    return clashing.join(free, ["wanted", "_k"], "left").withColumn("destination", suffixed(F.col("wanted"), number)).drop("_i")
+
+
+def manifest(rows: DataFrame, existing: DataFrame, policy: str = "rename") -> DataFrame:
     """rows (item_id, folder, name) with destination, action, collision and reason of a copy.
 
-    Under `rename` the n-th row of a destination gets the suffix _n; a generated name that another row or an existing
-    file has gets the next suffix, for at most `passes` rounds, after which the row is an error.
+    Under `rename` the first row of a destination keeps it if no file is there, and the others get suffixes in order of
+    item_id: the n-th row the n-th number whose name no existing file has and no row wants. Every row has a name of its own.
     """
     dest = F.when(F.col("folder") == "", F.col("name")).otherwise(F.concat_ws("/", "folder", "name"))
-    rows = rows.withColumn("wanted", dest)
-    n = F.row_number().over(Window.partitionBy("wanted").orderBy("item_id")) - 1
-    there = existing.select(F.col("destination").alias("wanted"), F.lit(1).alias("_there"))
-    at = rows.withColumn("_n", n).join(there, "wanted", "left").withColumn("_there", F.coalesce("_there", F.lit(0))).withColumn("collision", (F.col("_n") + F.col("_there")) > 0)
+    there = existing.select(F.col("destination").alias("wanted"), F.lit(1).alias("_there")).distinct()
+    at = ranked(rows.withColumn("wanted", dest), "wanted", "item_id", "_n").join(there, "wanted", "left")
+    at = at.withColumn("_k", (F.col("_n") - 1 + F.coalesce("_there", F.lit(0))).cast("long")).withColumn("collision", F.col("_k") > 0)
     if policy == "skip":
         return at.select("item_id", F.col("wanted").alias("destination"), F.when(F.col("collision"), "skip").otherwise("copy").alias("action"), "collision", F.when(F.col("collision"), "duplicate exists").otherwise("").alias("reason"))
     if policy == "overwrite":
         return at.select("item_id", F.col("wanted").alias("destination"), F.when(F.col("collision"), "overwrite").otherwise("copy").alias("action"), "collision", F.lit("").alias("reason"))
-    ext = F.regexp_extract("wanted", r"(?<=[^/])(\.[^./]+)$", 1)
-    stem = F.left(F.col("wanted"), F.length("wanted") - F.length(ext))
-    named = at.withColumn("_k", F.col("_n") + F.col("_there"))
-    for _ in range(passes):
-        named = named.withColumn("destination", F.when(F.col("_k") == 0, F.col("wanted")).otherwise(F.concat(stem, F.lit("_"), F.col("_k").cast("string"), ext)))
-        taken = existing.select("destination", F.lit(True).alias("_taken"))
-        again = F.row_number().over(Window.partitionBy("destination").orderBy((F.col("_k") > 0).cast("int"), "item_id"))
-        named = named.drop("_taken").join(taken, "destination", "left").withColumn("_clash", (again > 1) | (F.coalesce("_taken", F.lit(False)) & (F.col("_k") > 0)))
-        most = F.max("_k").over(Window.partitionBy("wanted"))
-        named = named.withColumn("_k", F.when(F.col("_clash"), most + 1).otherwise(F.col("_k"))).drop("_taken")
-    action = F.when(F.col("_clash"), "error").otherwise("copy")
-    reason = F.when(F.col("_clash"), "no free name").when(F.col("collision"), "renamed").otherwise("")
-    return named.select("item_id", "destination", action.alias("action"), "collision", reason.alias("reason"))
+    at = stored(at.select("item_id", "wanted", "_k", "collision"), "manifest")
+    taken = existing.select("destination").unionByName(at.select(F.col("wanted").alias("destination"))).distinct()
+    clashing, dotted = at.where("collision"), F.coalesce(F.endswith(F.col("wanted"), F.lit(".")), F.lit(False))
+    named = renamed(clashing.where(~dotted), taken)
+    # 'b_2.' with _1 and 'b._1' with _2 are one name: names that end in a dot come after the others
+    if not clashing.where(dotted).isEmpty():
+        named = stored(named, "renamed")
+        named = named.unionByName(renamed(clashing.where(dotted), taken.unionByName(named.select("destination"))))
+    out = at.where(~F.col("collision")).withColumn("destination", F.col("wanted")).unionByName(named)
+    return out.select("item_id", "destination", F.lit("copy").alias("action"), "collision", F.when(F.col("collision"), "renamed").otherwise("").alias("reason"))
 
 
 def result_counts(plan: DataFrame) -> DataFrame:
