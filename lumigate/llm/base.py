@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests on one machine.
-FALLBACK_SHARED = "/tmp/lumigate-shared"
+#: Under so many keys (16 bytes and what a hash table adds: about 100 MB) a set of keys is broadcast; beyond it Spark shuffles.
+BROADCAST_KEYS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,8 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which the driver and all executors see."""
-    return spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_SHARED
+    """The folder in spark.checkpoint.dir, which the driver and all executors see. Only a session on one machine may leave it unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return found or f"{tempfile.gettempdir()}/lumigate-shared"
 
 
 def stored(df: DataFrame, name: str, codec: str = "lz4") -> DataFrame:
@@ -28,7 +32,34 @@ def stored(df: DataFrame, name: str, codec: str = "lz4") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/lumigate/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables of `stored` that no later plan reads."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def without(docs: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+    """docs less the rows whose `name` is in keys (stored, one column); docs isn't shuffled where the keys are few enough to broadcast."""
+    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return docs.join(F.broadcast(keys) if few else keys, name, "left_anti")
+
+
+def row_key() -> Column:
+    """16 bytes, the same for rows with the same doc_id and text only; the id's length keeps ids with a bar apart."""
+    doc = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    return F.unhex(F.md5(F.concat_ws("|", F.length(doc).cast("string"), F.col("doc_id").isNull().cast("string"), doc, F.coalesce("text", F.lit("")))))
+
+
+def apart(docs: DataFrame, added: set[str]) -> list[str]:
+    """The columns of docs that an operator keeps: those whose names it doesn't use for its own results."""
+    return [c for c in docs.columns if c not in added]
 
 
 def partitions(spark: SparkSession) -> int:
@@ -62,6 +93,12 @@ def in_bitmap(bitmap: np.ndarray, value: int, bits: int) -> bool:
     return bool(bitmap[at >> 3] >> (at & 7) & 1)
 
 
+def marked(bitmap: np.ndarray, values: np.ndarray, bits: int) -> np.ndarray:
+    """in_bitmap of an array of longs."""
+    at = values & ((1 << bits) - 1)
+    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an edge list, as (node, component): component is the smallest node reachable.
 
@@ -78,9 +115,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # large-star leaves (v, m) with m < v; small-star points every lower neighbour, and u itself, at the lowest
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        cur = stored(small, "cc")
+        was, cur = cur, stored(small, "cc")
         now = cur.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h"), F.count_distinct("u").alias("d")).first()
         # every node has one edge, and one more round would not change it
+        forget(was)
         if (now["n"], now["h"]) == sums:
             break
         sums = (now["n"], now["h"])
