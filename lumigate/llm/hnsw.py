@@ -11,7 +11,10 @@ import numpy as np
 
 M = 16
 BUILD_BEAM = 48
-BATCH = 256
+#: Nodes linked, and queries searched, together.
+BATCH = 512
+#: A beam opens nodes one by one, each for about so many comparisons' time of a matrix product: a widened beam of a shard's size over this is all of it.
+WHOLE = 128
 
 
 class Graph:
@@ -32,41 +35,36 @@ class Graph:
         return graph
 
     def _fill(self) -> None:
+        """Link the nodes of the lowest layer so far, a batch at a time, to diverse ones of what is there and of their own batch.
+
+        A shard is small enough that a batch's candidates are the exact nearest of one matrix product.
+        """
         nodes, links = self.layers[-1]
         v, done = self.vectors[nodes], 0
         while done < len(nodes):
-            size = min(max(done, 64), 512, len(nodes) - done)
+            size = min(max(done, 64), BATCH, len(nodes) - done)
             new = np.arange(done, done + size)
-            near = v[new] @ v[new].T
-            np.fill_diagonal(near, -2)
-            k = min(size - 1, BUILD_BEAM)
-            own = np.argsort(-near, axis=1)[:, :k]
-            ids, sims = new[own], np.take_along_axis(near, own, 1)
-            if done:
-                entry = self.enter(v[new], len(self.layers) - 1)
-                found, fs = beam_search(v, links, v[new], entry, min(BUILD_BEAM, done))
-                ids, sims = np.concatenate([ids, found], 1), np.concatenate([sims, fs], 1)
-            order = np.argsort(-sims, axis=1)
-            ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
-            for i, x in enumerate(new):
-                links[x, :M] = -1
-                chosen = diverse(v, ids[i], sims[i], M)
-                links[x, : len(chosen)] = chosen
-            for x in new:
-                for y in links[x][links[x] >= 0]:
-                    row = links[y]
-                    if x in row:
-                        continue
-                    free = np.flatnonzero(row < 0)
-                    if len(free):
-                        row[free[0]] = x
-                    else:
-                        all_ = np.append(row, x)
-                        s = v[all_] @ v[y]
-                        o = np.argsort(-s)
-                        kept = diverse(v, all_[o], s[o], 2 * M - 4)
-                        row[:] = -1
-                        row[: len(kept)] = kept
+            near = v[new] @ v[: done + size].T
+            near[np.arange(size), new] = -3
+            ids, sims = nearest(near, BUILD_BEAM)
+            chosen = diverse(v, ids, sims, M)
+            links[new, :M] = chosen
+            # the other direction: each node that got new neighbours keeps diverse ones of its old and new ones
+            x, y = np.repeat(new, M), chosen.ravel()
+            x, y = x[y >= 0], y[y >= 0]
+            order = np.argsort(y, kind="stable")
+            x, y = x[order], y[order]
+            ends, first, count = np.unique(y, return_index=True, return_counts=True)
+            wide = np.full((len(ends), int(count.max()) if len(ends) else 0), -1, np.int64)
+            wide[np.repeat(np.arange(len(ends)), count), np.arange(len(y)) - np.repeat(first, count)] = x
+            for i in range(0, len(ends), BATCH):
+                rows = ends[i : i + BATCH]
+                cand = np.concatenate([links[rows].astype(np.int64), wide[i : i + BATCH, : int(count[i : i + BATCH].max())]], 1)
+                s = np.matmul(v[cand], v[rows][:, :, None])[:, :, 0]
+                s[cand < 0] = -3
+                s[:, 2 * M :][(cand[:, 2 * M :, None] == cand[:, None, : 2 * M]).any(2)] = -3
+                top, s = nearest(s, 3 * M)
+                links[rows] = diverse(v, np.take_along_axis(cand, np.maximum(top, 0), 1), s, 2 * M)
             done += size
 
     def enter(self, queries: np.ndarray, below: int) -> np.ndarray:
@@ -94,16 +92,36 @@ class Graph:
         return Graph(vectors, list(zip(np.split(np.frombuffer(nodes, np.int32), cuts), np.split(np.frombuffer(links, np.int32).reshape(-1, 2 * M), cuts), strict=True)))
 
 
-def diverse(v: np.ndarray, ids: np.ndarray, sims: np.ndarray, most: int) -> list[int]:
-    """Of candidates nearest first, those nearer to the node than to any chosen before; then the nearest of the rest."""
-    ids, sims = ids[sims > -2], sims[sims > -2]
-    among = v[ids] @ v[ids].T
-    chosen, rest = [], []
-    for i in range(len(ids)):
-        if len(chosen) == most:
-            break
-        (rest if chosen and among[i, chosen].max() > sims[i] else chosen).append(i)
-    return list(dict.fromkeys(ids[[*chosen, *rest[: most - len(chosen)]]].tolist()))
+def nearest(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and values of each row's k largest, largest first; -1 and -3 where it has fewer."""
+    k = min(k, sims.shape[1])
+    ids = np.argpartition(-sims, k - 1, axis=1)[:, :k] if k < sims.shape[1] else np.broadcast_to(np.arange(k), sims.shape)
+    best = np.take_along_axis(sims, ids, 1)
+    order = np.argsort(-best, axis=1, kind="stable")
+    ids, best = np.take_along_axis(ids, order, 1), np.take_along_axis(best, order, 1)
+    return np.where(best > -2, ids, -1), best
+
+
+def diverse(v: np.ndarray, ids: np.ndarray, sims: np.ndarray, most: int) -> np.ndarray:
+    """For each row of candidates, nearest first, `most` of them (-1 for none): those nearer to the row's node than to any
+    chosen before; then the nearest of the rest."""
+    near = v[np.maximum(ids, 0)]
+    among = np.matmul(near, near.transpose(0, 2, 1))
+    there = sims > -2
+    rows, k = ids.shape
+    blocked = np.full((rows, k), -3.0, np.float32)
+    rank = np.full((rows, k), 2 * k, np.int32)
+    taken = np.zeros(rows, np.int32)
+    for i in range(k):
+        go = there[:, i] & (blocked[:, i] <= sims[:, i]) & (taken < most)
+        rank[go, i] = i
+        taken += go
+        blocked[go] = np.maximum(blocked[go], among[go, i])
+    rest = there & (rank == 2 * k)
+    rank[rest] = (np.arange(k) + k)[np.nonzero(rest)[1]]
+    order = np.argsort(rank, axis=1, kind="stable")[:, :most]
+    out = np.where(np.take_along_axis(rank, order, 1) < 2 * k, np.take_along_axis(ids, order, 1), -1)
+    return np.pad(out, ((0, 0), (0, most - out.shape[1])), constant_values=-1)
 
 
 def beam_search(v: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -137,13 +155,13 @@ def beam_search(v: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np
     return ids, sims
 
 
-def near(graph: Graph, queries: np.ndarray, least: float, beam: int = 32, recall: float = 0.99, audit: int = 64, same: bool = False, links: int = 256) -> np.ndarray:
-    """A table of queries by nodes: True where a node of similarity `least` or more was found.
+def near(graph: Graph, queries: np.ndarray, least: float, beam: int = 16, recall: float = 0.99, audit: int = 64, same: bool = False, links: int = 256, whole: int = WHOLE) -> tuple[np.ndarray, int, int]:
+    """A table of queries by nodes, True where a node of similarity `least` or more was found; the audit's true links, and those found.
 
     An audit compares evenly spaced queries with all nodes, more and more of them until they have `links` true links; a
     query's link with itself (`same`: the queries are the nodes) doesn't count. Where links are so few that all queries
     are compared, that is the exact table and no beam is needed. A query whose whole beam is that near gets
-    a wider one; while the audited recall is under `recall`, all beams widen. A beam of a quarter of the shard is all of it.
+    a wider one; while the audited recall is under `recall`, all beams widen. The widest beam is the whole shard.
     """
     n = len(graph.vectors)
     found = np.zeros((len(queries), n), bool)
@@ -161,19 +179,21 @@ def near(graph: Graph, queries: np.ndarray, least: float, beam: int = 32, recall
     todo = np.setdiff1d(np.arange(len(queries)), sample)
     hit = np.zeros((done, n), bool)
     audited = np.arange(done)
+    true, first = int(truth.sum()), beam
     while len(todo):
-        if 4 * beam >= n:
+        if beam >= n or beam > first and whole * beam >= n:
             for i in range(0, len(todo), BATCH):
                 found[todo[i : i + BATCH]] = queries[todo[i : i + BATCH]] @ graph.vectors.T >= least
+            hit[audited] |= truth[audited]
             break
         ids, sims = graph.search(queries[np.concatenate([todo, sample[audited]])], beam)
         row, col = np.nonzero(sims[: len(todo)] >= least)
         found[todo[row], ids[row, col]] = True
         row, col = np.nonzero(sims[len(todo) :] >= least)
         hit[audited[row], ids[len(todo) + row, col]] = True
-        passed = (hit & truth).sum() >= recall * truth.sum()
+        passed = (hit & truth).sum() >= recall * true
         full = sims[:, -1] >= least
         if passed:
             todo, audited = todo[full[: len(todo)]], audited[full[len(todo) :]]
         beam *= 4
-    return found
+    return found, true, true if done == len(order) else int((hit & truth).sum())

@@ -23,5 +23,5 @@ def test_few_links_are_not_accepted_unaudited(same):
     links[:] = -1  # a graph that leads nowhere: only an audit shows that it finds nothing
     want = q @ graph.vectors.T >= 0.93
     assert want.sum() - 3000 * same >= 30
-    got = near(graph, q, 0.93, same=True) if same else near(graph, q, 0.93)
-    assert (got == want).all()
+    got, true, hit = near(graph, q, 0.93, same=same)
+    assert (got == want).all() and true == hit >= 30
