@@ -13,7 +13,8 @@ that range's rows are sorted, so no leaf is ever gathered in one task.
 
 Nulls and edges: a null domain, language or source is a leaf of its own, a null or empty text has 0 tokens
 and is taken with its place in the order, a weight that is missing, null or not above 0 takes nothing, rows with
-equal doc_id are ordered by their text, and identical rows are interchangeable.
+equal doc_id are ordered by their text, and identical rows are interchangeable. Other columns stay, whatever their names; `mix` puts
+its own domain, n_tokens and epoch in place of columns with these names, and `chosen` keeps those too, in a struct.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumigate.llm.base import table
+from lumigate.llm.base import apart, forget, stored, table
 
 LEVELS = ("domain", "lang", "source")
 #: 3 hexadecimal digits of the order's md5.
@@ -83,46 +84,59 @@ def budgets(leaves: DataFrame, total: Column, epochs: int) -> DataFrame:
     return fill(last, ["domain", "lang"], "_b2", "_b3").select(*LEVELS, "tokens", F.floor(F.col("_b3") + 1e-6).cast("long").alias("share"))
 
 
-def order_key(epoch: Column, seed: str) -> Column:
-    return F.md5(F.concat_ws("|", F.lit(seed), epoch.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+def order_key(epoch: Column, seed: str, doc_id: Column) -> Column:
+    return F.md5(F.concat_ws("|", F.lit(seed), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
 
 
-def mix(docs: DataFrame, total: Column | None = None, epochs: int = 2, seed: str = SEED, domain: Column | None = None, source_weight: Column | None = None) -> DataFrame:
-    """The rows of docs that the budget takes, once for each epoch that takes them, with domain, epoch and n_tokens.
+def chosen(docs: DataFrame, total: Column | None = None, epochs: int = 2, seed: str = SEED, domain: Column | None = None, source_weight: Column | None = None) -> DataFrame:
+    """row (a struct of the columns of docs), domain, n_tokens and epoch: each row once for each epoch that the budget takes it in.
 
-    total is an aggregate over the leaves that gives the budget; by default SHARE of all tokens.
+    total is an aggregate over the leaves that gives the budget; by default SHARE of all tokens. One pass over the texts leaves a table of
+    what the budget needs of each row (levels, doc_id, tokens), and the plan is stored as one row a leaf; the
+    second pass takes rows of docs against that plan without a shuffle, but for the rows of the one range where a leaf's share ends.
     """
     total = F.floor(F.sum("tokens") * SHARE).cast("double") if total is None else total
     domain = domain_of(F.col("source")) if domain is None else domain
-    rows = docs.withColumns({"domain": domain, "n_tokens": n_tokens(F.col("text"))})
-    leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")).withColumns({
+    sized = stored(docs.select(domain.alias("domain"), "lang", "source", "doc_id", n_tokens(F.col("text")).alias("n_tokens")), "mixing-sizes")
+    leaves = sized.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")).withColumns({
         "domain_weight": weight_of(F.col("domain"), DOMAIN_WEIGHTS, 1.0),
         "lang_weight": weight_of(F.col("lang"), LANG_WEIGHTS, 1.0),
         "source_weight": F.lit(1.0) if source_weight is None else source_weight,
     })
-    plan = budgets(leaves, total, epochs).where("share > 0")
-    plan = plan.withColumns({"_passes": F.floor(F.col("share") / F.col("tokens")).cast("int"), "_rest": F.col("share") % F.col("tokens")})
-    plan = plan.select(*[F.col(c).alias(f"_{c}") for c in LEVELS], "_passes", "_rest")
-    if plan.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES:
-        plan = F.broadcast(plan)
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in LEVELS]
-    key = order_key(F.col("_passes"), seed)
-    dealt = rows.join(plan, same).withColumns({"_key": key, "_bucket": F.conv(F.substring(key, 1, 3), 16, 10).cast("int")})
-    # where the last pass ends: sums by range of the order, then the rows of one range in each leaf
+    shares = stored(budgets(stored(leaves, "mixing-leaves"), total, epochs).where("share > 0"), "mixing-shares")
+    plan = shares.select(*[F.col(c).alias(f"_{c}") for c in LEVELS], F.floor(F.col("share") / F.col("tokens")).cast("int").alias("_passes"), (F.col("share") % F.col("tokens")).alias("_rest"))
+    few = shares.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES
+
+    def dealt(rows: DataFrame, levels: list[Column], doc_id: Column, by: DataFrame) -> DataFrame:
+        same = [x.eqNullSafe(F.col(f"_{c}")) for c, x in zip(LEVELS, levels, strict=True)]
+        key = order_key(F.col("_passes"), seed, doc_id)
+        return rows.join(F.broadcast(by) if few else by, same).withColumns({"_key": key, "_bucket": F.conv(F.substring(key, 1, 3), 16, 10).cast("int")})
+
+    # where the last pass ends: sums by range of the order
     leaf = [f"_{c}" for c in LEVELS]
-    sums = dealt.where("_rest > 0").groupBy(*leaf, "_bucket").agg(F.sum("n_tokens").alias("_n"), F.first("_rest").alias("_rest"))
+    sums = dealt(sized, [F.col(c) for c in LEVELS], F.col("doc_id"), plan).where("_rest > 0").groupBy(*leaf, "_bucket").agg(F.sum("n_tokens").alias("_n"), F.first("_rest").alias("_rest"))
     so_far = sums.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*leaf).orderBy("_bucket")))
     ends = so_far.where("_upto > _rest").groupBy(*leaf).agg(F.min(F.struct("_bucket", (F.col("_upto") - F.col("_n")).alias("_before"))).alias("_end"))
     ends = ends.select(*[F.col(c).alias(f"_{c}") for c in leaf], F.col("_end._bucket").alias("_last"), F.col("_end._before").alias("_before"))
-    dealt = dealt.join(F.broadcast(ends) if ends.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES else ends, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in leaf], "left")
-    out = [*docs.columns, *[c for c in ("domain", "n_tokens") if c not in docs.columns]]
-    # the prefix of a leaf whose rest isn't reached by any range is empty of end and takes nothing here
-    whole = dealt.where("_passes > 0").select(*out, F.explode(F.sequence(F.lit(0), F.col("_passes") - 1)).alias("epoch"))
-    prefix = dealt.where("_rest > 0 and _bucket < _last").select(*out, F.col("_passes").alias("epoch"))
-    edge = dealt.where("_rest > 0 and _bucket = _last")
-    order = Window.partitionBy(*leaf).orderBy("_key", F.md5(F.coalesce("text", F.lit(""))))
-    edge = edge.withColumn("_upto", F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_before")).where("_upto <= _rest").select(*out, F.col("_passes").alias("epoch"))
-    return whole.unionByName(prefix).unionByName(edge)
+    # a leaf whose rest isn't reached by any range has no end, and then takes no prefix
+    plan = plan.join(ends, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in leaf], "left").select(*leaf, "_passes", "_rest", "_last", "_before")
+    plan = stored(plan, "mixing-plan")
+    forget(sized)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), domain.alias("domain"))
+    every = dealt(rows, [F.col("domain"), F.col("row.lang"), F.col("row.source")], F.col("row.doc_id"), plan)
+    text = F.col("row.text")
+    in_prefix = (F.col("_rest") > 0) & (F.col("_bucket") < F.col("_last"))
+    n_passes = F.col("_passes") + F.coalesce(in_prefix, F.lit(False)).cast("int")
+    whole = every.where(n_passes > 0).select("row", "domain", n_tokens(text).alias("n_tokens"), F.explode(F.sequence(F.lit(0), n_passes - 1)).alias("epoch"))
+    edge = every.where("_rest > 0 and _bucket = _last").withColumn("n_tokens", n_tokens(text))
+    order = Window.partitionBy(*leaf).orderBy("_key", F.md5(F.coalesce(text, F.lit("")))).rowsBetween(Window.unboundedPreceding, 0)
+    edge = edge.withColumn("_upto", F.sum("n_tokens").over(order) + F.col("_before")).where("_upto <= _rest").select("row", "domain", "n_tokens", F.col("_passes").alias("epoch"))
+    return whole.unionByName(edge)
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """The rows that `chosen` takes, with domain, n_tokens and epoch in place of columns with these names."""
+    return chosen(docs, **options).select(*[F.col("row").getField(c).alias(c) for c in apart(docs, {"domain", "n_tokens", "epoch"})], "domain", "n_tokens", "epoch")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
