@@ -20,17 +20,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumigate.llm.base import slices, stored, table
+from lumigate.llm.base import apart, slices, stored, table, trimmed
 
 WORD = re.compile(r"\w+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: One odd multiplier for each distance between the two words of a pair.
 GAPS = (np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5))
 CACHE_ENTRIES = 200_000
+#: Longer words are hashed each time, so that a cache has a bound in bytes.
+CACHE_LENGTH = 64
 
 
 @dataclass(frozen=True)
@@ -50,10 +53,12 @@ class Model:
 
 class WordHashes(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
         data = word.encode("utf-8", "surrogatepass")
-        self[word] = h = zlib.crc32(data) << 32 | zlib.adler32(data, len(data))
+        h = zlib.crc32(data) << 32 | zlib.adler32(data, len(data))
+        if len(word) <= CACHE_LENGTH:
+            if len(self) >= CACHE_ENTRIES:
+                self.clear()
+            self[word] = h
         return h
 
 
@@ -97,10 +102,12 @@ ADDED = pa.schema([("at", pa.binary()), ("dz", pa.binary()), ("dn", pa.binary())
 
 def pack(t: pa.Table) -> pa.Table:
     """A shard as one row: its labels, sizes of feature sets, and the sets as steps between coordinates."""
-    order = np.lexsort((t.column("y").to_numpy(), t.column("turn").to_numpy()))
-    steps = [t.column("steps")[int(i)].as_py() for i in order]
-    ys, sizes = t.column("y").to_numpy()[order].astype(np.int32), np.array([len(x) // 4 for x in steps], np.int32)
-    return pa.table({"ys": [ys.tobytes()], "sizes": [sizes.tobytes()], "steps": [b"".join(steps)]}, schema=PACKED)
+    t = t.take(pa.array(np.lexsort((t.column("y").to_numpy(), t.column("turn").to_numpy()))))
+    steps = t.column("steps").combine_chunks()
+    at = np.frombuffer(steps.buffers()[1], np.int32)[steps.offset : steps.offset + len(steps) + 1]
+    # the sets lie one after another in the column's own buffer
+    whole = pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(at[[0, -1]].tobytes()), steps.buffers()[2]])
+    return pa.table({"ys": [t.column("y").to_numpy().astype(np.int32).tobytes()], "sizes": [(np.diff(at) // 4).astype(np.int32).tobytes()], "steps": whole}, schema=PACKED)
 
 
 def shard_pass(state, epoch: int, m: Model):
@@ -108,8 +115,8 @@ def shard_pass(state, epoch: int, m: Model):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.to_pylist():
-                ys, sizes, steps = np.frombuffer(r["ys"], np.int32), np.frombuffer(r["sizes"], np.int32), np.frombuffer(r["steps"], np.uint32)
+            for i in range(len(b)):
+                ys, sizes, steps = (np.frombuffer(b.column(c)[i].as_buffer(), kind) for c, kind in (("ys", np.int32), ("sizes", np.int32), ("steps", np.uint32)))
                 begin = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
                 z0, n0 = (x.astype(np.float64) for x in state.value)
                 z1, n1 = z0.copy(), n0.copy()
@@ -118,7 +125,7 @@ def shard_pass(state, epoch: int, m: Model):
                 at = np.flatnonzero((z1 != z0) | (n1 != n0)).astype(np.uint32)
                 yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (at, (z1 - z0)[at].astype(np.float32), (n1 - n0)[at].astype(np.float32))], schema=ADDED)
 
-    return run
+    return trimmed(run)
 
 
 def fit(rows: DataFrame, m: Model) -> tuple[np.ndarray, np.ndarray, float]:
@@ -136,7 +143,7 @@ def fit(rows: DataFrame, m: Model) -> tuple[np.ndarray, np.ndarray, float]:
             yield pa.RecordBatch.from_arrays([b.column("shard"), b.column("turn"), b.column("y"), pa.array(steps, pa.binary())], ["shard", "turn", "y", "steps"])
 
     turn = F.xxhash64("doc_id", F.lit("turn"))
-    coded = rows.select(F.pmod(turn, F.lit(m.shards)).cast("int").alias("shard"), turn.alias("turn"), "y", "text").mapInArrow(encode, "shard int, turn long, y int, steps binary")
+    coded = rows.select(F.pmod(turn, F.lit(m.shards)).cast("int").alias("shard"), turn.alias("turn"), "y", "text").mapInArrow(trimmed(encode), "shard int, turn long, y int, steps binary")
     shards = stored(coded.groupBy("shard").applyInArrow(pack, "ys binary, sizes binary, steps binary"), "toxicity", "zstd")
     z, n = np.zeros((1 << m.bits) + 1, np.float32), np.zeros((1 << m.bits) + 1, np.float32)
     for epoch in range(m.epochs):
@@ -158,16 +165,18 @@ def held_out(doc_id) -> F.Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, m: Model) -> DataFrame:
-    """doc_id, text and y of the labelled rows that the fit may read. The ids are at most m.max_rows, so they may be broadcast."""
+    """doc_id, text and y of the labelled documents that the fit may read. The ids are at most m.max_rows, so they may be broadcast; of rows with
+    one doc_id the least text counts."""
     y = labels.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("y"))
     ids = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(m.max_rows)
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    # one text for each id: repeated rows would grow a shard without bound
+    return docs.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.any_value("y").alias("y"))
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], m: Model, text: str = "text") -> DataFrame:
-    """docs with `score`, 0 to 1. A null or empty text has the bias alone; rows are all kept."""
+    """row (a struct of the columns of docs) and `score`, 0 to 1. A null or empty text has the bias alone; rows are all kept."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    keep = docs.select(*[c for c in docs.columns if c != "score"])
+    keep = docs.select(F.struct(*docs.columns).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, w, bias = sent.value
@@ -176,24 +185,30 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], m: Model
         hashes = WordHashes()
         for b in slices(batches):
             sums = []
-            for t in b.column(text).to_pylist():
+            for t in pc.struct_field(b.column("row"), text).to_pylist():
                 ids = np.unique(features(t or "", hashes, m.bits))
                 sums.append(float(sigmoid(bias + dense[ids].astype(np.float64).sum() / np.sqrt(max(1, len(ids))))))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sums, pa.float64())], [*b.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(sums, pa.float64())], ["row", "score"])
 
-    return keep.mapInArrow(run, T.StructType([*keep.schema.fields, T.StructField("score", T.DoubleType())]))
+    return keep.mapInArrow(trimmed(run), T.StructType([*keep.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, m: Model = Model()) -> DataFrame:
-    """docs with held_out, score and predicted (score >= m.threshold).
+def judged(docs: DataFrame, labels: DataFrame, m: Model = Model()) -> DataFrame:
+    """row (a struct of the columns of docs), held_out, score and predicted (score >= m.threshold).
 
     Nulls: an unlabelled or null toxic trains nothing; a null text is empty; a null doc_id is scored and not
-    held out. Repeated labels of one document count once, toxic if any is. Without any training row the
-    score is 0.5 everywhere.
+    held out. Repeated labels of one document count once, toxic if any is; of rows with one doc_id one trains. Without any
+    training row the score is 0.5 everywhere.
     """
     model = fit(training_rows(docs, labels, m), m)
-    keep = docs.select(*[c for c in docs.columns if c not in ("held_out", "predicted")])
-    return score(keep, model, m).withColumn("held_out", held_out(F.col("doc_id"))).withColumn("predicted", (F.col("score") >= m.threshold).cast("int"))
+    found = score(docs, model, m)
+    return found.select("row", held_out(F.col("row.doc_id")).alias("held_out"), "score", (F.col("score") >= m.threshold).cast("int").alias("predicted"))
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, m: Model = Model()) -> DataFrame:
+    """docs with held_out, score and predicted in place of columns with these names (see judged)."""
+    results = ["held_out", "score", "predicted"]
+    return judged(docs, labels, m).select(*[F.col("row").getField(c).alias(c) for c in apart(docs, set(results))], *results)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
