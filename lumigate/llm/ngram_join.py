@@ -6,20 +6,24 @@ that is the same for all documents. The first order is by frequency: shingles of
 are counted over all documents, the counts' classes go to two bitmaps of a fixed size, and rare ones come
 first. Nodes that share a prefix shingle of this order form its group. The other orders are hash orders. Under the
 second, prefixes up to a fixed hash may differ by no more than similar sets of these sizes differ at all; under the
-third, prefixes must meet. Only pairs that pass all are compared whole.
-
-A group never gives all its pairs. It gives a star: its smallest node with each other (in each map task first,
-so that a group sends one node from each task). Stars are verified and linked nodes united. A group
-whose nodes are then in different components gives STAR_ROUNDS more stars, of other leaders with nodes of other
-components. What is still apart then is compared in all pairs across components, so no link between
-components is lost, whatever the group's size. A node's number begins with its share of rare shingles, so that a
-leader is what near copies have in common rather than one of them.
+third, prefixes must meet. Only pairs that pass all three are compared whole.
+
+A group never gives all its pairs as rows. First it gives a star: its smallest node with each other node (in each map
+task first, so that a group sends one node from each task). Stars are verified and linked nodes united. Large groups
+whose nodes are then in different components give more stars, of other leaders, as long as these still unite many.
+What is still apart then is compared in blocks of a bounded size (see ngram_blocks): a task holds two
+blocks of a group and the filters of the second and third order, and gives only which nodes have a possible partner in
+another component and as many pairs as hold these together. Nodes so held together are clusters; the blocks of
+each cluster are compared whole, each pair of blocks in one task, which gives the links that join components. Blocks of
+a group's or cluster's largest component aren't compared with each other. So no link between components is lost,
+whatever a group's size, and rows grow with members and blocks, not with pairs. A node's number begins with its share
+of rare shingles, so that a leader is what near copies have in common rather than one of them.
 
 `links` has the verified pairs that hold the components together, `nodes` every document's node.
 
 Nulls and edges: a null or empty text, or one of white space, has no shingles and links with nothing; a
 text with fewer words than a shingle has one shingle; rows with a null doc_id take part, and a component's id
-is its smallest doc_id that isn't null; repeated rows are equal documents.
+is its smallest doc_id that isn't null; repeated rows are equal documents; other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -30,24 +34,24 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumigate.llm.base import components, fixed_bitmap, in_bitmap, slices, stored, table
+from lumigate.llm.base import components, fixed_bitmap, forget, marked, row_key, slices, stored, table, trimmed, without
+from lumigate.llm.ngram_blocks import BLOCK, blocks_of, linked_blocks, possible_blocks
 from lumigate.llm.shingling import U, mixed, shingle_sets
 
 #: One odd multiplier for each further order.
 ORDERS = (U(0xC2B2AE3D27D4EB4F), U(0xD6E8FEB86659FD93))
 #: The prefix that is compared first under ORDERS[0]: hashes in this part of their range.
 PART = 0.3
-CACHE_ENTRIES = 400_000
-#: log2 of the bits of each frequency bitmap (8 MB) and of the bitmap of nodes to compare (2 MB).
+#: log2 of the bits of each frequency bitmap (8 MB), and least and most of those of the bitmap of texts to compare (16 MB).
 FREQUENCY_BITS = 26
-NODE_BITS = 24
+TEXT_BITS = (20, 27)
 #: Counts from which a shingle is of the middle and the last class.
 OFTEN, VERY_OFTEN = 4, 32
-#: Further stars in open groups before all their pairs across components are compared.
-STAR_ROUNDS = 1
+#: Large open groups give further stars as long as one in so many of these pairs links.
+STAR_YIELD = 10
 #: Shingles that a task holds before it sends them on.
 FLUSH = 500_000
 
@@ -63,6 +67,10 @@ class Join:
     def prefix(self, n: int) -> int:
         return n + (-n * self.percent // 100) + 1 if n else 0
 
+    def least(self, a: int, b: int):
+        """Elements that similar sets of a and b elements have in common at least."""
+        return -(-self.percent * (a + b) // (100 + self.percent))
+
     def linked(self, both: int, a: int, b: int) -> bool:
         return 100 * both >= self.percent * (a + b - both)
 
@@ -86,32 +94,11 @@ def node_of(s: np.ndarray, bitmaps: tuple[np.ndarray, np.ndarray]) -> int | None
     return min(7, int(rare * 20)) << 60 | h
 
 
-def hash_prefix(s: np.ndarray, p: int, order: np.uint64) -> np.ndarray:
-    """The first p of a set in a hash order."""
-    key = mixed(s * order)
-    return s if p >= len(s) else s[np.argpartition(key, p - 1)[:p]]
-
-
 def _texts(batches: Iterator[pa.RecordBatch], join: Join) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for b in slices(batches):
         yield b, list(shingle_sets(b.column("text"), join.words))
 
 
-def row_key() -> Column:
-    """The same for rows with the same doc_id and text only."""
-    return F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit("")))))
-
-
-def numbered(docs: DataFrame, join: Join, bitmaps) -> DataFrame:
-    """key, doc_id, n_shingles and node of every document."""
-
-    def run(batches):
-        for b, sets in _texts(batches, join):
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s, bitmaps.value) for s in sets], pa.int64())], ["key", "doc_id", "n_shingles", "node"])
-
-    return docs.select(row_key().alias("key"), "doc_id", "text").mapInArrow(run, f"key binary, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, node long")
-
-
 def _by_bucket(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Where each bucket of a sorted array begins, and the buckets that there are."""
     bucket = (h >> U(64 - bits)).astype(np.int32)
@@ -120,17 +107,21 @@ def _by_bucket(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def frequency_bitmaps(docs: DataFrame, join: Join) -> tuple[np.ndarray, np.ndarray]:
-    """Bits of the shingles, in the counted half, that are in OFTEN and VERY_OFTEN documents or more."""
+    """Bits of the shingles, in the counted half, that are in OFTEN and VERY_OFTEN documents or more.
+
+    A task sends each of its shingles once with a count (up to 255, which is more than VERY_OFTEN).
+    """
 
     def count(batches):
         held, size = [], 0
 
         def flush():
-            h = np.sort(np.concatenate(held))
+            h, n = np.unique(np.concatenate(held), return_counts=True)
             begin, buckets = _by_bucket(h, join.bits)
-            low = ((h >> U(32 - join.bits)) & U(0xFFFFFFFF)).astype(np.uint32)
-            parts = [np.diff(low[begin[i] : begin[i + 1]], prepend=np.uint32(0)).tobytes() for i in range(len(buckets))]
-            return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(parts, pa.binary())], ["bucket", "steps"])
+            low, n = ((h >> U(32 - join.bits)) & U(0xFFFFFFFF)).astype(np.uint32), np.minimum(n, 255).astype(np.uint8)
+            at = list(zip(begin[:-1], begin[1:], strict=True))
+            cols = [[np.diff(low[i:j], prepend=np.uint32(0)).tobytes() for i, j in at], [n[i:j].tobytes() for i, j in at]]
+            return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), *[pa.array(c, pa.binary()) for c in cols]], ["bucket", "steps", "counts"])
 
         for _, sets in _texts(batches, join):
             for s in sets:
@@ -146,9 +137,12 @@ def frequency_bitmaps(docs: DataFrame, join: Join) -> tuple[np.ndarray, np.ndarr
     segment = 1 << (FREQUENCY_BITS - join.bits)
 
     def classes(t: pa.Table) -> pa.Table:
-        low = np.sort(np.concatenate([np.cumsum(np.frombuffer(x.as_py(), np.uint32), dtype=np.uint32) for x in t.column("steps")]))
+        low = np.concatenate([np.cumsum(np.frombuffer(x.as_py(), np.uint32), dtype=np.uint32) for x in t.column("steps")])
+        counts = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in t.column("counts")])
+        order = np.argsort(low, kind="stable")
+        low, counts = low[order], counts[order].astype(np.int64)
         at = np.flatnonzero(np.diff(low, prepend=low[:1] + 1 if len(low) else 0))
-        n = np.diff(np.append(at, len(low)))
+        n = np.add.reduceat(counts, at) if len(at) else counts
         out = []
         for least in (OFTEN, VERY_OFTEN):
             bits = np.zeros(segment, np.uint8)
@@ -156,7 +150,7 @@ def frequency_bitmaps(docs: DataFrame, join: Join) -> tuple[np.ndarray, np.ndarr
             out.append(pa.array([np.packbits(bits).tobytes()], pa.binary()))
         return pa.table([t.column("bucket").slice(0, 1).combine_chunks(), *out], names=["bucket", "often", "very"])
 
-    steps = docs.select("text").mapInArrow(count, "bucket int, steps binary")
+    steps = docs.select("text").mapInArrow(trimmed(count), "bucket int, steps binary, counts binary")
     found = steps.groupBy("bucket").applyInArrow(classes, "bucket int, often binary, very binary").collect()  # together two bitmaps of fixed size
     often, very = (np.zeros(1 << FREQUENCY_BITS, bool) for _ in range(2))
     for r in found:
@@ -189,50 +183,68 @@ def _stars(tok: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return tok, node, np.maximum.accumulate(np.where(head, np.arange(len(tok)), 0))
 
 
-def stars(docs: DataFrame, join: Join, bitmaps) -> DataFrame:
-    """tok, a, b: for each group of the first order, its smallest node a with each other node b, through at most two levels."""
+INDEX = ("key binary", "doc_id {}", "text_hash long", "n_shingles long", "node long", "tok long", "a long", "b long", "bucket int", "low binary", "heads binary")
+
 
-    def index(batches):
+def index(docs: DataFrame, join: Join, bitmaps) -> DataFrame:
+    """One pass over the texts, stored: for each document key, doc_id, text_hash, n_shingles and node; tok, a, b for each star within a
+    task's group; bucket, low and heads for the smallest nodes of a task's groups. A row has one of these three sets of columns."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    names = [x.split()[0] for x in INDEX]
+
+    def filled(schema: pa.Schema, **columns) -> pa.RecordBatch:
+        n = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+    def run(batches):
         often, very = bitmaps.value
-        toks, nodes, size = [], [], 0
+        toks, nodes, size, schema = [], [], 0, None
 
         def flush():
             tok, node, first = _stars(np.concatenate(toks), np.concatenate(nodes))
             own = first != np.arange(len(tok))
+            yield filled(schema, tok=tok[own].astype(np.int64), a=node[first[own]], b=node[own])
             heads, head_nodes = tok[~own], node[~own]
             begin, buckets = _by_bucket(heads, join.bits)
-            e_tok, e_a, e_b = tok[own], node[first[own]], node[own]
-            e_at = np.searchsorted(e_tok >> U(64 - join.bits), np.append(buckets, 1 << join.bits).astype(U))
             low = ((heads >> U(32 - join.bits)) & U(0xFFFFFFFF)).astype(np.uint32)
-            cols = [buckets, [low[begin[i] : begin[i + 1]].tobytes() for i in range(len(buckets))], [head_nodes[begin[i] : begin[i + 1]].tobytes() for i in range(len(buckets))]]
-            for x in ((e_tok >> U(32 - join.bits)).astype(np.int64), e_a, e_b):
-                cols.append([x[e_at[i] : e_at[i + 1]].tobytes() for i in range(len(buckets))])
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["bucket", "low", "node", "et", "ea", "eb"])
+            at = list(zip(begin[:-1], begin[1:], strict=True))
+            yield filled(schema, bucket=buckets, low=[low[i:j].tobytes() for i, j in at], heads=[head_nodes[i:j].tobytes() for i, j in at])
 
-        for _, sets in _texts(batches, join):
-            for s in sets:
+        for b, sets in _texts(batches, join):
+            if schema is None:
+                own = {"doc_id": b.schema.field("doc_id").type, "bucket": pa.int32()} | dict.fromkeys(("key", "low", "heads"), pa.binary())
+                schema = pa.schema([(x, own.get(x, pa.int64())) for x in names])
+            numbers = [node_of(s, bitmaps.value) for s in sets]
+            yield filled(schema, key=b.column("key"), doc_id=b.column("doc_id"), text_hash=b.column("text_hash"), n_shingles=[len(s) for s in sets], node=numbers)
+            for s, number in zip(sets, numbers, strict=True):
                 if len(s):
                     p = frequency_prefix(s, join.prefix(len(s)), often, very)
                     toks.append(p)
-                    nodes.append(np.full(len(p), node_of(s, bitmaps.value), np.int64))
+                    nodes.append(np.full(len(p), number, np.int64))
                     size += len(p)
             if size > FLUSH:
-                yield flush()
+                yield from flush()
                 toks, nodes, size = [], [], 0
         if toks:
-            yield flush()
+            yield from flush()
+
+    rows = docs.select(row_key().alias("key"), "doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    return stored(rows.mapInArrow(trimmed(run), ", ".join(INDEX).format(kind)), "ngram-index")
 
-    def meet(t: pa.Table) -> pa.Table:
-        def all_of(name, kind):
-            return np.concatenate([np.frombuffer(x.as_py(), kind) for x in t.column(name)])
 
-        tok, node, first = _stars((U(t.column("bucket")[0].as_py()) << U(32)) | all_of("low", np.uint32).astype(U), all_of("node", np.int64))
+def stars(index: DataFrame) -> DataFrame:
+    """tok, a, b: for each group of the first order, its smallest node a with each other node b, through at most two levels."""
+
+    def meet(t: pa.Table) -> pa.Table:
+        low, heads = (np.concatenate([np.frombuffer(x.as_py(), kind) for x in t.column(name)]) for name, kind in (("low", np.uint32), ("heads", np.int64)))
+        bucket = U(t.column("bucket")[0].as_py())
+        tok, node, first = _stars((bucket << U(32)) | low.astype(U), heads)
         own = first != np.arange(len(tok))
-        cols = [np.concatenate([tok[own].astype(np.int64), all_of("et", np.int64)]), np.concatenate([node[first[own]], all_of("ea", np.int64)]), np.concatenate([node[own], all_of("eb", np.int64)])]
-        return pa.table([pa.array(c) for c in cols], names=["tok", "a", "b"])
+        return pa.table([pa.array(c) for c in (tok[own].astype(np.int64), node[first[own]], node[own])], names=["tok", "a", "b"])
 
-    packed = docs.select("text").mapInArrow(index, "bucket int, low binary, node binary, et binary, ea binary, eb binary")
-    return packed.groupBy("bucket").applyInArrow(meet, "tok long, a long, b long")
+    bits = index.where("bucket is not null").select("bucket", "low", "heads")
+    met = bits.groupBy("bucket").applyInArrow(meet, "tok long, a long, b long")
+    return index.where("tok is not null").select("tok", "a", "b").union(met)
 
 
 def part_of(s: np.ndarray) -> np.ndarray:
@@ -241,113 +253,147 @@ def part_of(s: np.ndarray) -> np.ndarray:
     return np.unique((key[key < U(int(PART * 2**64))] >> U(30)).astype(np.uint32))
 
 
+def third_of(s: np.ndarray, p: int) -> np.ndarray:
+    """The first p of a set under ORDERS[1], 4 bytes an element, sorted."""
+    key = mixed(s * ORDERS[1]) >> U(32)
+    return np.unique((key if p >= len(s) else np.partition(key, p - 1)[:p]).astype(np.uint32))
+
+
 def of_nodes(docs: DataFrame, nodes: DataFrame, join: Join, bitmaps, whole: bool) -> DataFrame:
-    """node, n and `set`, once for each of nodes: the whole set or its part_of.
+    """node, n and `set` (the whole set), or node, n, `part` and `third`, once for each of nodes (stored; node and text_hash).
 
-    A bitmap of fixed size keeps most other documents from being sent.
+    A bitmap of a bounded size over the hashes of their texts keeps nearly all other texts from being cut into shingles.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(fixed_bitmap(nodes, "node", NODE_BITS))
+    bits = min(TEXT_BITS[1], max(TEXT_BITS[0], (16 * nodes.count()).bit_length()))
+    sent = docs.sparkSession.sparkContext.broadcast(fixed_bitmap(nodes, "text_hash", bits))
+    names = ["set"] if whole else ["part", "third"]
 
     def run(batches):
-        wanted, seen = sent.value, set()
-        for _, sets in _texts(batches, join):
-            out = []
-            for s in sets:
-                n = node_of(s, bitmaps.value)
-                if n is not None and in_bitmap(wanted, n, NODE_BITS) and n not in seen:
-                    if len(seen) > CACHE_ENTRIES:
-                        seen.clear()
-                    seen.add(n)
-                    out.append((n, len(s), (s if whole else part_of(s)).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], ["node", "n", "set"])
+        for b in batches:
+            b = b.filter(pa.array(marked(sent.value, b.column("text_hash").to_numpy(), bits)))
+            for c in slices([b]):
+                out, seen = [], set()
+                for s in shingle_sets(c.column("text"), join.words):
+                    if len(s) and (n := node_of(s, bitmaps.value)) not in seen:
+                        seen.add(n)
+                        out.append((n, len(s), *([s.tobytes()] if whole else [part_of(s).tobytes(), third_of(s, join.prefix(len(s))).tobytes()])))
+                cols = [pa.array([x[k] for x in out], t) for k, t in enumerate([pa.int64(), pa.int32(), *[pa.binary()] * len(names)])]
+                yield pa.RecordBatch.from_arrays(cols, ["node", "n", *names])
 
-    rows = docs.select("text").mapInArrow(run, "node long, n int, set binary").join(nodes, "node", "left_semi")
-    return stored(rows.groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("set").alias("set")), "ngram-sets", "zstd")
+    texts = docs.select("text", F.xxhash64("text").alias("text_hash"))
+    rows = texts.mapInArrow(trimmed(run), "node long, n int" + "".join(f", {x} binary" for x in names)).join(nodes.select("node"), "node", "left_semi")
+    return stored(rows.groupBy("node").agg(F.any_value("n").alias("n"), *[F.any_value(x).alias(x) for x in names]), "ngram-sets", "zstd")
 
 
 def filtered(pairs: DataFrame, sets: DataFrame, join: Join, whole: bool) -> DataFrame:
-    """The pairs a, b that may be similar by their sizes and parts; or, with whole sets, that are."""
+    """The pairs a, b that may be similar by their sizes and by the second and third order; or, with whole sets, that are."""
+    names = ["set"] if whole else ["part", "third"]
 
-    def passes(s: np.ndarray, t: np.ndarray, n: int, m: int) -> bool:
-        least = -(-join.percent * (n + m) // (100 + join.percent))  # elements that similar sets have in common
+    def passes(x: list[np.ndarray], y: list[np.ndarray], n: int, m: int) -> bool:
+        least = join.least(n, m)
         if min(n, m) < least:
             return False
-        if not whole:
-            both = len(np.intersect1d(s, t, True))
-            # what a part lacks, its set lacks
-            return len(s) - both <= n - least and len(t) - both <= m - least
-        ps, pt = join.prefix(n), join.prefix(m)
-        return all(len(np.intersect1d(hash_prefix(s, ps, o), hash_prefix(t, pt, o), True)) for o in ORDERS[1:]) and join.linked(len(np.intersect1d(s, t, True)), n, m)
+        both = len(np.intersect1d(x[0], y[0], True))
+        if whole:
+            return join.linked(both, n, m)
+        # what a part lacks, its set lacks
+        return len(x[0]) - both <= n - least and len(y[0]) - both <= m - least and len(np.intersect1d(x[1], y[1], True)) > 0
 
     def run(batches):
         kind = U if whole else np.uint32
-        for b in batches:
-            sizes = zip(b.column("na").to_pylist(), b.column("nb").to_pylist(), strict=True)
-            keep = [i for i, (x, y, (n, m)) in enumerate(zip(b.column("sa"), b.column("sb"), sizes, strict=True)) if passes(np.frombuffer(x.as_buffer(), kind), np.frombuffer(y.as_buffer(), kind), n, m)]
+        for b in slices(batches):
+            of = [[[np.frombuffer(v.as_buffer(), kind) for v in b.column(f"{x}_{side}")] for x in names] for side in "ab"]
+            sizes = zip(b.column("n_a").to_pylist(), b.column("n_b").to_pylist(), strict=True)
+            keep = [i for i, (n, m) in enumerate(sizes) if passes([c[i] for c in of[0]], [c[i] for c in of[1]], n, m)]
             yield b.select(["a", "b"]).take(pa.array(keep, pa.int32()))
 
-    one = pairs.join(sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("set").alias("sb")), "b")
-    both = one.join(sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("set").alias("sa")), "a")
-    return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+    for side in "ba":
+        pairs = pairs.join(sets.select(F.col("node").alias(side), *[F.col(x).alias(f"{x}_{side}") for x in ("n", *names)]), side)
+    return pairs.select("a", "b", *[f"{x}_{side}" for side in "ab" for x in ("n", *names)]).mapInArrow(trimmed(run), "a long, b long")
 
 
 def ends_of(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
 
-def compared(docs: DataFrame, pairs: DataFrame, parts: DataFrame, join: Join, bitmaps) -> DataFrame:
-    """The similar ones of pairs: by parts first, and whole sets only for what these leave."""
+def compared(docs: DataFrame, pairs: DataFrame, parts: DataFrame, texts: DataFrame, join: Join, bitmaps) -> DataFrame:
+    """The similar ones of pairs: by the filters first, and whole sets only for what these leave."""
     likely = stored(filtered(pairs, parts, join, False), "ngram-likely")
-    return stored(filtered(likely, of_nodes(docs, ends_of(likely), join, bitmaps, True), join, True), "ngram-links")
+    ends = stored(texts.join(ends_of(likely), "node", "left_semi"), "ngram-ends")
+    sets = of_nodes(docs, ends, join, bitmaps, True)
+    out = stored(filtered(likely, sets, join, True), "ngram-links")
+    forget(likely, ends, sets)
+    return out
 
 
 def star_pairs(members: DataFrame, turn: int) -> DataFrame:
     """In each open group, another leader with each node of other components: the first by rank, then a hash of the turn."""
-    by = F.struct(F.shiftrightunsigned("node", 60).alias("rank"), F.xxhash64("node", F.lit(turn)).alias("h"), "node", "c", F.col("n").alias("na"))
+    by = F.struct(F.shiftrightunsigned("node", 60).alias("rank"), F.xxhash64("node", F.lit(turn)).alias("h"), "node", "c")
     lead = members.join(members.groupBy("tok").agg(F.min("c").alias("lo")), "tok").where("c <> lo").groupBy("tok").agg(F.min(by).alias("l"))
-    return members.join(lead, "tok").where("c <> l.c").select(F.col("l.node").alias("a"), F.col("node").alias("b"), F.col("l.na").alias("na"), F.col("n").alias("nb"))
-
-
-def across(members: DataFrame) -> DataFrame:
-    """All pairs of nodes of a group that are in different components."""
-    x, y = members.select("tok", F.col("node").alias("a"), F.col("c").alias("cx"), F.col("n").alias("na")), members.select("tok", F.col("node").alias("b"), F.col("c").alias("cy"), F.col("n").alias("nb"))
-    return x.join(y, "tok").where("cx < cy").select("a", "b", "na", "nb")
+    pairs = members.join(lead, "tok").where("c <> l.c").select(F.col("l.node").alias("x"), F.col("node").alias("y"))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def with_component(df: DataFrame, comp: DataFrame, node: str, name: str) -> DataFrame:
     return df.join(comp.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
 
 
+def open_members(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """tok, node, n and component c of the groups whose nodes are in different components, equal groups once; stored.
+
+    A group of two nodes has no pair but its star's.
+    """
+    at = with_component(members, comp, "node", "c")
+    groups = at.groupBy("tok").agg(F.count("*").alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("h")).where("size > 2 and lo <> hi")
+    groups = groups.groupBy("size", "h").agg(F.min("tok").alias("tok"))
+    return stored(at.join(groups.select("tok", "size"), "tok"), "ngram-open")
+
+
 def similar_documents(docs: DataFrame, join: Join = Join()) -> tuple[DataFrame, DataFrame]:
-    """(nodes, links): doc_id, n_shingles, node and component_id of every row; verified pairs of nodes that hold the components."""
+    """(nodes, links): key, doc_id, n_shingles, node and component_id of every row; verified pairs of nodes that hold the components."""
     spark = docs.sparkSession
     if not join.bits:
         join = replace(join, bits=min(20, max(8, (4 * docs.rdd.getNumPartitions()).bit_length())))
     bitmaps = spark.sparkContext.broadcast(frequency_bitmaps(docs, join))
-    nodes = stored(numbered(docs, join, bitmaps), "ngram-nodes")
-    edges = stored(stars(docs, join, bitmaps), "ngram-stars")
+    passed = index(docs, join, bitmaps)
+    nodes = passed.where("key is not null").select("key", "doc_id", "n_shingles", "node", "text_hash")
+    edges = stored(stars(passed), "ngram-stars")
     pairs = stored(edges.select("a", "b").distinct(), "ngram-pairs")
-    parts = of_nodes(docs, ends_of(pairs), join, bitmaps, False)
-    links = compared(docs, pairs, parts, join, bitmaps)
+    known = nodes.where("node is not null").groupBy("node").agg(F.max("n_shingles").alias("n"), F.min("text_hash").alias("text_hash"))
+    texts = stored(known.join(ends_of(edges), "node", "left_semi"), "ngram-texts")
+    parts = of_nodes(docs, texts, join, bitmaps, False)
+    links = compared(docs, pairs, parts, texts, join, bitmaps)
     comp = components(links)
-    sizes = nodes.where("node is not null").groupBy("node").agg(F.max("n_shingles").alias("n"))
-    members = stored(edges.select("tok", F.explode(F.array("a", "b")).alias("node")).distinct().join(sizes, "node"), "ngram-members")
-    for turn in range(STAR_ROUNDS + 1):
-        # groups still in different components; one of two nodes has no pair but its star's
-        at = with_component(members, comp, "node", "c")
-        groups = at.groupBy("tok").agg(F.count("*").alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("h")).where("size > 2 and lo <> hi")
-        groups = groups.groupBy("size", "h").agg(F.min("tok").alias("tok")).select("tok")  # equal groups once
-        open_ = stored(at.join(groups, "tok", "left_semi"), "ngram-open")
-        if not open_.limit(1).count():
+    forget(pairs)
+    members = stored(edges.select("tok", F.explode(F.array("a", "b")).alias("node")).distinct().join(texts.select("node", "n"), "node"), "ngram-members")
+    forget(edges)
+    turn = 0
+    while True:
+        opened = open_members(members, comp)
+        large = opened.where(f"size > {BLOCK}")
+        if not large.limit(1).count():
+            break
+        more = stored(star_pairs(large, turn), "ngram-pairs")
+        added, tried, turn = compared(docs, more, parts, texts, join, bitmaps), more.count(), turn + 1
+        links = links.union(added)
+        comp = components(links)
+        forget(more, opened)
+        if added.count() * STAR_YIELD < tried:
+            opened = open_members(members, comp)
             break
-        more = (star_pairs(open_, turn) if turn < STAR_ROUNDS else across(open_)).where(100 * F.least("na", "nb") >= join.percent * F.greatest("na", "nb"))
-        more = stored(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "ngram-pairs")
-        pairs = pairs.union(more)
-        added = compared(docs, more, parts, join, bitmaps)
-        if added.limit(1).count():
-            links = links.union(added)
-            comp = components(links)
-    named = with_component(nodes, comp, "node", "class")
+    forget(members)
+    # by the filters alone, in blocks: which nodes may have a partner in another component, and pairs of components that hold these together
+    maybe = stored(possible_blocks(blocks_of(opened, "tok"), parts, join), "ngram-maybe")
+    clusters = components(maybe.where("a is not null").select("a", "b"))
+    some = maybe.where("node is not null").select("node").distinct()
+    at = with_component(texts.join(some, "node", "left_semi"), comp, "node", "c")
+    at = stored(at.join(clusters.select(F.col("node").alias("c"), F.col("component").alias("cluster")), "c"), "ngram-clusters")
+    sets = of_nodes(docs, at, join, bitmaps, True)
+    joined = stored(linked_blocks(blocks_of(at, "cluster"), sets, join), "ngram-links")
+    forget(opened, parts, texts, maybe, at, sets)
+    links = links.union(joined.select("a", "b"))
+    over = components(joined.select("ca", "cb"), "ca", "cb").select(F.col("node").alias("class"), F.col("component").alias("over"))
+    named = with_component(nodes, comp, "node", "class").join(over, "class", "left").withColumn("class", F.coalesce("over", "class")).drop("over")
     least = named.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("component_id"))
     out = named.join(least, "class", "left").withColumn("component_id", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("key", "doc_id", "n_shingles", "node", "class", "component_id"), links
@@ -358,14 +404,15 @@ def one_of_each(docs: DataFrame, join: Join = Join()) -> DataFrame:
 
     Rows without shingles stay, each once.
     """
-    nodes, _ = similar_documents(docs, join)
+    nodes, _ = similar_documents(docs.select("doc_id", "text"), join)
     nodes = stored(nodes.select("key", "doc_id", "class"), "ngram-classes")
-    first = nodes.where("class is not null").groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("f")).select(F.col("f.key").alias("key"))
-    kept = first.union(nodes.where("class is null").select("key")).distinct()
-    out = docs.withColumn("_key", row_key()).join(kept.withColumnRenamed("key", "_key"), "_key", "left_semi")
+    first = nodes.where("class is not null").groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("f")).select(F.col("f.key").alias("_key"))
+    lost = stored(nodes.where("class is not null").select(F.col("key").alias("_key")).distinct().join(first, "_key", "left_anti"), "ngram-lost")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), row_key().alias("_key"))
+    out = without(rows, lost, "_key")
     if nodes.groupBy("key").count().where("count > 1").limit(1).count():
         out = out.dropDuplicates(["_key"])  # rows that are equal in doc_id and text
-    return out.select(*docs.columns)
+    return out.select("row.*")
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
