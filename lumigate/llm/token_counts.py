@@ -22,8 +22,9 @@ from pyspark.sql import types as T
 
 from lumigate.llm.base import slices, table, texts_of
 
-#: Entries of a worker's cache, after which it starts anew.
+#: Entries of a worker's cache, after which it starts anew; longer pre-tokens are encoded each time, so it has a bound in bytes.
 CACHE_ENTRIES = 400_000
+CACHE_LENGTH = 64
 LIMIT = 512
 #: Code points up to here have their classes spelled out for the standard library's engine.
 KNOWN = 0x250
@@ -80,10 +81,11 @@ class Lengths(dict):
 
     def __missing__(self, pre: str) -> int:
         n = len(self.tok.encode(pre, add_special_tokens=False).ids)
-        if len(self) >= self.most:
-            self.clear()
-            self.update(self.frequent)
-        self[pre] = n
+        if len(pre) <= CACHE_LENGTH:
+            if len(self) >= self.most:
+                self.clear()
+                self.update(self.frequent)
+            self[pre] = n
         return n
 
 
