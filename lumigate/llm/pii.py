@@ -52,6 +52,14 @@ def iban_ok(value: str) -> bool:
     return 15 <= len(v) <= 34 and int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
 
 
+def iban_end(text: str, start: int, end: int) -> int | None:
+    """Where the longest account number that begins at start, ends before a letter or digit doesn't follow, and passes its checksum."""
+    for stop in range(end, start + 14, -1):
+        if text[stop - 1] != " " and not text[stop : stop + 1].isalnum() and iban_ok(text[start:stop]):
+            return stop
+    return None
+
+
 def _back(text: str, at: int, floor: int, chars: frozenset) -> int:
     while at > floor and text[at - 1] in chars:
         at -= 1
@@ -102,9 +110,10 @@ def pii_finder() -> Callable[[str], list[Span]]:
                     found.append((kind, _back(text, start, floor, LOCAL), m.end()))
                     ends[kind] = m.end()
             elif m := (IBAN if kind == "iban" else ACCOUNT).match(text, start):
-                if kind == "account" or iban_ok(m[1]):
-                    found.append((kind, *m.span(1)))
-                    ends[kind] = m.end()
+                # what follows an account number may look like more of it, so shorter ends are tried too
+                if stop := m.end() if kind == "account" else iban_end(text, *m.span(1)):
+                    found.append((kind, m.start(1), stop))
+                    ends[kind] = stop
         return ordered(found, KINDS)
 
     return scan

@@ -36,7 +36,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 GITHUB = re.compile(r"gh[pousr]_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")
 NPM = re.compile(r"npm_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")
-JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+")
+JWT = re.compile(r"(eyJ[A-Za-z0-9_-]++)\.(eyJ[A-Za-z0-9_-]++)\.[A-Za-z0-9_-]+")
+JWT_RUN = re.compile(r"[A-Za-z0-9_-]+")
 PEM = re.compile(r"-----BEGIN ([A-Z ]*)PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END \1PRIVATE KEY-----")
 KEYWORDS = {
     "assign": ("password", "passwd", "secret", "token", "apikey", "api_key"),
@@ -95,10 +96,15 @@ def secret_finder() -> Callable[[str], list[Span]]:
         for start, kind in hits:
             pattern, passes = ANCHORED[kind]
             # a hit inside the last match of its kind can't start one
-            if start >= ends[kind] and (m := pattern.match(text, start)):
+            if start < ends[kind]:
+                continue
+            if m := pattern.match(text, start):
                 ends[kind] = m.end()
                 if passes(m):
                     found.append((kind, start, m.end()))
+            elif kind == "jwt" and (run := JWT_RUN.match(text, start)):
+                # the run isn't a header, so no later start in it is one: each run is read twice at most
+                ends[kind] = run.end()
         return ordered(found, KINDS)
 
     return scan

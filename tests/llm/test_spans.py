@@ -72,3 +72,29 @@ def test_nulls_empty_long_and_repeated_rows(spark, find, base):
 
 def test_joined():
     assert joined([("hex", 1, 30)]) == "hex:1:30"
+
+
+@pytest.mark.parametrize("text", ["eyJ" * 1_000_000, "eyJa." * 600_000, "eyJa.eyJb" * 300_000, "-----BEGIN PRIVATE KEY-----\n" * 100_000, "token" * 600_000, "AKIA" * 700_000, "password:" * 300_000, "gho_" * 700_000])
+def test_secrets_of_long_texts_take_time_in_proportion(text):
+    import time
+
+    began = time.process_time()
+    secrets.secret_finder()(text)
+    assert time.process_time() - began < 20
+
+
+@pytest.mark.parametrize("text", ["a@" * 1_000_000, "1.1" * 1_000_000, "+1 " * 1_000_000, "iban GB82 " * 300_000, "://a:" * 500_000, "1" * 3_000_000, "account " * 300_000])
+def test_personal_data_of_long_texts_takes_time_in_proportion(text):
+    import time
+
+    began = time.process_time()
+    pii.pii_finder()(text)
+    assert time.process_time() - began < 20
+
+
+def test_an_account_number_ends_before_the_words_that_follow():
+    scan = pii.pii_finder()
+    for after in ("", " thank you", ", thanks", " 2024 was good", ". "):
+        assert ("iban", 5, 27) in scan("iban GB82WEST12345698765432" + after), after
+        assert ("iban", 5, 32) in scan("IBAN GB82 WEST 1234 5698 7654 32" + after), after
+    assert not [s for s in scan("iban GB83WEST12345698765432 thank you") if s[0] == "iban"]
