@@ -8,11 +8,12 @@ spans too: `chunk_spans` are content-defined chunks, where a rolling hash over t
 quarter of the spans but with only what whole chunks repeat.
 
 One pass counts span hashes; the repeated ones go to a bitmap of fixed size. A second pass sends the text of
-spans that meet the bitmap, and grouping by hash and text compares the bytes. Only then are documents joined
-with what they lose.
+spans that meet the bitmap, and grouping by hash and text compares the bytes. Only documents that lose lines are
+shuffled, to be joined with what they lose.
 
 A null text stays null and an empty one empty; a text of one line loses nothing unless the line is long; rows equal in
-doc_id and text count as one document and get the same result; a text of any length is read whole.
+doc_id and text count as one document and get the same result; a text of any length is read whole; other columns stay, and
+columns named as the results are replaced.
 """
 
 from __future__ import annotations
@@ -21,12 +22,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from lumigate.llm.base import fixed_bitmap, in_bitmap, slices, stored, table
+from lumigate.llm.base import apart, fixed_bitmap, forget, in_bitmap, row_key, slices, stored, table
 
 WINDOW = 2
 #: A chunk ends where this many low bits are 0: about 4 lines.
@@ -120,33 +121,51 @@ def suspects(docs: DataFrame, bits, spans: Spans) -> DataFrame:
     return docs.select("key", "doc_id", "text").mapInArrow(run, f"h long, block binary, doc_id {kind}, key binary, no int, stop int")
 
 
+def bit_table(keys: DataFrame, column: str) -> DataFrame:
+    """part and bits: a bitmap of 2**BITS bits as rows of 4 KB (8 MB in all, whatever the number of keys)."""
+    at = F.pmod(F.xxhash64(column), F.lit(1 << BITS))
+    return keys.select((at / 32768).cast("int").alias("part"), (at % 32768).alias("bit")).groupBy("part").agg(F.expr("bitmap_construct_agg(bit)").alias("bits"))
+
+
+def in_bit_table(rows: DataFrame, bits: DataFrame, column: str) -> DataFrame:
+    """rows with `hit`: whether the bit of a column's value is set. The table is of fixed size, so it is broadcast."""
+    at = F.pmod(F.xxhash64(column), F.lit(1 << BITS))
+    bit = (at % 32768).cast("int")
+    byte = F.conv(F.hex(F.substring("bits", F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.pmod(F.floor(byte / F.pow(F.lit(2), bit % 8)), F.lit(2)) == 1
+    return rows.withColumn("part", (at / 32768).cast("int")).join(F.broadcast(bits), "part", "left").withColumn("hit", F.coalesce(hit, F.lit(False))).drop("part", "bits")
+
+
 def dedup_lines(docs: DataFrame, spans: Spans = chunk_spans) -> DataFrame:
-    """docs with text less the lines of its repeated spans, and n_lines and n_removed (lines)."""
+    """docs with text less the lines of its repeated spans, and n_lines and n_removed (lines) in place of columns with these names."""
     spark = docs.sparkSession
-    rest = [c for c in docs.columns if c not in ("n_lines", "n_removed", "key")]
-    key = F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit("")))))
-    keyed = docs.select(*rest, key.alias("key"))
     repeated = span_hashes(docs, spans).groupBy("h").count().where("count > 1")
     bits = spark.sparkContext.broadcast(fixed_bitmap(repeated, "h", BITS))
-    found = stored(suspects(keyed, bits, spans), "spans", "zstd")
+    found = stored(suspects(docs.select("doc_id", "text", row_key().alias("key")), bits, spans), "spans", "zstd")
     first = found.groupBy("h", "block").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "no")).alias("f")).where("n > 1")
     first = first.select("h", "block", F.col("f.key").alias("fkey"), F.col("f.no").alias("fno"))
-    lost = found.join(first, ["h", "block"]).where("key <> fkey or no <> fno").groupBy("key").agg(F.collect_set(F.struct("no", "stop")).alias("lost"))
+    lost = stored(found.join(first, ["h", "block"]).where("key <> fkey or no <> fno").groupBy("key").agg(F.collect_set(F.struct("no", "stop")).alias("lost")), "lost-lines")
+    forget(found)
+    # documents that lose nothing, nearly all of those that a bitmap of fixed size doesn't show, need no join
+    rows = in_bit_table(docs.select(F.struct(*docs.columns).alias("row"), row_key().alias("key")), bit_table(lost, "key"), "key")
+    text = F.col("row.text")
+    n_lines = F.when(F.coalesce(F.length(text), F.lit(0)) == 0, 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
+    whole = rows.where("not hit").select("row", text.alias("text"), n_lines.alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             texts, n, gone = [], [], []
-            for t, lost in zip(b.column("text").to_pylist(), b.column("lost").to_pylist()):
+            for t, lost in zip(pc.struct_field(b.column("row"), "text").to_pylist(), b.column("lost").to_pylist(), strict=True):
                 lines = lines_of(t)
                 drop = {k for x in lost or () for k in range(x["no"], x["stop"])}
                 texts.append(t if not drop else b"\n".join(x for k, x in enumerate(lines) if k not in drop).decode("utf-8", "surrogatepass"))
                 n.append(len(lines))
                 gone.append(len(drop))
-            cols = {c: b.column(c) for c in rest} | {"text": pa.array(texts, pa.string()), "n_lines": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64())}
-            yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], ["row", "text", "n_lines", "n_removed"])
 
-    schema = T.StructType([*docs.select(*rest).schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
-    return keyed.join(lost, "key", "left").select(*rest, "lost").mapInArrow(cut_out, schema)
+    cut = rows.where("hit").join(lost, "key", "left").select("row", "lost").mapInArrow(cut_out, whole.schema)
+    kept = [F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in apart(docs, {"n_lines", "n_removed"})]
+    return whole.union(cut).select(*kept, "n_lines", "n_removed")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
