@@ -5,7 +5,7 @@ import pytest
 
 pytest.importorskip("public_tokenizers")
 
-from lumigate.llm.binary_output import END, Layout, encoder, materialised, permuted, read_from, tokenizer_path, write_shards
+from lumigate.llm.binary_output import END, Layout, encoder, materialised, permuted, read_shards, tokenizer_path, write_shards
 
 
 def test_permutation_is_a_bijection_that_the_key_changes():
@@ -42,16 +42,35 @@ def test_round_trip(case):
     assert sorted(got) == want
 
 
-def test_shards_are_in_order_and_reading_resumes(case, spark, tmp_path):
+def test_slots_depend_on_the_data_alone(case):
     _, layout, docs = case
-    path = str(tmp_path / "out")
-    records = materialised(docs, layout)
-    n = records.count()
-    write_shards(records, path)
-    write_shards(records, path)
-    assert spark.read.parquet(path).count() == n
-    rest = read_from(spark, path, 120, layout)
-    assert rest.count() == n - 120 and rest.agg({"slot": "min"}).first()[0] == 120
+    slots = [sorted((r.slot, str(r.doc_id), r.seq, bytes(r.tokens)) for r in materialised(d, layout).collect()) for d in (docs, docs.coalesce(1), docs.repartition(11, "text"))]
+    assert slots[0] == slots[1] == slots[2]
+
+
+def test_files_have_a_fixed_stride_and_writing_and_reading_resume(case, spark, tmp_path):
+    _, layout, docs = case
+    path, stride = tmp_path / "out", 128
+    want = {r.slot: bytes(r.tokens) for r in materialised(docs, layout).collect()}
+    first = {r.shard: r.n_records for r in write_shards(docs, str(path), layout).collect()}
+    assert sum(first.values()) == len(want) and set(first) == set(range(-(-len(want) // 50)))
+    files = {f.name: f.read_bytes() for f in path.glob("shard-*.bin")}
+    assert b"".join(files[n] for n in sorted(files)) == b"".join(want[i] for i in range(len(want)))
+    # a job that stopped: one shard is missing, one was cut short, a temporary file is left
+    (path / "shard-00000001.bin").unlink()
+    (path / "shard-00000003.bin").write_bytes(files["shard-00000003.bin"][:stride])
+    (path / "_shard-00000001.bin-x").write_bytes(b"left")
+    again = write_shards(docs.repartition(3), str(path), layout)
+    assert {r.shard for r in again.collect()} == {1, 3}
+    assert {f.name: f.read_bytes() for f in path.glob("shard-*.bin")} == files
+    rest = {r.slot: bytes(r.tokens) for r in read_shards(spark, str(path), 120).collect()}
+    assert rest == {i: t for i, t in want.items() if i >= 120}
+    with pytest.raises(ValueError, match="other data"):
+        write_shards(docs.limit(5), str(path), layout)
+
+
+def test_shards_stay_few():
+    assert Layout().of(10).per_shard == 4096 and Layout().of(32_768 * 4096 + 1).per_shard == 8192 and Layout(per_shard=7).of(10**9).per_shard == 7
 
 
 def test_no_documents(case):
