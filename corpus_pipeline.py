@@ -6,15 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lumigate.llm.base import stored, table
 from lumigate.llm.binary_output import materialised
-from lumigate.llm.decontaminate import decontaminate
-from lumigate.llm.mixing import mix
+from lumigate.llm.decontaminate import judged as contaminated
+from lumigate.llm.mixing import chosen
 from lumigate.llm.ngram_join import Join, one_of_each
-from lumigate.llm.toxicity import toxicity
+from lumigate.llm.toxicity import judged as toxic
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier doesn't reject."""
-    return toxicity(docs, table(spark, sf_dir, "labels")).where("predicted = 0").select(*docs.columns)
+    return toxic(docs, table(spark, sf_dir, "labels")).where("predicted = 0").select("row.*")
 
 
 def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,12 +24,12 @@ def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def untested(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of the benchmark."""
-    return decontaminate(docs, table(spark, sf_dir, "benchmark")).where("not contaminated").select(*docs.columns)
+    return contaminated(docs, table(spark, sf_dir, "benchmark")).where("not contaminated").select("row.*")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Half of the tokens that are left, mixed to the target weights; each document at most once."""
-    return mix(docs, epochs=1).select(*docs.columns)
+    return chosen(docs, epochs=1).select("row.*")
 
 
 def records(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
