@@ -33,7 +33,7 @@ def prompt_normalize(prompts: DataFrame) -> DataFrame:
 
 
 def sanitize_name(name: Column) -> Column:
-    held = F.regexp_replace(F.trim(F.regexp_replace(name, r'[<>:"/\\|?*\x00]', "_")), r"^\.+|\.+$", "")
+    held = F.regexp_replace(F.regexp_replace(F.regexp_replace(name, r'[<>:"/\\|?*\x00]', "_"), r"(?U)^\s+|\s+$", ""), r"^\.+|\.+$", "")
     return F.when(F.length(held) > 0, held).otherwise("output")
 
 
@@ -45,7 +45,7 @@ def format_output_name(path: Column, score: Column, label: Column, index: Column
     stem = F.when(stem == 1, F.left(name, F.length(name) - F.length(ext))).otherwise(name)
     values = {
         "stem": stem, "name": name, "ext": ext, "score": F.format_string("%.3f", score), "score_pct": F.format_string("%.1f", score * 100),
-        "index": F.lpad(index.cast("string"), 4, "0"), "date": F.date_format(stamp, "yyyyMMdd"), "timestamp": F.date_format(stamp, "yyyyMMdd_HHmmss"), "label": label, "label_name": label,
+        "index": F.when(F.length(index.cast("string")) >= 4, index.cast("string")).otherwise(F.lpad(index.cast("string"), 4, "0")), "date": F.date_format(stamp, "yyyyMMdd"), "timestamp": F.date_format(stamp, "yyyyMMdd_HHmmss"), "label": label, "label_name": label,
     }
     out = F.lit(template)
     for key, value in values.items():
@@ -68,11 +68,20 @@ def redact_roots(message: Column, roots: list[str]) -> Column:
     return message
 
 
+#: Objects within objects that are looked for in prose.
+NESTED = 3
+
+
 def parse_verdict(text: Column, axes: list[str]) -> Column:
-    """A lenient model's answer as map of axis to 0..1: fences stripped, else the first object in braces; null if there is none."""
+    """A lenient model's answer as map of axis to 0..1: fences stripped, else the first object in braces that parses, with up to NESTED
+    objects in one another; null if there is none."""
     bare = F.trim(F.regexp_replace(text, "(?i)```(json)?", ""))
     whole = F.try_parse_json(bare)
-    inner = F.try_parse_json(F.nullif(F.regexp_extract(bare, r"(\{[^{}]*\})", 1), F.lit("")))
+    shape = r"[^{}]*"
+    for _ in range(NESTED):
+        shape = r"(?:[^{}]|\{" + shape + r"\})*"
+    parsed = F.transform(F.regexp_extract_all(bare, F.lit(r"(\{" + shape + r"\})")), F.try_parse_json)
+    inner = F.get(F.filter(parsed, lambda v: v.isNotNull()), F.lit(0))
     payload = F.when(whole.isNotNull(), whole).otherwise(inner)
     is_object = F.startswith(F.schema_of_variant(payload), F.lit("OBJECT"))
 

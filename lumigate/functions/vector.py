@@ -20,7 +20,8 @@ def norm(a: Column) -> Column:
 
 def l2_normalize(a: Column) -> Column:
     """The unit vector; a zero vector stays as it is."""
-    return F.transform(a, lambda x: x / F.when(norm(a) > 0, norm(a)).otherwise(F.lit(1.0)))
+    # as a lambda's variable the norm is computed once a vector, not once an element
+    return F.get(F.transform(F.array(norm(a)), lambda n: F.transform(a, lambda x: x / F.when(n > 0, n).otherwise(F.lit(1.0)))), F.lit(0))
 
 
 def cosine_similarity(a: Column, b: Column) -> Column:

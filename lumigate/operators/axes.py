@@ -6,10 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumigate.functions.vector import as_double, dot, sigmoid
-from lumigate.policy import check_roles
-
-#: A registry is the user's table of prompts; this many rows are read to check its roles.
-MOST_AXES = 10_000
+from lumigate.policy import ROLES, check_role_counts
 
 
 def registry(prompts: DataFrame) -> DataFrame:
@@ -18,8 +15,9 @@ def registry(prompts: DataFrame) -> DataFrame:
     prompts: axis, role, polarity ('p' or 'n'), prompt_id, weight, aggregation, vector. A weighted mean of dot products
     is the dot product with the weighted mean, so such an axis costs two products whatever its number of prompts.
     """
-    roles = {r["axis"]: r["role"] for r in prompts.select("axis", "role").distinct().limit(MOST_AXES).collect()}
-    check_roles(roles)
+    axes = prompts.groupBy("axis").agg(F.min("role").alias("role"), F.max("role").alias("other"))
+    role = F.when(F.col("role").eqNullSafe(F.col("other")) & F.col("role").isin(*ROLES), F.col("role"))
+    check_role_counts({r["role"]: r["count"] for r in axes.groupBy(role.alias("role")).count().collect()})  # a row for each role that there is
     at = prompts.select("axis", "polarity", "weight", F.posexplode(as_double(F.col("vector"))).alias("i", "x"))
     folded = at.groupBy("axis", "polarity", "i").agg((F.sum(F.col("weight") * F.col("x")) / F.sum("weight")).alias("x"))
     folded = folded.groupBy("axis", "polarity").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("fold"))

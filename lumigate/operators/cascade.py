@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from lumigate.functions.vector import clip, evidence, ramp
 from lumigate.policy import DETAIL_WEIGHTS, Policy
 
+# The gate's shape beside the policy's bounds.
+ANCHORED_SHARE = 0.4  # of exclude_at, from which an anchored item may look excluded
+CLEAR_SHARE = 0.6  # of exclude_at, from which the score falls
+ANCHORED_SUBJECT = 0.85
+SOFT_LEAST = 0.25
 STAGES = ("excluded", "no_subject", "soft_fail", "scored")
 
 
@@ -24,6 +29,11 @@ def combine_detail(scores: list[Column], weights: list[float], strongest: float
     return F.when((backed < 2) & (most < 0.55), raw * 0.5).otherwise(raw)
 
 
+def detail_weights(roles: dict[str, str]) -> dict[str, float]:
+    """The weight of each axis that the registry gives the role detail: 1 unless the policy names another."""
+    return {a: DETAIL_WEIGHTS.get(a, 1.0) for a, role in roles.items() if role == "detail"}
+
+
 def detail_of(axes: Column, weights: dict[str, float] = DETAIL_WEIGHTS) -> Column:
     return combine_detail([axes[a] for a in weights], list(weights.values()))
 
@@ -33,7 +43,7 @@ def excluded(exclude: Column, clear: Column, detail: Column, anchors: Column, p:
     anchored = F.coalesce(anchors > 0, F.lit(False))
     looks = (exclude >= p.exclude_at) & (exclude > clear + p.margin)
     strongly = exclude >= p.strongly_at
-    anchored_looks = anchored & (exclude > clear + p.anchored_margin) & (exclude >= p.exclude_at * 0.4)
+    anchored_looks = anchored & (exclude > clear + p.anchored_margin) & (exclude >= p.exclude_at * ANCHORED_SHARE)
     weak = (detail >= p.weak_clear_detail) & (clear < p.min_clear)
     return exclude.isNull() | clear.isNull() | F.coalesce(looks | strongly | anchored_looks | weak, F.lit(True))
 
@@ -41,13 +51,18 @@ def excluded(exclude: Column, clear: Column, detail: Column, anchors: Column, p:
 def soft_factors(subject: Column, soft: Column, exclude: Column, anchors: Column, p: Policy) -> dict[str, Column]:
     anchored = F.coalesce(anchors > 0, F.lit(False))
     one = F.lit(1.0)
-    of_subject = F.greatest(ramp(subject, p.subject_gate, p.subject_gate + 0.2), F.when(anchored, 0.85).otherwise(0.0)) if p.require_subject else one
-    of_soft = F.greatest(ramp(soft, max(0.0, p.soft_at - 0.05), p.soft_at + 0.35), F.lit(0.25)) if p.require_soft else one
-    return {"gate_subject": of_subject, "gate_soft": of_soft, "gate_clear": 1 - ramp(exclude, p.exclude_at * 0.6, p.exclude_at)}
+    of_subject = F.greatest(ramp(subject, p.subject_gate, p.subject_gate + 0.2), F.when(anchored, ANCHORED_SUBJECT).otherwise(0.0)) if p.require_subject else one
+    of_soft = F.greatest(ramp(soft, max(0.0, p.soft_at - 0.05), p.soft_at + 0.35), F.lit(SOFT_LEAST)) if p.require_soft else one
+    return {"gate_subject": of_subject, "gate_soft": of_soft, "gate_clear": 1 - ramp(exclude, p.exclude_at * CLEAR_SHARE, p.exclude_at)}
+
 
+def evaluate(scored: DataFrame, p: Policy, weights: dict[str, float]) -> DataFrame:
+    """scored (axes, role scores, anchors) with evidence, gates, detail, stage and base score. Internal: holds excluded rows.
 
-def evaluate(scored: DataFrame, p: Policy, weights: dict[str, float] = DETAIL_WEIGHTS) -> DataFrame:
-    """scored (axes, role scores, anchors) with evidence, gates, detail, stage and base score. Internal: holds excluded rows."""
+    weights: those of the registry's own detail axes (see detail_weights); without any the gate could not tell what is worth showing.
+    """
+    if not weights:
+        raise ValueError("the registry must declare an axis with the role detail")
     half = F.lit(0.5)
     ev = scored.withColumns({f"e_{r}": evidence(F.col(r) if r in ("exclude", "clear") else F.coalesce(F.col(r), half)) for r in ("subject", "soft", "exclude", "clear")})
     ev = ev.withColumn("detail", detail_of(F.col("axes"), weights))

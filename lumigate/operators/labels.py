@@ -50,15 +50,27 @@ def signature(labels: DataFrame, layout: str) -> DataFrame:
     return labels.where("label in (0, 1)").agg(F.count("*").alias("n"), F.sum(h).alias("h")).select(F.sha1(F.concat_ws("|", F.lit(layout), F.col("n").cast("string"), F.coalesce(F.col("h").cast("string"), F.lit("0")))).alias("signature"))
 
 
+def placed(rows: DataFrame, seed: str) -> DataFrame:
+    """rows with _place (from 1, in each class by a seeded md5) and _n (rows of the class).
+
+    A class may be nearly all rows, so it is ranked in ranges of the md5's first 3 digits: counts of the ranges (4096 a class
+    at most, so they are broadcast) give where each begins, and only a range is sorted by one task.
+    """
+    keyed = rows.withColumn("_key", F.md5(F.concat_ws("|", F.lit(seed), F.col("item_id").cast("string")))).withColumn("_range", F.substring("_key", 1, 3))
+    counts = keyed.groupBy(F.col("y").alias("_y"), F.col("_range").alias("_r")).agg(F.count("*").alias("_c"))
+    begins = counts.select("_y", "_r", (F.sum("_c").over(Window.partitionBy("_y").orderBy("_r")) - F.col("_c")).alias("_begin"), F.sum("_c").over(Window.partitionBy("_y")).alias("_n"))
+    at = keyed.join(F.broadcast(begins), F.col("y").eqNullSafe(F.col("_y")) & (F.col("_range") == F.col("_r")))
+    place = F.row_number().over(Window.partitionBy("y", "_range").orderBy("_key", "item_id")) + F.col("_begin")
+    return at.withColumn("_place", place).drop("_key", "_range", "_y", "_r", "_begin")
+
+
 def folds(rows: DataFrame, k: int, seed: str) -> DataFrame:
     """rows with fold: round-robin in each class after a seeded shuffle by md5."""
-    key = F.md5(F.concat_ws("|", F.lit(seed), F.col("item_id").cast("string")))
-    return rows.withColumn("fold", ((F.row_number().over(Window.partitionBy("y").orderBy(key, "item_id")) - 1) % k).cast("int"))
+    return placed(rows, seed).withColumn("fold", ((F.col("_place") - 1) % k).cast("int")).drop("_place", "_n")
 
 
 def split(rows: DataFrame, share: float, seed: str) -> DataFrame:
     """rows with test: each class's share, one at least, and one at least left to train on."""
-    key = F.md5(F.concat_ws("|", F.lit(seed), F.col("item_id").cast("string")))
-    n = F.count("*").over(Window.partitionBy("y"))
+    n = F.col("_n")
     take = F.least(n - 1, F.greatest(F.lit(1), F.bround(n * share).cast("long")))
-    return rows.withColumn("test", F.row_number().over(Window.partitionBy("y").orderBy(key, "item_id")) <= take)
+    return placed(rows, seed).withColumn("test", F.col("_place") <= take).drop("_place", "_n")

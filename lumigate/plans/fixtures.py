@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from lumigate.functions.text import label_name
 from lumigate.functions.vector import as_double
 from lumigate.operators.axes import registry, role_scores, score_axes
-from lumigate.operators.cascade import evaluate, visible
+from lumigate.operators.cascade import detail_weights, evaluate, visible
+from lumigate.operators.labels import training_set
+from lumigate.operators.storage import stored
 from lumigate.policy import Policy
 
 ROLES = {"0": "subject", "1": "soft", "2": "exclude", "3": "clear", "4": "detail", "5": "detail", "6": "detail", "7": "detail", "8": "detail", "9": "policy"}
 POLICY = Policy()
+#: Length of the tables' vectors.
+DIM = 64
 #: Kinds that may speak for an axis, besides the full frame.
 ELIGIBLE = {"0": "torso,band_upper,band_mid,band_lower", "1": "torso,band_upper,band_mid", "2": "", "3": "", "4": "torso,band_upper,band_mid,band_lower", "5": "torso,band_upper,band_mid", "6": "torso,band_mid,band_lower", "7": "torso,band_upper,band_mid", "8": "torso,band_mid,band_lower", "9": "torso,band_upper,band_mid,band_lower"}
 REGION_KEYS = ("full", "bandtop", "bandmid", "bandlow", "torso0")
@@ -50,7 +54,7 @@ def labels(spark: SparkSession, sf: str) -> DataFrame:
 
 def evaluated(spark: SparkSession, sf: str) -> DataFrame:
     """Internal: holds excluded items."""
-    return evaluate(scored(spark, sf), POLICY).withColumn("score", F.col("base"))
+    return evaluate(scored(spark, sf), POLICY, detail_weights(ROLES)).withColumn("score", F.col("base"))
 
 
 def named(rows: DataFrame, spark: SparkSession, sf: str) -> DataFrame:
@@ -62,12 +66,18 @@ def shown(spark: SparkSession, sf: str) -> DataFrame:
     return named(visible(evaluated(spark, sf), POLICY), spark, sf)
 
 
+def allowed(rows: DataFrame, spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of items that may be seen. Whatever gives item_id and isn't made from `shown` goes through here."""
+    return rows.join(visible(evaluated(spark, sf), POLICY).select("item_id"), "item_id", "left_semi")
+
+
 def region_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Regions of items that may be seen."""
     keys = F.array(*[F.lit(k) for k in REGION_KEYS])
     kinds = F.create_map(F.lit("full"), F.lit("full"), *[F.lit(x) for kv in KINDS for x in kv])
     key = F.get(keys, (F.col("vec_id") % 5).cast("int"))
     rows = table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 5).cast("long").alias("item_id"), key.alias("region_key"), (F.col("vec_id") % 5).cast("int").alias("place"), "embedding")
-    return rows.withColumn("kind", F.coalesce(kinds[F.col("region_key")], kinds[F.regexp_replace("region_key", r"\d+$", "")]))
+    return allowed(rows, spark, sf).withColumn("kind", F.coalesce(kinds[F.col("region_key")], kinds[F.regexp_replace("region_key", r"\d+$", "")]))
 
 
 def eligible(spark: SparkSession) -> DataFrame:
@@ -90,8 +100,10 @@ def label_events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def training(spark: SparkSession, sf: str) -> DataFrame:
-    y = table(spark, sf, "labels").select(F.col("doc_id").alias("item_id"), F.col("quality").alias("y"))
-    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), as_double(F.col("embedding")).alias("features")).join(y, "item_id")
+    """What a fit may read: accepted and rejected items that may be seen; stored, as fits read it again and again."""
+    own = table(spark, sf, "labels").select(F.col("doc_id").alias("item_id"), F.col("quality").alias("label"))
+    may = visible(evaluated(spark, sf), POLICY).select("item_id", F.col("embedding").alias("features"))
+    return stored(training_set(own, may, DIM), "training")
 
 
 def metric_pairs(spark: SparkSession, sf: str) -> DataFrame:

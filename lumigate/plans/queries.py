@@ -43,10 +43,10 @@ def flagship(spark, sf):
 
 
 def _axis_long(spark, sf, kind):
-    return fx.scored(spark, sf).select("item_id", F.explode("axes").alias("axis", "s")).where(F.col("axis").cast("int") % 2 == kind).select("item_id", "axis", r6("s", "score"))
+    return fx.shown(spark, sf).select("item_id", F.explode("axes").alias("axis", "s")).where(F.col("axis").cast("int") % 2 == kind).select("item_id", "axis", r6("s", "score"))
 
 
-_AXIS = q.ITEMS + "SELECT a.item_id, axis::VARCHAR AS axis, round(a.score, 6) AS score FROM axis_score a WHERE axis % 2 = {0}"
+_AXIS = q.ITEMS + "SELECT a.item_id, axis::VARCHAR AS axis, round(a.score, 6) AS score FROM axis_score a WHERE axis % 2 = {0} AND item_id IN (SELECT item_id FROM shown)"
 
 
 @query(_AXIS.format(0))
@@ -59,10 +59,10 @@ def axis_score_max(spark, sf):
     return _axis_long(spark, sf, 1)
 
 
-@query(q.ITEMS + "SELECT i.item_id, p.axis::VARCHAR AS axis, p.pol AS polarity, count(*) AS n, round(max(list_dot_product(i.e, p.v)), 6) AS most FROM item i, prompt p GROUP BY ALL")
+@query(q.ITEMS + "SELECT i.item_id, p.axis::VARCHAR AS axis, p.pol AS polarity, count(*) AS n, round(max(list_dot_product(i.e, p.v)), 6) AS most FROM shown i, prompt p GROUP BY ALL")
 def join_prompts(spark, sf):
     # the registry is one row, so a join without a key adds no rows
-    both = fx.items(spark, sf).join(F.broadcast(axes.registry(fx.prompts(spark, sf))))
+    both = fx.shown(spark, sf).join(F.broadcast(axes.registry(fx.prompts(spark, sf))))
     side = both.select("item_id", vec.as_double(F.col("embedding")).alias("e"), F.explode("registry").alias("r"))
     rows = F.array(*[F.struct(F.lit(p).alias("polarity"), F.col(f"r.{s}.prompts").alias("v")) for p, s in (("p", "pos"), ("n", "neg"))])
     return side.select("item_id", F.col("r.axis").alias("axis"), "e", F.inline(rows)).where("v is not null").select("item_id", "axis", "polarity", F.size("v").cast("long").alias("n"), r6(F.array_max(F.transform("v", lambda v: vec.dot(F.col("e"), v))), "most"))
@@ -257,17 +257,17 @@ def prompt_normalize(spark, sf):
     return tx.prompt_normalize(d.select(F.col("source").alias("axis"), (F.col("doc_id") % 7).cast("int").alias("pos"), text.alias("text"), F.when(k == 0, "2.5").when(k == 1, "-1").when(k == 2, "x").alias("weight")))
 
 
-@query(r"""SELECT doc_id, CASE WHEN s = '' THEN 'output' ELSE s END AS name FROM (SELECT doc_id, regexp_replace(trim(regexp_replace(' ' || source || CASE WHEN doc_id % 3 = 0 THEN ':a/b*?.' ELSE '<' || doc_id || '>..' END, '[<>:"/\\|?*\x00]', '_', 'g')), '^\.+|\.+$', '', 'g') AS s FROM documents)""")
+@query(r"""SELECT doc_id, CASE WHEN s = '' THEN 'output' ELSE s END AS name FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(chr(9) || ' ' || source || CASE WHEN doc_id % 3 = 0 THEN ':a/b*?.' ELSE '<' || doc_id || '>..' || chr(10) END, '[<>:"/\\|?*\x00]', '_', 'g'), '^\s+|\s+$', '', 'g'), '^\.+|\.+$', '', 'g') AS s FROM documents)""")
 def sanitize_name(spark, sf):
-    raw = F.concat(F.lit(" "), "source", F.when(F.col("doc_id") % 3 == 0, ":a/b*?.").otherwise(F.concat(F.lit("<"), F.col("doc_id").cast("string"), F.lit(">.."))))
+    raw = F.concat(F.lit("\t "), "source", F.when(F.col("doc_id") % 3 == 0, ":a/b*?.").otherwise(F.concat(F.lit("<"), F.col("doc_id").cast("string"), F.lit(">..\n"))))
     return fx.table(spark, sf, "documents").select("doc_id", tx.sanitize_name(raw).alias("name"))
 
 
-@query(r"""SELECT doc_id, source || '_' || doc_id || '_' || printf('%.3f', (n_chars % 1000) / 1000.0) || '_' || lpad((doc_id % 10000)::VARCHAR, 4, '0') || '_' || strftime(to_timestamp(1600000000 + doc_id) AT TIME ZONE 'UTC', '%Y%m%d_%H%M%S') || '_' || lang || '.txt' AS name FROM documents""")
+@query(r"""SELECT doc_id, source || '_' || doc_id || '_' || printf('%.3f', (n_chars % 1000) / 1000.0) || '_' || CASE WHEN doc_id > 999 THEN doc_id::VARCHAR ELSE lpad(doc_id::VARCHAR, 4, '0') END || '_' || strftime(to_timestamp(1600000000 + doc_id) AT TIME ZONE 'UTC', '%Y%m%d_%H%M%S') || '_' || lang || '.txt' AS name FROM documents""")
 def format_output_name(spark, sf):
     d = fx.table(spark, sf, "documents")
     path = F.concat(F.lit("in/"), "source", F.lit("_"), F.col("doc_id").cast("string"), F.lit(".txt"))
-    name = tx.format_output_name(path, (F.col("n_chars") % 1000) / 1000, F.col("lang"), F.col("doc_id") % 10_000, F.timestamp_seconds(F.lit(1_600_000_000) + F.col("doc_id")), "{stem}_{score}_{index}_{timestamp}{nothing}_{label}{ext}")
+    name = tx.format_output_name(path, (F.col("n_chars") % 1000) / 1000, F.col("lang"), F.col("doc_id"), F.timestamp_seconds(F.lit(1_600_000_000) + F.col("doc_id")), "{stem}_{score}_{index}_{timestamp}{nothing}_{label}{ext}")
     return d.select("doc_id", name.alias("name"))
 
 
@@ -558,10 +558,10 @@ def prototype_fit(spark, sf):
 def _prototype_scores(spark, sf):
     p = learning.prototypes(fx.training(spark, sf))
     both = p.agg(F.max(F.when(F.col("y") == 1, F.col("prototype"))).alias("pos"), F.max(F.when(F.col("y") == 0, F.col("prototype"))).alias("neg"))
-    return fx.items(spark, sf).join(F.broadcast(both)).select("item_id", learning.prototype_score(F.col("embedding"), F.col("pos"), F.col("neg")).alias("p"))
+    return fx.shown(spark, sf).join(F.broadcast(both)).select("item_id", learning.prototype_score(F.col("embedding"), F.col("pos"), F.col("neg")).alias("p"))
 
 
-_PS = _PROTO + ", ps AS (SELECT vec_id AS item_id, 1 / (1 + exp(-8 * ((list_dot_product(x, a.p) - list_dot_product(x, b.p)) / sqrt(list_dot_product(x, x))))) AS p FROM (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings), (SELECT p FROM proto WHERE y = 1) a, (SELECT p FROM proto WHERE y = 0) b)"
+_PS = _PROTO + ", ps AS (SELECT vec_id AS item_id, 1 / (1 + exp(-8 * ((list_dot_product(x, a.p) - list_dot_product(x, b.p)) / sqrt(list_dot_product(x, x))))) AS p FROM (SELECT item_id AS vec_id, e AS x FROM shown), (SELECT p FROM proto WHERE y = 1) a, (SELECT p FROM proto WHERE y = 0) b)"
 
 
 @query(_PS + " SELECT item_id, round(p, 6) AS p FROM ps")
@@ -663,15 +663,22 @@ def platt_calibrate(spark, sf):
     return held.select("item_id", "y", r6(vec.sigmoid(slope * F.col("margin") + bias), "p"))
 
 
+def _folds_of(train):
+    """Five folds, or as many as the smaller class has rows."""
+    return max(2, min(5, *[r["count"] for r in train.groupBy("y").count().collect()]))  # a row a class
+
+
 @query()
 def cross_val_scores(spark, sf):
-    return learning.out_of_fold(fx.training(spark, sf), 1.0, 3)
+    train = fx.training(spark, sf)
+    return learning.out_of_fold(train, 1.0, _folds_of(train))
 
 
 @query()
 def select_c(spark, sf):
-    c, auc = learning.select_c(fx.training(spark, sf), 3)
-    return fx.training(spark, sf).agg(F.count("*").alias("labels")).select("labels", F.lit(c).alias("c"), F.lit(auc).alias("auc"))
+    train = fx.training(spark, sf)
+    c, auc = learning.select_c(train, _folds_of(train))
+    return train.agg(F.count("*").alias("labels")).select("labels", F.lit(c).alias("c"), F.lit(auc).alias("auc"))
 
 
 @query()
@@ -754,7 +761,7 @@ def adjudicate_score(spark, sf):
     half = F.lit(0.5)
     values = {"0": 0.5 + (u % 7) / 20, "1": F.lit(0.9), "2": (u % 10) / 15, "3": F.lit(0.7), "4": 0.5 + (u % 11) / 22, **{str(k): half for k in range(5, 10)}}
     rows = rows.withColumns({"axes": F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)]), "anchors": F.lit(None).cast("int")})
-    out = cascade.evaluate(axes.role_scores(rows, fx.ROLES), fx.POLICY)
+    out = cascade.evaluate(axes.role_scores(rows, fx.ROLES), fx.POLICY, cascade.detail_weights(fx.ROLES))
     return cascade.visible(out, fx.POLICY).select("item_id", r6("base", "score"))
 
 

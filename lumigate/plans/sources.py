@@ -13,6 +13,7 @@ from lumigate.functions import text as tx
 from lumigate.functions.vector import as_double
 from lumigate.operators import cascade, refine
 from lumigate.operators import inventory as inv
+from lumigate.operators.storage import shared_dir
 from lumigate.operators.axes import registry, role_scores, score_axes
 from lumigate.plans import fixtures as fx
 from lumigate.plans import sql as q
@@ -23,7 +24,7 @@ from lumigate.streaming import streams
 
 def _folder(spark: SparkSession, name: str) -> str:
     """A new folder in the one that the cluster shares."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/lumigate-shared'}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query()
@@ -69,7 +70,7 @@ def adjudicator_plugin(spark, sf):
         for b in batches:
             yield pd.DataFrame({"item_id": b["item_id"], "text": '{"k": ' + (b["item_id"] % 100 / 100).astype(str) + "}"})
 
-    said = fx.items(spark, sf).select("item_id").mapInPandas(judge, "item_id long, text string")
+    said = fx.shown(spark, sf).select("item_id").mapInPandas(judge, "item_id long, text string")
     return said.select("item_id", tx.parse_verdict(F.col("text"), ["k"])["k"].alias("k"))
 
 
@@ -78,7 +79,7 @@ def second_model_score(spark, sf):
     # the second model's vectors are another namespace; here the same ones, so that SQL can follow
     band = refine.refine_band(fx.shown(spark, sf), fx.POLICY).select("item_id")
     items = fx.items(spark, sf).join(F.broadcast(band), "item_id")
-    out = cascade.evaluate(role_scores(score_axes(items, registry(fx.prompts(spark, sf)), fx.POLICY.scale), fx.ROLES), fx.POLICY)
+    out = cascade.evaluate(role_scores(score_axes(items, registry(fx.prompts(spark, sf)), fx.POLICY.scale), fx.ROLES), fx.POLICY, cascade.detail_weights(fx.ROLES))
     return cascade.visible(out, fx.POLICY).select("item_id", r6("base", "score"))
 
 
@@ -116,7 +117,7 @@ def stream_score(spark, sf):
     items = _stream(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), as_double(F.col("embedding")).alias("embedding"), F.nullif(F.col("label") % 3 - 1, F.lit(-1)).alias("anchors"))
 
     def score(rows: DataFrame) -> DataFrame:
-        out = cascade.evaluate(role_scores(score_axes(rows, reg, fx.POLICY.scale), fx.ROLES), fx.POLICY)
+        out = cascade.evaluate(role_scores(score_axes(rows, reg, fx.POLICY.scale), fx.ROLES), fx.POLICY, cascade.detail_weights(fx.ROLES))
         return cascade.visible(out, fx.POLICY).select("item_id", r6("base", "score"))
 
     return _available(streams.stream_score(items, score), spark, "score")

@@ -23,11 +23,10 @@ PROMPTS = """ranked AS (SELECT label, vec_id, embedding::DOUBLE[] AS v, row_numb
 prompt AS (SELECT label AS axis, 'p' AS pol, vec_id AS pid, 1 + (rn - 1) * 0.5 AS w, v FROM ranked WHERE rn <= 4 UNION ALL SELECT (label + 9) % 10, 'n', vec_id, 1 + (rn - 1) * 0.5, v FROM ranked WHERE rn <= 4)"""
 
 
-def axis_scores(source: str, key: str) -> str:
-    """CTEs: axis_score(key, axis, score) of rows of source with column e."""
-    return f"""{PROMPTS},
-side AS (SELECT {key}, axis, pol, CASE WHEN axis % 2 = 0 THEN sum(w * d) / sum(w) ELSE max(d) END AS s FROM (SELECT {key}, axis, pol, w, list_dot_product(e, v) AS d FROM {source}, prompt) GROUP BY {key}, axis, pol),
-axis_score AS (SELECT {key}, axis, 1 / (1 + exp(-8.0 * (max(s) FILTER (pol = 'p') - coalesce(max(s) FILTER (pol = 'n'), 0)))) AS score FROM side GROUP BY {key}, axis)"""
+def axis_scores(source: str, key: str, name: str = "axis_score") -> str:
+    """CTEs over `prompt`: axis_score(key, axis, score), or another name, of rows of source with column e."""
+    return f"""side_{source} AS (SELECT {key}, axis, pol, CASE WHEN axis % 2 = 0 THEN sum(w * d) / sum(w) ELSE max(d) END AS s FROM (SELECT {key}, axis, pol, w, list_dot_product(e, v) AS d FROM {source}, prompt) GROUP BY {key}, axis, pol),
+{name} AS (SELECT {key}, axis, 1 / (1 + exp(-8.0 * (max(s) FILTER (pol = 'p') - coalesce(max(s) FILTER (pol = 'n'), 0)))) AS score FROM side_{source} GROUP BY {key}, axis)"""
 
 
 def detail(get) -> str:
@@ -49,6 +48,7 @@ GATED = f"""SELECT *, CASE WHEN excluded THEN 'excluded' WHEN e_soft < 0 THEN 's
       SELECT *, {ev("a0")} AS e_subject, {ev("a1")} AS e_soft, {ev("a2")} AS e_exclude, {ev("a3")} AS e_clear, {detail(lambda a: "a" + a)} AS parts FROM wide)))"""
 #: WITH ... ev (every item, internal), shown (what may be seen, with labels and names).
 ITEMS = f"""WITH RECURSIVE item AS (SELECT vec_id AS item_id, embedding::DOUBLE[] AS e, nullif(label % 3 - 1, -1) AS anchors, label AS k FROM embeddings),
+{PROMPTS},
 {axis_scores("item", "item_id")},
 wide AS (SELECT i.item_id, i.e, i.anchors, w.* EXCLUDE (item_id) FROM item i JOIN (SELECT item_id, {WIDE} FROM axis_score GROUP BY item_id) w USING (item_id)),
 ev AS ({GATED}),
@@ -56,9 +56,10 @@ lab AS (SELECT doc_id AS item_id, CASE WHEN toxic = 1 THEN 2 ELSE quality END AS
 shown AS (SELECT ev.*, lab.label, CASE lab.label WHEN 1 THEN 'good' WHEN 0 THEN 'bad' WHEN 2 THEN 'skip' ELSE 'unlabeled' END AS label_name, 'Item<' || item_id || '>.vec' AS name, 1700000000 + (item_id * 37) % 1000 AS mt FROM ev LEFT JOIN lab USING (item_id) WHERE stage = 'scored' AND NOT excluded)
 """
 _eligible = ", ".join(f"({a}, '{k}')" for a, kinds in ELIGIBLE.items() for k in ["full", *filter(None, kinds.split(","))])
-REGIONS = f"""WITH region AS (SELECT vec_id, vec_id // 5 AS item_id, vec_id % 5 AS place, ['full', 'bandtop', 'bandmid', 'bandlow', 'torso0'][vec_id % 5 + 1] AS region_key, ['full', 'band_upper', 'band_mid', 'band_lower', 'torso'][vec_id % 5 + 1] AS kind, embedding::DOUBLE[] AS e FROM embeddings),
-{axis_scores("region", "vec_id")},
-rs AS (SELECT r.item_id, r.region_key, r.kind, r.place, s.axis, s.score FROM region r JOIN axis_score s USING (vec_id)),
+#: Regions of items that may be seen only: the gate decides by the item.
+REGIONS = f"""{ITEMS}, region AS (SELECT vec_id, vec_id // 5 AS item_id, vec_id % 5 AS place, ['full', 'bandtop', 'bandmid', 'bandlow', 'torso0'][vec_id % 5 + 1] AS region_key, ['full', 'band_upper', 'band_mid', 'band_lower', 'torso'][vec_id % 5 + 1] AS kind, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id // 5 IN (SELECT item_id FROM shown)),
+{axis_scores("region", "vec_id", "region_score")},
+rs AS (SELECT r.item_id, r.region_key, r.kind, r.place, s.axis, s.score FROM region r JOIN region_score s USING (vec_id)),
 eligible(axis, kind) AS (VALUES {_eligible}),
 agg AS (SELECT item_id, axis, CASE WHEN f IS NOT NULL THEN greatest(f, coalesce(an, f), f + 0.5 * greatest(coalesce(ba - f, 0), 0)) END AS score FROM (
   SELECT item_id, rs.axis, max(score) FILTER (kind = 'full') AS f, max(score) FILTER (el.axis IS NOT NULL AND kind NOT LIKE 'band%') AS an, max(score) FILTER (el.axis IS NOT NULL AND kind LIKE 'band%') AS ba
@@ -89,6 +90,7 @@ before_ AS (SELECT * FROM kept UNION ALL SELECT doc_id, 'gone/' || path, content
 EVENTS = """WITH le AS (SELECT user_id AS item_id, CASE event_type WHEN 'purchase' THEN 1 WHEN 'error' THEN 0 WHEN 'view' THEN 2 END AS label, event_id AS seq FROM events WHERE event_type <> 'click'),
 fold AS (SELECT item_id, label FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY seq DESC) AS rn FROM le) WHERE rn = 1 AND label IS NOT NULL)
 """
-TRAIN = """WITH train AS (SELECT e.vec_id AS item_id, e.embedding::DOUBLE[] AS x, l.quality AS y FROM embeddings e JOIN labels l ON e.vec_id = l.doc_id),
+#: Labelled rows that may be seen only: no fit reads another.
+TRAIN = f"""{ITEMS}, train AS (SELECT shown.item_id, shown.e AS x, l.quality AS y FROM shown JOIN labels l ON shown.item_id = l.doc_id WHERE l.quality IN (0, 1)),
 pairs AS (SELECT d.doc_id AS id, d.n_chars::DOUBLE AS score, l.toxic AS y FROM documents d JOIN labels l USING (doc_id))
 """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import Column, DataFrame
@@ -82,11 +83,16 @@ class Policy:
 
 def check_roles(roles: dict[str, str]) -> None:
     """A registry has exactly one axis to exclude by and one that clears; there is no way to go without."""
+    check_role_counts(Counter(r if r in ROLES else None for r in roles.values()))
+
+
+def check_role_counts(axes: dict[str | None, int]) -> None:
+    """The same by the number of axes of each role; None counts those of no known role, or of two."""
     for role in ("exclude", "clear"):
-        if sum(r == role for r in roles.values()) != 1:
+        if axes.get(role, 0) != 1:
             raise ValueError(f"the registry must declare exactly one axis with the role {role}")
-    if unknown := set(roles.values()) - set(ROLES):
-        raise ValueError(f"unknown roles: {sorted(unknown)}")
+    if axes.get(None):
+        raise ValueError(f"{axes[None]} axes have no role, two, or one that isn't among {', '.join(ROLES)}")
 
 
 def settings_table(spark) -> DataFrame:

@@ -30,13 +30,13 @@ CASES = [
 
 
 def test_stages(spark):
-    got = {r.item_id: r.stage for r in cascade.evaluate(case(spark, [c[:5] for c in CASES]), Policy()).collect()}
+    got = {r.item_id: r.stage for r in cascade.evaluate(case(spark, [c[:5] for c in CASES]), Policy(), cascade.detail_weights(ROLES)).collect()}
     assert got == {c[0]: c[5] for c in CASES}
 
 
 def test_nothing_excluded_is_ever_seen(spark):
     bad = {c[0] for c in CASES if c[5] == "excluded"}
-    ev = cascade.evaluate(case(spark, [c[:5] for c in CASES]), Policy()).withColumn("score", F.col("base"))
+    ev = cascade.evaluate(case(spark, [c[:5] for c in CASES]), Policy(), cascade.detail_weights(ROLES)).withColumn("score", F.col("base"))
     for mode in ("include", "exclude", "only"):
         shown = cascade.visible(ev, Policy(policy_filter=mode))
         back = export.result_hook(shown, lambda rows: rows.select("item_id").unionByName(ev.select("item_id")))
