@@ -9,7 +9,7 @@ many pairs as hold the components together, so at most one row a member.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -98,14 +98,29 @@ def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _sides(t: pa.Table, names: dict[str, type]) -> list[dict]:
+def packed(h: np.ndarray) -> bytes:
+    """The distinct low 24 bits of hashes, sorted, 3 bytes each. For filters alone: hashes that fall together only let more pass."""
+    return np.unique(h.astype(np.uint32) & np.uint32(0xFFFFFF)).view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 3, 4), np.uint8)
+    out[:, :3] = np.frombuffer(data, np.uint8).reshape(-1, 3)
+    return out.view(np.uint32).ravel()
+
+
+def whole(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint64)
+
+
+def _sides(t: pa.Table, names: list[str], read: Callable[[bytes], np.ndarray]) -> list[dict]:
     """The two blocks of a task; one where it compares a block with itself."""
     own = t.column("i")[0].as_py() == t.column("j")[0].as_py()
     side = t.column("side").to_numpy()
     out = []
     for at in [np.arange(len(side))] if own else [np.flatnonzero(side == k) for k in (0, 1)]:
         part = t.take(pa.array(at))
-        out.append({c: part.column(c).to_numpy() for c in ("node", "c", "n")} | {x: [np.frombuffer(v.as_buffer(), kind) for v in part.column(x)] for x, kind in names.items()})
+        out.append({c: part.column(c).to_numpy() for c in ("node", "c", "n")} | {x: [read(v.as_buffer()) for v in part.column(x)] for x in names})
     return out
 
 
@@ -125,7 +140,7 @@ def possible_blocks(rows: DataFrame, parts: DataFrame, join) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in tasks(batches):
-            sides = _sides(t, {"part": np.uint32, "third": np.uint32})
+            sides = _sides(t, ["part", "third"], unpacked)
             if len(sides[0]["n"]) == 0 or len(sides[-1]["n"]) == 0:
                 continue
             x, y, own = sides[0], sides[-1], len(sides) == 1
@@ -152,7 +167,7 @@ def linked_blocks(rows: DataFrame, sets: DataFrame, join) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in tasks(batches):
-            sides = _sides(t, {"set": np.uint64})
+            sides = _sides(t, ["set"], whole)
             if len(sides[0]["n"]) == 0 or len(sides[-1]["n"]) == 0:
                 continue
             x, y = sides[0], sides[-1]

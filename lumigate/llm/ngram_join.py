@@ -38,13 +38,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumigate.llm.base import components, fixed_bitmap, forget, marked, row_key, slices, stored, table, trimmed, without
-from lumigate.llm.ngram_blocks import BLOCK, blocks_of, linked_blocks, possible_blocks
+from lumigate.llm.ngram_blocks import BLOCK, blocks_of, linked_blocks, packed, possible_blocks, unpacked
+from lumigate.llm.ngram_blocks import whole as whole_set
 from lumigate.llm.shingling import U, mixed, shingle_sets
 
 #: One odd multiplier for each further order.
 ORDERS = (U(0xC2B2AE3D27D4EB4F), U(0xD6E8FEB86659FD93))
 #: The prefix that is compared first under ORDERS[0]: hashes in this part of their range.
-PART = 0.3
+PART = 0.25
 #: log2 of the bits of each frequency bitmap (8 MB), and least and most of those of the bitmap of texts to compare (16 MB).
 FREQUENCY_BITS = 26
 TEXT_BITS = (20, 27)
@@ -117,11 +118,18 @@ def frequency_bitmaps(docs: DataFrame, join: Join) -> tuple[np.ndarray, np.ndarr
 
         def flush():
             h, n = np.unique(np.concatenate(held), return_counts=True)
-            begin, buckets = _by_bucket(h, join.bits)
-            low, n = ((h >> U(32 - join.bits)) & U(0xFFFFFFFF)).astype(np.uint32), np.minimum(n, 255).astype(np.uint8)
-            at = list(zip(begin[:-1], begin[1:], strict=True))
-            cols = [[np.diff(low[i:j], prepend=np.uint32(0)).tobytes() for i, j in at], [n[i:j].tobytes() for i, j in at]]
-            return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), *[pa.array(c, pa.binary()) for c in cols]], ["bucket", "steps", "counts"])
+            once, more = h[n == 1], h[n > 1]
+            n = np.minimum(n[n > 1], 255).astype(np.uint8)
+            rows = {}
+            for k, x in enumerate((once, more)):
+                begin, buckets = _by_bucket(x, join.bits)
+                low = ((x >> U(32 - join.bits)) & U(0xFFFFFFFF)).astype(np.uint32)
+                for bucket, i, j in zip(buckets.tolist(), begin[:-1], begin[1:], strict=True):
+                    row = rows.setdefault(bucket, [b""] * 3)
+                    row[k] = np.diff(low[i:j], prepend=np.uint32(0)).tobytes()
+                    if k:
+                        row[2] = n[i:j].tobytes()
+            return pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int32()), *[pa.array([r[k] for r in rows.values()], pa.binary()) for k in range(3)]], ["bucket", "once", "more", "counts"])
 
         for _, sets in _texts(batches, join):
             for s in sets:
@@ -137,8 +145,8 @@ def frequency_bitmaps(docs: DataFrame, join: Join) -> tuple[np.ndarray, np.ndarr
     segment = 1 << (FREQUENCY_BITS - join.bits)
 
     def classes(t: pa.Table) -> pa.Table:
-        low = np.concatenate([np.cumsum(np.frombuffer(x.as_py(), np.uint32), dtype=np.uint32) for x in t.column("steps")])
-        counts = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in t.column("counts")])
+        once, more = (np.concatenate([np.cumsum(np.frombuffer(x.as_py(), np.uint32), dtype=np.uint32) for x in t.column(c)]) for c in ("once", "more"))
+        low, counts = np.append(once, more), np.append(np.ones(len(once), np.uint8), np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in t.column("counts")]))
         order = np.argsort(low, kind="stable")
         low, counts = low[order], counts[order].astype(np.int64)
         at = np.flatnonzero(np.diff(low, prepend=low[:1] + 1 if len(low) else 0))
@@ -150,7 +158,7 @@ def frequency_bitmaps(docs: DataFrame, join: Join) -> tuple[np.ndarray, np.ndarr
             out.append(pa.array([np.packbits(bits).tobytes()], pa.binary()))
         return pa.table([t.column("bucket").slice(0, 1).combine_chunks(), *out], names=["bucket", "often", "very"])
 
-    steps = docs.select("text").mapInArrow(trimmed(count), "bucket int, steps binary, counts binary")
+    steps = docs.select("text").mapInArrow(trimmed(count), "bucket int, once binary, more binary, counts binary")
     found = steps.groupBy("bucket").applyInArrow(classes, "bucket int, often binary, very binary").collect()  # together two bitmaps of fixed size
     often, very = (np.zeros(1 << FREQUENCY_BITS, bool) for _ in range(2))
     for r in found:
@@ -247,16 +255,16 @@ def stars(index: DataFrame) -> DataFrame:
     return index.where("tok is not null").select("tok", "a", "b").union(met)
 
 
-def part_of(s: np.ndarray) -> np.ndarray:
-    """The set's prefix under ORDERS[0] up to a fixed hash, 4 bytes an element, sorted."""
+def part_of(s: np.ndarray) -> bytes:
+    """The set's prefix under ORDERS[0] up to a fixed hash, packed."""
     key = mixed(s * ORDERS[0])
-    return np.unique((key[key < U(int(PART * 2**64))] >> U(30)).astype(np.uint32))
+    return packed(key[key < U(int(PART * 2**64))] & U(0xFFFFFF))
 
 
-def third_of(s: np.ndarray, p: int) -> np.ndarray:
-    """The first p of a set under ORDERS[1], 4 bytes an element, sorted."""
-    key = mixed(s * ORDERS[1]) >> U(32)
-    return np.unique((key if p >= len(s) else np.partition(key, p - 1)[:p]).astype(np.uint32))
+def third_of(s: np.ndarray, p: int) -> bytes:
+    """The first p of a set under ORDERS[1], packed."""
+    key = mixed(s * ORDERS[1])
+    return packed((key if p >= len(s) else np.partition(key, p - 1)[:p]) & U(0xFFFFFF))
 
 
 def of_nodes(docs: DataFrame, nodes: DataFrame, join: Join, bitmaps, whole: bool) -> DataFrame:
@@ -276,7 +284,7 @@ def of_nodes(docs: DataFrame, nodes: DataFrame, join: Join, bitmaps, whole: bool
                 for s in shingle_sets(c.column("text"), join.words):
                     if len(s) and (n := node_of(s, bitmaps.value)) not in seen:
                         seen.add(n)
-                        out.append((n, len(s), *([s.tobytes()] if whole else [part_of(s).tobytes(), third_of(s, join.prefix(len(s))).tobytes()])))
+                        out.append((n, len(s), *([s.tobytes()] if whole else [part_of(s), third_of(s, join.prefix(len(s)))])))
                 cols = [pa.array([x[k] for x in out], t) for k, t in enumerate([pa.int64(), pa.int32(), *[pa.binary()] * len(names)])]
                 yield pa.RecordBatch.from_arrays(cols, ["node", "n", *names])
 
@@ -300,9 +308,9 @@ def filtered(pairs: DataFrame, sets: DataFrame, join: Join, whole: bool) -> Data
         return len(x[0]) - both <= n - least and len(y[0]) - both <= m - least and len(np.intersect1d(x[1], y[1], True)) > 0
 
     def run(batches):
-        kind = U if whole else np.uint32
+        read = whole_set if whole else unpacked
         for b in slices(batches):
-            of = [[[np.frombuffer(v.as_buffer(), kind) for v in b.column(f"{x}_{side}")] for x in names] for side in "ab"]
+            of = [[[read(v.as_buffer()) for v in b.column(f"{x}_{side}")] for x in names] for side in "ab"]
             sizes = zip(b.column("n_a").to_pylist(), b.column("n_b").to_pylist(), strict=True)
             keep = [i for i, (n, m) in enumerate(sizes) if passes([c[i] for c in of[0]], [c[i] for c in of[1]], n, m)]
             yield b.select(["a", "b"]).take(pa.array(keep, pa.int32()))
@@ -364,9 +372,8 @@ def similar_documents(docs: DataFrame, join: Join = Join()) -> tuple[DataFrame,
     parts = of_nodes(docs, texts, join, bitmaps, False)
     links = compared(docs, pairs, parts, texts, join, bitmaps)
     comp = components(links)
-    forget(pairs)
     members = stored(edges.select("tok", F.explode(F.array("a", "b")).alias("node")).distinct().join(texts.select("node", "n"), "node"), "ngram-members")
-    forget(edges)
+    forget(pairs, edges)
     turn = 0
     while True:
         opened = open_members(members, comp)
@@ -384,13 +391,14 @@ def similar_documents(docs: DataFrame, join: Join = Join()) -> tuple[DataFrame,
     forget(members)
     # by the filters alone, in blocks: which nodes may have a partner in another component, and pairs of components that hold these together
     maybe = stored(possible_blocks(blocks_of(opened, "tok"), parts, join), "ngram-maybe")
+    forget(opened, parts)
     clusters = components(maybe.where("a is not null").select("a", "b"))
     some = maybe.where("node is not null").select("node").distinct()
     at = with_component(texts.join(some, "node", "left_semi"), comp, "node", "c")
     at = stored(at.join(clusters.select(F.col("node").alias("c"), F.col("component").alias("cluster")), "c"), "ngram-clusters")
     sets = of_nodes(docs, at, join, bitmaps, True)
     joined = stored(linked_blocks(blocks_of(at, "cluster"), sets, join), "ngram-links")
-    forget(opened, parts, texts, maybe, at, sets)
+    forget(texts, maybe, at, sets)
     links = links.union(joined.select("a", "b"))
     over = components(joined.select("ca", "cb"), "ca", "cb").select(F.col("node").alias("class"), F.col("component").alias("over"))
     named = with_component(nodes, comp, "node", "class").join(over, "class", "left").withColumn("class", F.coalesce("over", "class")).drop("over")
