@@ -15,6 +15,12 @@ def decisions(shown: DataFrame, threshold: float) -> DataFrame:
     return shown.select("item_id", "score", F.when(F.col("score") >= threshold, "match").otherwise("no_match").alias("decision"))
 
 
+def rejects(rows: DataFrame, faults: dict[str, Column]) -> DataFrame:
+    """item_id and reason of rows that have a fault: the first of faults (reason: whether a row has it) that holds."""
+    reason = F.coalesce(*[F.when(has, why) for why, has in faults.items()])
+    return rows.select("item_id", reason.alias("reason")).where("reason is not null")
+
+
 def write_table(rows: DataFrame, path: str, form: str = "parquet", by: list[str] | None = None) -> None:
     """Parquet, CSV with a header, or JSON lines, in folders by columns if wanted."""
     w = rows.write.mode("overwrite").option("header", True)
@@ -100,10 +106,11 @@ def report_rows(shown: DataFrame, axes: Column) -> DataFrame:
 
 
 def result_hook(shown: DataFrame, hook: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """A user's transformation of review rows; what it returns is held to visible items, and its failure leaves the rows."""
+    """A user's transformation of review rows; what it returns is held to visible items, and its failure leaves the rows.
+
+    Its result is stored, so that a failure in a task is met here and not in what is done with the rows later.
+    """
     try:
-        out = shown.transform(hook)
-        out.select("item_id")
-    except Exception:  # noqa: BLE001  a hook that can't be planned is as if there were none
+        return stored(shown.transform(hook).join(shown.select("item_id").distinct(), "item_id", "left_semi"), "hook")
+    except Exception:  # noqa: BLE001  a hook that can't be planned or fails in a task is as if there were none
         return shown
-    return out.join(shown.select("item_id").distinct(), "item_id", "left_semi")

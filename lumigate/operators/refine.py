@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +37,24 @@ def join_verdicts(items: DataFrame, verdicts: DataFrame) -> tuple[DataFrame, Dat
     return items.join(verdicts, key), items.join(verdicts, key, "left_anti")
 
 
+def judged(items: DataFrame, judge: Callable[[], Callable[[int], str | None]]) -> DataFrame:
+    """item_id and the text that a judge, built once in a task, gives for it; null where it fails, so that one item's failure stops no job."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ask = judge()
+
+        def answer(item: int) -> str | None:
+            try:
+                return ask(item)
+            except Exception:  # noqa: BLE001  the judge is a plug-in
+                return None
+
+        for b in batches:
+            yield pd.DataFrame({"item_id": b["item_id"], "text": pd.Series([answer(int(x)) for x in b["item_id"]], dtype=object, index=b.index)})
+
+    return items.select("item_id").mapInPandas(run, "item_id long, text string")
+
+
 def with_second(evaluated: DataFrame, verdicts: DataFrame, p: Policy) -> DataFrame:
     """Scores blended with second ones; a second opinion may add an exclusion and never take one away."""
     rows = evaluated.join(verdicts.select("item_id", F.col("score").alias("second"), F.col("flag").alias("second_flag")), "item_id", "left")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,7 @@ from lumigate.functions import text as tx
 from lumigate.functions import vector as vec
 from lumigate.operators import axes, cascade, export, labels, learning, refine, regions, review, views
 from lumigate.operators import inventory as inv
+from lumigate.operators.storage import shared_dir
 from lumigate.plans import fixtures as fx
 from lumigate.plans import sql as q
 
@@ -420,6 +422,12 @@ def duplicate_groups(spark, sf):
     return inv.duplicate_groups(fx.inventory(spark, sf))
 
 
+@query(q.INVENTORY + "SELECT content_hash, path FROM inv WHERE content_hash IN (SELECT content_hash FROM inv GROUP BY content_hash HAVING count(*) > 1)")
+def duplicate_members(spark, sf):
+    rows = fx.inventory(spark, sf)
+    return inv.duplicate_members(rows, inv.duplicate_groups(rows))
+
+
 @query(q.INVENTORY + "SELECT content_hash, path FROM (SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY path) AS rn FROM inv) WHERE rn > 1")
 def duplicate_remainder(spark, sf):
     return inv.duplicate_remainder(fx.inventory(spark, sf))
@@ -776,24 +784,40 @@ def join_verdicts(spark, sf):
 
 # Sinks --------------------------------------------------------------------------------------------------------
 
+def _written(rows: DataFrame, form: str, by: list[str] | None = None) -> DataFrame:
+    """rows as a sink has written them, read again."""
+    path = f"{shared_dir(rows.sparkSession)}/sink-{uuid.uuid4().hex}"
+    export.write_table(rows, path, form, by)
+    return rows.sparkSession.read.schema(rows.schema).option("header", True).format(form).load(path)
+
+
 @query(q.ITEMS + "SELECT item_id, round(score, 6) AS score, CASE WHEN score >= 0.35 THEN 'match' ELSE 'no_match' END AS decision FROM shown")
 def write_decisions(spark, sf):
-    return export.decisions(fx.shown(spark, sf), 0.35).withColumn("score", F.round("score", 6))
+    return _written(export.decisions(fx.shown(spark, sf), 0.35).withColumn("score", F.round("score", 6)), "parquet")
+
+
+@query("SELECT doc_id AS item_id, 'no content' AS reason FROM documents WHERE text IS NULL OR text = ''")
+def write_rejects(spark, sf):
+    rows = fx.table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), "text")
+    return _written(export.rejects(rows, {"no content": F.coalesce("text", F.lit("")) == ""}), "json")
 
 
 @query(q.ITEMS + f"SELECT item_id, label_name || '/' || {q.band('score')} AS folder FROM shown")
 def export_partitioned(spark, sf):
-    return fx.shown(spark, sf).select("item_id", export.folders("score_band_label", F.col("label_name"), F.col("score")).alias("folder"))
+    folder = export.folders("score_band_label", F.col("label_name"), F.col("score"))
+    rows = fx.shown(spark, sf).select("item_id", folder.alias("folder"), "label_name", tx.score_band(F.col("score")).alias("band"))
+    out = _written(rows, "parquet", ["label_name", "band"])
+    return out.where("folder = concat(label_name, '/', band)").select("item_id", "folder")
 
 
 @query(q.ITEMS + "SELECT name, round(score, 6) AS score, label_name FROM shown")
 def export_csv(spark, sf):
-    return fx.shown(spark, sf).select("name", r6("score", "score"), "label_name")
+    return _written(fx.shown(spark, sf).select("name", r6("score", "score"), "label_name"), "csv")
 
 
 @query(q.ITEMS + "SELECT item_id, name, round(score, 6) AS score, stage, label_name FROM shown")
 def export_json(spark, sf):
-    return fx.shown(spark, sf).select("item_id", "name", r6("score", "score"), "stage", "label_name")
+    return _written(fx.shown(spark, sf).select("item_id", "name", r6("score", "score"), "stage", "label_name"), "json")
 
 
 @query(q.ITEMS + "SELECT item_id, replace(replace(replace(name, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS name, printf('%.3f', round(score, 10)) AS score_text, label_name, " + " || ', ' || ".join(f"'{k}=' || printf('%.3f', round(a{k}, 10))" for k in range(10)) + " AS axis_text FROM shown")

@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumigate.functions import text as tx
 from lumigate.functions.vector import as_double
-from lumigate.operators import cascade, refine
+from lumigate.operators import cascade, refine, regions
 from lumigate.operators import inventory as inv
 from lumigate.operators.storage import shared_dir
 from lumigate.operators.axes import registry, role_scores, score_axes
@@ -56,21 +54,38 @@ def embedder_plugin(spark, sf):
     return out.select("content_hash", F.size("vector").alias("dim"))
 
 
-@query()
+def _pictures(spark, sf):
+    """An image of every frame, of one byte a pixel, which are the frame's number again and again."""
+    pixels = F.expr("cast(rpad('', width * height, cast(item_id as string)) as binary)")
+    name = F.sha1(F.concat_ws("x", "width", "height", "item_id"))
+    return fx.frames(spark, sf).select("item_id", name.alias("content_hash"), F.struct("width", "height", pixels.alias("data")).alias("image"))
+
+
+_CROPS = q.FRAMES + f", crop AS (SELECT item_id, region_key, {q.BOX} FROM (SELECT * FROM ar UNION ALL SELECT * FROM fb) WHERE {q.BIG})"
+
+
+@query(_CROPS + """ SELECT sha1(width || 'x' || height || 'x' || item_id) AS content_hash, 'hash__g1' AS namespace, region_key, 16 AS dim
+FROM frame JOIN (SELECT item_id, region_key FROM crop UNION ALL SELECT item_id, 'full' FROM frame) USING (item_id) WHERE NOT (region_key = 'full' AND item_id % 3 = 0)""")
 def region_embed(spark, sf):
-    rows = _contents(spark, sf).where("doc_id % 2 = 0").withColumn("namespace", F.lit("m__g1"))
-    cache = rows.where("doc_id % 4 = 0").select("content_hash", "namespace")
-    todo = inv.pending(rows, cache)
-    return images.embed_distinct(rows.join(todo, ["content_hash", "namespace"], "left_semi"), images.HashEmbedder)
+    frames = fx.frames(spark, sf)
+    pictures, plan = _pictures(spark, sf), regions.plan_regions(frames, fx.geometry(spark))
+    # an earlier run has embedded the full frames with anchors
+    cache = pictures.join(frames.where("anchors is not null").select("item_id"), "item_id").select("content_hash", F.lit("hash__g1").alias("namespace"), F.lit("full").alias("region_key"))
+    out = images.embed_regions(pictures, plan, cache, "hash__g1", images.HashEmbedder)
+    return out.select("content_hash", "namespace", "region_key", F.size("vector").alias("dim"))
 
 
-@query()
+@query(q.ITEMS + "SELECT item_id, CASE WHEN item_id % 7 <> 0 THEN (item_id % 100) / 100.0 END AS k FROM shown")
 def adjudicator_plugin(spark, sf):
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"item_id": b["item_id"], "text": '{"k": ' + (b["item_id"] % 100 / 100).astype(str) + "}"})
+    def judge():
+        def ask(item: int) -> str:
+            if item % 7 == 0:
+                raise ValueError("the model gave no answer")
+            return f'{{"k": {item % 100 / 100}}}'
 
-    said = fx.shown(spark, sf).select("item_id").mapInPandas(judge, "item_id long, text string")
+        return ask
+
+    said = refine.judged(fx.shown(spark, sf), judge)
     return said.select("item_id", tx.parse_verdict(F.col("text"), ["k"])["k"].alias("k"))
 
 
@@ -123,10 +138,12 @@ def stream_score(spark, sf):
     return _available(streams.stream_score(items, score), spark, "score")
 
 
-@query("SELECT DISTINCT sha1(text) AS content_hash FROM documents WHERE text IS NOT NULL")
+@query("SELECT DISTINCT sha1(text) AS content_hash FROM documents WHERE text IS NOT NULL AND sha1(text) NOT IN (SELECT sha1(text) FROM documents WHERE lang = 'de' AND text IS NOT NULL)")
 def stream_dedup(spark, sf):
+    # a run before this one has given out the German texts
+    known = fx.table(spark, sf, "documents").where("lang = 'de' and text is not null").select(F.sha1("text").alias("content_hash")).distinct()
     docs = _stream(spark, sf, "documents").where("text is not null").select(F.sha1("text").alias("content_hash"), F.timestamp_seconds(F.lit(1_600_000_000)).alias("at"))
-    return _available(streams.stream_dedup(docs, "at"), spark, "dedup").select("content_hash")
+    return _available(streams.stream_dedup(docs, "at", known=known), spark, "dedup").select("content_hash")
 
 
 @query("SELECT doc_id FROM documents")
@@ -146,11 +163,7 @@ def decode_quarantine(spark, sf):
     return images.decode(spark, sf)[1].select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "reason")
 
 
-@query(q.FRAMES + f"SELECT item_id, region_key, r - l AS width, b - t AS height FROM (SELECT item_id, region_key, {q.BOX} FROM fb WHERE {q.BIG} AND item_id < 40 UNION ALL SELECT item_id, 'full', 0, 0, width, height FROM frame WHERE item_id < 40 AND item_id % 3 <> 0)")
+@query(_CROPS + " SELECT item_id, region_key, r - l AS width, b - t AS height FROM crop UNION ALL SELECT item_id, 'full', width, height FROM frame")
 def crop_regions(spark, sf):
-    from lumigate.operators import regions
-
-    small = fx.frames(spark, sf).where("item_id < 40 and item_id % 3 <> 0")
-    pixels = F.expr("cast(repeat('x', width * height) as binary)")
-    pics = small.select("item_id", F.struct("width", "height", pixels.alias("data")).alias("image"))
-    return images.crop_regions(pics, regions.plan_regions(small, fx.geometry(spark))).select("item_id", "region_key", "width", "height")
+    plan = regions.plan_regions(fx.frames(spark, sf), fx.geometry(spark))
+    return images.crop_regions(_pictures(spark, sf), plan).select("item_id", "region_key", "width", "height")

@@ -25,7 +25,10 @@ class Embedder(Protocol):
 
 
 def scan_inventory(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
-    """path, mtime, size of files under folder by suffix, whatever its case. Contents aren't read unless asked for."""
+    """path, mtime, size of files under folder by suffix, whatever its case. Contents aren't read unless asked for.
+
+    Spark's file sources pass over files of no bytes, so neither this nor `decode` lists them.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     wanted = F.lower(F.col("path")).rlike(r"\.(" + "|".join(suffixes) + ")$")
     return files.where(wanted).select("path", F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), "content")
@@ -63,20 +66,42 @@ def embed_prompts(prompts: DataFrame, embedder: Callable[[], Embedder]) -> DataF
 
 
 def crop_regions(images: DataFrame, plan: DataFrame) -> DataFrame:
-    """item_id, region_key and content of each planned box of images (item_id, image); a box outside is dropped."""
+    """item_id, region_key, width, height and data of each planned box of images (item_id, image); a box outside is dropped.
+
+    An image is joined to the list of its boxes, which the geometry bounds, so that it is sent once and not once for each box.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
             for r in b.itertuples():
                 pixels = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, -1)
-                part = pixels if pd.isna(r.l) else pixels[int(r.t) : int(r.b), int(r.l) : int(r.r)]
-                if part.size:
-                    rows.append((r.item_id, r.region_key, part.shape[1], part.shape[0], part.tobytes()))
-            yield pd.DataFrame(rows, columns=["item_id", "region_key", "width", "height", "data"])
+                parts = [(x["region_key"], pixels if pd.isna(x["l"]) else pixels[int(x["t"]) : int(x["b"]), int(x["l"]) : int(x["r"])]) for x in r.boxes]
+                rows = [(r.item_id, key, part.shape[1], part.shape[0], part.tobytes()) for key, part in parts if part.size]
+                yield pd.DataFrame(rows, columns=["item_id", "region_key", "width", "height", "data"])
+
+    boxes = plan.groupBy("item_id").agg(F.collect_list(F.struct("region_key", "l", "t", "r", "b")).alias("boxes"))
+    cut = images.select("item_id", "image.width", "image.height", "image.data").join(boxes, "item_id")
+    return cut.mapInPandas(run, "item_id long, region_key string, width int, height int, data binary")
+
+
+def embed_regions(images: DataFrame, plan: DataFrame, cache: DataFrame, namespace: str, embedder: Callable[[], Embedder]) -> DataFrame:
+    """content_hash, namespace, region_key and vector of the planned regions that the cache (those three keys) lacks.
+
+    images has item_id, content_hash and image. A region of a content is cut and embedded once, whatever the number of its items,
+    and what the cache has is neither cut nor embedded.
+    """
+    keys = ["content_hash", "namespace", "region_key"]
+    wanted = plan.join(images.select("item_id", "content_hash"), "item_id").withColumn("namespace", F.lit(namespace))
+    todo = wanted.join(cache.select(*keys), keys, "left_anti").dropDuplicates(keys)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = embedder()
+        for b in batches:
+            if len(b):
+                yield b[["item_id", "region_key"]].assign(vector=list(model.embed([bytes(x) for x in b["data"]]).astype(float)))
 
-    cut = plan.join(images.select("item_id", "image.width", "image.height", "image.data"), "item_id")
-    return cut.select("item_id", "region_key", "l", "t", "r", "b", "width", "height", "data").mapInPandas(run, "item_id long, region_key string, width int, height int, data binary")
+    vectors = crop_regions(images, todo).mapInPandas(run, "item_id long, region_key string, vector array<double>")
+    return vectors.join(todo.select("item_id", *keys), ["item_id", "region_key"]).select(*keys, "vector")
 
 
 def read_labels(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -20,9 +20,13 @@ def stream_score(stream: DataFrame, score: Callable[[DataFrame], DataFrame]) ->
     return score(stream)
 
 
-def stream_dedup(stream: DataFrame, time: str, delay: str = "1 hour") -> DataFrame:
-    """The first row of each content within the watermark."""
-    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(["content_hash"])
+def stream_dedup(stream: DataFrame, time: str, delay: str = "1 hour", known: DataFrame | None = None) -> DataFrame:
+    """The first row of each content within the watermark, without the contents that known (content_hash) has.
+
+    The watermark bounds the state; a table of the contents given out before it, read anew in each micro-batch, covers the time before.
+    """
+    fresh = stream if known is None else stream.join(known.select("content_hash"), "content_hash", "left_anti")
+    return fresh.withWatermark(time, delay).dropDuplicatesWithinWatermark(["content_hash"])
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
