@@ -29,12 +29,13 @@ is its smallest doc_id that isn't null; repeated rows are equal documents; other
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumigate.llm.base import components, fixed_bitmap, forget, marked, row_key, slices, stored, table, trimmed, without
@@ -75,6 +76,10 @@ class Join:
     def linked(self, both: int, a: int, b: int) -> bool:
         return 100 * both >= self.percent * (a + b - both)
 
+    def size_class(self, n: Column) -> Column:
+        """Sizes of similar sets are in the same class or in neighbouring ones."""
+        return F.floor(F.log(n) / (max(0.01, math.log(100 / self.percent)) * (1 + 1e-9)))
+
 
 def classes_of(s: np.ndarray, often: np.ndarray, very: np.ndarray) -> np.ndarray:
     """0 counted and rare, 1 counted and of the middle, 2 not counted, 3 very often."""
@@ -293,6 +298,26 @@ def of_nodes(docs: DataFrame, nodes: DataFrame, join: Join, bitmaps, whole: bool
     return stored(rows.groupBy("node").agg(F.any_value("n").alias("n"), *[F.any_value(x).alias(x) for x in names]), "ngram-sets", "zstd")
 
 
+def by_size(pairs: DataFrame, sizes: DataFrame, join: Join) -> DataFrame:
+    """The pairs a, b whose sizes similar sets can have; stored. sizes has node and n."""
+    for side in "ba":
+        pairs = pairs.join(sizes.select(F.col("node").alias(side), F.col("n").cast("long").alias(f"n_{side}")), side)
+    small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
+    return stored(pairs.where(100 * small >= join.percent * large).select("a", "b"), "ngram-sized")
+
+
+def only(sets: DataFrame, ends: DataFrame) -> DataFrame:
+    """sets less nearly all whose node isn't in ends (stored), by a bitmap of a bounded size, so that they aren't shuffled."""
+    bits = min(TEXT_BITS[1], max(TEXT_BITS[0], (16 * ends.count()).bit_length()))
+    sent = sets.sparkSession.sparkContext.broadcast(fixed_bitmap(ends, "node", bits))
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(marked(sent.value, b.column("node").to_numpy(), bits)))
+
+    return sets.mapInArrow(trimmed(run), sets.schema)
+
+
 def filtered(pairs: DataFrame, sets: DataFrame, join: Join, whole: bool) -> DataFrame:
     """The pairs a, b that may be similar by their sizes and by the second and third order; or, with whole sets, that are."""
     names = ["set"] if whole else ["part", "third"]
@@ -326,7 +351,10 @@ def ends_of(pairs: DataFrame) -> DataFrame:
 
 def compared(docs: DataFrame, pairs: DataFrame, parts: DataFrame, texts: DataFrame, join: Join, bitmaps) -> DataFrame:
     """The similar ones of pairs: by the filters first, and whole sets only for what these leave."""
-    likely = stored(filtered(pairs, parts, join, False), "ngram-likely")
+    sized = by_size(pairs, texts, join)
+    ends = stored(ends_of(sized), "ngram-ends")
+    likely = stored(filtered(sized, only(parts, ends), join, False), "ngram-likely")
+    forget(sized, ends)
     ends = stored(texts.join(ends_of(likely), "node", "left_semi"), "ngram-ends")
     sets = of_nodes(docs, ends, join, bitmaps, True)
     out = stored(filtered(likely, sets, join, True), "ngram-links")
@@ -351,12 +379,24 @@ def open_members(members: DataFrame, comp: DataFrame) -> DataFrame:
 
     A group of two nodes has no pair but its star's.
     """
-    at = with_component(members, comp, "node", "c")
+    at = with_component(members.select("tok", "node", "n"), comp, "node", "c")
     groups = at.groupBy("tok").agg(F.count("*").alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("h")).where("size > 2 and lo <> hi")
     groups = groups.groupBy("size", "h").agg(F.min("tok").alias("tok"))
     return stored(at.join(groups.select("tok", "size"), "tok"), "ngram-open")
 
 
+def with_partners(opened: DataFrame, join: Join) -> DataFrame:
+    """The members of open groups that have a node of another component and of a size near theirs in their group; stored.
+
+    Sizes are compared by class, so that a group of any size gives one row a class and none is sorted.
+    """
+    at = opened.withColumn("size_class", join.size_class(F.col("n")))
+    near = at.groupBy("tok", "size_class").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    near = near.withColumn("size_class", F.explode(F.array(*[F.col("size_class") + d for d in (-1, 0, 1)])))
+    near = near.groupBy("tok", "size_class").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("tok", "size_class")
+    return stored(at.join(near, ["tok", "size_class"], "left_semi").select("tok", "node", "n", "c"), "ngram-open")
+
+
 def similar_documents(docs: DataFrame, join: Join = Join()) -> tuple[DataFrame, DataFrame]:
     """(nodes, links): key, doc_id, n_shingles, node and component_id of every row; verified pairs of nodes that hold the components."""
     spark = docs.sparkSession
@@ -374,9 +414,10 @@ def similar_documents(docs: DataFrame, join: Join = Join()) -> tuple[DataFrame,
     comp = components(links)
     members = stored(edges.select("tok", F.explode(F.array("a", "b")).alias("node")).distinct().join(texts.select("node", "n"), "node"), "ngram-members")
     forget(pairs, edges)
-    turn = 0
+    # components only grow, so a group that isn't open stays so
+    opened, turn = open_members(members, comp), 0
+    forget(members)
     while True:
-        opened = open_members(members, comp)
         large = opened.where(f"size > {BLOCK}")
         if not large.limit(1).count():
             break
@@ -384,11 +425,12 @@ def similar_documents(docs: DataFrame, join: Join = Join()) -> tuple[DataFrame,
         added, tried, turn = compared(docs, more, parts, texts, join, bitmaps), more.count(), turn + 1
         links = links.union(added)
         comp = components(links)
-        forget(more, opened)
+        was, opened = opened, open_members(opened, comp)
+        forget(more, was)
         if added.count() * STAR_YIELD < tried:
-            opened = open_members(members, comp)
             break
-    forget(members)
+    was, opened = opened, with_partners(opened, join)
+    forget(was)
     # by the filters alone, in blocks: which nodes may have a partner in another component, and pairs of components that hold these together
     maybe = stored(possible_blocks(blocks_of(opened, "tok"), parts, join), "ngram-maybe")
     forget(opened, parts)
