@@ -10,6 +10,7 @@ from lumigate.llm.line_dedup import op3_line_dedup
 from lumigate.llm.mixing import mixing_sql, op4_mixing
 from lumigate.llm.ngram_join import op8_ngram_join
 from lumigate.llm.pii import op10_personal_data
+from lumigate.llm.quality import op13_quality_rules
 from lumigate.llm.secrets import op6_secrets
 from lumigate.llm.token_counts import op5_token_counts
 from lumigate.llm.toxicity import op2_toxicity
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_ngram_join": op8_ngram_join,
     "op9_binary_output": op9_binary_output,
     "op10_personal_data": op10_personal_data,
+    "op13_quality_rules": op13_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_embedding_dedup": EMBEDDING_SQL, "op4_mixing": mixing_sql()}
