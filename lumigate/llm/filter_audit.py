@@ -136,7 +136,9 @@ def counted(spark: SparkSession, path: str, labels: DataFrame, work: str, batche
     each = max(1, -(-len(files.inputFiles()) // batches))
     flags = stored(marks(labels), "audit-marks")
     few = flags.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    stream = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", each).parquet(path)
+    # a pattern that only this path meets: streams take a single file by a pattern alone
+    name = path.rstrip("/")
+    stream = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", each).parquet(f"{name[:-1]}[{name[-1]}]")
     rows = stream.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("part"), "text")
     rows = rows.mapInArrow(masked, "doc_id long, part string, bits int, key binary")
     rows = rows.join(F.broadcast(flags) if few else flags, "doc_id", "left").select("doc_id", "part", F.col("bits").bitwiseOR(F.coalesce("flags", F.lit(0))).alias("bits"), "key")
