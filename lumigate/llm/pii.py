@@ -47,17 +47,29 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def iban_ok(value: str) -> bool:
-    v = value.replace(" ", "").upper()
-    return 15 <= len(v) <= 34 and int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
+#: Of a letter or digit in an account number: its value, and the power of ten that it shifts what precedes by.
+VALUES = {c: (int(c, 36), 10 if c.isdigit() else 100) for c in "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"}
 
 
 def iban_end(text: str, start: int, end: int) -> int | None:
-    """Where the longest account number that begins at start, ends before a letter or digit doesn't follow, and passes its checksum."""
-    for stop in range(end, start + 14, -1):
-        if text[stop - 1] != " " and not text[stop : stop + 1].isalnum() and iban_ok(text[start:stop]):
-            return stop
-    return None
+    """Where the longest account number of 15 to 34 characters that begins at start, ends before a letter or digit doesn't follow, and passes its checksum.
+
+    The checksum is that of the number with its first four characters, six digits, moved to its end: one running remainder gives it for every end.
+    """
+    rest = head = n = 0
+    found = None
+    for at in range(start, end):
+        if text[at] == " ":
+            continue
+        value, shift = VALUES[text[at]]
+        n += 1
+        if n <= 4:
+            head = head * shift + value
+        else:
+            rest = (rest * shift + value) % 97
+        if 15 <= n <= 34 and (rest * 1_000_000 + head) % 97 == 1 and not text[at + 1 : at + 2].isalnum():
+            found = at + 1
+    return found
 
 
 def _back(text: str, at: int, floor: int, chars: frozenset) -> int:
