@@ -65,7 +65,7 @@ def _checksum(m: re.Match) -> bool:
 def _jwt(m: re.Match) -> bool:
     try:
         return all(isinstance(json.loads(base64.urlsafe_b64decode(p + "=" * (-len(p) % 4))), dict) for p in (m[1], m[2]))
-    except ValueError:
+    except (ValueError, RecursionError):  # neither text nor JSON, or nested deeper than any token
         return False
 
 

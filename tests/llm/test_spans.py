@@ -98,3 +98,30 @@ def test_an_account_number_ends_before_the_words_that_follow():
         assert ("iban", 5, 27) in scan("iban GB82WEST12345698765432" + after), after
         assert ("iban", 5, 32) in scan("IBAN GB82 WEST 1234 5698 7654 32" + after), after
     assert not [s for s in scan("iban GB83WEST12345698765432 thank you") if s[0] == "iban"]
+
+
+def test_the_end_of_an_account_number_is_that_of_trying_every_end():
+    import random
+
+    rnd = random.Random(6)
+
+    def ok(value):
+        v = value.replace(" ", "").upper()
+        return 15 <= len(v) <= 34 and int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
+
+    for _ in range(3000):
+        text = "GB82WEST12345698765432" * rnd.randint(0, 1) + "".join(rnd.choice("AB1 2z") for _ in range(rnd.randint(0, 40))) + "é"
+        text = ("GB82" + text) if not text.startswith("GB82") else text
+        ends = [e for e in range(len(text) - 1, 14, -1) if text[e - 1] != " " and not text[e : e + 1].isalnum() and ok(text[:e])]
+        assert pii.iban_end(text, 0, len(text) - 1) == (ends[0] if ends else None)
+
+
+def test_a_deeply_nested_token_is_none():
+    import base64
+
+    def part(levels):
+        return base64.urlsafe_b64encode(b'{"a":' * levels + b"1" + b"}" * levels).decode().rstrip("=")
+
+    scan = secrets.secret_finder()
+    assert [s for s in scan(f"x {part(2)}.{part(1)}.sig y") if s[0] == "jwt"]
+    assert not [s for s in scan(f"x {part(100_000)}.{part(1)}.sig y") if s[0] == "jwt"]
