@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumigate.functions.vector import as_double, cosine_similarity
+from lumigate.functions.vector import cosine_similarity
+from lumigate.operators.similarity import units
 
 # The place of each bucket in a sorted view.
 BUCKETS = {"Likely match": 0, "Likely false positive": 1, "Likely false negative": 2, "Uncertain": 3}
@@ -47,10 +48,11 @@ def summary(shown: DataFrame, threshold: float) -> DataFrame:
 
 
 def similar(shown: DataFrame, anchor_id: int, n: int) -> DataFrame:
-    """The n visible items nearest to a visible anchor; nothing if the anchor isn't visible."""
-    anchor = shown.where(F.col("item_id") == anchor_id).select(as_double(F.col("embedding")).alias("_a")).limit(1)
-    near = shown.where(F.col("item_id") != anchor_id).join(F.broadcast(anchor))
-    return near.select("item_id", cosine_similarity(as_double(F.col("embedding")), F.col("_a")).alias("similarity")).orderBy(F.desc("similarity"), "item_id").limit(n)
+    """The n visible items nearest to a visible anchor; nothing if the anchor isn't visible. Vectors without a direction are near to nothing."""
+    rows = units(shown)
+    anchor = rows.where(F.col("item_id") == anchor_id).select(F.col("vector").alias("_a")).limit(1)
+    near = rows.where(F.col("item_id") != anchor_id).join(F.broadcast(anchor))
+    return near.select("item_id", cosine_similarity(F.col("vector"), F.col("_a")).alias("similarity")).orderBy(F.desc("similarity"), "item_id").limit(n)
 
 
 def sort_key(mode: str) -> list[Column]:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lumigate import policy as pol
 from lumigate.functions import text as tx
 from lumigate.functions import vector as vec
-from lumigate.operators import axes, cascade, export, labels, learning, refine, regions, review, views
+from lumigate.operators import axes, cascade, export, labels, learning, refine, regions, review, similarity, views
 from lumigate.operators import inventory as inv
 from lumigate.operators.storage import shared_dir
 from lumigate.plans import fixtures as fx
@@ -351,6 +351,13 @@ def similar_items(spark, sf):
     return views.similar(shown, -1 if first is None else first, 12).select("item_id", r6("similarity", "similarity"))
 
 
+@query()
+def similar_batch(spark, sf):
+    """The five nearest of every visible item, by the index; tests hold its recall against all pairs."""
+    shown = fx.shown(spark, sf).select("item_id", "embedding")
+    return similarity.similar_to_each(shown, shown, 5).select("anchor", "item_id", r6("similarity", "similarity"), "rank")
+
+
 @query(q.ITEMS + "SELECT item_id, row_number() OVER (ORDER BY lower(name), score DESC, item_id)::INTEGER AS place FROM shown ORDER BY lower(name), score DESC, item_id LIMIT 50")
 def view_sort(spark, sf):
     from pyspark.sql import Window
