@@ -10,8 +10,8 @@ POOL = 20_000
 
 
 def fold(events: DataFrame) -> DataFrame:
-    """The current label of each item: that of its last event; a null label clears. Undo and redo are later events."""
-    last = events.groupBy("item_id").agg(F.max_by(F.struct("label"), "seq")["label"].alias("label"))
+    """The current label of each item: that of its last event; a null label clears. Undo and redo are later events. Of equal seqs the larger label counts."""
+    last = events.groupBy("item_id").agg(F.max(F.struct("seq", "label"))["label"].alias("label"))
     return last.where("label is not null")
 
 

@@ -16,7 +16,9 @@ from lumigate.operators.axes import registry, role_scores, score_axes
 from lumigate.plans import fixtures as fx
 from lumigate.plans import sql as q
 from lumigate.plans.queries import query, r6
+from lumigate.operators.vector_store import VectorStore, give_once
 from lumigate.sources import images
+from lumigate.streaming import labels as stream_labels
 from lumigate.streaming import streams
 
 
@@ -115,8 +117,52 @@ def stream_label_fold(spark, sf):
     code = F.when(F.col("event_type") == "purchase", 1).when(F.col("event_type") == "error", 0).when(F.col("event_type") == "view", 2)
     events = _stream(spark, sf, "events").where("event_type <> 'click'").select(F.col("user_id").alias("item_id"), code.alias("label"), F.col("event_id").alias("seq"))
     out = _folder(spark, "fold")
-    streams.fold_labels(events, out, f"{out}-checkpoint").awaitTermination()
-    return streams.folded(spark, out)
+    stream_labels.fold_labels(events, out, f"{out}-checkpoint").awaitTermination()
+    return stream_labels.current(spark, f"{out}-checkpoint")
+
+
+def _hashed(rows: DataFrame) -> DataFrame:
+    """A vector from the hash alone, that SQL can give as well: the numbers of its first four digits."""
+    digit = lambda i: F.conv(F.substring("content_hash", i, 1), 16, 10).cast("double")
+    return rows.select("content_hash", F.array(*[digit(i) for i in range(1, 5)]).alias("vector"))
+
+
+_TEXTS = "SELECT DISTINCT sha1(text) AS content_hash FROM documents WHERE text IS NOT NULL"
+
+
+@query(f"SELECT content_hash, 'hash_a' AS namespace, 1 AS n FROM ({_TEXTS}) UNION ALL SELECT DISTINCT sha1(text), 'hash_b', 1 FROM documents WHERE text IS NOT NULL AND lang = 'de'")
+def vector_store(spark, sf):
+    """Two namespaces, the first filled by a stream, again by a stream without its checkpoint, and by a batch: each content has one vector in each."""
+    store = VectorStore(spark, _folder(spark, "store"))
+    docs = lambda rows: rows.where("text is not null").select(F.sha1("text").alias("content_hash"))
+    for run in ("one", "two"):
+        store.fill_from(docs(_stream(spark, sf, "documents")), "hash_a", _hashed, f"{store.path}-{run}", run).awaitTermination()
+    every = fx.table(spark, sf, "documents")
+    store.fill(docs(every), "hash_a", _hashed, "again")
+    store.fill(docs(every.where("lang = 'de'")), "hash_b", _hashed, "only")
+    return store.read().groupBy("content_hash", "namespace").agg(F.count("*").cast("int").alias("n"))
+
+
+@query("SELECT sha1(text) AS content_hash, list_transform(range(1, 5), lambda i: strpos('0123456789abcdef', substr(sha1(text), i, 1)) - 1.0)::VARCHAR AS numbers FROM documents WHERE text IS NOT NULL AND lang <> 'de' GROUP BY text")
+def vector_store_namespace(spark, sf):
+    """A read of one namespace, after it was compacted; another one lies beside it."""
+    store = VectorStore(spark, _folder(spark, "store"))
+    docs = fx.table(spark, sf, "documents").where("text is not null").select("lang", F.sha1("text").alias("content_hash"))
+    for lang, namespace in (("de", "of_de"), ("fr", "others"), ("", "others")):
+        store.fill(docs.where(F.col("lang") == lang if lang else F.col("lang") != "de"), namespace, _hashed, f"run{lang}")
+    store.compact("others")
+    return store.read("others").select("content_hash", F.concat(F.lit("["), F.array_join(F.transform("vector", lambda x: x.cast("string")), ", "), F.lit("]")).alias("numbers"))
+
+
+@query(_TEXTS)
+def stream_distinct(spark, sf):
+    """Contents that were never given before: the German ones first, then all, by a stream with a new checkpoint; the operator keeps what it gave."""
+    out = _folder(spark, "given")
+    store = VectorStore(spark, f"{out}-known")
+    rows = _stream(spark, sf, "documents").where("text is not null").select("lang", F.sha1("text").alias("content_hash"))
+    for run, part in (("de", rows.where("lang = 'de'")), ("all", rows)):
+        give_once(part, store, "texts", f"{out}-{run}", out, run).awaitTermination()
+    return spark.read.parquet(f"{out}/*").select("content_hash")
 
 
 def _available(stream: DataFrame, spark: SparkSession, name: str, times: int = 1) -> DataFrame:

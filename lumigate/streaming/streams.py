@@ -1,4 +1,4 @@
-"""The same work over streams: inventories, scores, label folds and dedup, each resumable from its checkpoint."""
+"""The same work over streams: inventories, scores and dedup, each resumable from its checkpoint. Label folds are in `labels`."""
 
 from __future__ import annotations
 
@@ -32,19 +32,3 @@ def stream_dedup(stream: DataFrame, time: str, delay: str = "1 hour", known: Dat
 def run_available(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Everything there is now, appended to Parquet; a later call goes on where this one stopped."""
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
-
-
-def fold_labels(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch's newest event of every item, appended with its batch; `folded` reads the latest of all."""
-
-    def append(batch: DataFrame, number: int) -> None:
-        last = batch.groupBy("item_id").agg(F.max_by(F.struct("label", "seq"), "seq").alias("e")).select("item_id", "e.*")
-        last.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number}")  # the same batch again writes the same folder
-
-    return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def folded(spark: SparkSession, path: str) -> DataFrame:
-    """The current label of each item: lateness is harmless, since seq decides."""
-    rows = spark.read.schema("item_id long, label int, seq long").option("recursiveFileLookup", "true").parquet(path)
-    return rows.groupBy("item_id").agg(F.max_by(F.struct("label"), "seq")["label"].alias("label")).where("label is not null")
