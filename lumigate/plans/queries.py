@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lumigate import policy as pol
 from lumigate.functions import text as tx
 from lumigate.functions import vector as vec
-from lumigate.operators import axes, cascade, export, labels, learning, refine, regions, review, similarity, views
+from lumigate.operators import axes, cascade, export, labels, learning, refine, regions, review, score_table, similarity, views
 from lumigate.operators import inventory as inv
 from lumigate.operators.storage import shared_dir
 from lumigate.plans import fixtures as fx
@@ -653,6 +653,40 @@ def rescore(spark, sf):
     return fx.shown(spark, sf).select("item_id", r6(learning.blend(F.col("score"), learned, F.lit(0.3)), "score"))
 
 
+_RESCORED = _PS.replace(q.ITEMS, q.REGIONS, 1) + f""", rwide AS (SELECT item_id, anchors, w.* EXCLUDE (item_id) FROM item JOIN (SELECT item_id, {q.WIDE} FROM agg GROUP BY item_id) w USING (item_id)),
+rev AS ({q.GATED.replace("FROM wide", "FROM rwide")})
+SELECT r.item_id, round(r.score, 6) AS base, round(0.7 * r.score + 0.3 * ps.p, 6) AS score FROM rev r JOIN ps USING (item_id) WHERE r.stage = 'scored' AND NOT r.excluded"""
+
+
+def region_pass(spark: SparkSession, sf: str, wanted: DataFrame) -> DataFrame:
+    """The visible ones of the wanted items by their regions' evidence: item_id, axes, features, region_key and base."""
+    of = axes.score_axes(fx.region_items(spark, sf).join(wanted.select("item_id"), "item_id", "left_semi"), axes.registry(fx.prompts(spark, sf)), fx.POLICY.scale)
+    best = regions.aggregate_regions(regions.region_scores(of), fx.eligible(spark)).groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct("axis", "score"))).alias("axes"))
+    rows = axes.role_scores(best.join(fx.items(spark, sf), "item_id"), fx.ROLES)
+    shown = cascade.visible(cascade.evaluate(rows, fx.POLICY, cascade.detail_weights(fx.ROLES)), fx.POLICY)
+    return shown.select("item_id", "axes", F.col("embedding").alias("features"), F.lit("full").alias("region_key"), "base")
+
+
+@query(_RESCORED)
+def rescore_persisted(spark, sf):
+    """Half of the items are scored, then all; labels change twice, and only the blend is done again. Scores are those of a full run."""
+    table = score_table.ScoreTable(spark, f"{shared_dir(spark)}/scores-{uuid.uuid4().hex}")
+    sig = score_table.signature(fx.prompts(spark, sf), fx.POLICY)
+    inputs = fx.items(spark, sf).select("item_id", F.sha1(F.col("item_id").cast("string")).alias("content_hash"))
+    for batch, part in (("half", inputs.where("item_id % 2 = 0")), ("all", inputs)):
+        table.refresh(part, sig, lambda todo: region_pass(spark, sf, todo), batch)
+    train = fx.training(spark, sf)
+
+    def learn_from(rows):
+        p = learning.prototypes(rows)
+        both = p.agg(F.max(F.when(F.col("y") == 1, F.col("prototype"))).alias("pos"), F.max(F.when(F.col("y") == 0, F.col("prototype"))).alias("neg"))
+        return lambda todo: todo.join(F.broadcast(both)).select("item_id", learning.prototype_score(F.col("features"), F.col("pos"), F.col("neg")).alias("learned"), F.lit(0.3).alias("weight"))
+
+    table.rescore(inputs, sig, "few", learn_from(train.where("item_id % 3 <> 0")), "one")
+    out = table.rescore(inputs, sig, "every", learn_from(train), "two")
+    return out.select("item_id", r6("base", "base"), r6("score", "score"))
+
+
 @query()
 def logreg_fit(spark, sf):
     train = fx.training(spark, sf)
