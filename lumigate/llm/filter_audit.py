@@ -1,8 +1,8 @@
 """Filter interaction audit: what five filters remove in each order, by incremental streaming with retraction.
 
 All files go through one stream in available-now micro-batches. A narrow pass gives each text the filters that it fails by itself (A
-to D) and a SHA-256 key. The fifth, E, fails texts that a smaller doc_id has as well, anywhere: a keyed state holds
-each text's smallest doc_id so far and the masks of its rows. A row with a larger id counts with E at once; when a smaller id arrives, the
+to D) and a SHA-256 key. The fifth, E, fails texts that a smaller doc_id has as well, anywhere: state keyed by text, in groups of about
+GROUP texts, holds each text's smallest doc_id so far and the masks of its rows. A row with a larger id counts with E at once; when a smaller id arrives, the
 masks counted without E are retracted from the counters of their parts and added again with E. Whatever the order of files
 and rows, the sums end as if the smallest ids had been known. Each micro-batch writes its counter changes into a folder of its own
 number, so one that runs twice after a loss counts once; a later call with the same work folder reads new files only.
@@ -10,7 +10,9 @@ number, so one that runs twice after a loss counts once; a later call with the s
 The report needs counts by part and mask alone: 32 masks, the labels with each, and 600 order steps a part.
 
 Tasks combine equal texts before the shuffle (the smallest id, and counts of the rest), so a text that a third of all rows have
-comes to one row for each task and flush. State is a hundred bytes for a distinct text, in RocksDB.
+comes to one row for each task and flush. State is a hundred bytes for a distinct text, in RocksDB; a micro-batch writes the groups anew that it
+has rows of. A call of Python costs some milliseconds, whatever it holds, so a state for each single text would cost more than all else (measured: 1449
+CPU seconds a GB). The number of groups is that of the first call's rows, kept in the work folder.
 
 Nulls and edges: a null text is empty and equals other empty ones, a null lang is the part "", a null doc_id has no smaller id and is none, so it
 never fails E; rows with equal doc_id and text don't fail E by each other. Several labels of one doc_id: any 1 counts. An empty table has
@@ -45,9 +47,11 @@ HELD = 50_000
 #: Micro-batches of a run, as files divide among them.
 BATCHES = 4
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+STORE = {"spark.sql.streaming.stateStore.providerClass": ROCKS}
+#: Texts in a group, on the average of the first call.
+GROUP = 500
 CHANGE = "part string, bits int, n long"
-STATE = "id long, parts array<string>, bits array<int>, ns array<long>"
+STATE = "keys array<binary>, ids array<long>, parts array<string>, bits array<int>, ns array<long>"
 
 
 def own_mask(text: str) -> int:
@@ -98,31 +102,42 @@ def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from given(least, standing, settled)
 
 
-def changes(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """A text's changes to the counters: later rows with E, and retraction of what a smaller id makes a copy."""
-    found, parts, masks, ns = state.get if state.exists else (None, (), (), ())
-    held, out = dict(zip(zip(parts, masks), ns)), Counter()
+def changes(group: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    """A group's changes to the counters: later rows with E, and retraction of what a smaller id makes a copy."""
+    least, standing, out = {}, {}, Counter()
+    for key, d, part, bits, n in zip(*state.get) if state.exists else ():
+        least[key] = d
+        standing.setdefault(key, {})[part, bits] = n
     for frame in frames:
-        for d, part, bits, n, standing in zip(*(frame[c].tolist() for c in ("doc_id", "part", "bits", "n", "standing"))):
-            if not standing:
+        for key, d, part, bits, n, stands in zip(*(frame[c].tolist() for c in ("key", "doc_id", "part", "bits", "n", "standing"))):
+            if not stands:
                 out[part, bits] += n
-            elif found is None or d < found:
-                for (p, x), m in held.items():
+            elif key not in least or d < least[key]:
+                for (p, x), m in standing.get(key, {}).items():
                     out[p, x] -= m
                     out[p, x | BIT["E"]] += m
-                found, held = d, {(part, bits): n}
+                least[key], standing[key] = d, {(part, bits): n}
                 out[part, bits] += n
-            elif d == found:
-                held[part, bits] = held.get((part, bits), 0) + n
+            elif d == least[key]:
+                standing[key][part, bits] = standing[key].get((part, bits), 0) + n
                 out[part, bits] += n
             else:
                 out[part, bits | BIT["E"]] += n
-    if found is not None:
-        state.update((found, [p for p, _ in held], [x for _, x in held], list(held.values())))
+    held = [(k, least[k], p, x, n) for k, of in standing.items() for (p, x), n in of.items()]
+    if held:
+        state.update(tuple(map(list, zip(*held))))
     rows = [(p, x, n) for (p, x), n in out.items() if n]
     yield pd.DataFrame({"part": [r[0] for r in rows], "bits": pd.array([r[1] for r in rows], "int32"), "n": pd.array([r[2] for r in rows], "int64")})
 
 
+def groups(files: DataFrame, work: str) -> int:
+    """The number of groups of texts, by the first call's rows (a count that Parquet's footers give)."""
+    spark, path = files.sparkSession, f"{work}/groups"
+    if not _there(spark, path):
+        spark.createDataFrame([(max(1, files.count() // GROUP),)], "n long").write.parquet(path)
+    return spark.read.parquet(path).first()["n"]
+
+
 def marks(labels: DataFrame) -> DataFrame:
     """doc_id and flags of the documents with a label of 1: GOOD, TOXIC or both."""
     found = labels.where("doc_id is not null and (quality = 1 or toxic = 1)").groupBy("doc_id")
@@ -143,18 +158,20 @@ def counted(spark: SparkSession, path: str, labels: DataFrame, work: str, batche
     rows = rows.mapInArrow(masked, "doc_id long, part string, bits int, key binary")
     rows = rows.join(F.broadcast(flags) if few else flags, "doc_id", "left").select("doc_id", "part", F.col("bits").bitwiseOR(F.coalesce("flags", F.lit(0))).alias("bits"), "key")
     rows = rows.mapInArrow(combined, "key binary, doc_id long, part string, bits int, n long, standing boolean")
-    rows = rows.groupBy("key").applyInPandasWithState(changes, CHANGE, STATE, "update", "NoTimeout")
+    rows = rows.withColumn("group", F.pmod(F.xxhash64("key"), F.lit(groups(files, work)))).groupBy("group").applyInPandasWithState(changes, CHANGE, STATE, "update", "NoTimeout")
 
     def add(batch: DataFrame, number: int) -> None:
         batch.groupBy("part", "bits").agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(f"{work}/changes/batch={number}")
 
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKS)
+    before = {k: spark.conf.get(k, None) for k in STORE}
+    for k, v in STORE.items():
+        spark.conf.set(k, v)
     try:
         query = rows.writeStream.outputMode("update").foreachBatch(add).option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start()
         query.awaitTermination()  # raises what a batch raised
     finally:
-        spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     # a folder without files has no batch, and leaves no changes
     done = spark.createDataFrame([], CHANGE) if query.lastProgress is None and not _there(spark, f"{work}/changes") else spark.read.schema(CHANGE).parquet(f"{work}/changes/*")
     mask, has = F.col("bits").bitwiseAND(31), lambda bit: F.sum(F.when(F.col("bits").bitwiseAND(bit) > 0, F.col("n")).otherwise(0))

@@ -87,6 +87,7 @@ def test_smaller_ids_in_later_calls_retract_earlier_counts(spark, tmp_path):
 
 def test_small_flushes_and_a_hot_text(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(fa, "HELD", 3)
+    monkeypatch.setattr(fa, "GROUP", 40)
     rows = [(900 - i, "the same text" if i % 3 else f"other {i}", "en") for i in range(300)]
     files(spark, rows, f"{tmp_path}/docs", 3)
     got = listed(fa.audit(spark, f"{tmp_path}/docs", spark.createDataFrame([], "doc_id long, quality int, toxic int"), batches=3))
