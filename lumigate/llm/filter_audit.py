@@ -47,7 +47,12 @@ HELD = 50_000
 #: Micro-batches of a run, as files divide among them.
 BATCHES = 4
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-STORE = {"spark.sql.streaming.stateStore.providerClass": ROCKS}
+#: Conf of the stream: state in RocksDB, whose commits upload what changed and not whole files, and whose many small stores claim no disk in advance (4 MB each).
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": ROCKS,
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: Texts in a group, on the average of the first call.
 GROUP = 500
 CHANGE = "part string, bits int, n long"
