@@ -48,5 +48,7 @@ def evidence(score: Column) -> Column:
     return clip((score - 0.5) * 2)
 
 
-def ramp(x: Column, low: float, high: float) -> Column:
+def ramp(x: Column, low: float | Column, high: float | Column) -> Column:
+    if isinstance(low, Column) or isinstance(high, Column):
+        return clip((x - low) / F.when(high - low > 0, high - low).otherwise(F.lit(1e-3)))
     return clip((x - low) / ((high if high > low else low + 1e-3) - low))

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumigate.operators.cascade import combine_detail
-from lumigate.policy import DETAIL_WEIGHTS
 
 # Smallest crop, anchors used, fallback bands, and the share of what an unanchored region claims over the full frame.
 LEAST_SIDE = 48
@@ -74,7 +73,7 @@ def aggregate_regions(scores: DataFrame, eligible: DataFrame) -> DataFrame:
     return at.select("item_id", "axis", F.when(F.col("full").isNotNull(), F.greatest("full", "anchored", F.col("full") + UNANCHORED_SHARE * add)).alias("score"))
 
 
-def detail_rows(scores: DataFrame, eligible: DataFrame, weights: dict[str, float] = DETAIL_WEIGHTS) -> DataFrame:
+def detail_rows(scores: DataFrame, eligible: DataFrame, weights: dict[str, float]) -> DataFrame:
     """The detail of each region, with 0.5 for axes that its kind can't speak for."""
     wanted = scores.where(F.col("axis").isin(*weights))
     ok = wanted.join(F.broadcast(eligible.withColumn("ok", F.lit(True))), ["axis", "kind"], "left").withColumn("score", F.when(F.col("ok"), F.col("score")).otherwise(0.5))

@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 from lumigate.functions.text import label_name
 from lumigate.functions.vector import as_double
-from lumigate.operators.axes import registry, role_scores, score_axes
-from lumigate.operators.cascade import detail_weights, evaluate, visible
+from lumigate.operators.axes import Registry, role_scores, score_axes
+from lumigate.operators.cascade import evaluate, visible
 from lumigate.operators.labels import training_set
 from lumigate.operators.storage import stored
 from lumigate.policy import Policy
 
 ROLES = {"0": "subject", "1": "soft", "2": "exclude", "3": "clear", "4": "detail", "5": "detail", "6": "detail", "7": "detail", "8": "detail", "9": "policy"}
-POLICY = Policy()
+#: Weights of the detail axes; they reach the gate by the registry alone.
+WEIGHTS = {"4": 1.0, "5": 0.85, "6": 0.85, "7": 0.7, "8": 0.7}
+POLICY = Policy(scale=8.0)
 #: Length of the tables' vectors.
 DIM = 64
 #: Kinds that may speak for an axis, besides the full frame.
@@ -40,11 +42,17 @@ def prompts(spark: SparkSession, sf: str) -> DataFrame:
     for polarity, axis in (("p", F.col("label")), ("n", (F.col("label") + 9) % 10)):
         sides.append(low.select(axis.cast("string").alias("axis"), F.lit(polarity).alias("polarity"), F.col("vec_id").alias("prompt_id"), (1 + (F.col("rank") - 1) * 0.5).alias("weight"), F.when(axis % 2 == 0, "weighted_mean").otherwise("max").alias("aggregation"), F.col("embedding").alias("vector")))
     roles = F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv])
-    return sides[0].unionByName(sides[1]).withColumn("role", roles[F.col("axis")])
+    weights = F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv])
+    return sides[0].unionByName(sides[1]).withColumns({"role": roles[F.col("axis")], "axis_weight": weights[F.col("axis")]})
+
+
+def registry(spark: SparkSession, sf: str) -> Registry:
+    return Registry.of(prompts(spark, sf))
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
-    return role_scores(score_axes(items(spark, sf), registry(prompts(spark, sf)), POLICY.scale), ROLES)
+    reg = registry(spark, sf)
+    return role_scores(score_axes(items(spark, sf), reg, POLICY.scale), reg)
 
 
 def labels(spark: SparkSession, sf: str) -> DataFrame:
@@ -54,7 +62,9 @@ def labels(spark: SparkSession, sf: str) -> DataFrame:
 
 def evaluated(spark: SparkSession, sf: str) -> DataFrame:
     """Internal: holds excluded items."""
-    return evaluate(scored(spark, sf), POLICY, detail_weights(ROLES)).withColumn("score", F.col("base"))
+    reg = registry(spark, sf)
+    rows = role_scores(score_axes(items(spark, sf), reg, POLICY.scale), reg)
+    return evaluate(rows, POLICY, reg).withColumn("score", F.col("base"))
 
 
 def named(rows: DataFrame, spark: SparkSession, sf: str) -> DataFrame:

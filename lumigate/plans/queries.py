@@ -127,7 +127,7 @@ def match_filter(spark, sf):
 # Regions ------------------------------------------------------------------------------------------------------
 
 def _region_scores(spark, sf):
-    rows = axes.score_axes(fx.region_items(spark, sf), axes.registry(fx.prompts(spark, sf)), fx.POLICY.scale)
+    rows = axes.score_axes(fx.region_items(spark, sf), fx.registry(spark, sf), fx.POLICY.scale)
     return regions.region_scores(rows)
 
 
@@ -148,12 +148,12 @@ def region_aggregate(spark, sf):
 
 @query(q.REGIONS + "SELECT item_id, region_key, kind, round(detail, 6) AS detail FROM rd")
 def combine_detail_rows(spark, sf):
-    return regions.detail_rows(_region_scores(spark, sf), fx.eligible(spark)).withColumn("detail", F.round("detail", 6))
+    return regions.detail_rows(_region_scores(spark, sf), fx.eligible(spark), fx.WEIGHTS).withColumn("detail", F.round("detail", 6))
 
 
 @query(q.REGIONS + "SELECT item_id, CASE WHEN most > coalesce(f, 0) THEN key ELSE 'full' END AS region_key FROM (SELECT item_id, max(detail) FILTER (kind = 'full') AS f, max(detail) FILTER (kind <> 'full') AS most, (list(region_key ORDER BY detail DESC, place) FILTER (kind <> 'full'))[1] AS key FROM rd GROUP BY item_id)")
 def best_region(spark, sf):
-    detail = regions.detail_rows(_region_scores(spark, sf), fx.eligible(spark))
+    detail = regions.detail_rows(_region_scores(spark, sf), fx.eligible(spark), fx.WEIGHTS)
     place = F.create_map(*[F.lit(x) for i, k in enumerate(fx.REGION_KEYS) for x in (k, i)])[F.col("region_key")]
     return regions.best_region(detail, place)
 
@@ -660,10 +660,11 @@ SELECT r.item_id, round(r.score, 6) AS base, round(0.7 * r.score + 0.3 * ps.p, 6
 
 def region_pass(spark: SparkSession, sf: str, wanted: DataFrame) -> DataFrame:
     """The visible ones of the wanted items by their regions' evidence: item_id, axes, features, region_key and base."""
-    of = axes.score_axes(fx.region_items(spark, sf).join(wanted.select("item_id"), "item_id", "left_semi"), axes.registry(fx.prompts(spark, sf)), fx.POLICY.scale)
+    reg = fx.registry(spark, sf)
+    of = axes.score_axes(fx.region_items(spark, sf).join(wanted.select("item_id"), "item_id", "left_semi"), reg, fx.POLICY.scale)
     best = regions.aggregate_regions(regions.region_scores(of), fx.eligible(spark)).groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct("axis", "score"))).alias("axes"))
-    rows = axes.role_scores(best.join(fx.items(spark, sf), "item_id"), fx.ROLES)
-    shown = cascade.visible(cascade.evaluate(rows, fx.POLICY, cascade.detail_weights(fx.ROLES)), fx.POLICY)
+    rows = axes.role_scores(best.join(fx.items(spark, sf), "item_id"), reg)
+    shown = cascade.visible(cascade.evaluate(rows, fx.POLICY, reg), fx.POLICY)
     return shown.select("item_id", "axes", F.col("embedding").alias("features"), F.lit("full").alias("region_key"), "base")
 
 
@@ -810,7 +811,8 @@ def adjudicate_score(spark, sf):
     half = F.lit(0.5)
     values = {"0": 0.5 + (u % 7) / 20, "1": F.lit(0.9), "2": (u % 10) / 15, "3": F.lit(0.7), "4": 0.5 + (u % 11) / 22, **{str(k): half for k in range(5, 10)}}
     rows = rows.withColumns({"axes": F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)]), "anchors": F.lit(None).cast("int")})
-    out = cascade.evaluate(axes.role_scores(rows, fx.ROLES), fx.POLICY, cascade.detail_weights(fx.ROLES))
+    reg = axes.Registry.declared(fx.ROLES, fx.WEIGHTS)
+    out = cascade.evaluate(axes.role_scores(rows, reg), fx.POLICY, reg)
     return cascade.visible(out, fx.POLICY).select("item_id", r6("base", "score"))
 
 

@@ -12,7 +12,7 @@ from lumigate.functions.vector import as_double
 from lumigate.operators import cascade, refine, regions
 from lumigate.operators import inventory as inv
 from lumigate.operators.storage import shared_dir
-from lumigate.operators.axes import registry, role_scores, score_axes
+from lumigate.operators.axes import role_scores, score_axes
 from lumigate.plans import fixtures as fx
 from lumigate.plans import sql as q
 from lumigate.plans.queries import query, r6
@@ -96,7 +96,8 @@ def second_model_score(spark, sf):
     # the second model's vectors are another namespace; here the same ones, so that SQL can follow
     band = refine.refine_band(fx.shown(spark, sf), fx.POLICY).select("item_id")
     items = fx.items(spark, sf).join(F.broadcast(band), "item_id")
-    out = cascade.evaluate(role_scores(score_axes(items, registry(fx.prompts(spark, sf)), fx.POLICY.scale), fx.ROLES), fx.POLICY, cascade.detail_weights(fx.ROLES))
+    reg = fx.registry(spark, sf)
+    out = cascade.evaluate(role_scores(score_axes(items, reg, fx.POLICY.scale), reg), fx.POLICY, reg)
     return cascade.visible(out, fx.POLICY).select("item_id", r6("base", "score"))
 
 
@@ -174,11 +175,11 @@ def _available(stream: DataFrame, spark: SparkSession, name: str, times: int = 1
 
 @query(q.ITEMS + "SELECT item_id, round(score, 6) AS score FROM shown")
 def stream_score(spark, sf):
-    reg = registry(fx.prompts(spark, sf))
+    reg = fx.registry(spark, sf)
     items = _stream(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), as_double(F.col("embedding")).alias("embedding"), F.nullif(F.col("label") % 3 - 1, F.lit(-1)).alias("anchors"))
 
     def score(rows: DataFrame) -> DataFrame:
-        out = cascade.evaluate(role_scores(score_axes(rows, reg, fx.POLICY.scale), fx.ROLES), fx.POLICY, cascade.detail_weights(fx.ROLES))
+        out = cascade.evaluate(role_scores(score_axes(rows, reg, fx.POLICY.scale), reg), fx.POLICY, reg)
         return cascade.visible(out, fx.POLICY).select("item_id", r6("base", "score"))
 
     return _available(streams.stream_score(items, score), spark, "score")

@@ -15,7 +15,6 @@ MARGIN = 0.10
 STRONGLY_AT = 0.75
 ANCHORED_MARGIN = 0.05
 WEAK_CLEAR_DETAIL = 0.35
-DETAIL_WEIGHTS = {"4": 1.0, "5": 0.85, "6": 0.85, "7": 0.7, "8": 0.7}
 ROLES = ("subject", "soft", "exclude", "clear", "detail", "policy")
 #: key -> (kind, default, low, high or choices). Gate keys: high is the default (min_clear: low), so they only tighten.
 SETTINGS = {
@@ -39,9 +38,10 @@ SETTINGS = {
     "strongly_at": ("float", "0.75", "0.0", "0.75"),
     "anchored_margin": ("float", "0.05", "0.0", "0.05"),
     "weak_clear_detail": ("float", "0.35", "0.0", "0.35"),
+    "detail_weights": ("weights", "", None, None),
 }
 #: What a source may set for itself.
-OVERRIDABLE = ("batch_size", "threshold", "scale", "classifier_weight", "zero_shot_weight", "policy_filter", "policy_threshold", "require_subject", "deep_scan", "refine_band", "refine_max", "refine_weight")
+OVERRIDABLE = ("batch_size", "threshold", "scale", "classifier_weight", "zero_shot_weight", "policy_filter", "policy_threshold", "require_subject", "deep_scan", "refine_band", "refine_max", "refine_weight", "detail_weights")
 #: Settings that only the simple pipeline reads.
 SIMPLE_ONLY = ("classifier_weight", "zero_shot_weight")
 
@@ -49,7 +49,7 @@ SIMPLE_ONLY = ("classifier_weight", "zero_shot_weight")
 @dataclass(frozen=True)
 class Policy:
     threshold: float = 0.35
-    scale: float = 8.0
+    scale: float = 40.0
     subject_gate: float = 0.35
     require_subject: bool = False
     subject_at: float = 0.5
@@ -81,6 +81,40 @@ class Policy:
         return replace(self, **{k: v for k, v in changes.items() if k in {f.name for f in fields(self)}})
 
 
+#: Settings of a source that take effect where its items are gated, and what they are.
+EFFECTIVE = {"threshold": "double", "scale": "double", "policy_filter": "string", "policy_threshold": "double", "require_subject": "boolean", "refine_band": "double", "refine_max": "int", "refine_weight": "double"}
+
+
+class BySource:
+    """A policy whose overridable settings are columns of the row's source (see `by_source`); all else, the gate's constants among it, is the base policy's."""
+
+    def __init__(self, base: Policy) -> None:
+        self._base = base
+        for name in EFFECTIVE:
+            own = F.col(f"own.{name}")
+            setattr(self, name, F.coalesce(own, F.lit(getattr(base, name))))
+        self.weights = F.col("own.weights")
+
+    def __getattr__(self, name: str):
+        return getattr(self._base, name)
+
+
+def weights_of(text: Column) -> Column:
+    """A map of weights from JSON: what isn't a number of 0 or more is left out; null if nothing is left."""
+    pairs = F.map_entries(F.from_json(text, "map<string, string>"))
+    number = lambda e: e["value"].try_cast("double")
+    good = F.filter(pairs, lambda e: number(e).isNotNull() & ~F.isnan(number(e)) & (number(e) >= 0))
+    return F.when(F.size(good) > 0, F.map_from_entries(F.transform(good, lambda e: F.struct(e["key"], number(e).alias("value")))))
+
+
+def by_source(asked: DataFrame, settings: DataFrame) -> DataFrame:
+    """source and own, a struct of the effective settings that the source may set and has set (null: the policy's), and its weights, which replace the registry's."""
+    held = bounded(split_overrides(asked).where("accepted"), settings)
+    of = lambda key: F.max(F.when(F.col("key") == key, F.col("value")))
+    own = F.struct(*[of(k).cast(kind).alias(k) for k, kind in EFFECTIVE.items()], weights_of(of("detail_weights")).alias("weights"))
+    return held.where("source is not null").groupBy("source").agg(own.alias("own"))
+
+
 def check_roles(roles: dict[str, str]) -> None:
     """A registry has exactly one axis to exclude by and one that clears; there is no way to go without."""
     check_role_counts(Counter(r if r in ROLES else None for r in roles.values()))

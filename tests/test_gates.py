@@ -4,16 +4,18 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumigate.operators import cascade, export, regions
-from lumigate.operators.axes import role_scores
-from lumigate.plans.fixtures import ROLES
+from lumigate.operators.axes import Registry, role_scores
+from lumigate.plans.fixtures import ROLES, WEIGHTS
 from lumigate.policy import Policy, check_roles
 
+REG = Registry.declared(ROLES, WEIGHTS)
+
 
 def case(spark, rows):
     """rows: item_id, exclude, clear, detail (axis 4) as raw scores, anchors."""
     frame = spark.createDataFrame(rows, "item_id long, x double, c double, d double, anchors int")
     axes = F.create_map(F.lit("0"), F.lit(0.9), F.lit("1"), F.lit(0.9), F.lit("2"), F.col("x"), F.lit("3"), F.col("c"), F.lit("4"), F.col("d"), F.lit("5"), F.col("d"), F.lit("6"), F.lit(0.5), F.lit("7"), F.lit(0.5), F.lit("8"), F.lit(0.5), F.lit("9"), F.lit(0.6))
-    return role_scores(frame.withColumn("axes", axes), ROLES)
+    return role_scores(frame.withColumn("axes", axes), REG, ROLES)
 
 
 CASES = [
@@ -30,13 +32,13 @@ CASES = [
 
 
 def test_stages(spark):
-    got = {r.item_id: r.stage for r in cascade.evaluate(case(spark, [c[:5] for c in CASES]), Policy(), cascade.detail_weights(ROLES)).collect()}
+    got = {r.item_id: r.stage for r in cascade.evaluate(case(spark, [c[:5] for c in CASES]), Policy(), REG).collect()}
     assert got == {c[0]: c[5] for c in CASES}
 
 
 def test_nothing_excluded_is_ever_seen(spark):
     bad = {c[0] for c in CASES if c[5] == "excluded"}
-    ev = cascade.evaluate(case(spark, [c[:5] for c in CASES]), Policy(), cascade.detail_weights(ROLES)).withColumn("score", F.col("base"))
+    ev = cascade.evaluate(case(spark, [c[:5] for c in CASES]), Policy(), REG).withColumn("score", F.col("base"))
     for mode in ("include", "exclude", "only"):
         shown = cascade.visible(ev, Policy(policy_filter=mode))
         back = export.result_hook(shown, lambda rows: rows.select("item_id").unionByName(ev.select("item_id")))
