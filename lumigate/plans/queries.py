@@ -484,6 +484,32 @@ def policy_resolve(spark, sf):
     return pol.resolved(fx.settings(spark, sf), pol.settings_table(spark))
 
 
+#: Items of documents' sources, each with the settings that its source asks for; the last ones it may not set, or they would weaken the gate.
+_SOURCED = q.ITEMS + f""", src AS (SELECT i.item_id, i.anchors, d.source, try_cast(substr(d.source, 4) AS INTEGER) % 4 AS k FROM item i JOIN documents d ON d.doc_id = i.item_id),
+rescaled AS (SELECT s.item_id, axis, 1 / (1 + exp(-CASE WHEN k = 0 THEN 4.0 ELSE 8.0 END * (max(v.s) FILTER (pol = 'p') - coalesce(max(v.s) FILTER (pol = 'n'), 0)))) AS score FROM side_item v JOIN src s USING (item_id) GROUP BY s.item_id, axis, k),
+swide AS (SELECT s.item_id, s.anchors, s.source, s.k, w.* EXCLUDE (item_id) FROM src s JOIN (SELECT item_id, {q.WIDE} FROM rescaled GROUP BY item_id) w USING (item_id)),
+parted AS (SELECT *, {q.ev("a0")} AS e_subject, {q.ev("a1")} AS e_soft, {q.ev("a2")} AS e_exclude, {q.ev("a3")} AS e_clear, {q.detail(lambda a: "a" + a)} AS parts, [{q.ev("a4")} * 1.0, {q.ev("a6")} * 0.5] AS few FROM swide),
+detailed AS (SELECT * EXCLUDE (parts, few), CASE WHEN k = 2 THEN {q.combined("few").replace("/ 5", "/ 2")} ELSE {q.combined("parts")} END AS rank_detail, greatest({q.combined("parts")}, CASE WHEN k = 2 THEN {q.combined("few").replace("/ 5", "/ 2")} ELSE 0 END) AS detail FROM parted),
+gated AS (SELECT *, {q.EXCLUDED} AS own_excluded, CASE WHEN k = 3 THEN greatest({q.ramp("e_subject", 0.35, 0.55)}, CASE WHEN coalesce(anchors, 0) > 0 THEN 0.85 ELSE 0 END) ELSE 1 END AS g0, greatest({q.ramp("e_soft", 0.0, 0.35)}, 0.25) AS g1, 1 - {q.ramp("e_exclude", 0.3 * 0.6, 0.3)} AS g2 FROM detailed)
+SELECT g.item_id, g.source, round(rank_detail, 6) AS detail, round(rank_detail * g0 * g1 * g2, 6) AS score, rank_detail * g0 * g1 * g2 >= CASE WHEN k = 0 THEN 0.2 ELSE 0.35 END AS matched FROM gated g JOIN ev USING (item_id)
+WHERE NOT own_excluded AND NOT ev.excluded AND (k <> 1 OR coalesce(g.a9 < 0.4, true)) AND (k <> 3 OR ((g.e_subject >= 0.35 OR coalesce(g.anchors, 0) > 0) AND coalesce(g.a0 >= 0.5, false)))"""
+
+
+@query(_SOURCED)
+def policy_by_source(spark, sf):
+    """Items scored, gated and matched under the settings of their source; what a source may not set has no effect."""
+    docs = fx.table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), "source")
+    asked = {0: {"scale": "4", "threshold": "0.2"}, 1: {"policy_filter": "exclude", "policy_threshold": "0.4"}, 2: {"detail_weights": '{"4": 1, "6": 0.5, "5": "no", "7": -1}'}, 3: {"require_subject": "true", "exclude_at": "0.9", "min_clear": "0", "pipeline": "simple"}}
+    k = F.substring("source", 4, 9).try_cast("int") % 4
+    rows = F.array(*[F.when(k == n, F.struct(F.lit(key).alias("key"), F.lit(value).alias("value"))) for n, of in asked.items() for key, value in of.items()])
+    settings = docs.select("source").distinct().select("source", F.inline(F.filter(rows, lambda x: x.isNotNull())))
+    own = pol.by_source(settings, pol.settings_table(spark))
+    items = fx.items(spark, sf).join(docs, "item_id")
+    by = pol.BySource(fx.POLICY)
+    shown = cascade.visible(cascade.evaluate_by_source(items, fx.registry(spark, sf), own, fx.POLICY), by)
+    return shown.select("item_id", "source", r6("detail", "detail"), r6("base", "score"), (F.col("base") >= by.threshold).alias("matched"))
+
+
 @query(_ASKED + "SELECT source, 'classifier_weight' AS key FROM s WHERE n % 3 <> 0")
 def inert_settings(spark, sf):
     return pol.inert(fx.settings(spark, sf))

@@ -143,6 +143,7 @@ def bounded(asked: DataFrame, settings: DataFrame) -> DataFrame:
     value = (
         F.when(F.col("kind") == "float", F.when(sound, F.greatest("low", F.least("high", number))).otherwise(F.col("default").try_cast("double")).cast("string"))
         .when(F.col("kind") == "int", F.when(whole.between(F.col("low"), F.col("high")), whole).otherwise(F.col("default").try_cast("bigint")).cast("string"))
+        .when(F.col("kind") == "weights", F.when(weights_of(F.col("value")).isNotNull(), F.col("value")).otherwise(F.col("default")))
         .when(F.col("kind") == "choice", F.when(F.array_contains(F.split("choices", ","), F.col("value")), F.col("value")).otherwise(F.col("default")))
         .otherwise(F.when(F.col("value").isin("true", "false"), F.col("value")).otherwise(F.col("default")))
     )

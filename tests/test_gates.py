@@ -62,3 +62,57 @@ def test_region_evidence(spark):
     ok = spark.createDataFrame([("4", "full"), ("4", "torso"), ("4", "band_upper"), ("2", "full")], "axis string, kind string")
     got = {r.item_id: r.score for r in regions.aggregate_regions(scores, ok).collect()}
     assert got == {1: pytest.approx(0.7), 2: pytest.approx(0.8), 3: pytest.approx(0.9), 4: None, 5: pytest.approx(0.5)}
+
+
+def sourced(spark, asked, p=Policy(scale=8.0)):
+    """Items of two directions for the clear and the exclude axis, one set in each of the sources; and the visible ids by source."""
+    import numpy as np
+
+    from lumigate import policy as pol
+
+    unit = np.eye(4)
+    reg = Registry.declared({"a": "exclude", "b": "clear", "c": "detail", "d": "detail"}, {"c": 1.0, "d": 0.7}, tuple((unit[i : i + 1], None) for i in range(4)))
+    vectors = {1: [0.0, 0.9, 0.9, 0.0], 2: [0.9, 0.0, 0.9, 0.0], 3: [0.2, 0.05, 0.9, 0.9], 4: [0.0, 0.9, 0.1, 0.9], 5: None, 6: [0.1, 0.2]}
+    rows = [(10 * n + i, s, 0, v) for n, s in enumerate(("plain", "own")) for i, v in vectors.items()]
+    items = spark.createDataFrame(rows, "item_id long, source string, anchors int, embedding array<double>")
+    own = pol.by_source(spark.createDataFrame([("own", k, v) for k, v in asked.items()], "source string, key string, value string"), pol.settings_table(spark))
+    out = cascade.evaluate_by_source(items, reg, own, p)
+    shown = cascade.visible(out, pol.BySource(p)).collect()
+    return {s: {r.item_id % 10: r for r in shown if r.source == s} for s in ("plain", "own")}
+
+
+def test_a_source_s_settings_rank_its_items_only(spark):
+    got = sourced(spark, {"scale": "4", "threshold": "0.2"})
+    assert set(got["plain"]) == set(got["own"]) == {1, 4}
+    assert got["own"][1].base < got["plain"][1].base
+    got = sourced(spark, {"detail_weights": '{"d": 0.5, "c": -1, "x": "y"}'})  # replaces: c is dropped
+    assert got["own"][1].detail == 0 and got["plain"][1].detail > 0 and got["own"][4].detail < got["plain"][4].detail
+
+
+@pytest.mark.parametrize("asked", [
+    {"scale": "0.01"}, {"detail_weights": '{"c": 0, "d": 0}'}, {"detail_weights": '{"d": 0.0001}'}, {"scale": "0.01", "detail_weights": '{"d": 0.0001}'},
+    {"exclude_at": "0.9", "min_clear": "0", "margin": "1", "strongly_at": "1", "weak_clear_detail": "1", "anchored_margin": "1"}, {"pipeline": "simple"}, {"scale": "NaN", "detail_weights": "no json"},
+])
+def test_no_setting_of_a_source_brings_an_excluded_item_back(spark, asked):
+    """Neither keys that it may not set, nor a flat scale or dropped weights, which it may; items without a vector that can be compared stay out."""
+    assert not set(sourced(spark, asked)["own"]) & {2, 3, 5, 6}
+
+
+def test_roles_that_are_not_the_registry_s_are_an_error(spark):
+    wrong = ROLES | {"2": "detail", "4": "exclude"}
+    with pytest.raises(ValueError):
+        role_scores(spark.range(1).withColumn("axes", F.create_map(F.lit("2"), F.lit(0.9))), REG, wrong)
+    frame = "axis string, role string, polarity string, prompt_id long, weight double, aggregation string, vector array<double>"
+    with pytest.raises(ValueError):
+        Registry.of(spark.createDataFrame([("a", "exclude", "p", 1, 1.0, "max", [1.0]), ("a", "clear", "n", 2, 1.0, "max", [1.0])], frame))
+    with pytest.raises(ValueError):
+        Registry.of(spark.createDataFrame([("a", "exclude", "p", 1, 1.0, "max", [1.0])], frame))
+
+
+def test_one_setting_has_one_default():
+    from lumigate.policy import SETTINGS
+
+    p = Policy()
+    for key, (kind, default, _, _) in SETTINGS.items():
+        if hasattr(p, key) and kind in ("float", "int"):
+            assert float(default) == float(getattr(p, key)), key
