@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumigate.functions.vector import clip, evidence
+from lumigate.functions.verdicts import object_scores
 
 # Bands and label names that outputs use.
 BAND_HIGH, BAND_MEDIUM = 0.7, 0.35
@@ -68,30 +71,23 @@ def redact_roots(message: Column, roots: list[str]) -> Column:
     return message
 
 
-#: Objects within objects that are looked for in prose.
-NESTED = 3
-
-
 def parse_verdict(text: Column, axes: list[str]) -> Column:
-    """A lenient model's answer as map of axis to 0..1: fences stripped, else the first object in braces that parses, with up to NESTED
-    objects in one another; null if there is none."""
+    """A lenient model's answer as map of axis to 0..1: fences stripped, the whole as JSON, else the first object that can be read from a brace on;
+    null if there is none, or the whole is JSON but no object. Only texts that aren't JSON as a whole go to the scanner."""
     bare = F.trim(F.regexp_replace(text, "(?i)```(json)?", ""))
     whole = F.try_parse_json(bare)
-    shape = r"[^{}]*"
-    for _ in range(NESTED):
-        shape = r"(?:[^{}]|\{" + shape + r"\})*"
-    parsed = F.transform(F.regexp_extract_all(bare, F.lit(r"(\{" + shape + r"\})")), F.try_parse_json)
-    inner = F.get(F.filter(parsed, lambda v: v.isNotNull()), F.lit(0))
-    payload = F.when(whole.isNotNull(), whole).otherwise(inner)
-    is_object = F.startswith(F.schema_of_variant(payload), F.lit("OBJECT"))
-
-    def value(axis: str) -> Column:
-        raw = F.try_variant_get(payload, f"$.{axis}", "string")
-        number = F.when(raw == "true", 1.0).when(raw == "false", 0.0).otherwise(raw.try_cast("double"))
-        return F.when(~F.isnan(number) & (F.abs(number) < float("inf")), clip(number))
-
-    pairs = F.filter(F.array(*[F.struct(F.lit(a).alias("key"), value(a).alias("value")) for a in axes]), lambda x: x["value"].isNotNull())
-    return F.when(is_object, F.map_from_entries(pairs))
+    is_object = F.startswith(F.schema_of_variant(whole), F.lit("OBJECT"))
+
+    def number(raw: Column) -> Column:
+        x = F.when(raw == "true", 1.0).when(raw == "false", 0.0).otherwise(raw.try_cast("double"))
+        return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), clip(x))
+
+    def picked(value: Callable[[str], Column]) -> Column:
+        return F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(a).alias("key"), value(a).alias("value")) for a in axes]), lambda x: x["value"].isNotNull()))
+
+    found = F.from_json(object_scores(F.when(whole.isNull(), bare)), "map<string, double>")
+    of_whole = picked(lambda a: number(F.try_variant_get(whole, f"$.{a}", "string")))
+    return F.when(whole.isNotNull(), F.when(is_object, of_whole)).when(found.isNotNull(), picked(lambda a: clip(found[a])))
 
 
 def axis_details(axes: Column, shown: dict[str, str], anchors: Column, region: Column) -> Column:

@@ -12,7 +12,7 @@ from lumigate.functions.vector import as_double
 from lumigate.operators import cascade, refine, regions
 from lumigate.operators import inventory as inv
 from lumigate.operators.storage import shared_dir
-from lumigate.operators.axes import role_scores, score_axes
+from lumigate.operators.axes import Registry, role_scores, score_axes
 from lumigate.plans import fixtures as fx
 from lumigate.plans import sql as q
 from lumigate.plans.queries import query, r6
@@ -101,6 +101,45 @@ def second_model_score(spark, sf):
     return cascade.visible(out, fx.POLICY).select("item_id", r6("base", "score"))
 
 
+_AGG2 = q.REGIONS[q.REGIONS.index("agg AS") : q.REGIONS.index("rw AS")].replace("rs.", "rs2.").replace("FROM rs ", "FROM rs2 ").replace("agg AS", "agg2 AS").rstrip().rstrip(",")
+_VIEWS = q.REGIONS + f""", best AS (SELECT item_id, CASE WHEN most > coalesce(f, 0) THEN key ELSE 'full' END AS region_key FROM (SELECT item_id, max(detail) FILTER (kind = 'full') AS f, max(detail) FILTER (kind <> 'full') AS most, (list(region_key ORDER BY detail DESC, place) FILTER (kind <> 'full'))[1] AS key FROM rd GROUP BY item_id)),
+refined AS (SELECT item_id, anchors FROM shown WHERE abs(score - 0.35) <= 0.18 ORDER BY abs(score - 0.35), item_id LIMIT 400),
+prompt2 AS (SELECT axis, pol, pid, w, list_transform(v, lambda x, i: CASE WHEN i % 2 = 1 THEN x ELSE x * 0.25 END) AS v FROM prompt),
+region2 AS (SELECT r.vec_id, r.item_id, r.region_key, r.kind, list_transform(r.e, lambda x, i: CASE WHEN i % 2 = 1 THEN x ELSE x * 0.25 END) AS e FROM region r JOIN refined USING (item_id) JOIN best b ON b.item_id = r.item_id WHERE r.region_key = 'full' OR r.region_key = b.region_key),
+{q.axis_scores("region2", "vec_id", "region2_score").replace(", prompt)", ", prompt2)")},
+rs2 AS (SELECT r.item_id, r.kind, s.axis, s.score FROM region2 r JOIN region2_score s USING (vec_id)),
+{_AGG2},
+wide2 AS (SELECT item_id, anchors, w.* EXCLUDE (item_id) FROM refined JOIN (SELECT item_id, {q.WIDE} FROM agg2 GROUP BY item_id) w USING (item_id)),
+second AS ({q.GATED.replace("FROM wide", "FROM wide2")})
+SELECT s.item_id, round(CASE WHEN o.score IS NULL THEN s.score ELSE 0.35 * s.score + 0.65 * o.score END, 6) AS score, o.score IS NOT NULL AS judged FROM shown s LEFT JOIN second o USING (item_id) WHERE NOT coalesce(o.excluded, false)"""
+
+
+@query(_VIEWS)
+def second_model_views(spark, sf):
+    """Another embedder's vectors (every second number counts a quarter) judge the full and the best region's view of the items near the threshold."""
+    other = lambda v: F.transform(as_double(F.col(v)), lambda x, i: F.when(i % 2 == 0, x).otherwise(x * 0.25))
+    shown = fx.shown(spark, sf)
+    own = fx.region_items(spark, sf)
+    detail = regions.detail_rows(regions.region_scores(score_axes(own, fx.registry(spark, sf), fx.POLICY.scale)), fx.eligible(spark), fx.WEIGHTS)
+    place = F.create_map(*[F.lit(x) for i, k in enumerate(fx.REGION_KEYS) for x in (k, i)])[F.col("region_key")]
+    reg = Registry.of(fx.prompts(spark, sf).withColumn("vector", other("vector")))
+    band = refine.refine_band(shown, fx.POLICY)
+    said = refine.second_opinions(band, own.withColumn("embedding", other("embedding")), regions.best_region(detail, place), reg, fx.eligible(spark), fx.POLICY)
+    out = refine.with_second(shown, said, fx.POLICY).join(said.select("item_id", F.lit(True).alias("judged")), "item_id", "left")
+    return cascade.visible(out, fx.POLICY).select("item_id", r6("base", "score"), F.coalesce("judged", F.lit(False)).alias("judged"))
+
+
+@query("SELECT event_id AS item_id, try_cast(props->>'$.k' AS DOUBLE) AS was, greatest(0.0, least(1.0, try_cast(props->>'$.k' AS DOUBLE))) AS k FROM events WHERE props IS NOT NULL")
+def verdict_in_prose(spark, sf):
+    """Objects after braces that aren't theirs, with braces in strings, and five levels deep: what the first readable object says."""
+    e = fx.table(spark, sf, "events").where("props is not null")
+    body = F.expr("substring(props, 2, length(props) - 2)")
+    n = F.col("event_id") % 3
+    text = F.when(n == 0, F.concat(F.lit("see {not json "), "props", F.lit("}} or {}"))).when(n == 1, F.concat(F.lit('It says {"note": "a } \\" { b", '), body, F.lit("} there"))).otherwise(F.concat(F.lit('so {"deep": {"a": {"b": {"c": {"d": {}}}}}, '), body, F.lit("}.")))
+    k = F.get_json_object("props", "$.k").try_cast("double")
+    return e.select(F.col("event_id").alias("item_id"), k.alias("was"), tx.parse_verdict(text, ["k"])["k"].alias("k"))
+
+
 @query("SELECT doc_id AS item_id, CASE WHEN toxic = 1 THEN 2 ELSE quality END AS label FROM labels")
 def read_labels(spark, sf):
     path = _folder(spark, "labels")
