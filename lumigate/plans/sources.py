@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumigate.functions import text as tx
@@ -17,7 +17,7 @@ from lumigate.plans import fixtures as fx
 from lumigate.plans import sql as q
 from lumigate.plans.queries import query, r6
 from lumigate.operators.vector_store import VectorStore, give_once
-from lumigate.sources import images
+from lumigate.sources import headers, images
 from lumigate.streaming import labels as stream_labels
 from lumigate.streaming import streams
 
@@ -243,6 +243,23 @@ def stream_inventory(spark, sf):
     return _available(streams.stream_inventory(spark, f"{sf}/documents.parquet"), spark, "inventory").select("size", "content_hash")
 
 
+def _png_of(width, height, turn) -> Column:
+    """A PNG's header in bytes: sizes, and a tag directory with the orientation in one of both byte orders."""
+    number = lambda x, digits: F.lpad(F.hex(x), digits, "0")
+    ihdr = F.concat(F.lit("0000000d49484452"), number(width, 8), number(height, 8), F.lit("080200000000000000"))
+    big = F.concat(F.lit("4d4d002a00000008" + "0001" + "0112000300000001"), number(turn, 4), F.lit("0000" + "00000000"))
+    little = F.concat(F.lit("49492a0008000000" + "0100" + "1201030001000000"), number(turn, 2), F.lit("000000" + "00000000"))
+    body = F.when(turn % 2 == 0, big).otherwise(little)
+    return F.unhex(F.concat(F.lit("89504e470d0a1a0a"), ihdr, number(F.length(body) / 2, 8), F.lit("65584966"), body, F.lit("00000000")))
+
+
+@query(q.FRAMES + "SELECT item_id, CASE WHEN item_id % 8 >= 4 THEN height ELSE width END AS width, CASE WHEN item_id % 8 >= 4 THEN width ELSE height END AS height, (item_id % 8 + 1)::INTEGER AS orientation FROM frame")
+def oriented_headers(spark, sf):
+    """Sizes as seen, read from the bytes of images' headers."""
+    turn = (F.col("item_id") % 8 + 1).cast("int")
+    return headers.with_sizes(fx.frames(spark, sf).select("item_id", _png_of(F.col("width"), F.col("height"), turn).alias("content")))
+
+
 @query()
 def decode_quarantine(spark, sf):
     # table files aren't images, so all are rejects

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumigate.sources.headers import upright
+
 # File suffixes of images.
 SUFFIXES = ("jpg", "jpeg", "png", "bmp", "gif", "webp", "tif", "tiff", "heic", "heif")
 
@@ -66,7 +68,9 @@ def embed_prompts(prompts: DataFrame, embedder: Callable[[], Embedder]) -> DataF
 
 
 def crop_regions(images: DataFrame, plan: DataFrame) -> DataFrame:
-    """item_id, region_key, width, height and data of each planned box of images (item_id, image); a box outside is dropped.
+    """item_id, region_key, width, height and data of each planned box of images (item_id, image, and orientation where it is known); a box outside is dropped.
+
+    Boxes are those of the picture as seen, so pixels are turned upright before they are cut.
 
     An image is joined to the list of its boxes, which the geometry bounds, so that it is sent once and not once for each box.
     """
@@ -74,13 +78,14 @@ def crop_regions(images: DataFrame, plan: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for r in b.itertuples():
-                pixels = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, -1)
+                pixels = upright(np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, -1), None if pd.isna(r.orientation) else int(r.orientation))
                 parts = [(x["region_key"], pixels if pd.isna(x["l"]) else pixels[int(x["t"]) : int(x["b"]), int(x["l"]) : int(x["r"])]) for x in r.boxes]
                 rows = [(r.item_id, key, part.shape[1], part.shape[0], part.tobytes()) for key, part in parts if part.size]
                 yield pd.DataFrame(rows, columns=["item_id", "region_key", "width", "height", "data"])
 
     boxes = plan.groupBy("item_id").agg(F.collect_list(F.struct("region_key", "l", "t", "r", "b")).alias("boxes"))
-    cut = images.select("item_id", "image.width", "image.height", "image.data").join(boxes, "item_id")
+    turn = F.col("orientation") if "orientation" in images.columns else F.lit(None).cast("int")
+    cut = images.select("item_id", "image.width", "image.height", "image.data", turn.alias("orientation")).join(boxes, "item_id")
     return cut.mapInPandas(run, "item_id long, region_key string, width int, height int, data binary")
 
 
