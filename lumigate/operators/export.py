@@ -1,14 +1,19 @@
-"""Decisions, manifests and report rows; everything here takes visible items."""
+"""Decisions, manifests and report rows. What is written of items passes the gate in the sink itself, whatever rows the caller hands in."""
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumigate.functions.text import score_band
+from lumigate.operators.cascade import visible
 from lumigate.operators.storage import stored
+from lumigate.policy import BySource, Policy
+
+log = logging.getLogger(__name__)
 
 
 def decisions(shown: DataFrame, threshold: float) -> DataFrame:
@@ -21,8 +26,27 @@ def rejects(rows: DataFrame, faults: dict[str, Column]) -> DataFrame:
     return rows.select("item_id", reason.alias("reason")).where("reason is not null")
 
 
+def held(rows: DataFrame, evaluated: DataFrame, p: Policy | BySource, ids: tuple[str, ...] = ("item_id",)) -> DataFrame:
+    """rows whose items, by all of ids, the gate lets through: those that `visible` gives of the evaluated frame. A null id, or one that wasn't evaluated, is not seen."""
+    seen = visible(evaluated, p).select("item_id").distinct()
+    for name in ids:
+        rows = rows.join(seen.withColumnRenamed("item_id", name), name, "left_semi")
+    return rows
+
+
+def write_items(rows: DataFrame, evaluated: DataFrame, p: Policy | BySource, path: str, form: str = "parquet", by: list[str] | None = None, ids: tuple[str, ...] = ("item_id",)) -> None:
+    """The sink of rows about items: it takes the evaluated frame and joins the visible ids itself, so excluded rows that it is handed are not written."""
+    write_table(held(rows, evaluated, p, ids), path, form, by)
+
+
+def write_decisions(evaluated: DataFrame, p: Policy | BySource, path: str, form: str = "parquet") -> None:
+    """Decisions straight from an evaluated frame, which holds excluded rows."""
+    scored = evaluated if "score" in evaluated.columns else evaluated.withColumn("score", F.col("base"))
+    write_items(decisions(scored, p.threshold), evaluated, p, path, form)
+
+
 def write_table(rows: DataFrame, path: str, form: str = "parquet", by: list[str] | None = None) -> None:
-    """Parquet, CSV with a header, or JSON lines, in folders by columns if wanted."""
+    """Rows that aren't about items (rejects, labels, counts): Parquet, CSV with a header, or JSON lines, in folders by columns if wanted."""
     w = rows.write.mode("overwrite").option("header", True)
     (w.partitionBy(*by) if by else w).format(form).save(path)
 
@@ -113,4 +137,5 @@ def result_hook(shown: DataFrame, hook: Callable[[DataFrame], DataFrame]) -> Dat
     try:
         return stored(shown.transform(hook).join(shown.select("item_id").distinct(), "item_id", "left_semi"), "hook")
     except Exception:  # noqa: BLE001  a hook that can't be planned or fails in a task is as if there were none
+        log.exception("a result hook failed; its rows are those before it")
         return shown

@@ -120,11 +120,17 @@ def roc_auc(rows: DataFrame, score: str = "score") -> DataFrame:
     return sums.select(F.when((F.col("p") > 0) & (F.col("n") > 0) & (F.col("p") + F.col("n") >= 4), F.col("u") / (F.col("p") * F.col("n"))).alias("auc"))
 
 
-def running_sum(rows: DataFrame, order: str, value: str, buckets: int = 64) -> DataFrame:
-    """rows with `before`, the sum of value over rows of a smaller order (its values are distinct numbers)."""
-    ends = rows.agg(F.min(order).cast("double").alias("_lo"), F.max(order).cast("double").alias("_hi"))
-    place = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(buckets - 1), F.floor((F.col(order) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * buckets))).otherwise(0).cast("int")
-    dealt = rows.join(F.broadcast(ends)).withColumn("_b", place).drop("_lo", "_hi")
+def in_ranges(rows: DataFrame, order: str, buckets: int) -> DataFrame:
+    """rows with `_b`, the number of their range of order. The splitters are quantiles from a mergeable sketch, so each range has about as many rows whatever
+    the values' law; which values they are decides the balance only."""
+    cuts = rows.agg(F.percentile_approx(F.col(order).cast("double"), F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), F.lit(100 * buckets)).alias("_cuts"))  # one row
+    place = F.size(F.filter("_cuts", lambda c: c < F.col(order).cast("double")))
+    return rows.join(F.broadcast(cuts)).withColumn("_b", F.greatest(place, F.lit(0))).drop("_cuts")
+
+
+def running_sum(rows: DataFrame, order: str, value: str, buckets: int | None = None) -> DataFrame:
+    """rows with `before`, the sum of value over rows of a smaller order (its values are distinct numbers): by range, then inside each range."""
+    dealt = in_ranges(rows, order, buckets or max(64, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     # one row for each bucket
     starts = dealt.groupBy("_b").agg(F.sum(value).alias("_n")).select("_b", (F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_start"))
     inside = F.coalesce(F.sum(value).over(Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -853,29 +853,37 @@ def join_verdicts(spark, sf):
 
 # Sinks --------------------------------------------------------------------------------------------------------
 
-def _written(rows: DataFrame, form: str, by: list[str] | None = None) -> DataFrame:
-    """rows as a sink has written them, read again."""
-    path = f"{shared_dir(rows.sparkSession)}/sink-{uuid.uuid4().hex}"
-    export.write_table(rows, path, form, by)
-    return rows.sparkSession.read.schema(rows.schema).option("header", True).format(form).load(path)
+def _written(rows: DataFrame, form: str, by: list[str] | None = None, sf: str | None = None) -> DataFrame:
+    """rows as a sink has written them, read again; with sf through the sink of items, whose gate evaluates them."""
+    spark = rows.sparkSession
+    path = f"{shared_dir(spark)}/sink-{uuid.uuid4().hex}"
+    if sf is None:
+        export.write_table(rows, path, form, by)
+    else:
+        export.write_items(rows, fx.evaluated(spark, sf), fx.POLICY, path, form, by)
+    return spark.read.schema(rows.schema).option("header", True).format(form).load(path)
 
 
 @query(q.ITEMS + "SELECT item_id, round(score, 6) AS score, CASE WHEN score >= 0.35 THEN 'match' ELSE 'no_match' END AS decision FROM shown")
 def write_decisions(spark, sf):
-    return _written(export.decisions(fx.shown(spark, sf), 0.35).withColumn("score", F.round("score", 6)), "parquet")
+    """The sink is handed all evaluated rows, excluded ones too, and writes the visible ones."""
+    every = export.decisions(fx.evaluated(spark, sf), 0.35).withColumn("score", F.round("score", 6))
+    return _written(every, "parquet", sf=sf)
 
 
-@query("SELECT doc_id AS item_id, 'no content' AS reason FROM documents WHERE text IS NULL OR text = ''")
+@query("SELECT doc_id AS item_id, CASE WHEN coalesce(trim(text), '') = '' THEN 'no content' WHEN n_chars < 40 THEN 'too short' ELSE 'a line without end' END AS reason FROM documents WHERE coalesce(trim(text), '') = '' OR n_chars < 40 OR (strpos(text, chr(10)) = 0 AND n_chars > 300)")
 def write_rejects(spark, sf):
-    rows = fx.table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), "text")
-    return _written(export.rejects(rows, {"no content": F.coalesce("text", F.lit("")) == ""}), "json")
+    rows = fx.table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), "text", "n_chars")
+    text = F.coalesce(F.trim("text"), F.lit(""))
+    faults = {"no content": text == "", "too short": F.col("n_chars") < 40, "a line without end": ~F.contains(F.col("text"), F.lit("\n")) & (F.col("n_chars") > 300)}
+    return _written(export.rejects(rows, faults), "json")
 
 
 @query(q.ITEMS + f"SELECT item_id, label_name || '/' || {q.band('score')} AS folder FROM shown")
 def export_partitioned(spark, sf):
     folder = export.folders("score_band_label", F.col("label_name"), F.col("score"))
     rows = fx.shown(spark, sf).select("item_id", folder.alias("folder"), "label_name", tx.score_band(F.col("score")).alias("band"))
-    out = _written(rows, "parquet", ["label_name", "band"])
+    out = _written(rows, "parquet", ["label_name", "band"], sf)
     return out.where("folder = concat(label_name, '/', band)").select("item_id", "folder")
 
 

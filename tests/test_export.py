@@ -44,3 +44,26 @@ def test_every_row_gets_the_next_free_name(spark):
     assert sum(r.n for r in result_counts(got).collect()) == 600
     null = spark.createDataFrame([(1, "", None), (2, "", None), (3, "", "x")], "item_id long, folder string, name string")
     assert sorted(r.item_id for r in manifest(null, spark.createDataFrame([], "destination string")).collect()) == [1, 2, 3]
+
+
+def test_a_sink_that_is_handed_excluded_rows_writes_none(spark, tmp_path):
+    from lumigate.operators import export
+    from lumigate.operators.cascade import evaluate
+    from lumigate.policy import Policy
+    from tests.test_gates import CASES, REG, case
+
+    ev = evaluate(case(spark, [c[:5] for c in CASES]), Policy(), REG)
+    seen = {c[0] for c in CASES if c[5] == "scored"}
+    export.write_decisions(ev, Policy(), f"{tmp_path}/decisions")
+    assert {r.item_id for r in spark.read.parquet(f"{tmp_path}/decisions").collect()} == seen
+    pairs = spark.createDataFrame([(a, b) for a in range(1, 12) for b in range(1, 12)] + [(None, 1), (1, None)], "item_id long, similar_id long")
+    export.write_items(pairs, ev, Policy(), f"{tmp_path}/pairs", "json", ids=("item_id", "similar_id"))
+    assert {(r.item_id, r.similar_id) for r in spark.read.json(f"{tmp_path}/pairs").collect()} == {(a, b) for a in seen for b in seen}
+
+
+def test_a_failing_hook_is_logged(spark, caplog):
+    from lumigate.operators import export
+
+    rows = spark.range(2).withColumnRenamed("id", "item_id")
+    assert export.result_hook(rows, lambda r: r.select("no_such_column")) is rows
+    assert "a result hook failed" in caplog.text
