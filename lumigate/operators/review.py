@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumigate.functions.vector import as_double, cosine_similarity
 from lumigate.operators.storage import stored
@@ -18,35 +19,38 @@ def disagreement(final: Column, base: Column) -> Column:
     return F.abs(final - base)
 
 
-def _buckets(threshold: float, margin: float) -> list[tuple[str, Column, list[Column]]]:
-    s = F.col("score")
+def _buckets(threshold: float, margin: float) -> list[tuple[str, Column, Column, Column]]:
+    """Each bucket's name, who belongs to it, and two numbers that its best have least of."""
+    s, none = F.col("score"), F.lit(0.0)
     gap = F.abs(s - threshold)
     return [
-        ("Model disagrees", F.coalesce(F.col("disagreement") >= DISAGREES, F.lit(False)), [F.desc("disagreement")]),
-        ("Likely match", s >= threshold + margin, [F.desc("score")]),
-        ("Likely false positive", (s >= threshold) & (s <= threshold + margin), [F.asc("score")]),
-        ("Likely false negative", (s >= threshold - margin) & (s < threshold), [F.desc("score")]),
-        ("Uncertain", F.lit(True), [gap.asc(), F.asc("score")]),
+        ("Model disagrees", F.coalesce(F.col("disagreement") >= DISAGREES, F.lit(False)), -F.col("disagreement"), none),
+        ("Likely match", s >= threshold + margin, -s, none),
+        ("Likely false positive", (s >= threshold) & (s <= threshold + margin), s, none),
+        ("Likely false negative", (s >= threshold - margin) & (s < threshold), -s, none),
+        ("Uncertain", F.lit(True), gap, s),
     ]
 
 
 def bucketed(shown: DataFrame, labels: DataFrame, threshold: float, per_bucket: int = PER_BUCKET, margin: float = MARGIN) -> DataFrame:
     """item_id, score, bucket and place: unlabelled items for review; an earlier bucket takes an item before later ones.
 
-    A bucket's best are a top-k by partition, so of every partition only per_bucket rows move; those taken so far
-    (at most 5 * per_bucket) are broadcast.
+    One pass: of each bucket only as many of its best move from a partition as all buckets may pick together, since earlier ones can take no more from it. Those
+    few (buckets * buckets * per_bucket, a fixed number) are dealt out on the driver.
     """
     left = shown.join(labels.select("item_id").distinct(), "item_id", "left_anti").select("item_id", "score", "disagreement")
-    left, picked = stored(left, "review"), None
-    for name, cond, order in _buckets(threshold, margin):
-        rows = left.where(cond)
-        if picked is not None:
-            rows = rows.join(F.broadcast(picked.select("item_id")), "item_id", "left_anti")
-        top = rows.orderBy(*order, "item_id").limit(per_bucket)
-        place = F.row_number().over(Window.orderBy(*order, "item_id")).cast("int")  # at most per_bucket rows
-        top = stored(top.select("item_id", "score", F.lit(name).alias("bucket"), place.alias("place")), "picked")
-        picked = top if picked is None else picked.unionByName(top)
-    return picked
+    buckets = _buckets(threshold, margin)
+    entries = F.array(*[F.when(cond, F.struct(F.lit(k).alias("bucket"), first.cast("double").alias("first"), second.cast("double").alias("second"))) for k, (_, cond, first, second) in enumerate(buckets)])
+    each = left.select("item_id", "score", F.inline(F.filter(entries, lambda x: x.isNotNull())))
+    best = each.withColumn("_r", F.row_number().over(Window.partitionBy("bucket").orderBy("first", "second", "item_id"))).where(F.col("_r") <= per_bucket * len(buckets))
+    taken, picked = set(), []
+    found = best.orderBy("bucket", "_r").collect()
+    for k, (name, *_) in enumerate(buckets):
+        free = [r for r in found if r["bucket"] == k and r["item_id"] not in taken][:per_bucket]
+        taken |= {r["item_id"] for r in free}
+        picked += [(r["item_id"], r["score"], name, i + 1) for i, r in enumerate(free)]
+    kinds = [left.schema["item_id"], left.schema["score"], T.StructField("bucket", T.StringType()), T.StructField("place", T.IntegerType())]
+    return shown.sparkSession.createDataFrame(picked, T.StructType(kinds))
 
 
 def in_review_order(picked: DataFrame) -> DataFrame:

@@ -2,11 +2,12 @@
 
 import os
 
+import duckdb
 import pytest
 
-import __spark_entry__
+import lumigate.plans.sources  # noqa: F401  registers its queries
 from lumigate.plans import fixtures as fx
-from lumigate.plans.queries import QUERIES
+from lumigate.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
@@ -18,7 +19,15 @@ OTHER_IDS = {
 #: Columns that hold the id of a scored item, in any query that isn't among these.
 IDS = {"item_id", "anchor", "similar_id"}
 #: Slow, and without such a column.
-LEFT_OUT = {"select_c", "fit_outcome", "cross_val_scores", "platt_calibrate", "region_embed", "embed_items"}
+LEFT_OUT = {"select_c", "fit_outcome", "region_embed", "embed_items"}
+
+
+@pytest.fixture(scope="module")
+def con():
+    c = duckdb.connect()
+    for f in os.listdir(SF):
+        c.sql(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{SF}/{f}'")
+    return c
 
 
 @pytest.fixture(scope="module")
@@ -29,9 +38,11 @@ def bad(spark):
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - OTHER_IDS - LEFT_OUT))
-def test_no_excluded_item_is_given(spark, bad, name):
-    """Every registered query whose columns hold an item's id, whatever it is called."""
-    out = __spark_entry__.queries()[name](spark, SF)
+def test_no_excluded_item_is_given(spark, bad, con, name):
+    """Every registered query whose columns hold an item's id, whatever it is called. Its SQL tells the columns without a run."""
+    if name in ORACLE_SQL and not IDS & set(con.sql(ORACLE_SQL[name]).columns):
+        return
+    out = QUERIES[name](spark, SF)
     ids = [c for c in out.columns if c in IDS]
     assert not ids or not bad & {x for r in out.select(*ids).distinct().collect() for x in r}
 
