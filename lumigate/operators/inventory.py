@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -11,10 +11,10 @@ def content_hash(content: Column) -> Column:
 
 
 def prune_marked(inventory: DataFrame, marked: DataFrame) -> DataFrame:
-    """inventory without what lies under a marked folder (dir)."""
+    """inventory without what lies under a marked folder (dir). Marks may be many, so Spark chooses the join by their size."""
     parts = F.split("path", "/")
     ups = inventory.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("dir"))
-    under = ups.join(F.broadcast(marked), "dir", "left_semi").select("path")
+    under = ups.join(marked, "dir", "left_semi").select("path")
     return inventory.join(under, "path", "left_anti")
 
 
@@ -76,7 +76,3 @@ def baseline_diff(golden: DataFrame, now: DataFrame, tolerance: float = 1e-5) ->
     both = golden.select("name", "axis", F.col("score").alias("was")).join(now.select("name", "axis", F.col("score").alias("is")), ["name", "axis"], "full_outer")
     kind = F.when(F.col("was").isNull(), "new").when(F.col("is").isNull(), "gone").when(F.abs(F.col("was") - F.col("is")) > tolerance, "moved")
     return both.select("name", "axis", kind.alias("kind")).where("kind is not null")
-
-
-def ranked(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))

@@ -69,7 +69,7 @@ def in_review_order(picked: DataFrame) -> DataFrame:
 def diverse(shown: DataFrame, group: str, order: list[Column], threshold: float, k: int = PER_BUCKET) -> DataFrame:
     """k items of each group: the first by order, then each time the one farthest from all taken, then nearest to the threshold.
 
-    Every round is one grouped maximum and a broadcast join with one row for each group; all groups go on together.
+    Every round is one grouped maximum and a join with one row for each group, by Spark's choice for their number; all groups go on together.
     """
     first = F.row_number().over(Window.partitionBy(group).orderBy(*order, "item_id"))
     kept = stored(shown.select("item_id", group, "score", as_double(F.col("embedding")).alias("embedding")), "diverse")
@@ -79,7 +79,7 @@ def diverse(shown: DataFrame, group: str, order: list[Column], threshold: float,
     state = rows.withColumn("near", F.lit(float("inf")))
     last = seed
     for place in range(2, k + 1):
-        state = state.join(F.broadcast(last.select(group, F.col("item_id").alias("_taken"), "t")), group).where("item_id <> _taken")
+        state = state.join(last.select(group, F.col("item_id").alias("_taken"), "t"), group).where("item_id <> _taken")
         state = state.withColumn("near", F.least("near", 1 - cosine_similarity(F.col("e"), F.col("t")))).drop("_taken", "t")
         key = F.struct("near", (-F.abs(F.col("score") - threshold)).alias("g"), "score", (-F.col("item_id")).alias("i"))
         last = state.groupBy(group).agg(F.max_by(F.struct("item_id", F.col("e").alias("t")), key).alias("b")).select(group, "b.*")

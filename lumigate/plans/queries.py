@@ -366,6 +366,31 @@ def view_sort(spark, sf):
     return top.select("item_id", F.row_number().over(Window.orderBy(*views.sort_key("filename"))).alias("place"))
 
 
+_VIEWED = q.ITEMS + """, viewed AS (SELECT item_id, name, mt, round(score, 9) AS s, CASE WHEN item_id % 10 = 0 THEN 20 WHEN round(score, 9) >= 0.5 THEN 0 WHEN round(score, 9) >= 0.35 THEN 1 WHEN round(score, 9) >= 0.2 THEN 2 ELSE 3 END AS b FROM shown)
+SELECT item_id, row_number() OVER (ORDER BY {0})::INTEGER AS place FROM viewed ORDER BY {0} LIMIT 50"""
+
+
+def _viewed(spark: SparkSession, sf: str, mode: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    rows = fx.shown(spark, sf).withColumn("score", F.round("score", 9))
+    s = F.col("score")
+    bucket = F.when(F.col("item_id") % 10 == 0, "Model disagrees").when(s >= 0.5, "Likely match").when(s >= 0.35, "Likely false positive").when(s >= 0.2, "Likely false negative").otherwise("Uncertain")
+    order = views.sort_key(mode)
+    top = rows.withColumn("bucket", bucket).orderBy(*order).limit(50)  # at most 50 rows are numbered in one task
+    return top.select("item_id", F.row_number().over(Window.orderBy(*order)).alias("place"))
+
+
+@query(_VIEWED.format("b, s DESC, lower(name), item_id"))
+def view_sort_bucket(spark, sf):
+    return _viewed(spark, sf, "bucket")
+
+
+@query(_VIEWED.format("mt DESC, s DESC, item_id"))
+def view_sort_date(spark, sf):
+    return _viewed(spark, sf, "date")
+
+
 # Inventories --------------------------------------------------------------------------------------------------
 
 @query(q.INVENTORY + "SELECT path FROM inv WHERE NOT (path LIKE 'src1/%' OR path LIKE 'src7/%')")
