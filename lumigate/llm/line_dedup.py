@@ -1,14 +1,15 @@
-"""Line dedup by every pair of adjacent lines, and every long line by itself.
-
-What is looked up of a text is its spans: each two lines that follow one another, and each line of over LONG words.
-A span that stands elsewhere in the corpus too, byte for byte, keeps its first place (smallest doc_id, null last,
-then key and position); its lines go from all others. A repeated passage of two lines or more is thus
-found to its last line wherever it stands, and the first place of each line stays. `dedup_lines` takes other
-spans too: `chunk_spans` are content-defined chunks, where a rolling hash over the last WINDOW lines ends a chunk, in a
-quarter of the spans but with only what whole chunks repeat.
-
-One pass counts span hashes; the repeated ones go to a bitmap of fixed size. A second pass sends the text of
-spans that meet the bitmap, and grouping by hash and text compares the bytes. Only documents that lose lines are
+"""Line dedup by content-defined chunks of lines, compared byte for byte and extended line by line.
+
+A rolling hash over the hashes of a line and the one before it makes the line a boundary where it is under a bar that rises with
+the line's weight (its words, or its bytes / 16 where words are long): about one boundary every EVERY words, at most one
+a line, and none at an empty line. A chunk reaches from one boundary line to the next, both included, so it has two
+lines or more; lines put in before it shift no boundary but the next one. A chunk of LEAST words or more that stands elsewhere in the corpus too, byte for
+byte, keeps its first place (smallest doc_id, null last, then key and position); its lines go from all others, and with them the lines
+beside it that are the same as beside the first place, up to the next chunk. A line of over LONG words is a chunk by itself.
+What is removed thus stands elsewhere, and blank lines or single brackets are no chunk however often they follow one another.
+
+One pass counts chunk hashes; the repeated ones go to a bitmap of fixed size. A second pass sends the text of
+chunks that meet the bitmap, and grouping by hash and text compares the bytes. Only documents that lose lines are
 shuffled, to be joined with what they lose.
 
 A null text stays null and an empty one empty; a text of one line loses nothing unless the line is long; rows equal in
@@ -18,69 +19,79 @@ columns named as the results are replaced.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumigate.llm.base import apart, fixed_bitmap, forget, in_bitmap, row_key, slices, stored, table
 
-WINDOW = 2
-#: A chunk ends where this many low bits are 0: about 4 lines.
-LOW_BITS = 2
-MIN, MAX = 2, 64
-#: A line of more words than this counts by itself.
+#: Words from one boundary to the next, about; a line of so many words is always one.
+EVERY = 8
+#: Words of the smallest chunk that counts.
+LEAST = 8
+#: Lines after which a boundary is set where the hash sets none, and lines that a chunk is extended by.
+MAX = 64
+#: A line of more words than this is a chunk by itself.
 LONG = 50
-#: log2 of the bits of the bitmap of repeated spans (8 MB).
+#: log2 of the bits of the bitmap of repeated chunks (8 MB).
 BITS = 26
 
-
-def chunks(lines: list[bytes]) -> list[tuple[int, int]]:
-    """(first line, line after the last) of each chunk."""
-    n = len(lines)
-    if n <= MIN:
-        return [(0, n)] if n else []
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, lines), np.uint64, n)
-    roll = h.copy()
-    for k in range(1, WINDOW):
-        roll[k:] ^= (h[:-k] << np.uint64(7 * k)) | (h[:-k] >> np.uint64(64 - 7 * k))
-    roll *= np.uint64(0x9E3779B97F4A7C15)
-    ends = np.flatnonzero((roll >> np.uint64(64 - LOW_BITS)) == 0) + 1
-    out, start = [], 0
-    for e in [*ends.tolist(), n]:
-        while e - start > MAX:
-            out.append((start, start + MAX))
-            start += MAX
-        if e - start >= MIN or e == n and e > start:
-            out.append((start, e))
-            start = e
-    return out
+Span = tuple[int, int]
 
 
 def lines_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split(b"\n") if text else []
 
 
-def parts(text: str | None) -> tuple[list[bytes], list[tuple[int, int]]]:
-    lines = lines_of(text)
-    return lines, chunks(lines)
+def weights(lines: list[bytes]) -> np.ndarray:
+    return np.fromiter((max(len(x.split()), len(x) // 16) for x in lines), np.uint64, len(lines))
 
 
-#: (first line, line after the last) of what is looked up of a text's lines.
-Spans = Callable[[list[bytes]], list[tuple[int, int]]]
+def boundaries(lines: list[bytes], weight: np.ndarray) -> list[int]:
+    """The lines where the rolling hash is under the bar of their weight."""
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, lines), np.uint64, len(lines))
+    roll = h.copy()
+    roll[1:] ^= (h[:-1] << np.uint64(7)) | (h[:-1] >> np.uint64(57))
+    roll *= np.uint64(0x9E3779B97F4A7C15)
+    return np.flatnonzero((roll >> np.uint64(32)) * np.uint64(EVERY) < np.minimum(weight, EVERY) << np.uint64(32)).tolist()
+
+
+def chunks(lines: list[bytes], weight: np.ndarray) -> list[Span]:
+    """(first line, line after the last) of each chunk; neighbours share a line."""
+    out, start = [], None
+    for at in [*boundaries(lines, weight), None]:
+        if start is not None:
+            stop = len(lines) - 1 if at is None else at
+            while stop - start > MAX:
+                out.append((start, start + MAX + 1))
+                start += MAX
+            if at is not None:
+                out.append((start, at + 1))
+        start = at
+    return out
 
 
-def chunk_spans(lines: list[bytes]) -> list[tuple[int, int]]:
-    return [(s, e) for s, e in chunks(lines) if e - s >= MIN]
+def spans(lines: list[bytes]) -> tuple[list[Span], list[Span], list[int]]:
+    """The chunks that count, in order, the long lines, and the first line of each chunk that extending from a later one may take:
+    the start itself where a line of its weight is a boundary after some lines only, else the next."""
+    weight = weights(lines)
+    before = np.concatenate([[0], np.cumsum(weight)])
+    many = [(s, e) for s, e in chunks(lines, weight) if before[e] - before[s] >= LEAST]
+    return many, [(i, i + 1) for i in np.flatnonzero(weight > LONG).tolist()], [s + int(weight[s] >= EVERY) for s, _ in many]
 
 
-def all_spans(lines: list[bytes]) -> list[tuple[int, int]]:
-    """Each two adjacent lines, and each line of more than LONG words."""
-    return [(i, i + 2) for i in range(len(lines) - 1)] + [(i, i + 1) for i, x in enumerate(lines) if len(x) > 2 * LONG and len(x.decode("utf-8", "surrogatepass").split()) > LONG]
+def beside(span: Span, starts: list[int], stops: list[int], lows: list[int], n: int) -> tuple[range, range]:
+    """The lines before a span, nearest first, and those after it, as far as no other chunk decides on them."""
+    last, following = bisect_right(stops, span[0] + 1) - 1, bisect_left(starts, span[1] - 1)
+    low = lows[last] if last >= 0 else 0
+    high = stops[following] - 1 if following < len(stops) else n
+    return range(span[0] - 1, max(low, span[0] - MAX) - 1, -1), range(span[1], min(high, span[1] + MAX))
 
 
 def span_hash(block: bytes) -> int:
@@ -88,20 +99,21 @@ def span_hash(block: bytes) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def span_hashes(docs: DataFrame, spans: Spans) -> DataFrame:
+def span_hashes(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             out = []
             for t in b.column("text").to_pylist():
                 lines = lines_of(t)
-                out += [span_hash(b"\n".join(lines[s:e])) for s, e in spans(lines)]
+                many, long, _ = spans(lines)
+                out += [span_hash(b"\n".join(lines[s:e])) for s, e in many + long]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["h"])
 
     return docs.select("text").mapInArrow(run, "h long")
 
 
-def suspects(docs: DataFrame, bits, spans: Spans) -> DataFrame:
-    """h, block, doc_id, key and no (first line) of the spans whose hash meets the bitmap."""
+def suspects(docs: DataFrame, bits) -> DataFrame:
+    """h, block, doc_id, key, no (first line), stop and the lines beside them, of the spans whose hash meets the bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = bits.value
@@ -109,16 +121,26 @@ def suspects(docs: DataFrame, bits, spans: Spans) -> DataFrame:
             rows, out = [], []
             for i, t in enumerate(b.column("text").to_pylist()):
                 lines = lines_of(t)
-                for s, e in spans(lines):
+                many, long, lows = spans(lines)
+                starts, stops = [s for s, _ in many], [e for _, e in many]
+                for s, e in many + long:
                     if in_bitmap(known, h := span_hash(block := b"\n".join(lines[s:e])), BITS):
                         rows.append(i)
-                        out.append((h, block, s, e))
+                        out.append((h, block, s, e, *([lines[k] for k in r] for r in beside((s, e), starts, stops, lows, len(lines)))))
             at = pa.array(rows, pa.int64())
-            cols = [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary()), b.column("doc_id").take(at), b.column("key").take(at), *[pa.array([x[k] for x in out], pa.int32()) for k in (2, 3)]]
-            yield pa.RecordBatch.from_arrays(cols, ["h", "block", "doc_id", "key", "no", "stop"])
+            kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.list_(pa.binary()), pa.list_(pa.binary())]
+            h, block, *rest = [pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([h, block, b.column("doc_id").take(at), b.column("key").take(at), *rest], ["h", "block", "doc_id", "key", "no", "stop", "prior", "next"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("key", "doc_id", "text").mapInArrow(run, f"h long, block binary, doc_id {kind}, key binary, no int, stop int")
+    return docs.select("key", "doc_id", "text").mapInArrow(run, f"h long, block binary, doc_id {kind}, key binary, no int, stop int, prior array<binary>, next array<binary>")
+
+
+def same_from_start(a: str, b: str) -> Column:
+    """How many values two arrays share from their starts on."""
+    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
+    other = F.array_position(same, F.lit(False)).cast("int")
+    return F.when(other > 0, other - 1).otherwise(F.size(same))
 
 
 def bit_table(keys: DataFrame, column: str) -> DataFrame:
@@ -136,15 +158,17 @@ def in_bit_table(rows: DataFrame, bits: DataFrame, column: str) -> DataFrame:
     return rows.withColumn("part", (at / 32768).cast("int")).join(F.broadcast(bits), "part", "left").withColumn("hit", F.coalesce(hit, F.lit(False))).drop("part", "bits")
 
 
-def dedup_lines(docs: DataFrame, spans: Spans = chunk_spans) -> DataFrame:
-    """docs with text less the lines of its repeated spans, and n_lines and n_removed (lines) in place of columns with these names."""
+def dedup_lines(docs: DataFrame) -> DataFrame:
+    """docs with text less the lines of its repeated chunks, and n_lines and n_removed (lines) in place of columns with these names."""
     spark = docs.sparkSession
-    repeated = span_hashes(docs, spans).groupBy("h").count().where("count > 1")
+    repeated = span_hashes(docs).groupBy("h").count().where("count > 1")
     bits = spark.sparkContext.broadcast(fixed_bitmap(repeated, "h", BITS))
-    found = stored(suspects(docs.select("doc_id", "text", row_key().alias("key")), bits, spans), "spans", "zstd")
-    first = found.groupBy("h", "block").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "no")).alias("f")).where("n > 1")
-    first = first.select("h", "block", F.col("f.key").alias("fkey"), F.col("f.no").alias("fno"))
-    lost = stored(found.join(first, ["h", "block"]).where("key <> fkey or no <> fno").groupBy("key").agg(F.collect_set(F.struct("no", "stop")).alias("lost")), "lost-lines")
+    found = stored(suspects(docs.select("doc_id", "text", row_key().alias("key")), bits), "spans", "zstd")
+    first = found.groupBy("h", "block").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "no", "prior", "next")).alias("f")).where("n > 1")
+    first = first.select("h", "block", F.col("f.key").alias("fkey"), F.col("f.no").alias("fno"), F.col("f.prior").alias("fprior"), F.col("f.next").alias("fnext"))
+    again = found.join(first, ["h", "block"]).where("key <> fkey or no <> fno")
+    wide = again.select("key", (F.col("no") - same_from_start("prior", "fprior")).alias("no"), (F.col("stop") + same_from_start("next", "fnext")).alias("stop"))
+    lost = stored(wide.groupBy("key").agg(F.collect_set(F.struct("no", "stop")).alias("lost")), "lost-lines")
     forget(found)
     # documents that lose nothing, nearly all of those that a bitmap of fixed size doesn't show, need no join
     rows = in_bit_table(docs.select(F.struct(*docs.columns).alias("row"), row_key().alias("key")), bit_table(lost, "key"), "key")
@@ -169,5 +193,5 @@ def dedup_lines(docs: DataFrame, spans: Spans = chunk_spans) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), all_spans)
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
