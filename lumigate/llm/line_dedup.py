@@ -166,10 +166,12 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     found = stored(suspects(docs.select("doc_id", "text", row_key().alias("key")), bits), "spans", "zstd")
     first = found.groupBy("h", "block").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "no", "prior", "next")).alias("f")).where("n > 1")
     first = first.select("h", "block", F.col("f.key").alias("fkey"), F.col("f.no").alias("fno"), F.col("f.prior").alias("fprior"), F.col("f.next").alias("fnext"))
+    # stored, so that the join reads two plain shuffles and Spark can split a chunk that very many documents hold
+    first = stored(first, "first-places", "zstd")
     again = found.join(first, ["h", "block"]).where("key <> fkey or no <> fno")
     wide = again.select("key", (F.col("no") - same_from_start("prior", "fprior")).alias("no"), (F.col("stop") + same_from_start("next", "fnext")).alias("stop"))
     lost = stored(wide.groupBy("key").agg(F.collect_set(F.struct("no", "stop")).alias("lost")), "lost-lines")
-    forget(found)
+    forget(found, first)
     # documents that lose nothing, nearly all of those that a bitmap of fixed size doesn't show, need no join
     rows = in_bit_table(docs.select(F.struct(*docs.columns).alias("row"), row_key().alias("key")), bit_table(lost, "key"), "key")
     text = F.col("row.text")
