@@ -2,10 +2,10 @@
 
 A rolling hash over the hashes of a line and the one before it makes the line a boundary where it is under a bar that rises with
 the line's weight (its words, or its bytes / 16 where words are long): about one boundary every EVERY words, at most one
-a line, and none at an empty line. A chunk reaches from one boundary line to the next, both included, so it has two
+a line, and none at an empty line; where one line of two words or more follows itself, that hash says nothing, and its words are counted instead. A chunk reaches from one boundary line to the next, both included, so it has two
 lines or more; lines put in before it shift no boundary but the next one. A chunk of LEAST words or more that stands elsewhere in the corpus too, byte for
 byte, keeps its first place (smallest doc_id, null last, then key and position); its lines go from all others, and with them the lines
-beside it that are the same as beside the first place, up to the next chunk. A line of over LONG words is a chunk by itself.
+beside it that are the same as beside the first place, up to the next chunk. A line of over LONG / 2 words is looked up by itself too, and goes if it and the same lines beside it have over LONG words.
 What is removed thus stands elsewhere, and blank lines or single brackets are no chunk however often they follow one another.
 
 One pass counts chunk hashes; the repeated ones go to a bitmap of fixed size. A second pass sends the text of
@@ -37,7 +37,7 @@ EVERY = 8
 LEAST = 8
 #: Lines after which a boundary is set where the hash sets none, and lines that a chunk is extended by.
 MAX = 64
-#: A line of more words than this is a chunk by itself.
+#: A line goes without a chunk where it and what is the same beside it have more words than this.
 LONG = 50
 #: log2 of the bits of the bitmap of repeated chunks (8 MB).
 BITS = 26
@@ -59,7 +59,11 @@ def boundaries(lines: list[bytes], weight: np.ndarray) -> list[int]:
     roll = h.copy()
     roll[1:] ^= (h[:-1] << np.uint64(7)) | (h[:-1] >> np.uint64(57))
     roll *= np.uint64(0x9E3779B97F4A7C15)
-    return np.flatnonzero((roll >> np.uint64(32)) * np.uint64(EVERY) < np.minimum(weight, EVERY) << np.uint64(32)).tolist()
+    here = (roll >> np.uint64(32)) * np.uint64(EVERY) < np.minimum(weight, EVERY) << np.uint64(32)
+    at = np.arange(len(lines), dtype=np.uint64)
+    again = np.concatenate([[False], h[1:] == h[:-1]])[: len(lines)]
+    counted = (at - np.maximum.accumulate(np.where(again, np.uint64(0), at))) * weight % np.uint64(EVERY) < weight
+    return np.flatnonzero(np.where(again & (weight > 1), counted, here)).tolist()
 
 
 def chunks(lines: list[bytes], weight: np.ndarray) -> list[Span]:
@@ -78,12 +82,12 @@ def chunks(lines: list[bytes], weight: np.ndarray) -> list[Span]:
 
 
 def spans(lines: list[bytes]) -> tuple[list[Span], list[Span], list[int]]:
-    """The chunks that count, in order, the long lines, and the first line of each chunk that extending from a later one may take:
+    """The chunks that count, in order, the lines looked up by themselves, and the first line of each chunk that extending from a later one may take:
     the start itself where a line of its weight is a boundary after some lines only, else the next."""
     weight = weights(lines)
     before = np.concatenate([[0], np.cumsum(weight)])
     many = [(s, e) for s, e in chunks(lines, weight) if before[e] - before[s] >= LEAST]
-    return many, [(i, i + 1) for i in np.flatnonzero(weight > LONG).tolist()], [s + int(weight[s] >= EVERY) for s, _ in many]
+    return many, [(i, i + 1) for i in np.flatnonzero(weight > LONG // 2).tolist()], [s + int(weight[s] >= EVERY) for s, _ in many]
 
 
 def beside(span: Span, starts: list[int], stops: list[int], lows: list[int], n: int) -> tuple[range, range]:
@@ -169,8 +173,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     # stored, so that the join reads two plain shuffles and Spark can split a chunk that very many documents hold
     first = stored(first, "first-places", "zstd")
     again = found.join(first, ["h", "block"]).where("key <> fkey or no <> fno")
-    wide = again.select("key", (F.col("no") - same_from_start("prior", "fprior")).alias("no"), (F.col("stop") + same_from_start("next", "fnext")).alias("stop"))
-    lost = stored(wide.groupBy("key").agg(F.collect_set(F.struct("no", "stop")).alias("lost")), "lost-lines")
+    wide = again.select("key", F.expr("stop = no + 1").alias("alone"), (F.col("no") - same_from_start("prior", "fprior")).alias("no"), (F.col("stop") + same_from_start("next", "fnext")).alias("stop"))
+    lost = stored(wide.groupBy("key").agg(F.collect_set(F.struct("no", "stop", "alone")).alias("lost")), "lost-lines")
     forget(found, first)
     # documents that lose nothing, nearly all of those that a bitmap of fixed size doesn't show, need no join
     rows = in_bit_table(docs.select(F.struct(*docs.columns).alias("row"), row_key().alias("key")), bit_table(lost, "key"), "key")
@@ -183,7 +187,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
             texts, n, gone = [], [], []
             for t, lost in zip(pc.struct_field(b.column("row"), "text").to_pylist(), b.column("lost").to_pylist(), strict=True):
                 lines = lines_of(t)
-                drop = {k for x in lost or () for k in range(x["no"], x["stop"])}
+                lost = [x for x in lost or () if not x["alone"] or weights(lines[x["no"] : x["stop"]]).sum() > LONG]
+                drop = {k for x in lost for k in range(x["no"], x["stop"])}
                 texts.append(t if not drop else b"\n".join(x for k, x in enumerate(lines) if k not in drop).decode("utf-8", "surrogatepass"))
                 n.append(len(lines))
                 gone.append(len(drop))

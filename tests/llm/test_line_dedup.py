@@ -34,34 +34,39 @@ def plain(texts):
         lines = [x.encode() for x in text.split("\n")] if text else []
         size = [max(len(x.split()), len(x) // 16) for x in lines]
         h = [xxhash.xxh3_64_intdigest(x) for x in lines]
-        marks = []
+        marks, run = [], 0
         for i in range(len(lines)):
             r = h[i] if i == 0 else h[i] ^ ((h[i - 1] * 128) % big + h[i - 1] // (1 << 57))
             here = (r * 0x9E3779B97F4A7C15 % big) // (1 << 32) * 8 < min(size[i], 8) * (1 << 32)
+            run = run + 1 if i and lines[i] == lines[i - 1] else 0
+            if run and size[i] > 1:
+                here = run * size[i] % 8 < size[i]
             if here or marks and i - marks[-1] == 64 and i < len(lines):
                 marks.append(i)
         found = [(a, b) for a, b in zip(marks, marks[1:]) if sum(size[a : b + 1]) >= 8]
         REACH[id(lines)] = found, size
         KEEP.append(lines)
         drop = set()
-        for a, b in sorted(found + [(i, i) for i in range(len(lines)) if size[i] > 50]):
+        for a, b in sorted(found + [(i, i) for i in range(len(lines)) if size[i] > 25]):
             block = tuple(lines[a : b + 1])
             if block not in seen:
                 seen[block] = (lines, a, b)
                 continue
             theirs, x, y = seen[block]
-            drop |= set(range(a, b + 1))
+            more = set(range(a, b + 1))
             low = max([p + (size[p] >= 8) for p, q in found if q <= a], default=0)
             high = min([q for p, q in found if p >= b], default=len(lines))
             tlow, thigh = reach(theirs, x, y)
             k = 1
             while k <= 64 and a - k >= low and x - k >= tlow and lines[a - k] == theirs[x - k]:
-                drop.add(a - k)
+                more.add(a - k)
                 k += 1
             k = 1
             while k <= 64 and b + k < high and y + k < thigh and lines[b + k] == theirs[y + k]:
-                drop.add(b + k)
+                more.add(b + k)
                 k += 1
+            if b > a or sum(size[i] for i in more) > 50:
+                drop |= more
         out.append([x for i, x in enumerate(lines) if i not in drop])
     return out
 
@@ -86,6 +91,8 @@ def test_removed_lines_are_those_of_a_plain_loop(spark):
         rows.append((i, "\n".join(lines), 9))
     long = prose(rnd, 60, 61)
     rows += [(300, "x\n" + long + "\ny", 9), (301, long, 9), (302, "x\n" + long + "\ny\nz", 9), (303, "x y\n" * 400, 9), (304, "q\n" + "x y\n" * 300, 9)]
+    half = prose(rnd, 47, 48)
+    rows += [(310, f"a b\n{half}\nc d e\nf", 9), (311, f"a b\n{half}\nc d e\nf", 9), (312, f"b\n{half}\nd e", 9), (313, f"o\na b\n{half}\nc d", 9)]
     rows += [(500, None, 9), (501, "", 9), (502, "one line", 9), (503, "\n" * 5000, 9), (504, "}\n" * 900, 9), (7, rows[7][1], 9), (None, rows[3][1], 9)]
     once = sorted(dict.fromkeys(rows), key=lambda r: (r[0] is None, r[0] or 0))
     want = []
@@ -101,4 +108,5 @@ def test_removed_lines_are_those_of_a_plain_loop(spark):
     kept = {x for _, t, _, _ in got for x in (t or "").split("\n")}
     assert {x for _, t, _ in rows for x in (t or "").split("\n")} == kept
     assert {w[0]: w[3] for w in want}[503] == {w[0]: w[3] for w in want}[504] == 0
+    assert [{w[0]: w[3] for w in want}[i] for i in (310, 311, 312)] == [0, 4, 0]
     assert dedup_lines(out.select("doc_id", "text").limit(0)).count() == 0
