@@ -4,7 +4,7 @@ import zlib
 
 import numpy as np
 
-from lumigate.llm.toxicity import Model, WordHashes, features, toxicity, training_rows
+from lumigate.llm.toxicity import Model, WordHashes, features, op2_toxicity, toxicity, training_rows
 
 WORDS = [f"w{i}" for i in range(60)]
 
@@ -52,3 +52,20 @@ def test_no_labels_and_no_documents(spark):
 
 def test_features_are_words_pairs_and_skip_pairs():
     assert [len(features(t, WordHashes(), 20)) for t in ("", "a", "a b", "a b c d")] == [0, 1, 3, 4 + 3 + 2 + 1]
+
+
+def test_the_query_learns_nothing_from_held_out_labels(spark, tmp_path):
+    rows, labels = corpus(spark, 400)
+    scores = []
+    for name, turn in (("as", 0), ("turned", 1)):
+        marks = [(i, q, t ^ turn if zlib.crc32(str(i).encode()) % 4 == 2 else t) for i, q, t in labels]
+        at = f"{tmp_path}/{name}"
+        spark.createDataFrame([(i, t, "xx" if turn else "en", f"s{turn}") for i, t, _ in rows], "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame(marks, "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{at}/labels.parquet")
+        out = op2_toxicity(spark, at)
+        assert {"doc_id", "held_out", "score", "predicted"} <= set(out.columns)
+        scores.append({r.doc_id: (r.held_out, r.score, r.predicted) for r in out.collect()})
+    assert scores[0] == scores[1] and len(scores[0]) == 400
+    truth = {i: t for i, _, t in labels}
+    right = np.mean([p == truth[i] for i, (held, _, p) in scores[0].items() if held])
+    assert right > 0.95
