@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumigate.functions.vector import as_double
-from lumigate.operators.storage import stored
+from lumigate.operators.storage import forget, stored
 
 #: Pivots at most: 4096 vectors of 1024 numbers are 32 MB, the size of what each task is sent.
 LISTS = 4096
@@ -159,6 +159,7 @@ class Index:
         hits = self.near(some, n, probes).join(F.broadcast(true), "anchor", "right")  # at most AUDIT rows
         hits = hits.groupBy("anchor").agg(F.first("k").alias("k"), F.count_if(F.col("similarity") >= F.col("least")).alias("hits"))
         got = hits.agg(F.sum(F.least("hits", "k")).alias("hits"), F.sum("k").alias("k")).first()
+        forget(some)
         return 1.0 if not got["k"] else got["hits"] / got["k"]
 
     def audited_probes(self, anchors: DataFrame, n: int, least: float = TARGET) -> tuple[int, float]:

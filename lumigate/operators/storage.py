@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -18,18 +19,38 @@ def shared_dir(spark: SparkSession) -> str:
     return found or f"{tempfile.gettempdir()}/lumigate-shared"
 
 
+def _tables(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/lumigate"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_tables(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
 
 
 def forget(*tables: DataFrame) -> None:
     """Deletes tables of `stored` that no later plan reads."""
     for df in tables:
-        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            delete(df.sparkSession, path)
+        delete(df.sparkSession, df._stored_at)
+
+
+def sweep(spark: SparkSession, hours: float) -> list[str]:
+    """Deletes stored tables that nothing was written to for so many hours, and gives their names.
+
+    Results that are computed when they are read need the tables under them, so `stored` can't delete these itself. Run it
+    now and then with more hours than any job lasts; tables of sessions that broke off go with it.
+    """
+    if not exists(spark, _tables(spark)):
+        return []
+    at = spark._jvm.org.apache.hadoop.fs.Path(_tables(spark))
+    old = [f for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at) if f.getModificationTime() <= (time.time() - 3600 * hours) * 1000]
+    for f in old:
+        delete(spark, f.getPath().toString())
+    return sorted(f.getPath().getName() for f in old)
 
 
 def delete(spark: SparkSession, path: str) -> None:

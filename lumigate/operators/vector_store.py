@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from lumigate.operators.storage import delete, exists, stored
+from lumigate.operators.storage import delete, exists, forget, stored
 
 SCHEMA = T.StructType([T.StructField("content_hash", T.StringType()), T.StructField("vector", T.ArrayType(T.DoubleType())), T.StructField("version", T.IntegerType()), T.StructField("namespace", T.StringType()), T.StructField("batch", T.StringType())])
 #: Under so many hashes (60 bytes each) a batch's side is broadcast, and the store is scanned by hash alone without a shuffle.
@@ -90,5 +90,6 @@ def give_once(stream: DataFrame, store: VectorStore, namespace: str, checkpoint:
         new = stored(store.missing(rows, namespace, batch), "given")
         new.write.mode("overwrite").parquet(f"{out}/batch={batch}")
         store.add(new.select("content_hash", F.array().cast("array<double>").alias("vector")), namespace, batch)
+        forget(new)
 
     return stream.writeStream.foreachBatch(give).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
