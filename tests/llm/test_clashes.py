@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lumigate.llm import ngram_blocks, ngram_join
 from lumigate.llm.decontaminate import decontaminate
 from lumigate.llm.decontaminate import judged as contaminated
-from lumigate.llm.line_dedup import all_spans, dedup_lines
+from lumigate.llm.line_dedup import dedup_lines
 from lumigate.llm.mixing import chosen, mix
 from lumigate.llm.ngram_join import Join, one_of_each, similar_documents
 from lumigate.llm.toxicity import judged as toxic
@@ -38,7 +38,7 @@ def test_other_columns_stay(spark, docs):
     kept(toxic(docs, labels).select("row.*"), docs)
     kept(decontaminate(docs, bench), docs, ("contaminated", "n_items", "most_equal"))
     kept(contaminated(docs, bench).select("row.*"), docs)
-    kept(dedup_lines(docs, all_spans), docs, ("n_lines",))
+    kept(dedup_lines(docs), docs, ("n_lines",))
     assert contaminated(docs, bench).where("contaminated").count() >= 1
 
 
