@@ -7,13 +7,15 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumigate.sources.headers import upright
 
 # File suffixes of images.
 SUFFIXES = ("jpg", "jpeg", "png", "bmp", "gif", "webp", "tif", "tiff", "heic", "heif")
+#: Pixels of a task that makes its images itself, and bytes of crops that leave a task or reach a model at once.
+TASK_BYTES, CROP_BYTES = 64 << 20, 16 << 20
 
 
 class Embedder(Protocol):
@@ -67,33 +69,61 @@ def embed_prompts(prompts: DataFrame, embedder: Callable[[], Embedder]) -> DataF
     return prompts.mapInPandas(run, f"{fields}, vector array<double>")
 
 
-def crop_regions(images: DataFrame, plan: DataFrame) -> DataFrame:
-    """item_id, region_key, width, height and data of each planned box of images (item_id, image, and orientation where it is known); a box outside is dropped.
+def _boxed(images: DataFrame, plan: DataFrame, image: Column | None, *more: str) -> DataFrame:
+    """item_id, width, height, data, orientation, more and boxes (a list, which the geometry bounds) of images that have any.
 
-    Boxes are those of the picture as seen, so pixels are turned upright before they are cut.
+    Pixels are never broadcast, whatever size the planner believes a column of bytes to have. An image that is an expression is made after its row has
+    been joined and dealt, in about TASK_BYTES of pixels a task, so none is shuffled; one that is a column is sent once.
+    """
+    boxes = plan.groupBy("item_id", *more).agg(F.collect_list(F.struct("region_key", "l", "t", "r", "b")).alias("_boxes"))
+    boxes = boxes.select("item_id", "_boxes", *[F.col(c).alias(f"_{c}") for c in more])
+    turn = F.col("orientation") if "orientation" in images.columns else F.lit(None).cast("int")
+    if image is None:
+        image, rows = F.col("image"), images.join(boxes.hint("merge"), "item_id")
+    else:
+        rows = images.join(boxes, "item_id")
+        pixels = rows.agg(F.sum(image["width"].cast("long") * image["height"])).first()[0] or 0
+        rows = rows.repartition(pixels // TASK_BYTES + 1, "item_id")
+    return rows.select("item_id", image["width"].alias("width"), image["height"].alias("height"), image["data"].alias("data"), turn.alias("orientation"), *[F.col(f"_{c}").alias(c) for c in more], F.col("_boxes").alias("boxes"))
+
+
+def _crops(batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple]]:
+    """(row, region_key, pixels) of the boxes of rows that `_boxed` gave, in lists of about CROP_BYTES; a box outside has none."""
+    held, size = [], 0
+    for b in batches:
+        for r in b.itertuples():
+            pixels = upright(np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, -1), None if pd.isna(r.orientation) else int(r.orientation))
+            for x in r.boxes:
+                part = pixels if pd.isna(x["l"]) else pixels[int(x["t"]) : int(x["b"]), int(x["l"]) : int(x["r"])]
+                if part.size:
+                    held.append((r, x["region_key"], part))
+                    size += part.size
+                if size >= CROP_BYTES:
+                    yield held
+                    held, size = [], 0
+    if held:
+        yield held
+
+
+def crop_regions(images: DataFrame, plan: DataFrame, image: Column | None = None) -> DataFrame:
+    """item_id, region_key, width, height and data of each planned box of images (item_id, image, and orientation where it is known); a box outside is dropped.
 
-    An image is joined to the list of its boxes, which the geometry bounds, so that it is sent once and not once for each box.
+    Boxes are those of the picture as seen, so pixels are turned upright before they are cut. image: what makes the image of a row, where images has none.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for r in b.itertuples():
-                pixels = upright(np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, -1), None if pd.isna(r.orientation) else int(r.orientation))
-                parts = [(x["region_key"], pixels if pd.isna(x["l"]) else pixels[int(x["t"]) : int(x["b"]), int(x["l"]) : int(x["r"])]) for x in r.boxes]
-                rows = [(r.item_id, key, part.shape[1], part.shape[0], part.tobytes()) for key, part in parts if part.size]
-                yield pd.DataFrame(rows, columns=["item_id", "region_key", "width", "height", "data"])
+        for crops in _crops(batches):
+            rows = [(r.item_id, key, part.shape[1], part.shape[0], part.tobytes()) for r, key, part in crops]
+            yield pd.DataFrame(rows, columns=["item_id", "region_key", "width", "height", "data"])
 
-    boxes = plan.groupBy("item_id").agg(F.collect_list(F.struct("region_key", "l", "t", "r", "b")).alias("boxes"))
-    turn = F.col("orientation") if "orientation" in images.columns else F.lit(None).cast("int")
-    cut = images.select("item_id", "image.width", "image.height", "image.data", turn.alias("orientation")).join(boxes, "item_id")
-    return cut.mapInPandas(run, "item_id long, region_key string, width int, height int, data binary")
+    return _boxed(images, plan, image).mapInPandas(run, "item_id long, region_key string, width int, height int, data binary")
 
 
-def embed_regions(images: DataFrame, plan: DataFrame, cache: DataFrame, namespace: str, embedder: Callable[[], Embedder]) -> DataFrame:
+def embed_regions(images: DataFrame, plan: DataFrame, cache: DataFrame, namespace: str, embedder: Callable[[], Embedder], image: Column | None = None) -> DataFrame:
     """content_hash, namespace, region_key and vector of the planned regions that the cache (those three keys) lacks.
 
-    images has item_id, content_hash and image. A region of a content is cut and embedded once, whatever the number of its items,
-    and what the cache has is neither cut nor embedded.
+    images has item_id, content_hash and image, or image makes it. A region of a content is cut and embedded once, whatever the number of its items,
+    and what the cache has is neither cut nor embedded. Crops stay in the task that cut them.
     """
     keys = ["content_hash", "namespace", "region_key"]
     wanted = plan.join(images.select("item_id", "content_hash"), "item_id").withColumn("namespace", F.lit(namespace))
@@ -101,12 +131,12 @@ def embed_regions(images: DataFrame, plan: DataFrame, cache: DataFrame, namespac
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = embedder()
-        for b in batches:
-            if len(b):
-                yield b[["item_id", "region_key"]].assign(vector=list(model.embed([bytes(x) for x in b["data"]]).astype(float)))
+        for crops in _crops(batches):
+            vectors = model.embed([part.tobytes() for _, _, part in crops])
+            yield pd.DataFrame({"content_hash": [r.content_hash for r, _, _ in crops], "region_key": [key for _, key, _ in crops], "vector": list(vectors.astype(float))})
 
-    vectors = crop_regions(images, todo).mapInPandas(run, "item_id long, region_key string, vector array<double>")
-    return vectors.join(todo.select("item_id", *keys), ["item_id", "region_key"]).select(*keys, "vector")
+    vectors = _boxed(images, todo, image, "content_hash").mapInPandas(run, "content_hash string, region_key string, vector array<double>")
+    return vectors.select("content_hash", F.lit(namespace).alias("namespace"), "region_key", "vector")
 
 
 def read_labels(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

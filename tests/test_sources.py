@@ -127,3 +127,27 @@ def test_new_files_reach_the_stream_of_an_inventory_once(spark, tmp_path):
         (tmp_path / "in" / name).write_bytes(name.encode())
         streams.run_available(streams.stream_inventory(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
     assert sorted(r.size for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [5, 5]
+
+
+def test_images_are_never_broadcast_and_made_after_the_join(spark):
+    """The planner takes any column of bytes for small: pixels must neither be sent to the driver nor through a join."""
+    rows = spark.createDataFrame([(i, 60, 50) for i in range(4)], "item_id long, width int, height int")
+    plan = spark.createDataFrame([(i, k, *box) for i in range(3) for k, box in (("full", (None,) * 4), ("a", (5, 0, 15, 50)))], PLAN)
+    image = F.struct("width", "height", F.expr("cast(rpad('', width * height, cast(item_id as string)) as binary)").alias("data"))
+    stored = rows.select("item_id", image.alias("image"))
+    got = images.crop_regions(rows, plan, image)
+    want = {(i, k): (w, 50, str(i).encode() * (w * 50)) for i in range(3) for k, w in (("full", 60), ("a", 10))}
+    for frame in (got, images.crop_regions(stored, plan)):
+        assert {(r.item_id, r.region_key): (r.width, r.height, bytes(r.data)) for r in frame.collect()} == want
+    text = got._jdf.queryExecution().optimizedPlan().toString()
+    assert text.index("rpad") < text.index("Repartition") < text.index("Join")
+    assert "BroadcastHashJoin" not in images.crop_regions(stored, plan)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_content_of_several_items_is_embedded_from_one_of_them(spark):
+    rows = spark.createDataFrame([(i, f"h{i % 2}", 60, 50) for i in range(6)], "item_id long, content_hash string, width int, height int")
+    image = F.struct("width", "height", F.expr("cast(rpad('', width * height, content_hash) as binary)").alias("data"))
+    plan = spark.createDataFrame([(i, "full", None, None, None, None) for i in range(6)], PLAN)
+    cache = spark.createDataFrame([], "content_hash string, namespace string, region_key string")
+    got = images.embed_regions(rows, plan, cache, "m", images.HashEmbedder, image)
+    assert sorted((r.content_hash, r.namespace, r.region_key) for r in got.collect()) == [("h0", "m", "full"), ("h1", "m", "full")]
