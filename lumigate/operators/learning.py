@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumigate.functions.vector import clip, dot, l2_normalize, sigmoid
+from lumigate.operators import joint_fits
 from lumigate.operators.labels import folds, split
+from lumigate.operators.storage import stored
 
 # When there are labels enough, and how much they may count.
 LEAST_LABELS, LEAST_A_CLASS, LEAST_TO_SELECT = 6, 3, 12
@@ -88,24 +90,15 @@ def platt(held: DataFrame) -> tuple[float, float]:
     return fit.coefficients[0], fit.intercept
 
 
+def out_of_folds(train: DataFrame, cs: tuple[float, ...], k: int = 5, seed: str = "cv") -> DataFrame:
+    """item_id, y, c and p from a model that did not see the row, for each of cs; null where the rest could not train one."""
+    dealt = stored(folds(train, k, seed), "folds")
+    return joint_fits.predicted(dealt, joint_fits.minimised(dealt, joint_fits.begun(dealt, cs)), cs)
+
+
 def out_of_fold(train: DataFrame, c: float, k: int = 5, seed: str = "cv") -> DataFrame:
-    """item_id, y and p from a model that did not see the row; null where the rest could not train one."""
-    dealt = folds(train, k, seed)
-    classes = {(r["fold"], r["y"]) for r in dealt.select("fold", "y").distinct().collect()}
-    parts = []
-    for f in range(k):
-        here = dealt.where(F.col("fold") == f)
-        if len({y for g, y in classes if g != f}) < 2:
-            parts.append(here.select("item_id", "y", F.lit(None).cast("double").alias("p")))
-            continue
-        rest = dealt.where(F.col("fold") != f)
-        scale = scaling(rest)
-        model = logistic(standardised(rest, scale), c)
-        parts.append(standardised(here, scale).select("item_id", "y", sigmoid(model.margin(F.col("z"))).alias("p")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """item_id, y and p of one C."""
+    return out_of_folds(train, (c,), k, seed).drop("c")
 
 
 def roc_auc(rows: DataFrame, score: str = "score") -> DataFrame:
@@ -149,8 +142,9 @@ def average_precision(rows: DataFrame, score: str = "score") -> DataFrame:
 def select_c(train: DataFrame, k: int = 5) -> tuple[float, float | None]:
     """The first C of the grid with the best pooled out-of-fold AUC, and that AUC."""
     best, auc = 1.0, None
+    found = stored(out_of_folds(train, tuple(GRID), k), "out-of-folds")
     for c in GRID:
-        a = roc_auc(out_of_fold(train, c, k), "p").first()["auc"]
+        a = roc_auc(found.where(F.col("c") == c), "p").first()["auc"]
         if a is not None and (auc is None or a > auc):
             best, auc = c, a
     return best, auc

@@ -153,3 +153,33 @@ def test_ranges_of_a_heavy_tailed_score_are_even_and_values_stay(spark):
     ap = (np.cumsum(hits) / np.arange(1, len(hits) + 1))[hits].mean()
     assert abs(learning.average_precision(frame_).first().ap - ap) < 1e-9
     assert learning.roc_auc(frame_.limit(0)).first().auc is None
+
+
+def test_fits_of_all_folds_and_strengths_share_their_passes(spark):
+    """A choice of C once was folds times grid fits of tens of jobs each."""
+    x, y = rows(60, 3, 13)
+    train = frame(spark, x, y).repartition(3).cache()
+    train.count()
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("choice", "")
+    try:
+        got = learning.out_of_folds(train, (0.05, 16.0), 3).collect()
+        jobs = len(tracker.getJobIdsForGroup("choice"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    dealt = {r.item_id: r.fold for r in learning.folds(train, 3, "cv").collect()}
+    assert len(got) == 120 and jobs < 80
+    for c in (0.05, 16.0):
+        p = {r.item_id: r.p for r in got if r.c == c}
+        for f in range(3):
+            rest, here = [i for i in p if dealt[i] != f], [i for i in p if dealt[i] == f]
+            w, b = newton(scaled(x[rest], x[rest]), y[rest], c)
+            assert np.allclose([p[i] for i in here], 1 / (1 + np.exp(-(scaled(x[rest], x[here]) @ w + b))), atol=1e-6)
+
+
+def test_a_fold_without_a_model_gives_null(spark):
+    x, y = np.arange(18.0).reshape(9, 2), np.array([1] + [0] * 8)
+    train = frame(spark, x, y)
+    dealt = {r.item_id: r.fold for r in learning.folds(train, 3, "cv").collect()}
+    got = {r.item_id: r.p for r in learning.out_of_fold(train, 1.0, 3).collect()}
+    assert {i for i, p in got.items() if p is None} == {i for i in got if dealt[i] == dealt[0]}
