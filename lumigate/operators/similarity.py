@@ -1,8 +1,8 @@
 """Similar items for many anchors at once: inverted lists over pivots, several probes, exact re-ranking.
 
 Pivots are a bounded sample of the distinct vectors, spread by hash; every distinct vector goes to the list of its nearest pivot, and an anchor is
-compared with the lists of its PROBES nearest pivots. Lists are dealt in blocks of at most BLOCK vectors, so a hot list is several tasks' work; an
-anchor's best of each block are merged by rank. Equal vectors are one entry that keeps the smallest ids, so copies of one vector
+compared with the lists of its PROBES nearest pivots. Lists are packed into blocks of at most BLOCK vectors, and a hot list is several blocks; an anchor is sent
+to a block once, with the names of the lists there that it probes, and its best of each block are merged by rank. Equal vectors are one entry that keeps the smallest ids, so copies of one vector
 don't multiply pairs. An audit compares AUDIT anchors with all vectors; while fewer than TARGET of their true neighbours are found, the probes double, up to
 all lists, which is exact.
 
@@ -24,11 +24,13 @@ from lumigate.operators.storage import forget, stored
 
 #: Pivots at most: 4096 vectors of 1024 numbers are 32 MB, the size of what each task is sent.
 LISTS = 4096
-BLOCK = 2000
+BLOCK = 8192
 PROBES = 4
 AUDIT, TARGET = 100, 0.95
 #: Under so many anchors (their ids and vectors) a block's anchors are one group; more are dealt over several groups.
-ANCHORS = 2000
+ANCHORS = 8192
+#: Anchors whose products with pivots or with a block are held at once, and rows that leave a task at once.
+SLICE, ROWS = 256, 4096
 
 
 def units(rows: DataFrame) -> DataFrame:
@@ -49,30 +51,94 @@ def pivots(entries: DataFrame, n: int) -> np.ndarray:
     return normalised(r["vector"] for r in entries.orderBy(F.xxhash64("vector"), "entry").limit(n).select("vector").collect())
 
 
-def nearest_lists(rows: DataFrame, centres: np.ndarray, probes: int) -> DataFrame:
-    """rows (with vector), once for each of its probes nearest pivots, as column list."""
+def nearest(vectors, centres: np.ndarray, probes: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Where each SLICE of vectors begins, and the probes nearest pivots of its vectors."""
+    for at in range(0, len(vectors), SLICE):
+        near = normalised(vectors[at : at + SLICE]) @ centres.T
+        yield at, np.argsort(-near, axis=1, kind="stable")[:, :probes]
+
+
+def listed(rows: DataFrame, centres: np.ndarray) -> DataFrame:
+    """rows (with vector) and list, the nearest pivot."""
     held = rows.sparkSession.sparkContext.broadcast(centres)
-    names = rows.columns
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             if len(f):
-                near = normalised(f["vector"]) @ held.value.T
-                top = np.argsort(-near, axis=1, kind="stable")[:, :probes]
-                out = f.loc[f.index.repeat(top.shape[1])].reset_index(drop=True)
-                out["list"] = top.ravel().astype(np.int32)
-                yield out
+                yield f.assign(list=np.concatenate([top[:, 0] for _, top in nearest(f["vector"].to_numpy(), held.value, 1)]).astype(np.int32))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", list int"
-    return rows.select(*names).mapInPandas(run, schema)
+    return rows.mapInPandas(run, schema)
+
+
+def packed(lengths: dict[int, int], lists: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first block of each list, and how many it has: small lists share a block of at most BLOCK vectors, a longer list has blocks of its own."""
+    first, many = np.zeros(lists, np.int64), np.zeros(lists, np.int64)
+    blocks, free = 0, 0
+    for k in range(lists):
+        n = lengths.get(k, 0)
+        if n > BLOCK:
+            first[k], many[k], free = blocks, -(-n // BLOCK), 0
+            blocks += many[k]
+        elif n:
+            if n > free:
+                blocks, free = blocks + 1, BLOCK
+            first[k], many[k], free = blocks - 1, 1, free - n
+    return first, many
 
 
-def best(anchors, vectors, entries: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """entry and cosine of each anchor's n nearest vectors, ties by smaller entry. Rounded, so that a pair has one value wherever it is computed."""
+def sent(anchors: DataFrame, centres: np.ndarray, first: np.ndarray, many: np.ndarray, probes: int) -> DataFrame:
+    """anchor, vector, block and lists: an anchor once for each block that has any of its probes nearest lists, with these."""
+    held = anchors.sparkSession.sparkContext.broadcast((centres, first, many))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        centres, first, many = held.value
+        for f in frames:
+            ids, vectors = f["anchor"].to_numpy(), f["vector"].to_numpy()
+            for at, top in nearest(vectors, centres, probes):
+                lists = top.ravel()
+                times = many[lists]
+                who = np.repeat(at + np.arange(len(top)), top.shape[1]).repeat(times)
+                block = first[lists].repeat(times) + np.arange(times.sum()) - (np.cumsum(times) - times).repeat(times)
+                lists = lists.repeat(times).astype(np.int32)
+                order = np.lexsort((lists, block, who))
+                who, block, lists = who[order], block[order], lists[order]
+                starts = np.flatnonzero(np.append(True, (np.diff(who) != 0) | (np.diff(block) != 0))) if len(who) else np.zeros(0, int)
+                ends = np.append(starts[1:], len(who))
+                for k in range(0, len(starts), ROWS):
+                    s, e = starts[k : k + ROWS], ends[k : k + ROWS]
+                    yield pd.DataFrame({"anchor": ids[who[s]], "vector": vectors[who[s]], "block": block[s], "lists": [lists[i:j] for i, j in zip(s, e)]})
+
+    return anchors.select("anchor", "vector").mapInPandas(run, "anchor long, vector array<double>, block long, lists array<int>")
+
+
+def best(anchors, vectors, entries: np.ndarray, n: int, lists: np.ndarray | None = None, wanted=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place, entry and cosine of each anchor's n nearest vectors, ties by smaller entry; of those in its wanted lists, where lists are given.
+
+    Rounded, so that a pair has one value wherever it is computed. A SLICE of anchors is compared at once.
+    """
     order = np.argsort(entries, kind="stable")
-    near = np.round(np.clip(normalised(anchors) @ normalised(vectors)[order].T, -1.0, 1.0), 12)
-    top = np.argsort(-near, axis=1, kind="stable")[:, :n]
-    return entries[order][top], np.take_along_axis(near, top, 1)
+    entries, right = entries[order], normalised(vectors)[order]
+    found = []
+    for at in range(0, len(anchors), SLICE):
+        near = np.round(np.clip(normalised(anchors[at : at + SLICE]) @ right.T, -1.0, 1.0), 12)
+        if lists is not None:
+            names, code = np.unique(lists[order], return_inverse=True)
+            open_ = np.zeros((len(near), len(names)), bool)
+            for k, own in enumerate(wanted[at : at + SLICE]):
+                open_[k] = np.isin(names, own)
+            near[~open_[:, code]] = -np.inf
+        if near.shape[1] > n:
+            least = np.partition(near, near.shape[1] - n, axis=1)[:, near.shape[1] - n]
+            who, which = np.nonzero((near >= least[:, None]) & (near > -np.inf))
+        else:
+            who, which = np.nonzero(near > -np.inf)
+        value = near[who, which]
+        rank = np.lexsort((which, -value, who))
+        who, which, value = who[rank], which[rank], value[rank]
+        keep = np.arange(len(who)) - np.searchsorted(who, who) < n
+        found.append((at + who[keep], entries[which[keep]], value[keep]))
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def ranked(found: DataFrame, entries: DataFrame, n: int) -> DataFrame:
@@ -93,10 +159,10 @@ def compared(anchors: DataFrame, blocks: DataFrame, n: int) -> DataFrame:
     def pairs(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"anchor": [], "entry": [], "similarity": []}).astype({"anchor": "int64", "entry": "int64"})
-        ids, near = best(left["vector"], right["vector"], right["entry"].to_numpy(), n)
-        return pd.DataFrame({"anchor": np.repeat(left["anchor"].to_numpy(), ids.shape[1]), "entry": ids.ravel(), "similarity": near.ravel()})
+        who, ids, near = best(left["vector"].to_numpy(), right["vector"].to_numpy(), right["entry"].to_numpy(), n, right["list"].to_numpy(), left["lists"].to_numpy())
+        return pd.DataFrame({"anchor": left["anchor"].to_numpy()[who], "entry": ids, "similarity": near})
 
-    keys = ("list", "block", "part")
+    keys = ("block", "part")
     return anchors.groupBy(*keys).cogroup(blocks.groupBy(*keys)).applyInPandas(pairs, "anchor long, entry long, similarity double")
 
 
@@ -115,27 +181,26 @@ class Index:
         total = self._entries.count()
         self.centres = pivots(self._entries, min(LISTS, lists or isqrt(total) + 1)) if total else np.zeros((0, 1))
         if not total:
-            self.entries = self._entries.withColumns({"list": F.lit(0), "block": F.lit(0)})
-            self.sizes = self.entries.select("list", "block").distinct()
+            self.entries = self._entries.withColumns({"list": F.lit(0), "block": F.lit(0).cast("long")})
             return
-        listed = nearest_lists(self._entries, self.centres, 1)
-        length = listed.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))  # at most LISTS rows
-        listed = listed.join(F.broadcast(length), "list").withColumn("block", F.pmod(F.xxhash64("entry"), F.col("blocks")).cast("int")).drop("blocks")
-        self.entries = stored(listed, "similar-lists")
-        self.sizes = stored(length, "similar-lengths")
+        rows = stored(listed(self._entries, self.centres), "similar-lists")
+        lengths = {r["list"]: r["count"] for r in rows.groupBy("list").count().collect()}  # at most LISTS rows
+        self.first, self.many = packed(lengths, len(self.centres))
+        where = rows.sparkSession.createDataFrame([(k, int(self.first[k]), int(self.many[k])) for k in lengths], "list int, _first long, _many long")
+        own = F.col("_first") + F.pmod(F.xxhash64("entry"), F.col("_many"))
+        self.entries = rows.join(F.broadcast(where), "list").withColumn("block", own).drop("_first", "_many")
 
     def near(self, anchors: DataFrame, n: int, probes: int) -> DataFrame:
         """anchor, item_id, similarity and rank: the n nearest items of each anchor (anchor, vector), itself left out."""
         spark = anchors.sparkSession
         if not len(self.centres):
             return spark.createDataFrame([], "anchor long, item_id long, similarity double, rank int")
-        asked = nearest_lists(anchors, self.centres, probes).join(F.broadcast(self.sizes), "list")
-        asked = asked.select("anchor", "vector", "list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-        # a list that many anchors probe is dealt by anchor as well: each part has the block's vectors
-        parts = asked.groupBy("list", "block").agg(F.ceil(F.count("*") / ANCHORS).cast("int").alias("parts"))
-        asked = asked.join(parts, ["list", "block"]).withColumn("part", F.pmod(F.xxhash64("anchor", F.lit("part")), F.col("parts")).cast("int"))
-        blocks = self.entries.join(parts, ["list", "block"]).select("entry", "vector", "list", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-        found = compared(asked.select("anchor", "vector", "list", "block", "part"), blocks, n + 1)
+        asked = sent(anchors, self.centres, self.first, self.many, probes)
+        # a block that many anchors probe is dealt by anchor as well: each part has the block's vectors
+        parts = F.broadcast(asked.groupBy("block").agg(F.ceil(F.count("*") / ANCHORS).cast("int").alias("parts")))  # a row a block
+        asked = asked.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("anchor", F.lit("part")), F.col("parts")).cast("int")).drop("parts")
+        blocks = self.entries.join(parts, "block").select("entry", "vector", "list", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        found = compared(asked, blocks, n + 1)
         return ranked(found, self._entries, n)
 
     def exact(self, anchors: DataFrame, n: int) -> DataFrame:
@@ -147,8 +212,8 @@ class Index:
             names, vectors = held.value
             for f in frames:
                 if len(f) and names:
-                    ids, near = best(vectors, f["vector"], f["entry"].to_numpy(), n + 1)
-                    yield pd.DataFrame({"anchor": np.repeat(np.array(names), ids.shape[1]), "entry": ids.ravel(), "similarity": near.ravel()})
+                    who, ids, near = best(vectors, f["vector"].to_numpy(), f["entry"].to_numpy(), n + 1)
+                    yield pd.DataFrame({"anchor": np.array(names)[who], "entry": ids, "similarity": near})
 
         return ranked(self._entries.select("entry", "vector").mapInPandas(run, "anchor long, entry long, similarity double"), self._entries, n)
 

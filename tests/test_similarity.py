@@ -88,3 +88,20 @@ def test_extreme_numbers(spark):
     items = [(1, [1e-30, 0.0]), (2, [1e30, 1e29]), (3, [-1e30, 0.0])]
     got = listed(sim.similar_to_each(spark.createDataFrame(items, SCHEMA), spark.createDataFrame([(1,)], "item_id long"), 2))
     assert [i for _, i in got[1]] == [2, 3]
+
+
+def test_an_anchor_is_sent_once_to_a_block_of_many_lists(spark):
+    """Where neighbours are in most lists, an anchor's vector once left its task for every list, all in one piece."""
+    items = clusters(600, 8, 12, 2)
+    index = sim.Index(spark.createDataFrame(items, SCHEMA), 7)
+    asked = sim.units(spark.createDataFrame(items, SCHEMA)).withColumnRenamed("item_id", "anchor")
+    rows = sim.sent(asked, index.centres, index.first, index.many, len(index.centres)).collect()
+    assert len(index.centres) > 20 and len(rows) == 600  # one block holds all lists
+    own = {r["list"] for r in index.entries.select("list").distinct().collect()}
+    assert all(set(r.lists) == own for r in rows)
+
+
+def test_lists_are_packed_into_blocks(monkeypatch):
+    monkeypatch.setattr(sim, "BLOCK", 10)
+    first, many = sim.packed({0: 4, 1: 6, 2: 1, 4: 25, 5: 9}, 6)
+    assert first.tolist() == [0, 0, 1, 0, 2, 5] and many.tolist() == [1, 1, 1, 0, 3, 1]
