@@ -14,6 +14,8 @@ from lumigate.sources.headers import upright
 
 # File suffixes of images.
 SUFFIXES = ("jpg", "jpeg", "png", "bmp", "gif", "webp", "tif", "tiff", "heic", "heif")
+#: Bytes that a picture has fewer of: Spark's image source decodes none of 10^9 bytes or more.
+LONGEST = 1_000_000_000
 #: Pixels of a task that makes its images itself, and bytes of crops that leave a task or reach a model at once.
 TASK_BYTES, CROP_BYTES = 64 << 20, 16 << 20
 
@@ -39,10 +41,16 @@ def scan_inventory(spark: SparkSession, folder: str, suffixes: tuple[str, ...] =
 
 
 def decode(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(images, rejects): what the image source can decode, and the paths of what it can't."""
-    images = spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").load(folder)
+    """(images, rejects): what the image source can decode, and the paths of what it can't.
+
+    A file is read whole by one task, and the source fails on pictures of LONGEST bytes or more. A file that is longer itself isn't read, and is a reject.
+    """
+    size = F.col("_metadata.file_size")
+    images = spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").load(folder).where(size < LONGEST)
     good = F.col("image.width") > 0
-    return images.where(good), images.where(~good).select(F.col("image.origin").alias("path"), F.lit("can't be decoded").alias("reason"))
+    long = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).where(F.col("length") >= LONGEST)
+    why = F.lit("can't be decoded").alias("reason")
+    return images.where(good), images.where(~good).select(F.col("image.origin").alias("path"), why).unionByName(long.select("path", why))
 
 
 def embed_distinct(inventory: DataFrame, embedder: Callable[[], Embedder]) -> DataFrame:

@@ -151,3 +151,14 @@ def test_a_content_of_several_items_is_embedded_from_one_of_them(spark):
     cache = spark.createDataFrame([], "content_hash string, namespace string, region_key string")
     got = images.embed_regions(rows, plan, cache, "m", images.HashEmbedder, image)
     assert sorted((r.content_hash, r.namespace, r.region_key) for r in got.collect()) == [("h0", "m", "full"), ("h1", "m", "full")]
+
+
+def test_a_file_longer_than_any_picture_is_a_reject_that_no_task_reads(spark, tmp_path):
+    pixels = np.arange(12, dtype=np.uint8).reshape(3, 4)
+    (tmp_path / "good.png").write_bytes(png(pixels))
+    (tmp_path / "bad.png").write_bytes(b"no image")
+    with (tmp_path / "long.bin").open("wb") as f:
+        f.truncate(2_200_000_000)  # a hole; no array of the JVM holds so many bytes
+    good, rejects = images.decode(spark, str(tmp_path))
+    assert [r.width for r in good.select("image.width").collect()] == [4]
+    assert sorted((r.path.rsplit("/", 1)[1], r.reason) for r in rejects.collect()) == [("bad.png", "can't be decoded"), ("long.bin", "can't be decoded")]
