@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Under so many keys (16 bytes and what a hash table adds: about 100 MB) a set of keys is broadcast; beyond it Spark shuffles.
 BROADCAST_KEYS = 1_000_000
+#: Edges that one task contracts at once (16 bytes each, and about 100 while it does).
+HELD_EDGES = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -116,14 +118,69 @@ def marked(bitmap: np.ndarray, values: np.ndarray, bits: int) -> np.ndarray:
     return (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
+def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node of these edges, and the smallest node that it reaches by them."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    u, v, low = at[: len(u)], at[len(u) :], np.arange(len(nodes))
+    while True:
+        a, b = low[u], low[v]
+        apart = a != b
+        if not apart.any():
+            return nodes, nodes[low]
+        np.minimum.at(low, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while ((further := low[low]) != low).any():
+            low = further
+
+
+def contracted(edges: DataFrame, last: bool = False) -> DataFrame:
+    """u, v: edges with the same components as edges u, v, HELD_EDGES of a task at a time: each node with the smallest that it reaches.
+
+    last: edges are in one task and at most HELD_EDGES; smallest nodes get a row too.
+    """
+    kinds = [edges.schema[c].dataType.simpleString() for c in ("u", "v")]
+    most = HELD_EDGES
+
+    def run(batches):
+        held, size, schema = [], 0, None
+
+        def joined(every: bool) -> tuple[np.ndarray, np.ndarray]:
+            nodes, low = _forest(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            keep = every | (nodes != low)
+            return nodes[keep], low[keep]
+
+        def given(u, v):
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((u, v), schema, strict=True)], schema=schema)
+
+        for b in batches:
+            schema = b.schema
+            held.append(tuple(b.column(c).to_numpy(zero_copy_only=False) for c in ("u", "v")))
+            size += len(b)
+            if size >= most and not last:
+                held = [joined(False)]
+                size = len(held[0][0])
+                if 2 * size > most:
+                    yield given(*held[0])
+                    held, size = [], 0
+        if size:
+            yield given(*joined(last))
+
+    return edges.select("u", "v").mapInArrow(trimmed(run), f"u {kinds[0]}, v {kinds[1]}")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an edge list, as (node, component): component is the smallest node reachable.
 
-    Alternating large-star and small-star rounds (Kiveris et al., 2014): every round is two grouped
+    Each task contracts its edges first, and again in as few tasks as hold HELD_EDGES each. Where these are several, alternating
+    large-star and small-star rounds follow (Kiveris et al., 2014): every round is two grouped
     minima and joins that Spark may split when one node has very many edges, and each round's edges are
     stored in the shared folder. Nodes without edges are not in the result. Nulls are not nodes.
     """
-    cur = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "cc")
+    first = stored(contracted(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v")), "cc")
+    tasks = max(1, -(-first.count() // HELD_EDGES))
+    cur = stored(contracted(first.coalesce(tasks), tasks == 1), "cc")
+    forget(first)
+    if tasks == 1:
+        return cur.select(F.col("u").alias("node"), F.col("v").alias("component"))
     sums = None
     while True:
         both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -154,7 +154,7 @@ def possible_blocks(rows: DataFrame, parts: DataFrame, join) -> DataFrame:
             if found.any():
                 found &= overlaps(x["third"], None if own else y["third"]) > 0
             pairs = holding(found, x["c"], y["c"])
-            some = np.concatenate([x["node"][found.any(1)], y["node"][found.any(0)]])
+            some = np.unique(np.concatenate([x["node"][found.any(1)], y["node"][found.any(0)]]))
             blank = [None] * len(pairs)
             cols = [[int(x["c"][r]) for r, _ in pairs] + [None] * len(some), [int(y["c"][s]) for _, s in pairs] + [None] * len(some), blank + some.tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b", "node"])

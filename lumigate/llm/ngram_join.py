@@ -52,6 +52,8 @@ FREQUENCY_BITS = 26
 TEXT_BITS = (20, 27)
 #: Counts from which a shingle is of the middle and the last class.
 OFTEN, VERY_OFTEN = 4, 32
+#: Open groups of over so many nodes are large: a turn of stars costs a pass over the texts and some 60 stages, and 136 pairs of blocks less.
+LARGE = 16 * BLOCK
 #: Large open groups give further stars as long as one in so many of these pairs links.
 STAR_YIELD = 10
 #: Shingles that a task holds before it sends them on.
@@ -406,30 +408,29 @@ def similar_documents(docs: DataFrame, join: Join = Join()) -> tuple[DataFrame,
     passed = index(docs, join, bitmaps)
     nodes = passed.where("key is not null").select("key", "doc_id", "n_shingles", "node", "text_hash")
     edges = stored(stars(passed), "ngram-stars")
-    pairs = stored(edges.select("a", "b").distinct(), "ngram-pairs")
     known = nodes.where("node is not null").groupBy("node").agg(F.max("n_shingles").alias("n"), F.min("text_hash").alias("text_hash"))
     texts = stored(known.join(ends_of(edges), "node", "left_semi"), "ngram-texts")
     parts = of_nodes(docs, texts, join, bitmaps, False)
-    links = compared(docs, pairs, parts, texts, join, bitmaps)
+    links = compared(docs, edges.select("a", "b").distinct(), parts, texts, join, bitmaps)
     comp = components(links)
     members = stored(edges.select("tok", F.explode(F.array("a", "b")).alias("node")).distinct().join(texts.select("node", "n"), "node"), "ngram-members")
-    forget(pairs, edges)
+    forget(edges)
     # components only grow, so a group that isn't open stays so
     opened, turn = open_members(members, comp), 0
     forget(members)
-    while True:
-        large = opened.where(f"size > {BLOCK}")
-        if not large.limit(1).count():
-            break
+    # only large groups are read again from turn to turn
+    large = stored(opened.where(f"size > {LARGE}"), "ngram-large")
+    while large.limit(1).count():
         more = stored(star_pairs(large, turn), "ngram-pairs")
         added, tried, turn = compared(docs, more, parts, texts, join, bitmaps), more.count(), turn + 1
         links = links.union(added)
         comp = components(links)
-        was, opened = opened, open_members(opened, comp)
+        was, large = large, open_members(large, comp)
         forget(more, was)
         if added.count() * STAR_YIELD < tried:
             break
-    was, opened = opened, with_partners(opened, join)
+    forget(large)
+    was, opened = opened, with_partners(with_component(opened.drop("c"), comp, "node", "c") if turn else opened, join)
     forget(was)
     # by the filters alone, in blocks: which nodes may have a partner in another component, and pairs of components that hold these together
     maybe = stored(possible_blocks(blocks_of(opened, "tok"), parts, join), "ngram-maybe")
