@@ -167,11 +167,11 @@ def frequency_bitmaps(docs: DataFrame, join: Join) -> tuple[np.ndarray, np.ndarr
 
     steps = docs.select("text").mapInArrow(trimmed(count), "bucket int, once binary, more binary, counts binary")
     found = steps.groupBy("bucket").applyInArrow(classes, "bucket int, often binary, very binary").collect()  # together two bitmaps of fixed size
-    often, very = (np.zeros(1 << FREQUENCY_BITS, bool) for _ in range(2))
-    for r in found:
+    often, very = (np.zeros(1 << (FREQUENCY_BITS - 3), np.uint8) for _ in range(2))
+    for r in found:  # a segment is 64 bits or more
         for bits, part in ((often, r["often"]), (very, r["very"])):
-            bits[r["bucket"] * segment : (r["bucket"] + 1) * segment] = np.unpackbits(np.frombuffer(part, np.uint8))
-    return np.packbits(often), np.packbits(very)
+            bits[r["bucket"] * segment // 8 : (r["bucket"] + 1) * segment // 8] = np.frombuffer(part, np.uint8)
+    return often, very
 
 
 def _bit(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -442,6 +442,7 @@ def similar_documents(docs: DataFrame, join: Join = Join()) -> tuple[DataFrame,
     sets = of_nodes(docs, at, join, bitmaps, True)
     joined = stored(linked_blocks(blocks_of(at, "cluster"), sets, join), "ngram-links")
     forget(texts, maybe, at, sets)
+    bitmaps.destroy()
     links = links.union(joined.select("a", "b"))
     over = components(joined.select("ca", "cb"), "ca", "cb").select(F.col("node").alias("class"), F.col("component").alias("over"))
     named = with_component(nodes, comp, "node", "class").join(over, "class", "left").withColumn("class", F.coalesce("over", "class")).drop("over")

@@ -1,9 +1,11 @@
 """What the join of shingle sets costs besides its pairs: driver memory, rounds, and rows read from turn to turn."""
 
+import tracemalloc
+
 import numpy as np
 
 from lumigate.llm import base, ngram_join
-from lumigate.llm.ngram_join import Join, similar_documents
+from lumigate.llm.ngram_join import Join, frequency_bitmaps, similar_documents
 
 
 def plain_components(edges):
@@ -21,6 +23,18 @@ def plain_components(edges):
     return low
 
 
+def test_bitmaps_take_no_byte_for_each_bit_on_the_driver(spark):
+    docs = spark.createDataFrame([(i, f"a b c d e f{i % 3}") for i in range(30)], "doc_id long, text string")
+    tracemalloc.start()
+    often, very = frequency_bitmaps(docs, Join(2, 80, 8))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(often) == len(very) == 1 << (ngram_join.FREQUENCY_BITS - 3)
+    assert peak < 80_000_000  # 16 MB that stay, the rows they come from, and little else
+    ones = [int(np.unpackbits(x).sum()) for x in (often, very)]
+    assert 0 < ones[0] and ones[1] == 0
+
+
 def test_few_edges_take_no_rounds(spark, monkeypatch):
     written, was = [], base.stored
     monkeypatch.setattr(base, "stored", lambda df, name, *a: written.append(name) or was(df, name, *a))
