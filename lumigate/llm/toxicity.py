@@ -4,8 +4,8 @@ A text's features are the set of its hashed words, pairs of neighbours and pairs
 between, each with the value 1/sqrt(size of the set), so that long texts count like short ones. Training
 rows are dealt to a few shards; in each epoch every shard takes the common state (z and n of each
 coordinate), runs FTRL-proximal over its rows with per-coordinate rates, and gives back what it added; the
-means are the next state. L1 leaves few weights other than 0, and only those are broadcast to
-score the corpus in one narrow pass.
+means are the next state. State and what is added are stored tables, so neither passes through the driver. L1 leaves
+few weights other than 0, and only those are collected and broadcast to score the corpus in one narrow pass.
 
 The fit reads at most `Model.max_rows` labelled rows, those of the lowest hash of doc_id; scoring reads every
 row and every text whole.
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumigate.llm.base import apart, slices, stored, table, trimmed
+from lumigate.llm.base import apart, forget, slices, stored, table, trimmed
 
 WORD = re.compile(r"\w+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -96,8 +96,10 @@ def ftrl_pass(rows: Iterator[tuple[np.ndarray, int]], z: np.ndarray, n: np.ndarr
         z[-1], n[-1] = z[-1] + miss - (np.sqrt(n[-1] + miss * miss) - np.sqrt(n[-1])) * bias_of(z[-1], n[-1]), n[-1] + miss * miss
 
 
-PACKED = pa.schema([("ys", pa.binary()), ("sizes", pa.binary()), ("steps", pa.binary())])
-ADDED = pa.schema([("at", pa.binary()), ("dz", pa.binary()), ("dn", pa.binary())])
+PACKED = pa.schema([("shard", pa.int32()), ("ys", pa.binary()), ("sizes", pa.binary()), ("steps", pa.binary())])
+ADDED = pa.schema([("shard", pa.int32()), ("at", pa.binary()), ("dz", pa.binary()), ("dn", pa.binary())])
+STATE = pa.schema([("z", pa.binary()), ("n", pa.binary())])
+WEIGHTS = pa.schema([("at", pa.binary()), ("w", pa.binary()), ("bias", pa.float64())])
 
 
 def pack(t: pa.Table) -> pa.Table:
@@ -107,23 +109,65 @@ def pack(t: pa.Table) -> pa.Table:
     at = np.frombuffer(steps.buffers()[1], np.int32)[steps.offset : steps.offset + len(steps) + 1]
     # the sets lie one after another in the column's own buffer
     whole = pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(at[[0, -1]].tobytes()), steps.buffers()[2]])
-    return pa.table({"ys": [t.column("y").to_numpy().astype(np.int32).tobytes()], "sizes": [(np.diff(at) // 4).astype(np.int32).tobytes()], "steps": whole}, schema=PACKED)
+    return pa.table({"shard": t.column("shard").slice(0, 1).combine_chunks(), "ys": [t.column("y").to_numpy().astype(np.int32).tobytes()], "sizes": [(np.diff(at) // 4).astype(np.int32).tobytes()], "steps": whole}, schema=PACKED)
 
 
-def shard_pass(state, epoch: int, m: Model):
-    """What each shard adds to the common state in an epoch."""
+def columns(schema: pa.Schema) -> str:
+    kinds = {pa.int32(): "int", pa.binary(): "binary", pa.float64(): "double"}
+    return ", ".join(f"{f.name} {kinds[f.type]}" for f in schema)
+
+
+def shard_pass(epoch: int, m: Model):
+    """What each shard adds in an epoch to the common state that its row holds (z and n, null before the first epoch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(len(b)):
                 ys, sizes, steps = (np.frombuffer(b.column(c)[i].as_buffer(), kind) for c, kind in (("ys", np.int32), ("sizes", np.int32), ("steps", np.uint32)))
                 begin = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-                z0, n0 = (x.astype(np.float64) for x in state.value)
+                held = [b.column(c)[i].as_buffer() for c in ("z", "n")]
+                z0, n0 = (np.zeros((1 << m.bits) + 1) if x is None else np.frombuffer(x, np.float32).astype(np.float64) for x in held)
                 z1, n1 = z0.copy(), n0.copy()
                 order = np.random.default_rng(epoch).permutation(len(ys))
                 ftrl_pass(((np.cumsum(steps[begin[i] : begin[i + 1]], dtype=np.int64), int(ys[i])) for i in order), z1, n1, m)
                 at = np.flatnonzero((z1 != z0) | (n1 != n0)).astype(np.uint32)
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (at, (z1 - z0)[at].astype(np.float32), (n1 - n0)[at].astype(np.float32))], schema=ADDED)
+                found = [pa.array([x.tobytes()], pa.binary()) for x in (at, (z1 - z0)[at].astype(np.float32), (n1 - n0)[at].astype(np.float32))]
+                yield pa.RecordBatch.from_arrays([b.column("shard").slice(i, 1), *found], schema=ADDED)
+
+    return trimmed(run)
+
+
+def merged(m: Model):
+    """The next state, from one task's rows: the state, if there is one (shard -1, dense), and what each shard adds (one row a shard)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in b.to_pylist()]
+        if not rows:
+            return
+        z, n = np.zeros((1 << m.bits) + 1, np.float32), np.zeros((1 << m.bits) + 1, np.float32)
+        for r in sorted(rows, key=lambda r: r["shard"]):
+            dz, dn = (np.frombuffer(r[c], np.float32) for c in ("dz", "dn"))
+            if r["shard"] < 0:
+                z[:], n[:] = dz, dn
+            else:
+                at = np.frombuffer(r["at"], np.uint32)
+                z[at] += dz / m.shards
+                n[at] += dn / m.shards
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (z, n)], schema=STATE)
+
+    return trimmed(run)
+
+
+def kept_weights(m: Model):
+    """Coordinates with a weight, their weights, and the bias of a state."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                z, n = (np.frombuffer(r[c], np.float32) for c in ("z", "n"))
+                w = weights(z[:-1], n[:-1], m)
+                at = np.flatnonzero(w).astype(np.uint32)
+                yield pa.RecordBatch.from_pylist([{"at": at.tobytes(), "w": w[at].astype(np.float32).tobytes(), "bias": bias_of(z[-1], n[-1])}], schema=WEIGHTS)
 
     return trimmed(run)
 
@@ -134,7 +178,6 @@ def fit(rows: DataFrame, m: Model) -> tuple[np.ndarray, np.ndarray, float]:
     The rows are at most m.max_rows; they are shuffled once, to a row for each shard, and that table is
     what all epochs read.
     """
-    spark = rows.sparkSession
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -144,19 +187,22 @@ def fit(rows: DataFrame, m: Model) -> tuple[np.ndarray, np.ndarray, float]:
 
     turn = F.xxhash64("doc_id", F.lit("turn"))
     coded = rows.select(F.pmod(turn, F.lit(m.shards)).cast("int").alias("shard"), turn.alias("turn"), "y", "text").mapInArrow(trimmed(encode), "shard int, turn long, y int, steps binary")
-    shards = stored(coded.groupBy("shard").applyInArrow(pack, "ys binary, sizes binary, steps binary"), "toxicity", "zstd")
-    z, n = np.zeros((1 << m.bits) + 1, np.float32), np.zeros((1 << m.bits) + 1, np.float32)
+    shards = stored(coded.groupBy("shard").applyInArrow(pack, columns(PACKED)), "toxicity", "zstd")
+    state = None
     for epoch in range(m.epochs):
-        state = spark.sparkContext.broadcast((z, n))
-        # as many rows as there are shards, each no larger than the table of coordinates
-        for r in shards.mapInArrow(shard_pass(state, epoch, m), "at binary, dz binary, dn binary").collect():
-            at = np.frombuffer(r["at"], np.uint32)
-            z[at] += np.frombuffer(r["dz"], np.float32) / m.shards
-            n[at] += np.frombuffer(r["dn"], np.float32) / m.shards
-        state.destroy()
-    w = weights(z[:-1], n[:-1], m)
-    at = np.flatnonzero(w).astype(np.uint32)
-    return at, w[at].astype(np.float32), bias_of(z[-1], n[-1])
+        if state is None:
+            seen = shards.withColumns({c: F.lit(None).cast("binary") for c in ("z", "n")})
+        else:
+            seen = shards.hint("shuffle_replicate_nl").crossJoin(state.coalesce(1))  # the state goes to the shards' tasks, and isn't broadcast
+        added = stored(seen.mapInArrow(shard_pass(epoch, m), columns(ADDED)), "toxicity-added")
+        rows = added if state is None else state.selectExpr("-1 as shard", "cast(null as binary) as at", "z as dz", "n as dn").union(added)
+        was, state = state, stored(rows.coalesce(1).mapInArrow(merged(m), columns(STATE)), "toxicity-state")
+        forget(added, *([] if was is None else [was]))
+    last = state.mapInArrow(kept_weights(m), columns(WEIGHTS)).collect() if state is not None else []
+    forget(shards, *([] if state is None else [state]))
+    if not last:
+        return np.zeros(0, np.uint32), np.zeros(0, np.float32), 0.0
+    return np.frombuffer(last[0]["at"], np.uint32), np.frombuffer(last[0]["w"], np.float32), last[0]["bias"]
 
 
 def held_out(doc_id) -> F.Column:

@@ -1,10 +1,13 @@
 """The classifier on rows that were not learned from, and its edge cases."""
 
+import tracemalloc
 import zlib
 
 import numpy as np
+from pyspark import SparkContext
+from pyspark.sql import functions as F
 
-from lumigate.llm.toxicity import Model, WordHashes, features, op2_toxicity, toxicity, training_rows
+from lumigate.llm.toxicity import Model, WordHashes, bias_of, features, fit, ftrl_pass, op2_toxicity, toxicity, training_rows, weights
 
 WORDS = [f"w{i}" for i in range(60)]
 
@@ -69,3 +72,32 @@ def test_the_query_learns_nothing_from_held_out_labels(spark, tmp_path):
     truth = {i: t for i, _, t in labels}
     right = np.mean([p == truth[i] for i, (held, _, p) in scores[0].items() if held])
     assert right > 0.95
+
+
+def test_the_fit_sends_no_state_through_the_driver(spark, monkeypatch):
+    rows, labels = corpus(spark, 120)
+    truth = {i: t for i, _, t in labels}
+    docs = spark.createDataFrame([(i, t, truth[i]) for i, t, _ in rows], "doc_id long, text string, y int").repartition(3)
+    sent, was = [], SparkContext.broadcast
+    monkeypatch.setattr(SparkContext, "broadcast", lambda sc, value: sent.append(value) or was(sc, value))
+    m = Model(bits=19, epochs=3)
+    tracemalloc.start()
+    at, w, bias = fit(docs, m)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert not sent
+    assert peak < 2_000_000  # a state of 2**19 coordinates takes 4 MB
+    turns = {r.doc_id: r.turn for r in docs.select("doc_id", F.xxhash64("doc_id", F.lit("turn")).alias("turn")).collect()}
+    z, n = (np.zeros((1 << m.bits) + 1, np.float32) for _ in range(2))
+    shards = [sorted((turns[i], truth[i], t) for i, t, _ in rows if turns[i] % m.shards == k) for k in range(m.shards)]
+    for epoch in range(m.epochs):
+        z0, n0 = z.copy(), n.copy()
+        for shard in shards:
+            z1, n1 = z0.astype(np.float64), n0.astype(np.float64)
+            order = np.random.default_rng(epoch).permutation(len(shard))
+            ftrl_pass(((np.unique(features(shard[i][2], WordHashes(), m.bits)).astype(np.int64), shard[i][1]) for i in order), z1, n1, m)
+            z += ((z1 - z0).astype(np.float32)) / m.shards
+            n += ((n1 - n0).astype(np.float32)) / m.shards
+    plain = weights(z[:-1], n[:-1], m)
+    assert at.tolist() == np.flatnonzero(plain).tolist() and len(at) > 20
+    assert np.allclose(w, plain[at], atol=1e-5) and abs(bias - bias_of(z[-1], n[-1])) < 1e-6
