@@ -29,23 +29,37 @@ def top_anchors(anchors: Column, k: int = MOST_ANCHORS) -> Column:
     return F.transform(F.slice(F.array_sort(ranked), 1, k), lambda s: s["a"])
 
 
+def _near(a: Column, g) -> Column:
+    """The box of anchor a by g["dx0"] and the others of a row of the geometry."""
+    x, y, w, h = (a[c].cast("double") for c in ("x", "y", "w", "h"))
+    return clamp_box(x + g["dx0"] * w, y + g["dy0"] * h, x + g["dx1"] * w, y + g["dy1"] * h, F.col("width"), F.col("height"))
+
+
+def _bands() -> Column:
+    """A list of region_key, kind and box; a box that is too small, or a centre that is all, is null."""
+    w, h = F.col("width"), F.col("height")
+    side = F.least(w, h)
+    rows = [F.struct(F.lit(k).alias("region_key"), F.lit(kind).alias("kind"), clamp_box(F.lit(0.0), h * lo, w.cast("double"), h * hi, w, h).alias("box")) for k, kind, lo, hi in BANDS]
+    left, top = (w - side) / 2, (h - side) / 2
+    rows.append(F.struct(F.lit("centre").alias("region_key"), F.lit("band").alias("kind"), F.when(w != h, clamp_box(left, top, left + side, top + side, w, h)).alias("box")))
+    return F.array(*rows)
+
+
+def _unanchored() -> Column:
+    return F.coalesce(F.size("anchors"), F.lit(0)) <= 0
+
+
 def anchored_regions(frames: DataFrame, geometry: DataFrame, k: int = MOST_ANCHORS) -> DataFrame:
     """Boxes in multiples of each anchor by the user's geometry (kind, dx0, dy0, dx1, dy1)."""
     at = frames.where("width > 0 and height > 0").select("item_id", "width", "height", F.posexplode(top_anchors(F.col("anchors"), k)).alias("rank", "a")).join(F.broadcast(geometry))
-    x, y, w, h = (F.col("a")[c].cast("double") for c in ("x", "y", "w", "h"))
-    box = clamp_box(x + F.col("dx0") * w, y + F.col("dy0") * h, x + F.col("dx1") * w, y + F.col("dy1") * h, F.col("width"), F.col("height"))
+    box = _near(F.col("a"), {c: F.col(c) for c in ("dx0", "dy0", "dx1", "dy1")})
     return at.select("item_id", F.concat("kind", F.col("rank").cast("string")).alias("region_key"), "kind", box.alias("box")).where("box is not null").select("item_id", "region_key", "kind", "box.*")
 
 
 def fallback_bands(frames: DataFrame) -> DataFrame:
     """Three overlapping bands, and the centre square of a frame that isn't one, where there is no anchor."""
-    w, h = F.col("width"), F.col("height")
-    side = F.least(w, h)
-    rows = [F.struct(F.lit(k).alias("region_key"), F.lit(kind).alias("kind"), clamp_box(F.lit(0.0), h * lo, w.cast("double"), h * hi, w, h).alias("box")) for k, kind, lo, hi in BANDS]
-    left, top = (w - side) / 2, (h - side) / 2
-    rows.append(F.struct(F.lit("centre").alias("region_key"), F.lit("band").alias("kind"), F.when(w != h, clamp_box(left, top, left + side, top + side, w, h)).alias("box")))
-    none = frames.where((F.coalesce(F.size("anchors"), F.lit(0)) <= 0) & (w > 0) & (h > 0))
-    return none.select("item_id", F.inline(F.array(*rows))).where("box is not null").select("item_id", "region_key", "kind", "box.*")
+    none = frames.where(_unanchored() & (F.col("width") > 0) & (F.col("height") > 0))
+    return none.select("item_id", F.inline(_bands())).where("box is not null").select("item_id", "region_key", "kind", "box.*")
 
 
 def plan_regions(frames: DataFrame, geometry: DataFrame, k: int = MOST_ANCHORS) -> DataFrame:
@@ -55,6 +69,19 @@ def plan_regions(frames: DataFrame, geometry: DataFrame, k: int = MOST_ANCHORS)
     return full.unionByName(anchored_regions(frames, geometry, k)).unionByName(fallback_bands(frames))
 
 
+def plan_boxes(frames: DataFrame, geometry: DataFrame, k: int = MOST_ANCHORS) -> DataFrame:
+    """frames with the rows of `plan_regions` as a list beside each (boxes: region_key, kind, l, t, r, b), so that whoever has the frame needs no join."""
+    kinds = geometry.agg(F.collect_list(F.struct("kind", "dx0", "dy0", "dx1", "dy1")).alias("_geometry"))  # a few rows, broadcast as in `anchored_regions`
+    near = lambda a, i: F.transform("_geometry", lambda g: F.struct(F.concat(g["kind"], i.cast("string")).alias("region_key"), g["kind"].alias("kind"), _near(a, g).alias("box")))
+    found = F.when(_unanchored(), _bands()).otherwise(F.flatten(F.transform(top_anchors(F.col("anchors"), k), near)))
+    found = F.filter(F.when((F.col("width") > 0) & (F.col("height") > 0), found), lambda x: x["box"].isNotNull())
+    found = F.transform(found, lambda x: F.struct(x["region_key"].alias("region_key"), x["kind"].alias("kind"), *[x["box"][c].alias(c) for c in "ltrb"]))
+    none = F.lit(None).cast("int")
+    full = F.array(F.struct(F.lit("full").alias("region_key"), F.lit("full").alias("kind"), *[none.alias(c) for c in "ltrb"]))
+    boxes = F.concat(full, F.coalesce(found, F.slice(full, 1, 0)))
+    return frames.join(F.broadcast(kinds)).select(*[F.col(c) for c in frames.columns], boxes.alias("boxes"))
+
+
 def region_scores(scored: DataFrame) -> DataFrame:
     """item_id, region_key, kind, axis, score of regions with a map of axis scores."""
     return scored.select("item_id", "region_key", "kind", F.explode("axes").alias("axis", "score"))

@@ -1,12 +1,15 @@
 """Images, regions, plug-ins and sinks against plain Python."""
 
+import os
 import struct
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from lumigate.operators import export, refine
+import __spark_entry__
+from lumigate.operators import export, refine, regions
 from lumigate.sources import images
 from lumigate.streaming import streams
 
@@ -162,3 +165,61 @@ def test_a_file_longer_than_any_picture_is_a_reject_that_no_task_reads(spark, tm
     good, rejects = images.decode(spark, str(tmp_path))
     assert [r.width for r in good.select("image.width").collect()] == [4]
     assert sorted((r.path.rsplit("/", 1)[1], r.reason) for r in rejects.collect()) == [("bad.png", "can't be decoded"), ("long.bin", "can't be decoded")]
+
+
+SMALL = "/root/testdata/sf0.001"
+FRAMES = "item_id long, content_hash string, width int, height int, anchors array<struct<x:int,y:int,w:int,h:int,score:double>>"
+
+
+def frames_and_geometry(spark):
+    anchor = lambda x, y, w, h: (x, y, w, h, 1.0)
+    four = [anchor(10, 20, 60, 70), anchor(100, 30, 90, 80), anchor(5, 5, 50, 50), anchor(7, 7, 51, 51)]
+    rows = [(0, "h0", 300, 200, None), (1, "h1", 300, 300, []), (2, "h2", 400, 300, four), (3, "h3", 0, 0, None), (4, "h4", 60, 40, [anchor(0, 0, 9, 9)]), (5, "h2", 400, 300, four)]
+    return spark.createDataFrame(rows, FRAMES), spark.createDataFrame([("near", -0.5, -0.5, 1.5, 1.5), ("wide", -2.0, 0.5, 3.0, 5.0)], "kind string, dx0 double, dy0 double, dx1 double, dy1 double")
+
+
+def pixels_of(row):
+    size = row["width"] * row["height"]
+    return (np.arange(size) * 7 + int(row["content_hash"][1:])).astype(np.uint8).reshape(row["height"], row["width"], 1)
+
+
+def test_boxes_beside_a_frame_are_those_of_the_plan(spark):
+    frames, geometry = frames_and_geometry(spark)
+    got = regions.plan_boxes(frames, geometry).select("item_id", F.inline("boxes"))
+    want = regions.plan_regions(frames, geometry)
+    assert got.columns == want.columns and want.count() > 20
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_regions_of_images_that_tasks_make_from_frames_with_boxes(spark):
+    frames, geometry = frames_and_geometry(spark)
+    plan = [r.asDict() for r in regions.plan_regions(frames, geometry).where("item_id <> 3").collect()]
+    rows = {r.item_id: pixels_of(r.asDict()) for r in frames.where("item_id <> 3").collect()}
+    names = {0: "h0", 1: "h1", 2: "h2", 4: "h4", 5: "h2"}
+    cut = lambda p: rows[p["item_id"]][p["t"] : p["b"], p["l"] : p["r"]]
+    want = {(names[p["item_id"]], p["region_key"]): cut(p) for p in plan if (p["item_id"], p["region_key"]) != (0, "full")}
+    cache = spark.createDataFrame([("h0", "m", "full"), ("h1", "other", "full")], "content_hash string, namespace string, region_key string")
+    boxed = regions.plan_boxes(images.deal(frames, "item_id"), geometry)
+    by_rows = images.embed_regions(frames, regions.plan_regions(frames, geometry), cache, "m", images.HashEmbedder, pixels_of)
+    for out in (images.embed_regions(boxed, None, cache, "m", images.HashEmbedder, pixels_of), by_rows):
+        got = out.collect()
+        assert sorted((r.content_hash, r.region_key) for r in got) == sorted(want)
+        for r in got:
+            counts = np.bincount(want[r.content_hash, r.region_key].ravel() >> 4, minlength=16)
+            assert np.allclose(r.vector, counts / np.linalg.norm(counts))
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no tables here")
+def test_regions_of_frames_are_embedded_with_one_join_by_key(spark):
+    """Pixels are made by the task that cuts them, and what makes them goes with the boxes instead of joining them again."""
+    frame = __spark_entry__.queries()["region_embed"](spark, SMALL)
+    text = frame._jdf.queryExecution().executedPlan().toString()
+    assert "rpad" not in text and text.count("SortMergeJoin") == 1 and "BroadcastHashJoin" not in text
+
+
+def test_classes_of_bytes_are_those_of_a_plain_count():
+    rnd = np.random.default_rng(5)
+    texts = [b"", b"7", b"0123456789" * 50, bytes(range(256)), bytes(200), rnd.integers(0, 256, 10_000, np.uint8).tobytes(), rnd.integers(40, 90, 999, np.uint8).tobytes()]
+    for t, v in zip(texts, images.HashEmbedder().embed([memoryview(t) for t in texts])):
+        counts = np.bincount(np.frombuffer(t, np.uint8) >> 4, minlength=16)
+        assert np.allclose(v, counts / max(np.linalg.norm(counts), 1e-12))
